@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from evalspark.functions.binding import bind
 from evalspark.functions.screening import screen
 from evalspark.functions.text import strip
 
@@ -16,6 +17,7 @@ _SQL_BLOCK = r"(?is)<\s*sql\b[^>]*>(.*?)<\s*/\s*sql\s*>"
 _PLAN_BLOCK = r"(?is)<\s*plan\b[^>]*>(.*?)<\s*/\s*plan\s*>"
 _BARE_BLOCK = r"(?is)<\s*sql\s*>(.*?)<\s*/\s*sql\s*>"
 _FENCE = r"(?ismd)^[ \t]*```(?:sql)?[ \t]*\n(.*?)^[ \t]*```[ \t]*$"
+_SQL_START = r"(?isU)\b(?:select|with)\b.*$"
 _WRAPPED = r"(?is)^```(?:sql)?[ \t]*\n(.*)```$"
 
 
@@ -28,96 +30,120 @@ def _count(text: Column, pattern: str) -> Column:
 
 
 def parse_completion(text: Column, require_plan: bool = False) -> Column:
-    """Struct of ``sql``, ``plan``, ``format_ok``, ``parse_error``, ``warnings``, ``protocol``.
+    """A struct of ``sql``, ``plan``, ``format_ok``, ``parse_error``, ``warnings``, ``protocol``.
 
     A second or unbalanced block counts as an attempt to hide SQL and yields none.
     """
-    raw = unix_newlines(text)
-    sql_open, sql_close = _count(raw, _SQL_OPEN), _count(raw, _SQL_CLOSE)
-    plan_open, plan_close = _count(raw, _PLAN_OPEN), _count(raw, _PLAN_CLOSE)
-    tagged = (sql_open + sql_close) > 0
-
-    inside = F.regexp_extract(raw, _SQL_BLOCK, 1)
-    in_order = raw.rlike(_SQL_BLOCK) & (inside != "")
-    inner = strip(inside)
-    fenced_inside = inner.rlike(_WRAPPED)
-    block = strip(F.when(fenced_inside, F.regexp_extract(inner, _WRAPPED, 1)).otherwise(inner))
-
-    has_plan = plan_open > 0
-    plan = F.when(has_plan, strip(F.regexp_extract(raw, _PLAN_BLOCK, 1)))
-
-    fences = F.regexp_extract_all(raw, F.lit(_FENCE), 1)
-    one_fence, many_fences = F.size(fences) == 1, F.size(fences) > 1
-
-    unusable = (
-        F.when(~tagged & ~one_fence & ~many_fences, "no <sql> block and no SQL fence")
-        .when(~tagged & many_fences, "multiple SQL fences")
-        .when(~tagged, F.lit(None))
-        .when(sql_open != sql_close, "unbalanced <sql> tags")
-        .when(plan_open != plan_close, "unbalanced <plan> tags")
-        .when(sql_open > 1, "duplicate <sql> tags")
-        .when(~in_order, "empty or inverted <sql> block")
-        .when(block == "", "<sql> block is empty")
-    )
-    parse_error = F.coalesce(
-        unusable,
-        F.when(~tagged, "missing <sql> tags, SQL taken from a fence"),
-        F.when(F.lit(require_plan) & (F.coalesce(plan, F.lit("")) == ""), "<plan> is required but missing"),
-    )
-    fence_sql = F.get(fences, F.lit(0))
-    sql = F.when(unusable.isNull(), F.when(tagged, block).otherwise(strip(fence_sql)))
-    sql = F.when(sql != "", sql)
-    outside = strip(F.regexp_replace(raw, _SQL_BLOCK, ""))
-    warnings = F.array_compact(
-        F.array(
-            F.when(tagged & unusable.isNull() & fenced_inside, "fence inside the <sql> block"),
-            F.when(tagged & unusable.isNull() & (plan_open > 1), "duplicate <plan> blocks"),
-            F.when(tagged & parse_error.isNull() & (outside != ""), "text outside the <sql> block"),
-            F.when(~tagged & one_fence, "fence instead of <sql> tags"),
+
+    def find(raw: Column) -> Column:
+        return F.struct(
+            raw.alias("raw"),
+            _count(raw, _SQL_OPEN).alias("sql_open"),
+            _count(raw, _SQL_CLOSE).alias("sql_close"),
+            _count(raw, _PLAN_OPEN).alias("plan_open"),
+            _count(raw, _PLAN_CLOSE).alias("plan_close"),
+            strip(F.regexp_extract(raw, _PLAN_BLOCK, 1)).alias("plan"),
+            F.regexp_extract(raw, _SQL_BLOCK, 1).alias("inside"),
         )
-    )
-    return F.struct(
-        sql.alias("sql"),
-        F.when(tagged & parse_error.isNull(), plan).alias("plan"),
-        (tagged & parse_error.isNull()).alias("format_ok"),
-        parse_error.alias("parse_error"),
-        warnings.alias("warnings"),
-        F.when(tagged, "tags")
-        .when(one_fence | many_fences, "fence")
-        .otherwise("none")
-        .alias("protocol"),
-    )
+
+    def unwrap(f: Column) -> Column:
+        tagged = (f["sql_open"] + f["sql_close"]) > 0
+        return F.struct(
+            f.alias("f"),
+            tagged.alias("tagged"),
+            strip(f["inside"]).alias("inner"),
+            F.when(~tagged, F.regexp_extract_all(f["raw"], F.lit(_FENCE), 1)).alias("fences"),
+        )
+
+    def judge(u: Column) -> Column:
+        f, inner, fences = u["f"], u["inner"], u["fences"]
+        wrapped = inner.rlike(_WRAPPED)
+        block = F.when(wrapped, strip(F.regexp_extract(inner, _WRAPPED, 1))).otherwise(inner)
+        bad = (
+            F.when(u["tagged"] & (f["sql_open"] != f["sql_close"]), "unbalanced <sql> tags")
+            .when(u["tagged"] & (f["plan_open"] != f["plan_close"]), "unbalanced <plan> tags")
+            .when(u["tagged"] & (f["sql_open"] > 1), "duplicate <sql> tags")
+            .when(u["tagged"] & (f["inside"] == ""), "empty or inverted <sql> block")
+            .when(u["tagged"] & (block == ""), "<sql> block is empty")
+            .when(F.size(fences) > 1, "multiple SQL fences")
+            .when(F.size(fences) == 0, "no <sql> block and no SQL fence")
+        )
+        sql = F.when(u["tagged"], block).otherwise(strip(F.get(fences, F.lit(0))))
+        return F.struct(
+            u.alias("u"),
+            bad.alias("bad"),
+            F.when(sql != "", sql).alias("sql"),
+            wrapped.alias("wrapped"),
+            F.when(f["plan_open"] > 0, f["plan"]).alias("plan"),
+            (strip(F.regexp_replace(f["raw"], _SQL_BLOCK, "")) != "").alias("prose"),
+        )
+
+    def assemble(j: Column) -> Column:
+        tagged, usable = j["u"]["tagged"], j["bad"].isNull()
+        no_plan = F.lit(require_plan) & (F.coalesce(j["plan"], F.lit("")) == "")
+        error = F.coalesce(
+            j["bad"],
+            F.when(~tagged, "missing <sql> tags, SQL taken from a fence"),
+            F.when(no_plan, "<plan> is required but missing"),
+        )
+        good = usable & tagged & ~no_plan
+        plans = j["u"]["f"]["plan_open"]
+        warnings = F.array_compact(
+            F.array(
+                F.when(tagged & usable & j["wrapped"], "fence inside the <sql> block"),
+                F.when(tagged & usable & (plans > 1), "duplicate <plan> blocks"),
+                F.when(good & j["prose"], "text outside the <sql> block"),
+                F.when(~tagged & usable, "fence instead of <sql> tags"),
+            )
+        )
+        return F.struct(
+            F.when(usable, j["sql"]).alias("sql"),
+            F.when(good, j["plan"]).alias("plan"),
+            good.alias("format_ok"),
+            error.alias("parse_error"),
+            warnings.alias("warnings"),
+            F.when(tagged, "tags")
+            .when(F.size(j["u"]["fences"]) > 0, "fence")
+            .otherwise("none")
+            .alias("protocol"),
+        )
+
+    found = bind(unix_newlines(text), find)
+    return bind(bind(bind(found, unwrap), judge), assemble)
 
 
 def _single_select(sql: Column) -> Column:
-    """The text when it is exactly one SELECT or WITH statement, else null."""
-    kind = screen(sql)
-    harmless = kind.getField("safe") | (
-        (kind.getField("statement_count") == 1)
-        & kind.getField("top_level_key").isin("select", "with")
-        & (F.array_position(kind.getField("forbidden"), "write") == 0)
-    )
-    return F.when(harmless, strip(sql))
+    """The text if it is exactly one SELECT or WITH statement, whatever it calls."""
+
+    def keep(s: Column) -> Column:
+        def check(kind: Column) -> Column:
+            single = (kind["statement_count"] == 1) & kind["top_level_key"].isin("select", "with")
+            written = F.array_contains(kind["forbidden"], "write")
+            return F.when(kind["safe"] | (single & ~written), s)
+
+        return bind(screen(s), check)
+
+    return bind(strip(sql), keep)
 
 
 def _no_second_statement(sql: Column) -> Column:
-    return F.when(~F.coalesce(sql, F.lit("")).rlike(r";\s*\S"), sql)
+    return F.when((sql != "") & ~sql.rlike(r";\s*\S"), sql)
 
 
 def fallback_sql(text: Column) -> Column:
-    """One read-only statement from a completion that broke the protocol, else null.
+    """One read-only statement of a completion that broke the protocol, else null.
 
     Tried in turn: the whole text, its only complete block, its tail from the first
     SELECT or WITH.
     """
-    raw = F.coalesce(text, F.lit(""))
-    blocks = F.regexp_extract_all(raw, F.lit(_BARE_BLOCK), 1)
-    only_block = F.when(F.size(blocks) == 1, strip(F.get(blocks, F.lit(0))))
-    tail = strip(F.regexp_extract(raw, r"(?is)\b(?:select|with)\b.*$", 0))
+
+    def only_block(blocks: Column) -> Column:
+        return F.when(F.size(blocks) == 1, _no_second_statement(strip(F.get(blocks, F.lit(0)))))
+
+    blocks = F.regexp_extract_all(text, F.lit(_BARE_BLOCK), 1)
+    tail = bind(strip(F.regexp_extract(text, _SQL_START, 0)), _no_second_statement)
     return F.coalesce(
-        _single_select(raw),
-        _single_select(_no_second_statement(F.when(only_block != "", only_block))),
-        _single_select(_no_second_statement(F.when(tail != "", tail))),
+        _single_select(text), _single_select(bind(blocks, only_block)), _single_select(tail)
     )
 
 

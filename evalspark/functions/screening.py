@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from evalspark.functions.binding import bind
 from evalspark.functions.text import strip
 
 _LITERAL = r"'[^']*'"
@@ -26,8 +27,10 @@ WRITE_VERBS = [
 _WRITE_INSIDE = (
     r"\b(insert\s+(or\s+\w+\s+)?into|replace\s+into|delete\s+from|update\s+\w+\s+set|merge\s+into)\b"
 )
+_LOADS = r"\bload_extension\s*\("
 _CTE_HEAD = r"^with\s+(recursive\s+)?\w+\s*(\([^)]*\)\s*)?as\s+((not\s+)?materialized\s+)?\("
 _DANGLING = r"\b(select|from|where|join|on|and|or|by|having|limit|union|all|in)\s*$|,\s*$"
+_TAG_LEFT = r"<\s*/|<\s*(sql|plan)\s*>"
 _TABLE_REF = (
     r"(?i)\b(?:from|join)\s+((?:[\w.]+|\"[^\"]+\"|`[^`]+`|\[[^\]]+\])"
     r"(?:(?:\s+as)?\s+(?!join\b|on\b|where\b|group\b|order\b|left\b|inner\b|cross\b)\w+)?"
@@ -55,45 +58,75 @@ def _statements(blanked: Column) -> Column:
 
 
 def screen(sql: Column) -> Column:
-    """Struct of ``safe``, ``error_type``, ``statement_count`` and ``top_level_key``."""
-    text = strip(F.coalesce(sql, F.lit("")))
-    blanked = F.lower(blank_all(text))
-    count = F.size(_statements(blanked))
-    statement = F.regexp_replace(blanked, r"^[\s;]+|[\s;]+$", "")
-    verb = F.regexp_extract(statement, r"^(\(|[a-z]+)", 1)
-    opened = F.length(F.regexp_replace(statement, r"[^(]", ""))
-    closed = F.length(F.regexp_replace(statement, r"[^)]", ""))
-    bad_syntax = (
-        (opened != closed)
-        | statement.contains("'")
-        | statement.rlike(_DANGLING)
-    )
-    reads = (verb == "select") | statement.rlike(_CTE_HEAD)
-    error = (
-        F.when(text == "", "format_error")
-        .when(count == 0, "syntax_error")
-        .when(~(reads | (verb == "(") | verb.isin(WRITE_VERBS)), "syntax_error")
-        .when(count > 1, "unsafe_sql")
-        .when(~reads, "unsafe_sql")
-        .when(statement.rlike(_WRITE_INSIDE), "unsafe_sql")
-        .when(bad_syntax, "syntax_error")
-        .when(statement.rlike(r"\bload_extension\s*\("), "unsafe_sql")
-        .otherwise("none")
-    )
-    forbidden = F.array_compact(
-        F.array(
-            F.when(error.isin("none", "unsafe_sql") & (count == 1) & ~reads, verb),
-            F.when(statement.rlike(r"\bload_extension\s*\("), "function:load_extension"),
-            F.when(reads & statement.rlike(_WRITE_INSIDE), "write"),
+    """The safety class of SQL text; null where there is no SQL.
+
+    A struct of ``safe``, ``error_type``, ``statement_count``, ``top_level_key`` and
+    ``forbidden``.
+    """
+    return F.when(sql.isNotNull(), bind(strip(sql), _screen_text))
+
+
+def _screen_text(text: Column) -> Column:
+    def cut(blanked: Column) -> Column:
+        statement = F.regexp_replace(blanked, r"^[\s;]+|[\s;]+$", "")
+        return F.struct(
+            (text == "").alias("empty"),
+            F.size(_statements(blanked)).alias("count"),
+            statement.alias("statement"),
         )
-    )
-    return F.struct(
-        (error == "none").alias("safe"),
-        error.alias("error_type"),
-        F.when(error == "syntax_error", -1).otherwise(count).alias("statement_count"),
-        F.when(count == 1, verb).otherwise("").alias("top_level_key"),
-        forbidden.alias("forbidden"),
-    )
+
+    def tokens(parts: Column) -> Column:
+        statement = parts["statement"]
+        verb = F.regexp_extract(statement, r"^(\(|[a-z]+)", 1)
+        bad_syntax = (
+            (F.regexp_count(statement, F.lit(r"\(")) != F.regexp_count(statement, F.lit(r"\)")))
+            | statement.contains("'")
+            | statement.rlike(_DANGLING)
+            | statement.rlike(_TAG_LEFT)
+        )
+        return F.struct(
+            parts["empty"].alias("empty"),
+            parts["count"].alias("count"),
+            verb.alias("verb"),
+            ((verb == "select") | statement.rlike(_CTE_HEAD)).alias("reads"),
+            statement.rlike(_WRITE_INSIDE).alias("writes"),
+            statement.rlike(_LOADS).alias("loads"),
+            bad_syntax.alias("bad_syntax"),
+        )
+
+    def classify(t: Column) -> Column:
+        known = t["reads"] | (t["verb"] == "(") | t["verb"].isin(WRITE_VERBS)
+        error = (
+            F.when(t["empty"], "format_error")
+            .when((t["count"] == 0) | ~known, "syntax_error")
+            .when((t["count"] > 1) | ~t["reads"] | t["writes"], "unsafe_sql")
+            .when(t["bad_syntax"], "syntax_error")
+            .when(t["loads"], "unsafe_sql")
+            .otherwise("none")
+        )
+        return F.struct(error.alias("error"), t.alias("t"))
+
+    def decide(c: Column) -> Column:
+        error, t = c["error"], c["t"]
+        forbidden = F.array_compact(
+            F.array(
+                F.when(~t["reads"], t["verb"]),
+                F.when(t["loads"], "function:load_extension"),
+                F.when(t["reads"] & t["writes"], "write"),
+            )
+        )
+        none = F.array().cast("array<string>")
+        single = t["count"] == 1
+        return F.struct(
+            (error == "none").alias("safe"),
+            error.alias("error_type"),
+            F.when(error == "syntax_error", -1).otherwise(t["count"]).alias("statement_count"),
+            F.when(single, t["verb"]).otherwise("").alias("top_level_key"),
+            F.when((error == "unsafe_sql") & single, forbidden).otherwise(none).alias("forbidden"),
+        )
+
+    parts = bind(F.lower(blank_all(text)), cut)
+    return bind(bind(bind(parts, tokens), classify), decide)
 
 
 def has_order_by(sql: Column) -> Column:

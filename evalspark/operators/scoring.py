@@ -17,24 +17,20 @@ from evalspark.functions.text import normalize_sql_exact_match
 
 
 def parsed(completions: DataFrame, text: str, require_plan: bool = False) -> DataFrame:
-    """Add ``parse`` and ``safety``, the latter null when there is no SQL.
-
-    Both are computed in a projection of their own so that later columns reuse them.
-    """
-    with_parse = completions.withColumn("parse", parse_completion(F.col(text), require_plan))
-    sql = F.col("parse.sql")
-    return with_parse.withColumn("safety", F.when(sql.isNotNull(), screen(sql)))
+    """Add ``parse`` and ``safety``, the latter null when there is no SQL."""
+    found = completions.withColumn("parse", parse_completion(F.col(text), require_plan))
+    return found.withColumn("safety", screen(F.col("parse.sql")))
 
 
 def scorable(completions: DataFrame, text: str, require_plan: bool = False) -> DataFrame:
     """As ``parsed``, plus the SQL to run: the block, or else the fallback extraction."""
-    with_parse = completions.withColumn("parse", parse_completion(F.col(text), require_plan))
-    sql = F.col("parse.sql")
-    fallback = F.when(sql.isNull(), fallback_sql(F.col(text)))
-    found = with_parse.withColumn("fallback_sql", fallback).withColumn(
-        "run_sql", F.coalesce("parse.sql", "fallback_sql")
+    found = completions.withColumn("parse", parse_completion(F.col(text), require_plan))
+    missing = F.col("parse.sql").isNull()
+    return (
+        found.withColumn("fallback_sql", F.when(missing, fallback_sql(F.col(text))))
+        .withColumn("run_sql", F.coalesce("parse.sql", "fallback_sql"))
+        .withColumn("safety", screen(F.col("run_sql")))
     )
-    return found.withColumn("safety", F.when(F.col("run_sql").isNotNull(), screen(F.col("run_sql"))))
 
 
 def _flag(name: str) -> Column:

@@ -118,8 +118,9 @@ def run_workload(
 
     def run(row) -> tuple:
         started = time.monotonic()
-        if not row.safety.safe:
-            return _failed(row, row.safety.error_type, "not run", started)
+        if row.safety is None or not row.safety.safe:
+            kind = row.safety.error_type if row.safety else "format_error"
+            return _failed(row, kind, "not run", started)
         return _run_query(spark, row, rows_path, max_rows, timeout_ms)
 
     spark.createDataFrame([], RUN_SCHEMA).write.mode("append").parquet(runs_path)

@@ -107,7 +107,7 @@ SQL = {
     "samples": """
         SELECT 'g-' || user_id || '-' || event_type AS generation_group_id,
           CASE WHEN event_type IN ('error', 'signup') THEN -0.4
-            WHEN k = 13 THEN NULL ELSE round(least(value, 150.0) / 100 - 0.5, 2) END AS reward,
+            WHEN k = 13 THEN NULL ELSE least(value, 150.0) / 100 - 0.5 END AS reward,
           event_type <> 'error' AS parse_ok,
           CASE WHEN event_type = 'error' THEN NULL ELSE k <> 7 END AS safe,
           event_type IN ('click', 'purchase') AS execution_success,

@@ -23,19 +23,27 @@ def prompt_sql(schema: str, spec: str) -> str:
 
 @query(
     "prompts",
-    f"""SELECT example_id, db_id, md5({prompt_sql('schema_text', prompts.PROTOCOL_PLAN)}) AS with_plan,
-      md5({prompt_sql('schema_text', prompts.PROTOCOL_STRICT)}) AS strict, false AS prompt_truncated FROM examples""",
+    f"""SELECT example_id, db_id, md5({prompt_sql('schema_text', prompts.PROTOCOL_PLAN)}) AS prompt,
+      false AS prompt_truncated FROM examples""",
     "examples",
 )
 def prompt_rows(t: Tables):
-    """Prompt digests under two protocol texts."""
-    examples = t.adapted("examples")
-    args = [F.col(c) for c in ("question", "schema_text", "db_id", "evidence")]
-    strict = prompts.build_prompt(*args, version=prompts.STRICT_VERSION)
-    plain = rows.prompt_rows(examples, include_plan=True)
-    return plain.select(
-        "example_id", "db_id", F.md5("prompt").alias("with_plan"), "prompt_truncated"
-    ).join(examples.select("example_id", F.md5(strict).alias("strict")), "example_id")
+    """Digest of every prompt with the plan protocol."""
+    return rows.prompt_rows(t.adapted("examples"), include_plan=True).withColumn(
+        "prompt", F.md5("prompt")
+    )
+
+
+@query(
+    "prompts_strict",
+    f"""SELECT example_id, db_id, md5({prompt_sql('schema_text', prompts.PROTOCOL_STRICT)}) AS prompt,
+      false AS prompt_truncated FROM examples""",
+    "examples",
+)
+def prompt_rows_strict(t: Tables):
+    """Digest of every prompt with the strict protocol."""
+    strict = rows.prompt_rows(t.adapted("examples"), version=prompts.STRICT_VERSION)
+    return strict.withColumn("prompt", F.md5("prompt"))
 
 
 # For the budget, a document's text is the schema and its language the question.

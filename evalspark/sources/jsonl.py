@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalspark.functions.completions import parse_completion
@@ -53,21 +53,22 @@ def read_examples(
 def migrate_candidates(candidates: DataFrame) -> DataFrame:
     """Bring old rows, which kept the whole completion in ``candidate_sql``, up to date."""
     legacy = F.col("raw_candidate_output").isNull()
-    raw = F.coalesce("candidate_sql", F.lit(""))
-    parsed = F.when(legacy & (raw != ""), parse_completion(raw))
-    valid = parsed.getField("sql").isNotNull() & parsed.getField("parse_error").isNull()
-    return candidates.withColumns(
+    old = F.when(legacy, F.coalesce("candidate_sql", F.lit("")))
+    found = candidates.withColumn("_old", old).withColumn("_parse", parse_completion(F.col("_old")))
+    filled = F.col("_old") != ""
+    valid = F.col("_parse.sql").isNotNull() & F.col("_parse.parse_error").isNull()
+
+    def instead(new: Column, name: str) -> Column:
+        return F.when(legacy, new).otherwise(F.col(name))
+
+    return found.withColumns(
         {
-            "raw_candidate_output": F.when(legacy, raw).otherwise(F.col("raw_candidate_output")),
-            "candidate_sql": F.when(legacy, parsed.getField("sql")).otherwise(
-                F.col("candidate_sql")
-            ),
-            "candidate_plan": F.when(legacy, parsed.getField("plan")).otherwise(
-                F.col("candidate_plan")
-            ),
-            "parse_valid": F.when(legacy & (raw != ""), valid).otherwise(F.col("parse_valid")),
+            "raw_candidate_output": F.coalesce("raw_candidate_output", "_old"),
+            "candidate_sql": instead(F.when(filled, F.col("_parse.sql")), "candidate_sql"),
+            "candidate_plan": instead(F.when(filled, F.col("_parse.plan")), "candidate_plan"),
+            "parse_valid": F.when(legacy & filled, valid).otherwise(F.col("parse_valid")),
         }
-    )
+    ).drop("_old", "_parse")
 
 
 def read_candidates(spark: SparkSession, path: str) -> DataFrame:
