@@ -1 +1,9 @@
 """Spark jobs for curating text-to-SQL datasets and judging generated SQL."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel to the executors by value, so the package need not be
+# installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -198,20 +198,3 @@ def message_bucket(message: Column) -> Column:
     lowered = F.lower(F.coalesce(message, F.lit("")))
     hits = [F.when(lowered.contains(word), F.lit(bucket)) for word, bucket in ERROR_KEYWORDS]
     return F.coalesce(*hits, F.lit("schema_error"))
-
-
-# Spark's own error conditions, for queries run by ``operators.workload``.
-CONDITION_BUCKETS = {
-    "TABLE_OR_VIEW_NOT_FOUND": "wrong_table",
-    "UNRESOLVED_COLUMN": "wrong_column",
-    "AMBIGUOUS_REFERENCE": "join_error",
-    "MISSING_AGGREGATION": "group_by_error",
-    "MISSING_GROUP_BY": "group_by_error",
-    "GROUP_BY_AGGREGATE": "group_by_error",
-    "PARSE_SYNTAX_ERROR": "syntax_error",
-}
-
-
-def condition_bucket(condition: Column) -> Column:
-    hits = [F.when(condition.startswith(k), F.lit(v)) for k, v in CONDITION_BUCKETS.items()]
-    return F.coalesce(*hits, F.lit("schema_error"))

@@ -12,6 +12,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The code points Python counts as white space.
 SPACE_CLASS = (
@@ -21,12 +22,12 @@ SPACE_CLASS = (
 _PLAIN_TEXT = r"^[\x00-\x7F\xC0-\xD6\xD8-\xF6\xF8-\xFF]*$"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc_casefold(text: pd.Series) -> pd.Series:
     return text.map(lambda t: unicodedata.normalize("NFKC", t).casefold(), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _casefold(text: pd.Series) -> pd.Series:
     return text.map(str.casefold, na_action="ignore")
 

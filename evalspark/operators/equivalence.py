@@ -100,9 +100,7 @@ def normalize_cell(c: Column, tolerance: float = TOLERANCE) -> Column:
         F.regexp_replace(number.cast("decimal(38,18)").cast("string"), r"\.?0+$", ""),
         c["num"].cast("string"),
     )
-    value = F.when(c["tag"] == "num", F.when(as_text == "-0", "0").otherwise(as_text)).otherwise(
-        c["str"]
-    )
+    value = F.when(c["tag"] == "num", as_text).otherwise(c["str"])
     return F.when(c["tag"] == "null", F.lit("null")).otherwise(F.concat(c["tag"], F.lit(":"), value))
 
 

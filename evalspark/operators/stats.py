@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evalspark.functions.aggregates import count_where
 from evalspark.operators.validate import DataError
@@ -37,7 +38,7 @@ def two_sided_binomial(k: int, n: int) -> float:
     return min(1.0, 2.0 * math.exp(log_top + math.log(total)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _p_value(b: pd.Series, c: pd.Series) -> pd.Series:
     return pd.Series([two_sided_binomial(int(min(x, y)), int(x + y)) for x, y in zip(b, c)])
 

@@ -12,7 +12,7 @@ import uuid
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from evalspark.functions.screening import screen
@@ -75,13 +75,14 @@ def _run_query(
             # A limit ends in one task of at most max_rows + 1 rows, in the query's order.
             capped = renamed.limit(max_rows + 1).coalesce(1)
         path = f"{rows_path}/query={tag}"
-        capped.select(
+        seen = Observation()
+        capped.observe(seen, F.count(F.lit(1)).alias("n")).select(
             F.lit(row.example_id).alias("example_id"),
             F.lit(row.candidate_index).cast("int").alias("candidate_index"),
             F.monotonically_increasing_id().alias("row_idx"),
             cells(capped, unique).alias("cells"),
         ).write.parquet(path)
-        found = spark.read.schema(ROW_SCHEMA).parquet(path).count()
+        found = seen.get["n"]
         truncated = max_rows is not None and found > max_rows
         count = min(found, max_rows) if max_rows is not None else found
         spent = (time.monotonic() - started) * 1000
@@ -147,6 +148,27 @@ def run_workload(
     return runs, rows if max_rows is None else rows.filter(F.col("row_idx") < max_rows)
 
 
+# Spark's error conditions in the words that ``screening.message_bucket`` looks for.
+_CONDITION_WORDS = {
+    "TABLE_OR_VIEW_NOT_FOUND": "no such table",
+    "UNRESOLVED_COLUMN": "no such column",
+    "AMBIGUOUS_REFERENCE": "ambiguous column",
+    "MISSING_AGGREGATION": "group by",
+    "MISSING_GROUP_BY": "group by",
+    "GROUP_BY_AGGREGATE": "group by",
+}
+
+
+def logged_message() -> Column:
+    """A run's error message, led by the words its error condition stands for."""
+    condition = F.coalesce("error_type", F.lit(""))
+    words = F.coalesce(
+        *[F.when(condition.startswith(c), F.lit(w)) for c, w in _CONDITION_WORDS.items()],
+        F.lit(None).cast("string"),
+    )
+    return F.concat_ws(": ", words, F.when(words.isNull(), F.col("error_message")))
+
+
 def run_summary(runs: DataFrame) -> DataFrame:
     """``outcome, n`` of a workload run."""
     outcome = F.when(F.col("success"), "success").otherwise(F.col("error_type"))

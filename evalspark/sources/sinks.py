@@ -51,7 +51,8 @@ def predictions(records: DataFrame) -> DataFrame:
 def prediction_lines(records: DataFrame) -> DataFrame:
     """One JSON text per prediction, numeric ids without quotes."""
     row = predictions(records)
-    numeric = F.to_json(F.struct(F.col("question_id").cast("bigint"), "db_id", "SQL"))
+    number = F.col("question_id").try_cast("bigint").alias("question_id")
+    numeric = F.to_json(F.struct(number, "db_id", "SQL"))
     return row.select(
         F.when(F.col("is_number"), numeric)
         .otherwise(F.to_json(F.struct("question_id", "db_id", "SQL")))
