@@ -31,12 +31,14 @@ _LOADS = r"\bload_extension\s*\("
 _CTE_HEAD = r"^with\s+(recursive\s+)?\w+\s*(\([^)]*\)\s*)?as\s+((not\s+)?materialized\s+)?\("
 _DANGLING = r"\b(select|from|where|join|on|and|or|by|having|limit|union|all|in)\s*$|,\s*$"
 _TAG_LEFT = r"<\s*/|<\s*(sql|plan)\s*>"
-_TABLE_REF = (
-    r"(?i)\b(?:from|join)\s+((?:[\w.]+|\"[^\"]+\"|`[^`]+`|\[[^\]]+\])"
-    r"(?:(?:\s+as)?\s+(?!join\b|on\b|where\b|group\b|order\b|left\b|inner\b|cross\b)\w+)?"
-    r"(?:\s*,\s*(?:[\w.]+|\"[^\"]+\"|`[^`]+`|\[[^\]]+\])"
-    r"(?:(?:\s+as)?\s+(?!join\b|on\b|where\b|group\b|order\b|left\b|inner\b|cross\b)\w+)?)*)"
+_PART = r"(?:\w+|\"[^\"]+\"|`[^`]+`|\[[^\]]+\])"
+_NAME = rf"{_PART}(?:\s*\.\s*{_PART})*"
+_ALIAS = (
+    r"(?:(?:\s+as)?\s+(?!(?:join|on|using|where|group|order|having|limit|union|left|right|full"
+    r"|inner|cross|natural)\b)\w+)?"
 )
+_ITEM = _NAME + _ALIAS
+_TABLE_REF = rf"(?i)\b(?:from|join)\s+({_ITEM}(?:\s*,\s*{_ITEM})*)"
 
 
 def drop_comments(sql: Column) -> Column:
@@ -147,18 +149,13 @@ def source_tables(sql: Column) -> Column:
     """Distinct names after FROM or JOIN, sorted; empty when there is none."""
     lists = F.regexp_extract_all(blank_literals(F.coalesce(sql, F.lit(""))), F.lit(_TABLE_REF), 1)
     items = F.flatten(F.transform(lists, lambda refs: F.split(refs, r"\s*,\s*")))
+    # Of a qualified name the last part is the table.
+    last = rf"^(?:{_PART}\s*\.\s*)*({_PART})"
     names = F.transform(
         items,
-        lambda ref: F.regexp_replace(
-            F.regexp_extract(F.trim(ref), r'^("[^"]+"|`[^`]+`|\[[^\]]+\]|[\w.]+)', 1),
-            r'["`\[\]]',
-            "",
-        ),
-    )
-    # Of a qualified name the last part is the table.
-    return F.array_sort(
-        F.array_distinct(F.transform(names, lambda n: F.regexp_extract(n, r"([^.]+)$", 1)))
+        lambda ref: F.regexp_replace(F.regexp_extract(F.trim(ref), last, 1), r'["`\[\]]', ""),
     )
+    return F.array_sort(F.array_distinct(names))
 
 
 # The message parts a sanitized error is reduced to, in this order.

@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from evalspark.functions.screening import has_order_by, source_tables
 from evalspark.operators.skew import salted_join
+from evalspark.session import materialize
 
 TOLERANCE = 1e-6
 
@@ -94,12 +95,10 @@ def normalize_cell(c: Column, tolerance: float = TOLERANCE) -> Column:
     digits = _digits(tolerance)
     number = c["str"].try_cast("decimal(38,18)")
     if digits is not None:
-        number = F.bround(number, digits)
+        # Always the same scale, so equal numbers have equal texts.
+        number = F.bround(number, digits).cast(f"decimal(38,{min(digits, 18)})")
     # Beyond 20 integer digits, and for NaN and the infinities, the double itself decides.
-    as_text = F.coalesce(
-        F.regexp_replace(number.cast("decimal(38,18)").cast("string"), r"\.?0+$", ""),
-        c["num"].cast("string"),
-    )
+    as_text = F.coalesce(number.cast("string"), c["num"].cast("string"))
     value = F.when(c["tag"] == "num", as_text).otherwise(c["str"])
     return F.when(c["tag"] == "null", F.lit("null")).otherwise(F.concat(c["tag"], F.lit(":"), value))
 
@@ -128,33 +127,78 @@ def values_equal(a: Column, b: Column, tolerance: float = TOLERANCE) -> Column:
     return F.when(both_null, True).when(numbers, close).otherwise(F.coalesce(same, F.lit(False)))
 
 
+def _compare(candidate_rows: DataFrame, gold_rows: DataFrame, tolerance: float) -> DataFrame:
+    """Per candidate: ``covered``, ``size``, and the first bad place of an ordered one.
+
+    Both sides carry ``ordered``. An unordered row is known by its digest and counted, so
+    equal rows meet as one before anything is shuffled; covered means that each occurs as
+    often in gold. An ordered row is known by its place and keeps its cells.
+    """
+    place = F.encode(F.col("row_idx").cast("string"), "UTF-8")
+    key = F.when(F.col("ordered"), place).otherwise(row_key(F.col("cells"), tolerance))
+
+    def folded(rows: DataFrame, *group: str) -> DataFrame:
+        return rows.groupBy(*group, "ordered", key.alias("_row")).agg(
+            F.count("*").alias("_n"),
+            F.min(F.when(F.col("ordered"), F.col("row_idx"))).alias("_idx"),
+            F.any_value(F.when(F.col("ordered"), F.col("cells"))).alias("_cells"),
+        )
+
+    mine = folded(candidate_rows, "example_id", "candidate_index")
+    gold = folded(gold_rows, "example_id").select(
+        "example_id",
+        "_row",
+        F.col("_n").alias("_gold_n"),
+        F.col("_cells").alias("_gold_cells"),
+    )
+    # The grouping below shuffles anew, so adaptive execution may split a hot key here.
+    joined = mine.join(gold, ["example_id", "_row"], "left")
+    equal = F.zip_with("_cells", "_gold_cells", lambda a, b: values_equal(a, b, tolerance))
+    column = F.when(F.col("_gold_n").isNull(), 1).otherwise(F.array_position(equal, False))
+    found = joined.withColumn("_column", F.when(F.col("ordered"), column))
+    bad = F.when(
+        F.col("_column") > 0, F.struct(F.col("_idx"), (F.col("_column") - 1).alias("col"))
+    )
+    as_often = F.col("_n").eqNullSafe(F.col("_gold_n"))
+    return (
+        found.groupBy("example_id", "candidate_index")
+        .agg(
+            F.bool_and(F.when(F.col("ordered"), F.col("_column") == 0).otherwise(as_often)).alias(
+                "covered"
+            ),
+            F.sum("_n").alias("size"),
+            F.min(bad).alias("_bad"),
+        )
+        .select(
+            "example_id",
+            "candidate_index",
+            "covered",
+            "size",
+            F.col("_bad._idx").alias("bad_row"),
+            F.col("_bad.col").alias("bad_col"),
+        )
+    )
+
+
 def unordered_matches(
     candidate_rows: DataFrame, gold_rows: DataFrame, tolerance: float = TOLERANCE
 ) -> DataFrame:
     """``example_id, candidate_index, rows_match`` by comparing multisets of rows.
 
-    Equal rows are counted before they are shuffled. The multisets agree if every
-    distinct candidate row occurs as often in gold and both have as many distinct rows.
+    A candidate of gold's size whose every row occurs as often in gold is gold's multiset:
+    there is no room for more.
     """
-    key = row_key(F.col("cells"), tolerance).alias("_row")
-    mine = (
-        candidate_rows.groupBy("example_id", "candidate_index", key)
-        .agg(F.count("*").alias("_n"))
-    )
-    gold = gold_rows.groupBy("example_id", key).agg(F.count("*").alias("_gold_n"))
-    joined = salted_join(mine, gold, ["example_id", "_row"], ["candidate_index"], "left")
-    per_candidate = joined.groupBy("example_id", "candidate_index").agg(
-        F.bool_and(F.coalesce(F.col("_n") == F.col("_gold_n"), F.lit(False))).alias("_all"),
-        F.count("*").alias("_distinct"),
+    unordered = F.lit(False)
+    matches = _compare(
+        candidate_rows.withColumn("ordered", unordered),
+        gold_rows.withColumn("ordered", unordered),
+        tolerance,
     )
-    gold_sizes = gold.groupBy("example_id").agg(F.count("*").alias("_gold_distinct"))
-    return salted_join(
-        per_candidate, gold_sizes, ["example_id"], ["candidate_index"], "left"
-    ).select(
+    sizes = gold_rows.groupBy("example_id").agg(F.count("*").alias("_gold_size"))
+    return matches.join(sizes, "example_id", "left").select(
         "example_id",
         "candidate_index",
-        (F.col("_all") & F.coalesce(F.col("_distinct") == F.col("_gold_distinct"), F.lit(False)))
-        .alias("rows_match"),
+        (F.col("covered") & F.col("size").eqNullSafe(F.col("_gold_size"))).alias("rows_match"),
     )
 
 
@@ -165,23 +209,12 @@ def ordered_mismatches(
 
     Row counts must agree already; a row without counterpart differs at column 0.
     """
-    gold = gold_rows.select("example_id", "row_idx", F.col("cells").alias("_gold"))
-    joined = salted_join(
-        candidate_rows, gold, ["example_id", "row_idx"], ["candidate_index"], "left"
-    )
-    same = F.zip_with("cells", "_gold", lambda a, b: values_equal(a, b, tolerance))
-    place = F.when(F.col("_gold").isNull(), F.lit(1)).otherwise(F.array_position(same, False))
-    bad = F.when(place > 0, F.struct("row_idx", (place - 1).alias("col")))
-    return (
-        joined.groupBy("example_id", "candidate_index")
-        .agg(F.min(bad).alias("_bad"))
-        .select(
-            "example_id",
-            "candidate_index",
-            F.col("_bad.row_idx").alias("bad_row"),
-            F.col("_bad.col").alias("bad_col"),
-        )
-    )
+    ordered = F.lit(True)
+    return _compare(
+        candidate_rows.withColumn("ordered", ordered),
+        gold_rows.withColumn("ordered", ordered),
+        tolerance,
+    ).select("example_id", "candidate_index", "bad_row", "bad_col")
 
 
 def _empty_problems(candidate_sql: Column, tables: Column, gold: Column, known: Column) -> Column:
@@ -229,7 +262,7 @@ def verdicts(
         order_rule(F.col("sql")).alias("ordered"),
         source_tables(F.col("sql")).alias("gold_tables"),
     )
-    runs = salted_join(candidate_runs, gold, ["example_id"], ["candidate_index"]).withColumn(
+    gated = candidate_runs.join(gold, "example_id").withColumn(
         "gate",
         F.when(~F.col("gold_success"), "gold_failed")
         .when(~F.col("success"), "candidate_failed")
@@ -240,42 +273,20 @@ def verdicts(
         .when(F.col("ordered"), "ordered")
         .otherwise("unordered"),
     )
+    # One line per run, needed in three places below.
+    runs = materialize(gated, "gated-runs")
+    keys = ["example_id", "candidate_index"]
     # Only results that pass the gates have their rows compared, each in one way.
     pending = runs.filter(F.col("gate").isin("ordered", "unordered")).select(
-        "example_id", "candidate_index", "gate"
-    )
-    routed = salted_join(
-        candidate_rows, pending, ["example_id", "candidate_index"], ["row_idx"]
+        *keys, "ordered", "row_count"
     )
-    modes = gold.select("example_id", "ordered")
-    gold_routed = salted_join(gold_rows, modes, ["example_id"], ["row_idx"])
-    bags = unordered_matches(
-        routed.filter("gate = 'unordered'").drop("gate"),
-        gold_routed.filter(~F.col("ordered")).drop("ordered"),
+    modes = gold.select("example_id", "ordered", "gold_row_count")
+    compared = _compare(
+        salted_join(candidate_rows, pending, keys, ["row_idx"], size="row_count"),
+        salted_join(gold_rows, modes, ["example_id"], ["row_idx"], size="gold_row_count"),
         tolerance,
-    )
-    lists = ordered_mismatches(
-        routed.filter("gate = 'ordered'").drop("gate"),
-        gold_routed.filter("ordered").drop("ordered"),
-        tolerance,
-    )
-    compared = bags.select(
-        "example_id",
-        "candidate_index",
-        "rows_match",
-        F.lit(None).cast("bigint").alias("bad_row"),
-        F.lit(None).cast("bigint").alias("bad_col"),
-    ).unionAll(
-        lists.select(
-            "example_id",
-            "candidate_index",
-            F.col("bad_row").isNull().alias("rows_match"),
-            "bad_row",
-            "bad_col",
-        )
-    )
-    keys = ["example_id", "candidate_index"]
-    judged = runs.join(compared, keys, "left")
+    ).withColumnRenamed("covered", "rows_match")
+    judged = runs.join(compared.drop("size"), keys, "left")
     problems = _empty_problems(
         F.col("sql"), source_tables(F.col("sql")), F.col("gold_tables"), F.col("schema_tables")
     )

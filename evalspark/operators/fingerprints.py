@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from evalspark.functions.identity import fingerprint_number, sha256
 from evalspark.operators.ranking import BUCKET_DIGITS
-from evalspark.operators.skew import salted_join
 from evalspark.operators.validate import DataError
 
 _PRIME = 1_000_000_007
@@ -101,7 +100,7 @@ def id_migration(
             for name in ("eng", "fv", "train")
         ]
     )
-    return salted_join(rows.select(order, "signature"), old, ["signature"], [order], "left").select(
+    return rows.select(order, "signature").join(old, "signature", "left").select(
         order,
         "signature",
         F.concat(F.lit(prefix + "-"), "signature").alias("stable_id"),

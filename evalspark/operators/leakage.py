@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from evalspark.functions.aggregates import count_where
 from evalspark.functions.text import normalize_question, normalize_sql, strip
 from evalspark.operators.skew import salted_join
+from evalspark.session import materialize
 
 MIN_LEAK_LENGTH = 6  # fixed value: shorter result strings are too common to count
 
@@ -38,41 +39,42 @@ def _pairs(splits: str) -> Column:
     )
 
 
-def _shared_keys(keyed: DataFrame, key: str) -> DataFrame:
+def _shared_keys(keyed: DataFrame, *key: str) -> DataFrame:
+    """Keys found in more than one split, with those splits and the key's row count."""
     return (
-        keyed.groupBy(key)
-        .agg(F.collect_set("split").alias("splits"))
+        keyed.groupBy(*key)
+        .agg(F.collect_set("split").alias("splits"), F.count("*").alias("n"))
         .filter(F.size("splits") > 1)
     )
 
 
 def id_overlap(examples: DataFrame) -> DataFrame:
     """``left_split, right_split, example_id`` for ids found in more than one split."""
-    shared = _shared_keys(examples, "example_id")
+    shared = _shared_keys(examples.select("example_id", "split"), "example_id")
     return shared.select("example_id", F.inline(_pairs("splits")))
 
 
-def key_overlap(examples: DataFrame, key: Column) -> DataFrame:
-    """One row per left row and later split that holds the row's key too."""
-    keyed = examples.select("example_id", "split", digest(key).alias("_key"))
-    shared = _shared_keys(keyed, "_key")
-    return (
-        salted_join(keyed, shared, ["_key"], ["example_id"])
-        .select(
-            "example_id",
-            F.col("split").alias("left_split"),
-            F.explode(F.expr("filter(splits, s -> s > split)")).alias("right_split"),
-        )
-    )
-
-
 def question_overlap(examples: DataFrame) -> DataFrame:
-    """Exact and normalized overlaps; an exact one is reported under both rules."""
+    """One row per left row, rule and later split that holds the row's question too.
+
+    An exact overlap is reported under both rules. The digests are written down once, so
+    the texts are read and normalized a single time.
+    """
     question = F.col("question")
-    exact = key_overlap(examples, question).withColumn("rule", F.lit("question_overlap_exact"))
-    normalized = key_overlap(examples, normalize_question(question))
-    return exact.unionByName(
-        normalized.withColumn("rule", F.lit("question_overlap_normalized"))
+    rules = {
+        "question_overlap_exact": question,
+        "question_overlap_normalized": normalize_question(question),
+    }
+    table = F.array(
+        *[F.struct(F.lit(r).alias("rule"), digest(k).alias("_key")) for r, k in rules.items()]
+    )
+    keyed = materialize(examples.select("example_id", "split", F.inline(table)), "overlap-keys")
+    shared = _shared_keys(keyed, "rule", "_key")
+    return salted_join(keyed, shared, ["rule", "_key"], ["example_id"], size="n").select(
+        "example_id",
+        F.col("split").alias("left_split"),
+        F.explode(F.expr("filter(splits, s -> s > split)")).alias("right_split"),
+        "rule",
     )
 
 
@@ -102,9 +104,7 @@ def result_leakage(prompts: DataFrame, result_strings: DataFrame) -> DataFrame:
         .groupBy("example_id", "value")
         .agg(F.count("*").alias("occurrences"))
     )
-    joined = salted_join(
-        values, prompts.select("example_id", "prompt"), ["example_id"], ["value"]
-    )
+    joined = values.join(prompts.select("example_id", "prompt"), "example_id")
     return joined.filter(F.col("prompt").contains(F.col("value"))).drop("prompt")
 
 
@@ -198,7 +198,7 @@ def duplicate_detail(examples: DataFrame, order: str) -> DataFrame:
         )
         .filter("_n > 1")
     )
-    joined = salted_join(rows, firsts, ["_key"], [order])
+    joined = salted_join(rows, firsts, ["_key"], [order], size="_n")
     return joined.filter(F.col(order) > F.col(f"first.{order}")).select(
         "db_id",
         F.col("first.example_id").alias("first_id"),

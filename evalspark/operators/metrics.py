@@ -9,7 +9,6 @@ from evalspark.functions.aggregates import count_where, rate
 from evalspark.functions.completions import sql_block_count
 from evalspark.functions.prompts import failure_reason
 from evalspark.operators.signal import STD_FLOOR
-from evalspark.operators.skew import salted_join
 
 
 def _ratio(part: Column, whole: Column, digits: int = 4) -> Column:
@@ -155,9 +154,7 @@ def duplicate_retries(candidates: DataFrame) -> DataFrame:
         .groupBy("example_id", "candidate_sql")
         .agg(F.count("*").alias("n"))
     )
-    same = salted_join(retries, first, ["example_id"], ["candidate_sql"]).filter(
-        "candidate_sql = first_sql"
-    )
+    same = retries.join(first, "example_id").filter("candidate_sql = first_sql")
     return same.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("duplicate_retry_count"))
 
 

@@ -50,23 +50,23 @@ def value_bucket(value: Column) -> Column:
     return F.when(value < 0, -size - 1).otherwise(size).cast("int")
 
 
-def order_statistics(values: DataFrame, group: list[str], value: str, picks: DataFrame) -> DataFrame:
-    """The values at given 0-based ranks of each group.
-
-    ``picks`` has the group columns, ``name`` and ``rank``, and is small (one row per
-    statistic). Values are counted first, so ties collapse on the map side; a histogram
-    of buckets then finds the bucket each rank falls in, and only those buckets are
-    ranked value by value.
-    """
-    if not group:
-        values, picks = values.withColumn("_all", F.lit(0)), picks.withColumn("_all", F.lit(0))
-        return order_statistics(values, ["_all"], value, picks).drop("_all")
-    counted = (
+def count_values(values: DataFrame, group: list[str], value: str) -> DataFrame:
+    """Each group's distinct values and how often they occur; ties collapse early."""
+    return (
         values.filter(F.col(value).isNotNull())
         .groupBy(*group, F.col(value).alias("_v"))
         .agg(F.count("*").alias("_n"))
         .withColumn("_bucket", value_bucket(F.col("_v")))
     )
+
+
+def order_statistics(counted: DataFrame, group: list[str], picks: DataFrame) -> DataFrame:
+    """The values at given 0-based ranks of each group: ``name, rank, value``.
+
+    ``counted`` comes from ``count_values``. ``picks`` has the group columns, ``name`` and
+    ``rank``: a few rows per group. A histogram of buckets finds the bucket each rank
+    falls in, and only those buckets are ranked value by value.
+    """
     upto = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
     histogram = (
         counted.groupBy(*group, "_bucket")
@@ -75,16 +75,16 @@ def order_statistics(values: DataFrame, group: list[str], value: str, picks: Dat
         .withColumn("_start", F.col("_end") - F.col("_n"))
         .drop("_n")
     )
-    wanted = histogram.join(F.broadcast(picks), group).filter("rank >= _start and rank < _end")
+    wanted = histogram.join(picks, group).filter("rank >= _start and rank < _end")
     within = (
         Window.partitionBy(*group, "_bucket").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     )
     touched = wanted.select(*group, "_bucket").distinct()
-    located = counted.join(F.broadcast(touched), [*group, "_bucket"]).withColumn(
+    located = counted.join(touched, [*group, "_bucket"]).withColumn(
         "_last", F.sum("_n").over(within)
     )
     return (
-        located.join(F.broadcast(wanted), [*group, "_bucket"])
+        located.join(wanted, [*group, "_bucket"])
         .filter(
             (F.col("rank") - F.col("_start") < F.col("_last"))
             & (F.col("rank") - F.col("_start") >= F.col("_last") - F.col("_n"))
@@ -93,8 +93,9 @@ def order_statistics(values: DataFrame, group: list[str], value: str, picks: Dat
     )
 
 
-def _picks(values: DataFrame, group: list[str], value: str, fractions: dict[str, float]) -> DataFrame:
-    sizes = values.groupBy(*group).agg(F.count(value).alias("n")).filter("n > 0")
+def _places(counted: DataFrame, group: list[str], fractions: dict[str, float]) -> DataFrame:
+    """Per group and fraction the place ``p * (n - 1)`` among its ``n`` values."""
+    sizes = counted.groupBy(*group).agg(F.sum("_n").alias("n"))
     table = F.array(
         *[F.struct(F.lit(k).alias("name"), F.lit(f).alias("p")) for k, f in fractions.items()]
     )
@@ -103,23 +104,30 @@ def _picks(values: DataFrame, group: list[str], value: str, fractions: dict[str,
     )
 
 
+def _grouped(values: DataFrame, group: list[str]) -> tuple[DataFrame, list[str]]:
+    return (values, group) if group else (values.withColumn("_all", F.lit(0)), ["_all"])
+
+
 def percentiles_linear(
     values: DataFrame, group: list[str], value: str, fractions: dict[str, float]
 ) -> DataFrame:
     """Percentiles interpolated between the two closest ranks: ``group, name, value``."""
-    places = _picks(values, group, value, fractions)
+    values, keys = _grouped(values, group)
+    counted = count_values(values, keys, value)
+    places = _places(counted, keys, fractions)
     low = F.floor("place").cast("bigint")
     ranks = F.array_distinct(F.array(low, F.least(low + 1, F.col("n") - 1)))
-    picks = places.select(*group, "name", F.explode(ranks).alias("rank"))
-    found = order_statistics(values, group, value, picks)
-    ends = found.groupBy(*group, "name").agg(
+    share = (F.col("place") - F.floor("place")).alias("share")
+    picks = places.select(
+        *keys, F.struct("name", share).alias("name"), F.explode(ranks).alias("rank")
+    )
+    ends = order_statistics(counted, keys, picks).groupBy(*keys, "name").agg(
         F.min("value").alias("_low"), F.max("value").alias("_high")
     )
-    share = F.col("place") - F.floor("place")
-    return ends.join(F.broadcast(places), [*group, "name"]).select(
+    return ends.select(
         *group,
-        "name",
-        (F.col("_low") + (F.col("_high") - F.col("_low")) * share).alias("value"),
+        F.col("name.name").alias("name"),
+        (F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("name.share")).alias("value"),
     )
 
 
@@ -127,7 +135,9 @@ def percentiles_nearest(
     values: DataFrame, group: list[str], value: str, fractions: dict[str, float]
 ) -> DataFrame:
     """Percentiles at the closest rank, halves to the even one: ``group, name, value``."""
-    picks = _picks(values, group, value, fractions).select(
-        *group, "name", F.bround("place").cast("bigint").alias("rank")
+    values, keys = _grouped(values, group)
+    counted = count_values(values, keys, value)
+    picks = _places(counted, keys, fractions).select(
+        *keys, "name", F.bround("place").cast("bigint").alias("rank")
     )
-    return order_statistics(values, group, value, picks).select(*group, "name", "value")
+    return order_statistics(counted, keys, picks).select(*group, "name", "value")

@@ -12,7 +12,6 @@ from evalspark.functions.prompts import SCHEMA_PLACEHOLDER, build_prompt, target
 from evalspark.functions.text import SPACE_CLASS
 from evalspark.operators.ranking import percentiles_nearest
 from evalspark.operators.sampling import first_n
-from evalspark.operators.skew import salted_join
 from evalspark.operators.validate import (
     apply_split_policy,
     assert_calibration_splits,
@@ -226,6 +225,4 @@ def with_previous_attempt(candidates: DataFrame) -> DataFrame:
             "execution_error_message_sanitized", "execution_error_type",
         ).alias("previous"),
     )
-    return salted_join(
-        candidates, previous, ["example_id", "candidate_index"], ["candidate_index"], "left"
-    )
+    return candidates.join(previous, ["example_id", "candidate_index"], "left")

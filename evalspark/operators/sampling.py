@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from evalspark.functions.text import strip
 from evalspark.operators.leakage import digest
 from evalspark.operators.ranking import hash_rank
-from evalspark.operators.skew import salted_join
 from evalspark.operators.validate import DataError
 
 
@@ -125,7 +124,7 @@ def identity_key() -> Column:
 
 
 def split_by_identity(
-    rows: DataFrame, engineering: DataFrame, formal: DataFrame, order: str
+    rows: DataFrame, engineering: DataFrame, formal: DataFrame
 ) -> DataFrame:
     """Three-way split: the rows of two frozen selections, and training for the rest."""
     selections = (
@@ -135,16 +134,16 @@ def split_by_identity(
         .agg(F.max("_role").alias("_role"))  # engineering wins
     )
     keyed = rows.withColumn("_key", identity_key())
-    joined = salted_join(keyed, selections, ["_key"], [order], "left")
+    joined = keyed.join(selections, "_key", "left")
     return joined.withColumn("split", F.coalesce("_role", F.lit("train"))).drop("_key", "_role")
 
 
-def adapt_source(raw: DataFrame, schemas: DataFrame, order: str) -> DataFrame:
+def adapt_source(raw: DataFrame, schemas: DataFrame) -> DataFrame:
     """Raw records beside their schema text, with the reason why a row is skipped.
 
     ``gold_ok`` tells whether the row's gold SQL ran.
     """
-    joined = salted_join(raw, schemas, ["db_id"], [order], "left")
+    joined = raw.join(schemas, "db_id", "left")
     empty = F.lit("")
     unusable = (
         (F.coalesce("schema_text", empty) == "")

@@ -1,4 +1,9 @@
-"""Joins on keys of which a few may hold a large part of all rows."""
+"""Joins on keys of which a few may hold a large part of all rows.
+
+Adaptive execution splits skewed join partitions by itself, so most joins here are plain.
+It does not where the next step builds on the join's partitioning, for then a split would
+cost another shuffle; those joins are salted.
+"""
 
 from __future__ import annotations
 
@@ -17,22 +22,23 @@ def salted_join(
     keys: list[str],
     salt_by: list[str],
     how: str = "inner",
+    size: str | None = None,
     hot_rows: int = HOT_ROWS,
     salts: int = SALTS,
 ) -> DataFrame:
     """Join ``rows`` to ``keyed``, spreading the rows of hot keys over ``salts`` tasks.
 
-    ``salt_by`` are columns of ``rows`` that differ between the rows of one key. Rows of
-    ``keyed`` with a hot key are copied once per salt; all others stay single. Two keys
-    with one hash are both treated as hot, which does not change the result.
+    ``salt_by`` are columns of ``rows`` that differ between the rows of one key. ``size``
+    names the column of ``keyed`` that tells how many rows a key has; without it they are
+    counted first. Rows of ``keyed`` with a hot key are copied once per salt, all others
+    stay single. Two keys with one hash are both treated as hot, which changes no result.
     """
     hashed = F.xxhash64(*keys)
-    hot = (
-        rows.groupBy(hashed.alias("_h"))
-        .agg(F.count("*").alias("_n"))
-        .filter(F.col("_n") > hot_rows)
-        .select("_h", F.lit(True).alias("_hot"))
-    )
+    if size is None:
+        sizes = rows.groupBy(hashed.alias("_h")).agg(F.count("*").alias("_n"))
+    else:
+        sizes = keyed.select(hashed.alias("_h"), F.col(size).alias("_n"))
+    hot = sizes.filter(F.col("_n") > hot_rows).select("_h", F.lit(True).alias("_hot")).distinct()
     hot = F.broadcast(hot)
     spread = F.pmod(F.xxhash64(*salt_by), F.lit(salts)).cast("int")
     left = (

@@ -91,7 +91,7 @@ SQL = {
     # One logged execution per event.
     "executions": """
         SELECT event_id AS ord, 'ev-' || event_id AS example_id, 'db-' || user_id AS db_id,
-          value * 301.7 AS duration_ms, event_type <> 'error' AS success,
+          value * 301.7137 AS duration_ms, event_type <> 'error' AS success,
           event_type = 'error' AND k < 20 AS timed_out,
           CASE WHEN event_type <> 'error' THEN 'none' WHEN k < 20 THEN 'timeout'
             WHEN k < 50 THEN 'sqlite_error' WHEN k < 70 THEN 'unsafe_sql'

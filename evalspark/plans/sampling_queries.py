@@ -86,7 +86,7 @@ def identity_split(t: Tables):
     """Three-way split by content: all copies of a selected row go with it."""
     lines = t.adapted("lines")
     split = sampling.split_by_identity(
-        lines, lines.filter("split = 'dev'"), lines.filter("split = 'test'"), "ord"
+        lines, lines.filter("split = 'dev'"), lines.filter("split = 'test'")
     )
     return split.select("example_id", "split")
 
@@ -142,7 +142,7 @@ def _adapted_source(t: Tables):
             "gold_ok": F.col("ord") % 7 != 2,
         }
     )
-    return sampling.adapt_source(raw, schemas, "ord")
+    return sampling.adapt_source(raw, schemas)
 
 
 @query(

@@ -13,7 +13,7 @@ from evalspark.sources.schemas import DB_ID_SHAPE
 
 
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
-    documents = spark.read.option("wholetext", True).text(path)
+    documents = spark.read.text(path, wholetext=True)
     return parse_registry(documents.withColumnRenamed("value", "document"))
 
 

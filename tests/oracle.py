@@ -19,10 +19,6 @@ def connect(folder: str):
 def _value(v):
     if isinstance(v, float):
         return "nan" if math.isnan(v) else round(v, 6) + 0.0
-    if isinstance(v, bool):
-        return v
-    if isinstance(v, int):
-        return float(v) if False else v
     return v
 
 
