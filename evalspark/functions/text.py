@@ -14,10 +14,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# The code points Python counts as white space.
-SPACE_CLASS = (
-    r"\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-)
+# What Python counts as white space: Unicode's white space and four separators.
+_SPACE = r"\s\x1C-\x1F"
+SPACE_RUN = rf"(?U)[{_SPACE}]+"
+WORD_RUN = rf"(?U)[^{_SPACE}]+"
+SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 # ASCII plus the Latin-1 letters whose NFKC form is the character itself.
 _PLAIN_TEXT = r"^[\x00-\x7F\xC0-\xD6\xD8-\xF6\xF8-\xFF]*$"
 
@@ -49,11 +50,12 @@ def casefold(text: Column) -> Column:
 
 def collapse_spaces(text: Column) -> Column:
     """Every run of white space becomes one blank; none is left at either end."""
-    return F.trim(F.regexp_replace(text, f"[{SPACE_CLASS}]+", " "))
+    return F.trim(F.regexp_replace(text, SPACE_RUN, " "))
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^[{SPACE_CLASS}]+|[{SPACE_CLASS}]+$", "")
+    """Without white space at either end; looks at the ends only."""
+    return F.btrim(text, F.lit(SPACES))
 
 
 def normalize_question(text: Column) -> Column:

@@ -107,7 +107,8 @@ def row_key(row: Column, tolerance: float = TOLERANCE) -> Column:
     """Digest of a normalized row. Lengths keep the cells' texts apart."""
     parts = F.transform(row, lambda c: normalize_cell(c, tolerance))
     framed = F.transform(parts, lambda p: F.concat(F.length(p).cast("string"), F.lit(":"), p))
-    return F.unhex(F.sha2(F.array_join(framed, ""), 256))
+    # Never null, and declared so: a null check in a join would compute it twice.
+    return F.coalesce(F.unhex(F.sha2(F.array_join(framed, ""), 256)), F.lit(b""))
 
 
 def values_equal(a: Column, b: Column, tolerance: float = TOLERANCE) -> Column:
@@ -127,6 +128,9 @@ def values_equal(a: Column, b: Column, tolerance: float = TOLERANCE) -> Column:
     return F.when(both_null, True).when(numbers, close).otherwise(F.coalesce(same, F.lit(False)))
 
 
+_COLUMN_BITS = 16
+
+
 def _compare(candidate_rows: DataFrame, gold_rows: DataFrame, tolerance: float) -> DataFrame:
     """Per candidate: ``covered``, ``size``, and the first bad place of an ordered one.
 
@@ -134,15 +138,20 @@ def _compare(candidate_rows: DataFrame, gold_rows: DataFrame, tolerance: float)
     equal rows meet as one before anything is shuffled; covered means that each occurs as
     often in gold. An ordered row is known by its place and keeps its cells.
     """
+
+    ordered = F.col("ordered")
     place = F.encode(F.col("row_idx").cast("string"), "UTF-8")
-    key = F.when(F.col("ordered"), place).otherwise(row_key(F.col("cells"), tolerance))
+    key = F.when(ordered, place).otherwise(row_key(F.col("cells"), tolerance))
 
     def folded(rows: DataFrame, *group: str) -> DataFrame:
-        return rows.groupBy(*group, "ordered", key.alias("_row")).agg(
-            F.count("*").alias("_n"),
-            F.min(F.when(F.col("ordered"), F.col("row_idx"))).alias("_idx"),
-            F.any_value(F.when(F.col("ordered"), F.col("cells"))).alias("_cells"),
-        )
+        # What an ordered row keeps is part of its key, so the only aggregate is a count,
+        # which hash aggregation updates in place.
+        return rows.groupBy(
+            *group,
+            F.coalesce(key, F.lit(b"")).alias("_row"),
+            F.when(ordered, F.col("row_idx").cast("bigint")).alias("_idx"),
+            F.when(ordered, F.col("cells")).alias("_cells"),
+        ).agg(F.count("*").alias("_n"))
 
     mine = folded(candidate_rows, "example_id", "candidate_index")
     gold = folded(gold_rows, "example_id").select(
@@ -154,18 +163,17 @@ def _compare(candidate_rows: DataFrame, gold_rows: DataFrame, tolerance: float)
     # The grouping below shuffles anew, so adaptive execution may split a hot key here.
     joined = mine.join(gold, ["example_id", "_row"], "left")
     equal = F.zip_with("_cells", "_gold_cells", lambda a, b: values_equal(a, b, tolerance))
+    listed = F.col("_idx").isNotNull()
     column = F.when(F.col("_gold_n").isNull(), 1).otherwise(F.array_position(equal, False))
-    found = joined.withColumn("_column", F.when(F.col("ordered"), column))
+    found = joined.withColumn("_column", F.when(listed, column))
     bad = F.when(
-        F.col("_column") > 0, F.struct(F.col("_idx"), (F.col("_column") - 1).alias("col"))
+        F.col("_column") > 0, F.col("_idx") * 2**_COLUMN_BITS + F.col("_column") - 1
     )
     as_often = F.col("_n").eqNullSafe(F.col("_gold_n"))
     return (
         found.groupBy("example_id", "candidate_index")
         .agg(
-            F.bool_and(F.when(F.col("ordered"), F.col("_column") == 0).otherwise(as_often)).alias(
-                "covered"
-            ),
+            F.bool_and(F.when(listed, F.col("_column") == 0).otherwise(as_often)).alias("covered"),
             F.sum("_n").alias("size"),
             F.min(bad).alias("_bad"),
         )
@@ -174,8 +182,8 @@ def _compare(candidate_rows: DataFrame, gold_rows: DataFrame, tolerance: float)
             "candidate_index",
             "covered",
             "size",
-            F.col("_bad._idx").alias("bad_row"),
-            F.col("_bad.col").alias("bad_col"),
+            F.shiftright("_bad", _COLUMN_BITS).alias("bad_row"),
+            F.pmod("_bad", F.lit(2**_COLUMN_BITS)).cast("bigint").alias("bad_col"),
         )
     )
 

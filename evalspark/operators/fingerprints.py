@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalspark.functions.identity import fingerprint_number, sha256
-from evalspark.operators.ranking import BUCKET_DIGITS
 from evalspark.operators.validate import DataError
 
 _PRIME = 1_000_000_007
 LISTED_IDS = 1_000_000
+LEAF_DIGITS = 4  # 16**4 leaves, so that a leaf of 10**11 ids still fits a task
 
 
 def set_fingerprint(df: DataFrame, key: str, group: list[str] | None = None) -> DataFrame:
@@ -38,7 +38,7 @@ def set_tree_hash(df: DataFrame, key: str, group: list[str] | None = None) -> Da
     Buckets are cut by hash, so none holds more than its even share of the distinct keys.
     """
     group = group or []
-    bucket = F.substring(F.md5(key), 1, BUCKET_DIGITS)
+    bucket = F.substring(F.md5(key), 1, LEAF_DIGITS)
     leaves = (
         df.select(*group, key)
         .distinct()

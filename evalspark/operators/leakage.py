@@ -16,17 +16,38 @@ from evalspark.functions.aggregates import count_where
 from evalspark.functions.text import normalize_question, normalize_sql, strip
 from evalspark.operators.skew import salted_join
 from evalspark.session import materialize
+from evalspark.sources.schemas import SPLITS
 
 MIN_LEAK_LENGTH = 6  # fixed value: shorter result strings are too common to count
 
 
 def digest(*columns: Column) -> Column:
-    """Digest of a tuple; lengths keep ('a', 'bc') and ('ab', 'c') apart."""
+    """Digest of a tuple; lengths keep ('a', 'bc') and ('ab', 'c') apart.
+
+    Declared never null, as it is, so that a join on it adds no null check, which would
+    compute the digest a second time.
+    """
     parts = [F.coalesce(F.concat(F.length(c), F.lit(":"), c), F.lit("-")) for c in columns]
-    return F.unhex(F.sha2(F.concat(*parts), 256))
+    return F.coalesce(F.unhex(F.sha2(F.concat(*parts), 256)), F.lit(b""))
+
+
+def _known_splits() -> Column:
+    return F.array(*[F.lit(s) for s in SPLITS])
+
+
+def _split_bit() -> Column:
+    """The split as one bit, so that a key's splits are a number and not a list."""
+    place = F.array_position(_known_splits(), F.col("split")).cast("int")
+    unknown = F.raise_error(F.concat(F.lit("unknown split "), "split")).cast("bigint")
+    bits = F.element_at(F.array(*[F.lit(2**i).cast("bigint") for i in range(len(SPLITS))]), place)
+    return F.when(place > 0, bits).otherwise(unknown)
 
 
-def _pairs(splits: str) -> Column:
+def _split_names(bits: str) -> Column:
+    return F.filter(_known_splits(), lambda _, i: F.getbit(F.col(bits), i) == 1)
+
+
+def _pairs(splits: Column) -> Column:
     """All (left, right) with left before right, of an array of distinct splits."""
     return F.flatten(
         F.transform(
@@ -43,15 +64,16 @@ def _shared_keys(keyed: DataFrame, *key: str) -> DataFrame:
     """Keys found in more than one split, with those splits and the key's row count."""
     return (
         keyed.groupBy(*key)
-        .agg(F.collect_set("split").alias("splits"), F.count("*").alias("n"))
-        .filter(F.size("splits") > 1)
+        .agg(F.bit_or(_split_bit()).alias("bits"), F.count("*").alias("n"))
+        .filter(F.bit_count("bits") > 1)
+        .select(*key, "n", _split_names("bits").alias("splits"))
     )
 
 
 def id_overlap(examples: DataFrame) -> DataFrame:
     """``left_split, right_split, example_id`` for ids found in more than one split."""
     shared = _shared_keys(examples.select("example_id", "split"), "example_id")
-    return shared.select("example_id", F.inline(_pairs("splits")))
+    return shared.select("example_id", F.inline(_pairs(F.col("splits"))))
 
 
 def question_overlap(examples: DataFrame) -> DataFrame:
@@ -169,7 +191,7 @@ def content_overlap_pairs(examples: DataFrame) -> DataFrame:
     """Per pair of splits, the distinct (database, question) keys they share."""
     shared = _shared_keys(examples.select("split", content_key().alias("_key")), "_key")
     return (
-        shared.select(F.inline(_pairs("splits")))
+        shared.select(F.inline(_pairs(F.col("splits"))))
         .groupBy("left_split", "right_split")
         .agg(F.count("*").alias("overlap"))
     )
@@ -186,27 +208,36 @@ def duplicate_counts(examples: DataFrame) -> DataFrame:
 
 
 def duplicate_detail(examples: DataFrame, order: str) -> DataFrame:
-    """Each later row of a key beside the key's first row, and whether they agree."""
+    """Each later row of a key beside the key's first row, and whether they agree.
+
+    ``order`` is a numeric source index. Keys that occur once drop out before any row
+    meets another.
+    """
     rows = examples.select(
         order, "example_id", "db_id", "gold_sql", "evidence", content_key().alias("_key")
     )
-    firsts = (
+    repeated = (
         rows.groupBy("_key")
-        .agg(
-            F.count("*").alias("_n"),
-            F.min_by(F.struct(order, "example_id", "gold_sql", "evidence"), order).alias("first"),
-        )
+        .agg(F.count("*").alias("_n"), F.min(order).alias("_first"))
         .filter("_n > 1")
     )
-    joined = salted_join(rows, firsts, ["_key"], [order], size="_n")
-    return joined.filter(F.col(order) > F.col(f"first.{order}")).select(
+    copies = salted_join(rows, repeated, ["_key"], [order], size="_n")
+    firsts = copies.filter(F.col(order) == F.col("_first")).select(
+        "_key",
+        F.col("_n").alias("_copies"),
+        F.col("example_id").alias("first_id"),
+        F.col("gold_sql").alias("first_sql"),
+        F.col("evidence").alias("first_evidence"),
+    )
+    later = copies.filter(F.col(order) > F.col("_first")).drop("_n", "_first")
+    return salted_join(later, firsts, ["_key"], [order], size="_copies").select(
         "db_id",
-        F.col("first.example_id").alias("first_id"),
+        "first_id",
         F.col("example_id").alias("later_id"),
-        F.col("first.gold_sql").alias("first_sql"),
+        "first_sql",
         F.col("gold_sql").alias("later_sql"),
-        (F.col("first.gold_sql") == F.col("gold_sql")).alias("same_sql"),
-        (F.col("first.evidence") == F.col("evidence")).alias("same_evidence"),
+        (F.col("first_sql") == F.col("gold_sql")).alias("same_sql"),
+        (F.col("first_evidence") == F.col("evidence")).alias("same_evidence"),
     )
 
 
@@ -228,13 +259,14 @@ def exposure(exposed: DataFrame, evaluated: DataFrame) -> DataFrame:
 def split_proof(examples: DataFrame) -> DataFrame:
     """Sizes that prove the splits partition the ids: ``metric, value``."""
     per_id = examples.groupBy("example_id").agg(
-        F.collect_set("split").alias("splits"), F.count("*").alias("n")
+        F.bit_or(_split_bit()).alias("bits"), F.count("*").alias("n")
     )
+    per_id = per_id.withColumn("splits", _split_names("bits"))
     sizes = per_id.select(F.explode("splits").alias("split")).groupBy("split").agg(
         F.count("*").alias("value")
     )
     pairs = (
-        per_id.select(F.inline(_pairs("splits")))
+        per_id.select(F.inline(_pairs(F.col("splits"))))
         .groupBy("left_split", "right_split")
         .agg(F.count("*").alias("value"))
     )

@@ -9,6 +9,7 @@ from evalspark.functions.identity import order_hash
 
 BUCKET_DIGITS = 3  # 16**3 buckets per group
 STEPS_PER_OCTAVE = 256
+SLICES = 4096
 
 
 def hash_rank(
@@ -60,36 +61,52 @@ def count_values(values: DataFrame, group: list[str], value: str) -> DataFrame:
     )
 
 
+def _find(counted: DataFrame, keys: list[str], cell: str, picks: DataFrame) -> DataFrame:
+    """The cell each pick's rank falls in, with the rank within it and the cell's range.
+
+    The window runs over a histogram, one row per cell, never over the values.
+    """
+    upto = Window.partitionBy(*keys).orderBy(cell).rowsBetween(Window.unboundedPreceding, 0)
+    histogram = counted.groupBy(*keys, cell).agg(
+        F.sum("_n").alias("_size"), F.min("_v").alias("_low"), F.max("_v").alias("_high")
+    )
+    ends = histogram.withColumn("_end", F.sum("_size").over(upto))
+    start = F.col("_end") - F.col("_size")
+    return (
+        ends.join(picks, keys)
+        .filter((F.col("place") >= start) & (F.col("place") < F.col("_end")))
+        .select(*keys, cell, "name", "rank", (F.col("place") - start).alias("place"), "_low", "_high")
+    )
+
+
 def order_statistics(counted: DataFrame, group: list[str], picks: DataFrame) -> DataFrame:
     """The values at given 0-based ranks of each group: ``name, rank, value``.
 
     ``counted`` comes from ``count_values``. ``picks`` has the group columns, ``name`` and
-    ``rank``: a few rows per group. A histogram of buckets finds the bucket each rank
-    falls in, and only those buckets are ranked value by value.
+    ``rank``: a few rows per group. A histogram finds the bucket of each rank, a second
+    one the slice within the bucket, and only those slices are ranked value by value.
     """
-    upto = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
-    histogram = (
-        counted.groupBy(*group, "_bucket")
-        .agg(F.sum("_n").alias("_n"))
-        .withColumn("_end", F.sum("_n").over(upto))
-        .withColumn("_start", F.col("_end") - F.col("_n"))
-        .drop("_n")
-    )
-    wanted = histogram.join(picks, group).filter("rank >= _start and rank < _end")
-    within = (
-        Window.partitionBy(*group, "_bucket").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    first = _find(counted, group, "_bucket", picks.withColumn("place", F.col("rank")))
+    ranges = first.select(*group, "_bucket", "_low", "_high").distinct()
+    width = F.nullif(F.col("_high") - F.col("_low"), F.lit(0))
+    share = (F.col("_v") - F.col("_low")) / width
+    sliced = counted.join(ranges, [*group, "_bucket"]).select(
+        *group,
+        "_bucket",
+        "_v",
+        "_n",
+        F.coalesce(F.floor(share * (SLICES - 1)), F.lit(0)).alias("_slice"),
     )
-    touched = wanted.select(*group, "_bucket").distinct()
-    located = counted.join(touched, [*group, "_bucket"]).withColumn(
+    keys = [*group, "_bucket"]
+    second = _find(sliced, keys, "_slice", first.drop("_low", "_high")).drop("_low", "_high")
+    keys = [*keys, "_slice"]
+    within = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = sliced.join(second.select(*keys).distinct(), keys).withColumn(
         "_last", F.sum("_n").over(within)
     )
-    return (
-        located.join(wanted, [*group, "_bucket"])
-        .filter(
-            (F.col("rank") - F.col("_start") < F.col("_last"))
-            & (F.col("rank") - F.col("_start") >= F.col("_last") - F.col("_n"))
-        )
-        .select(*group, "name", "rank", F.col("_v").alias("value"))
+    hit = (F.col("place") < F.col("_last")) & (F.col("place") >= F.col("_last") - F.col("_n"))
+    return ranked.join(second, keys).filter(hit).select(
+        *group, "name", "rank", F.col("_v").alias("value")
     )
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from evalspark.functions.aggregates import count_where
 from evalspark.functions.prompts import SCHEMA_PLACEHOLDER, build_prompt, target_text
-from evalspark.functions.text import SPACE_CLASS
+from evalspark.functions.text import WORD_RUN
 from evalspark.operators.ranking import percentiles_nearest
 from evalspark.operators.sampling import first_n
 from evalspark.operators.validate import (
@@ -18,6 +18,7 @@ from evalspark.operators.validate import (
     one_row,
     require_empty,
 )
+from evalspark.session import materialize
 
 
 class TargetMissing(KeyError):
@@ -26,7 +27,7 @@ class TargetMissing(KeyError):
 
 def word_count(text: Column) -> Column:
     """Default token counter; pass another column function to use a real tokenizer."""
-    return F.regexp_count(text, F.lit(f"[^{SPACE_CLASS}]+"))
+    return F.regexp_count(text, F.lit(WORD_RUN))
 
 
 def _prompt(schema_text: Column, include_plan: bool, version: str) -> Column:
@@ -193,7 +194,8 @@ def length_profile(
     examples: DataFrame, count: Callable[[Column], Column] = word_count
 ) -> DataFrame:
     """``part, name, value``: length percentiles of schema, evidence and prompt."""
-    lengths = _lengths(examples, count)
+    # Three numbers per example, at the price of reading every text.
+    lengths = materialize(_lengths(examples, count), "lengths")
     return percentiles_nearest(lengths, ["part"], "tokens", LENGTH_FRACTIONS)
 
 

@@ -134,26 +134,29 @@ SQL = {
         FROM event_fields""",
     # Query results: an order's rows, one per line number.
     "gold_rows": """
-        SELECT l_orderkey AS o, CAST(l_linenumber AS BIGINT) AS row_idx, min(l_extendedprice) AS price,
-          max(l_returnflag) AS flag, count(*) AS n
-        FROM lineitem GROUP BY l_orderkey, l_linenumber""",
+        SELECT o, row_idx, price, CASE f WHEN 0 THEN 'A' WHEN 1 THEN 'N' ELSE 'R' END AS flag, n
+        FROM (SELECT l_orderkey AS o, CAST(l_linenumber AS BIGINT) AS row_idx, min(l_extendedprice) AS price,
+            max(CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END) AS f, count(*) AS n
+          FROM lineitem GROUP BY l_orderkey, l_linenumber) x""",
     # Candidates for each order: 0 same, 1 within tolerance, 2 a wrong price, 3 rows turned
     # round, 4 a row lost, 5 a row doubled.
     "candidate_rows": """
-        SELECT o, 0 AS k, row_idx, price, flag, n FROM gold_rows
-        UNION ALL SELECT o, 1, row_idx, price + 1e-7, flag, n FROM gold_rows
-        UNION ALL SELECT o, 2, row_idx, CASE WHEN row_idx = o % 7 + 1 THEN price + 0.5 ELSE price END,
-          flag, n FROM gold_rows
-        UNION ALL SELECT o, 3, 8 - row_idx, price, flag, n FROM gold_rows
-        UNION ALL SELECT o, 4, row_idx, price, flag, n FROM gold_rows WHERE row_idx <> o % 7 + 1
-        UNION ALL SELECT o, 5, row_idx, price, flag, n FROM gold_rows
-        UNION ALL SELECT o, 5, 100 + row_idx, price, flag, n FROM gold_rows WHERE row_idx = o % 7 + 1""",
+        SELECT o, CASE part WHEN 6 THEN 5 ELSE part END AS k,
+          CASE part WHEN 3 THEN 8 - row_idx WHEN 6 THEN 100 + row_idx ELSE row_idx END AS row_idx,
+          CASE WHEN part = 1 THEN price + 1e-7 WHEN part = 2 AND row_idx = o % 7 + 1 THEN price + 0.5
+            ELSE price END AS price, flag, n
+        FROM seven_gold_rows
+        WHERE CASE part WHEN 4 THEN row_idx <> o % 7 + 1 WHEN 6 THEN row_idx = o % 7 + 1 ELSE true END""",
     "arms": """
         SELECT 'doc-' || doc_id AS example_id, quality = 1 AS a, toxic = 0 AS b FROM labels""",
 }
 
 # Texts that the two dialects spell differently: Spark first.
 TWO_DIALECTS = {
+    "seven_gold_rows": (
+        "SELECT g.*, part FROM gold_rows g LATERAL VIEW explode(sequence(0, 6)) p AS part",
+        "SELECT *, CAST(unnest(range(7)) AS INTEGER) AS part FROM gold_rows",
+    ),
     "document_lines": (
         """SELECT doc_id, lang, source, CAST(pos AS BIGINT) AS pos, line FROM documents
            LATERAL VIEW posexplode(split(text, chr(10))) l AS pos, line""",

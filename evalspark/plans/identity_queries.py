@@ -157,7 +157,7 @@ def idset_fingerprint(t: Tables):
 
 @query(
     "idset_tree_hash",
-    """, ids AS (SELECT DISTINCT split, example_id, substr(md5(example_id), 1, 3) AS bucket FROM lines),
+    """, ids AS (SELECT DISTINCT split, example_id, substr(md5(example_id), 1, 4) AS bucket FROM lines),
     leaves AS (SELECT split, bucket, sha256(string_agg(example_id, chr(10) ORDER BY example_id)) AS h
       FROM ids GROUP BY 1, 2)
     SELECT split, sha256(string_agg(h, chr(10) ORDER BY bucket)) AS ids_hash FROM leaves GROUP BY split""",
