@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from evalspark.functions.aggregates import count_where
 from evalspark.functions.text import normalize_question, normalize_sql, strip
 from evalspark.operators.skew import salted_join
+from evalspark.operators.validate import DataError, require_empty
 from evalspark.session import materialize
 from evalspark.sources.schemas import SPLITS
 
@@ -159,6 +160,17 @@ def audit_examples(
     return reduce(DataFrame.unionByName, parts)
 
 
+class LeakageError(DataError):
+    """Content on both sides of a split, or gold data in a prompt."""
+
+
+def assert_clean(examples: DataFrame, **more: DataFrame) -> None:
+    """Run ``audit_examples`` and raise if any rule is broken."""
+    found = audit_examples(examples, **more)
+    named = found.select(F.concat_ws(":", "rule", "example_id").alias("violation"))
+    require_empty(named, "violation", "leakage", LeakageError)
+
+
 def _content_keys(df: DataFrame, *extra: str) -> DataFrame:
     """Each row's four identity keys as ``rule, key``."""
     question = F.col("question")

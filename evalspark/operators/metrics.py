@@ -62,6 +62,23 @@ def prediction_accuracy(examples: DataFrame, judged: DataFrame) -> DataFrame:
     )
 
 
+def prediction_errors(examples: DataFrame, judged: DataFrame) -> DataFrame:
+    """``example_id, error``: what is wrong with each prediction that is not correct.
+
+    ``judged`` has ``strict_equivalent`` and ``kind``; an example without a row there has
+    no prediction.
+    """
+    missing = examples.select("example_id").join(
+        judged.select("example_id"), "example_id", "left_anti"
+    )
+    wrong = judged.filter(~F.col("strict_equivalent")).join(
+        examples.select("example_id"), "example_id", "left_semi"
+    )
+    return missing.select("example_id", F.lit("missing_prediction").alias("error")).unionAll(
+        wrong.select("example_id", "kind")
+    )
+
+
 def mode_rates(records: DataFrame) -> DataFrame:
     """Rates overall (``mode`` is ``ALL``) and per generation mode, to four places."""
 
@@ -245,6 +262,10 @@ def generation_metrics(samples: DataFrame, group: str = "group_id") -> DataFrame
         F.round(rate("execution_success"), 4).alias("execution_success_rate"),
         F.round(rate("strict_equivalent"), 4).alias("strict_correct_rate"),
         F.round(rate("stop_reason = 'sql_close'"), 4).alias("stop_at_sql_close_rate"),
+        F.round(rate("stop_reason = 'max_new_tokens'"), 4).alias("truncation_rate"),
+        F.round(F.avg(F.coalesce("completion_tokens", F.lit(0))), 2).alias(
+            "mean_completion_tokens"
+        ),
         F.round(rate(sql_block_count(F.col("raw_completion")) > 1), 4).alias(
             "multiple_sql_block_rate"
         ),

@@ -106,13 +106,34 @@ def score(completions: DataFrame, outcomes: DataFrame, keys: list[str]) -> DataF
     )
 
 
+# Columns of a sample that its source may or may not have.
+_OPTIONAL = {
+    "timestamp": "string",
+    "optimizer_step": "bigint",
+    "completion_tokens": "bigint",
+    "example_id": "string",
+    "db_id": "string",
+}
+_OPTIONAL_OUTCOME = {
+    "error_type": "string",
+    "candidate_row_count": "bigint",
+    "gold_row_count": "bigint",
+}
+
+
 def reward_samples(scored: DataFrame, run_id: str, text: str) -> DataFrame:
-    """Flat log rows of scored completions; fields of steps not taken are null."""
+    """Flat log rows of scored completions; what is unknown or was not reached is null."""
     ran = F.coalesce("safety.safe", F.lit(False))
+
+    def given(name: str, data_type: str) -> Column:
+        value = F.col(name) if name in scored.columns else F.lit(None)
+        return value.cast(data_type)
+
     return scored.select(
         F.lit(run_id).alias("run_id"),
         "generation_group_id",
         "completion_index",
+        *[given(name, kind).alias(name) for name, kind in _OPTIONAL.items()],
         stop_reason(F.col(text)).alias("stop_reason"),
         sql_block_count(F.col(text)).alias("sql_block_count"),
         F.col("total_reward").alias("reward"),
@@ -126,4 +147,5 @@ def reward_samples(scored: DataFrame, run_id: str, text: str) -> DataFrame:
         F.when(ran, F.col("success")).alias("execution_success"),
         F.when(ran, F.col("strict_equivalent")).alias("strict_equivalent"),
         F.when(ran, F.col("partial_credit")).alias("partial_credit"),
+        *[F.when(ran, given(name, kind)).alias(name) for name, kind in _OPTIONAL_OUTCOME.items()],
     )

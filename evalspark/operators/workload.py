@@ -104,7 +104,7 @@ def run_workload(
     workload: DataFrame,
     max_rows: int | None = MAX_ROWS,
     timeout_ms: int = TIMEOUT_MS,
-    threads: int = 4,
+    threads: int = 8,
     path: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Run ``example_id, candidate_index, sql`` and return the runs and the result rows.

@@ -46,7 +46,7 @@ def lat_bands(t: Tables):
     return latency.band_counts(t.adapted("executions"))
 
 
-_REQUESTS = """, r AS (SELECT value AS ttft_ms, round(value * 1.5 + k, 2) AS total_latency_ms, k AS output_tokens,
+_REQUESTS = """, r AS (SELECT value AS ttft_ms, value * 1.53719 + k AS total_latency_ms, k AS output_tokens,
       ts AS started_at, ts + to_milliseconds(CAST(k * 10 AS BIGINT)) AS ended_at FROM event_fields)"""
 
 
@@ -54,7 +54,7 @@ def _requests(t: Tables):
     k = F.col("k")
     return t.adapted("event_fields").select(
         F.col("value").alias("ttft_ms"),
-        F.round(F.col("value") * 1.5 + k, 2).alias("total_latency_ms"),
+        (F.col("value") * 1.53719 + k).alias("total_latency_ms"),
         k.alias("output_tokens"),
         F.col("ts").alias("started_at"),
         F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) + k * 10_000).alias("ended_at"),

@@ -31,6 +31,8 @@ def _scored(t: Tables):
         success.alias("success"),
         strict.alias("strict_equivalent"),
         (success & ~strict & (F.col("conv_id") % 5 == 0)).alias("partial_credit"),
+        F.when(strict, "unordered_rows").otherwise("not_equivalent").alias("error_type"),
+        F.col("turn").alias("candidate_row_count"),
     )
     return scoring.score(scoring.scorable(completions, "raw"), outcomes, ["conv_id", "turn"])
 
@@ -55,7 +57,10 @@ def reward_components(t: Tables):
       CAST((length(lower(raw)) - length(replace(lower(raw), '<sql>', ''))) // 5 AS INTEGER) AS sql_block_count,
       total_reward AS reward, {', '.join(_PARTS)}, format_ok AS parse_ok, safe,
       CASE WHEN ran THEN success END AS execution_success, CASE WHEN ran THEN strict END AS strict_equivalent,
-      CASE WHEN ran THEN partial END AS partial_credit FROM w""",
+      CASE WHEN ran THEN partial END AS partial_credit, NULL::VARCHAR AS timestamp, NULL::BIGINT AS optimizer_step,
+      length(raw) AS completion_tokens, example_id, db_id,
+      CASE WHEN ran THEN CASE WHEN strict THEN 'unordered_rows' ELSE 'not_equivalent' END END AS error_type,
+      CASE WHEN ran THEN turn END AS candidate_row_count, NULL::BIGINT AS gold_row_count FROM w""",
     "completions",
 )
 def reward_samples(t: Tables):
@@ -64,6 +69,7 @@ def reward_samples(t: Tables):
         {
             "generation_group_id": F.col("group_id"),
             "completion_index": F.col("turn").cast("int"),
+            "completion_tokens": F.length("raw"),
         }
     )
     return scoring.reward_samples(scored, "run-1", "raw")
@@ -237,6 +243,22 @@ def prediction_accuracy(t: Tables):
     return metrics.prediction_accuracy(t.adapted("examples"), judged)
 
 
+@query(
+    "prediction_errors",
+    """SELECT 'doc-' || doc_id AS example_id, CASE WHEN quality IS NULL THEN 'missing_prediction'
+      WHEN toxic = 1 THEN 'truncated_unverified' ELSE 'not_equivalent' END AS error
+    FROM documents LEFT JOIN labels USING (doc_id) WHERE quality IS DISTINCT FROM 1""",
+)
+def prediction_errors(t: Tables):
+    """Every prediction that is missing or wrong, and how."""
+    judged = t.labels.select(
+        F.concat(F.lit("doc-"), "doc_id").alias("example_id"),
+        (F.col("quality") == 1).alias("strict_equivalent"),
+        F.when(F.col("toxic") == 1, "truncated_unverified").otherwise("not_equivalent").alias("kind"),
+    )
+    return metrics.prediction_errors(t.adapted("examples"), judged)
+
+
 @query(
     "mode_rates",
     """SELECT CASE WHEN grouping(mode) = 1 THEN 'ALL' ELSE mode END AS mode, count(*) AS records,
@@ -325,6 +347,7 @@ def failure_buckets(t: Tables):
       round(avg(ran::INT), 4) AS safe_rate, round(avg((ran AND success)::INT), 4) AS execution_success_rate,
       round(avg((ran AND strict)::INT), 4) AS strict_correct_rate,
       round(avg(ends_with(rtrim(raw, chr(10) || ' '), '</sql>')::INT), 4) AS stop_at_sql_close_rate,
+      0.0::DOUBLE AS truncation_rate, round(avg(length(raw)), 2) AS mean_completion_tokens,
       round(avg((length(lower(raw)) - length(replace(lower(raw), '<sql>', '')) > 5)::INT), 4) AS multiple_sql_block_rate,
       round(count(*) FILTER (NOT format_ok AND fallback IS NOT NULL) / count(*) FILTER (NOT format_ok), 4)
         AS format_invalid_but_sql_extractable_rate,
@@ -349,5 +372,6 @@ def generation_metrics(t: Tables):
         (ran & F.col("strict_equivalent")).alias("strict_equivalent"),
         "total_reward",
         scoring.stop_reason(F.col("raw")).alias("stop_reason"),
+        F.length("raw").alias("completion_tokens"),
     )
     return metrics.generation_metrics(samples)

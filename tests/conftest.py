@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import logging
 import sys
 from pathlib import Path
 
@@ -10,6 +11,9 @@ sys.path[:0] = [str(ROOT.parent), str(ROOT)]
 
 from evalspark.session import build_session  # noqa: E402
 
+# Workloads with failing queries are part of the tests; their traces are not of interest.
+logging.getLogger("SQLQueryContextLogger").setLevel(logging.CRITICAL)
+
 
 @pytest.fixture(scope="session")
 def spark():

@@ -31,5 +31,5 @@ def test_query(spark, con, name):
 
 def test_entry(spark):
     records = contract.entry(spark)
-    assert records.filter("execution_equivalent").count() == 6
+    assert records.filter("execution_equivalent").count() == 5
     assert records.filter("error_bucket = 'unsafe_sql'").count() == 2

@@ -46,6 +46,17 @@ def test_overlap_rules(spark):
     assert rules(leakage.audit_examples(within)) == set()
 
 
+def test_assert_clean(spark):
+    fine = examples(spark, {"example_id": "a"}, {"example_id": "b", "split": "test", "question": "Second"})
+    leakage.assert_clean(fine)
+    with pytest.raises(leakage.LeakageError, match="id_overlap:x"):
+        leakage.assert_clean(
+            examples(spark, {"example_id": "x"}, {"example_id": "x", "split": "test", "question": "q2"})
+        )
+    with pytest.raises(Exception, match="unknown split"):
+        leakage.id_overlap(examples(spark, {"split": "nowhere"})).collect()
+
+
 def test_prompt_rules(spark):
     one = examples(spark, {"gold_sql": "SELECT name FROM users"})
 
