@@ -90,16 +90,36 @@ def _digits(tolerance: float) -> int | None:
     return -Decimal(str(tolerance)).as_tuple().exponent if tolerance > 0 else None
 
 
-def normalize_cell(c: Column, tolerance: float = TOLERANCE) -> Column:
-    """Text that is equal for two cells exactly if they count as the same value."""
+# Below this many steps a double's product is off by far less than _TIE_GAP from a tie.
+_SAFE_STEPS = float(2**44)
+_TIE_GAP = 0.49
+
+
+def _number_text(c: Column, tolerance: float) -> Column:
+    """A number as a count of tolerance steps, halves going to the even one.
+
+    Rounding is defined on the number's decimal text. Where the double is clearly not
+    half-way between two steps it gives the same count, and decimals can be spared.
+    """
     digits = _digits(tolerance)
-    number = c["str"].try_cast("decimal(38,18)")
-    if digits is not None:
-        # Always the same scale, so equal numbers have equal texts.
-        number = F.bround(number, digits).cast(f"decimal(38,{min(digits, 18)})")
+    as_double = c["num"].cast("string")
+    exact = c["str"].try_cast("decimal(38,18)")
+    if digits is None:
+        return F.coalesce(exact.cast("string"), as_double)
+    steps = c["num"] * float(10**digits)
+    nearest = F.rint(steps)
+    clear = (F.abs(steps) < _SAFE_STEPS) & (F.abs(steps - nearest) < _TIE_GAP)
+    rounded = F.bround(exact, digits).cast(f"decimal(38,{digits})").cast("string")
+    counted = F.regexp_replace(F.replace(rounded, F.lit(".")), r"^(-?)0+(?=\d)", "$1")
     # Beyond 20 integer digits, and for NaN and the infinities, the double itself decides.
-    as_text = F.coalesce(number.cast("string"), c["num"].cast("string"))
-    value = F.when(c["tag"] == "num", as_text).otherwise(c["str"])
+    return F.when(clear, nearest.cast("bigint").cast("string")).otherwise(
+        F.coalesce(counted, as_double)
+    )
+
+
+def normalize_cell(c: Column, tolerance: float = TOLERANCE) -> Column:
+    """Text that is equal for two cells exactly if they count as the same value."""
+    value = F.when(c["tag"] == "num", _number_text(c, tolerance)).otherwise(c["str"])
     return F.when(c["tag"] == "null", F.lit("null")).otherwise(F.concat(c["tag"], F.lit(":"), value))
 
 

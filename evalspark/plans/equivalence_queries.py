@@ -188,9 +188,9 @@ def equiv_empty(t: Tables):
 @query(
     "cell_normalization",
     """SELECT 'ev-' || event_id AS example_id, CASE k % 5 WHEN 0 THEN 'null'
-        WHEN 1 THEN 'num:' || CAST(k AS VARCHAR) || '.000000' WHEN 2 THEN 'bool:' || CAST(k > 50 AS VARCHAR)
+        WHEN 1 THEN 'num:' || CAST(k * 1000000 AS VARCHAR) WHEN 2 THEN 'bool:' || CAST(k > 50 AS VARCHAR)
         WHEN 3 THEN 'str:' || event_type ELSE 'num:nan' END AS cell,
-      'num:' || CAST(CAST(value AS DECIMAL(20, 6)) AS VARCHAR) AS amount
+      'num:' || CAST(CAST(CAST(value AS DECIMAL(20, 2)) * 1000000 AS BIGINT) AS VARCHAR) AS amount
     FROM event_fields""",
     "event_fields",
 )

@@ -46,7 +46,7 @@ _BROKEN = {
     "not-a-read": ("UPDATE orders SET o_custkey = 1", "unsafe_sql"),
     "not-sql": ("hello there", "syntax_error"),
 }
-_CAP = 100_000
+_CAP = workload.MAX_ROWS
 
 
 @query(

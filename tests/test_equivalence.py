@@ -1,7 +1,9 @@
 from __future__ import annotations
 
 import math
+from decimal import Decimal
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -162,6 +164,20 @@ def test_rows_from_results(spark):
     ]
 
 
+def test_numbers_round_as_their_decimal_text(spark):
+    """Counts of steps against decimal arithmetic, around ties and over all magnitudes."""
+    rng = np.random.default_rng(11)
+    values = [0.0, -0.0, 0.5, 1, -1, 10**15, 2**53 + 1, 123456789012345678, 1e19, 0.1 + 0.2]
+    values += [k * 1e-7 for k in range(-40, 41)] + [k + 5e-7 for k in range(1, 200, 7)]
+    values += [float(v) for v in rng.normal(0, 1, 200) * 10.0 ** rng.integers(-9, 15, 200)]
+    rows = [(i, _cell(v)) for i, v in enumerate(values)]
+    frame = spark.createDataFrame(rows, "i int, c struct<tag:string,num:double,str:string>")
+    got = frame.orderBy("i").select(eq.normalize_cell(F.col("c"))).collect()
+    for value, row in zip(values, got):
+        want = Decimal(repr(value)).quantize(Decimal("0.000001"))
+        assert Decimal(row[0][4:]) == want * 10**6, value
+
+
 def test_row_cap(spark):
     rows = spark.range(7).select(F.lit("e").alias("example_id"), F.col("id").alias("row_idx"))
     kept, sizes = eq.apply_row_cap(rows, ["example_id"], 5)
