@@ -31,6 +31,7 @@ ROW_SCHEMA = (
     "cells array<struct<tag:string,num:double,str:string>>"
 )
 _FLUSH = 1000
+_TIMED_OUT = 8  # place of ``timed_out`` in a line of the log
 
 
 def _error(exception: Exception) -> tuple[str, str]:
@@ -109,7 +110,8 @@ def run_workload(
 ) -> tuple[DataFrame, DataFrame]:
     """Run ``example_id, candidate_index, sql`` and return the runs and the result rows.
 
-    A row that is not one read-only statement is logged as such and never run.
+    A row that is not one read-only statement is logged as such and never run. A query
+    that timed out beside others, which may have held all cores, is run again by itself.
     """
     path = path or scratch_path(spark, "workload")
     rows_path, runs_path = f"{path}/rows", f"{path}/runs"
@@ -124,6 +126,10 @@ def run_workload(
             return _failed(row, kind, "not run", started)
         return _run_query(spark, row, rows_path, max_rows, timeout_ms)
 
+    def run_all(pool: ThreadPoolExecutor, batch: list) -> list:
+        lines = list(pool.map(run, batch))
+        return [run(row) if line[_TIMED_OUT] else line for row, line in zip(batch, lines)]
+
     spark.createDataFrame([], RUN_SCHEMA).write.mode("append").parquet(runs_path)
 
     def flush(lines: list) -> None:
@@ -138,9 +144,9 @@ def run_workload(
         for row in screened.toLocalIterator():
             batch.append(row)
             if len(batch) == _FLUSH:
-                flush(list(pool.map(run, batch)))
+                flush(run_all(pool, batch))
                 batch = []
-        flush(list(pool.map(run, batch)))
+        flush(run_all(pool, batch))
     runs = spark.read.schema(RUN_SCHEMA).parquet(runs_path)
     if runs.filter("success").limit(1).count() == 0:
         return runs, spark.createDataFrame([], ROW_SCHEMA)

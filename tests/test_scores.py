@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evalspark.functions.prompts import FEEDBACK_PARSE, FEEDBACK_UNSAFE, FEEDBACK_WRONG, retry_feedback
-from evalspark.operators import latency, metrics, rows, signal, stats, validate, workflow
+from evalspark.operators import latency, metrics, rows, signal, stats, validate, workflow, workload
 from evalspark.session import scratch_path
 from evalspark.streaming import intake
 from test_rules import examples
@@ -232,3 +232,27 @@ def test_stream_restarts(spark):
     rows_ = {r.generation_group_id: r for r in intake.latest_totals(spark, table).collect()}
     assert sum(r.n for r in rows_.values()) == total and rows_["g0"].n == 20
     assert rows_["g0"].reward_std == pytest.approx(np.std(np.arange(10) / 10))
+
+
+def test_workload_timeout_and_errors(spark):
+    """A query that runs too long is cut off and logged; the others go on."""
+    texts = [
+        ("slow", 0, "SELECT sum(a.id * b.id % 7) FROM range(10000000) a, range(10000000) b"),
+        ("fine", 0, "SELECT id FROM range(5) ORDER BY id DESC"),
+        ("long", 0, "SELECT id FROM range(50)"),
+        ("lost", 0, "SELECT x FROM range(5)"),
+        ("unsafe", 0, "DROP TABLE t"),
+        ("nothing", 0, None),
+    ]
+    frame = spark.createDataFrame(texts, "example_id string, candidate_index int, sql string")
+    runs, found = workload.run_workload(spark, frame, max_rows=10, timeout_ms=4000)
+    log = {r.example_id: r for r in runs.collect()}
+    assert log["slow"].timed_out and log["slow"].error_type == "timeout"
+    assert log["fine"].success and log["fine"].columns == ["id"]
+    assert (log["long"].row_count, log["long"].truncated) == (10, True)
+    assert log["lost"].error_type.startswith("UNRESOLVED_COLUMN")
+    assert (log["unsafe"].error_type, log["nothing"].error_type) == ("unsafe_sql", "format_error")
+    values = found.filter("example_id = 'fine'").orderBy("row_idx").collect()
+    assert [r.cells[0].str for r in values] == ["4", "3", "2", "1", "0"]
+    assert found.filter("example_id = 'long'").count() == 10
+    assert {r.outcome: r.n for r in workload.run_summary(runs).collect()}["success"] == 2
