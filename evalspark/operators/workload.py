@@ -141,7 +141,7 @@ def run_workload(
     batch: list = []
     with ThreadPoolExecutor(threads) as pool:
         # Query texts arrive partition by partition and are logged every thousand.
-        for row in screened.toLocalIterator():
+        for row in screened.toLocalIterator(prefetchPartitions=True):
             batch.append(row)
             if len(batch) == _FLUSH:
                 flush(run_all(pool, batch))
