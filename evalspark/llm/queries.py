@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evalspark.llm import contamination, outliers, personal, tokens
+from evalspark.llm import contamination, outliers, personal, tokens, toxicity
 from evalspark.llm.common import table
 
 QUERIES = {}
@@ -35,3 +35,8 @@ def op2(spark, folder):
 @_query("op4_decontamination")
 def op4(spark, folder):
     return contamination.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@_query("op8_toxicity")
+def op8(spark, folder):
+    return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
