@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evalspark.llm import contamination, outliers, personal, tokens, toxicity
+from evalspark.llm import contamination, near, outliers, personal, pieces, tokens, toxicity
 from evalspark.llm.common import table
 
 QUERIES = {}
@@ -40,3 +40,13 @@ def op4(spark, folder):
 @_query("op8_toxicity")
 def op8(spark, folder):
     return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@_query("op9_ngram_jaccard_join")
+def op9(spark, folder):
+    return near.similar_groups(table(spark, folder, "documents"))
+
+
+@_query("op1_sentencepiece")
+def op1(spark, folder):
+    return pieces.encode_and_check(table(spark, folder, "documents"))
