@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evalspark.llm import contamination, near, outliers, personal, pieces, tokens, toxicity
+from evalspark.llm import contamination, near, outliers, personal, pieces, tokens, toxicity, wrappers
 from evalspark.llm.common import table
 
 QUERIES = {}
@@ -50,3 +50,8 @@ def op9(spark, folder):
 @_query("op1_sentencepiece")
 def op1(spark, folder):
     return pieces.encode_and_check(table(spark, folder, "documents"))
+
+
+@_query("op3_html_extraction")
+def op3(spark, folder):
+    return wrappers.extract(table(spark, folder, "pages"))
