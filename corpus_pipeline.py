@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evalspark.llm import contamination, outliers, personal
+from evalspark.llm import contamination, near, outliers, personal, pieces
 from evalspark.llm.common import table
 from evalspark.session import scratch_path
 
@@ -13,6 +13,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return outliers.keep_quality(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near.one_of_each(docs)
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return contamination.without_benchmark(docs, table(spark, sf_dir, "benchmark"))
 
@@ -21,10 +25,16 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return personal.redact(docs)
 
 
+def tokenization(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pieces.with_ids(docs)
+
+
 STAGES = [
     ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
     ("decontamination", decontamination),
     ("personal_data", personal_data),
+    ("tokenization", tokenization),
 ]
 
 # The robust estimates and the segmentation are beyond SQL; the stages are tested by brute force.

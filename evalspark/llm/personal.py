@@ -158,7 +158,6 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """All columns, personal data in ``text`` replaced by its kind; null texts stay null.
 
-    Texts without any sign that the patterns need (a digit or an @) skip Python's work.
     ``n_chars``, if there, is set to the new length in code points.
     """
     column = F.udf(lambda t: redacted(t) if t else t, "string", useArrow=True)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evalspark.llm import contamination, near, outliers, personal, pieces, tokens, toxicity, wrappers
+from evalspark.llm import contamination, licenses, near, outliers, personal, pieces, repeats, tokens, toxicity, wrappers
 from evalspark.llm.common import table
 
 QUERIES = {}
@@ -55,3 +55,13 @@ def op1(spark, folder):
 @_query("op3_html_extraction")
 def op3(spark, folder):
     return wrappers.extract(table(spark, folder, "pages"))
+
+
+@_query("op6_license_scan")
+def op6(spark, folder):
+    return licenses.license_report(table(spark, folder, "documents"))
+
+
+@_query("op10_suffix_dedup")
+def op10(spark, folder):
+    return repeats.remove_repeats(table(spark, folder, "documents"))
