@@ -246,7 +246,9 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, recall: floa
     reps = materialize(reps, "texts")
     near = components(_star_edges(reps))
     members = _blocks_of(near.select(F.col("id").alias("doc_id"), "component"))
-    texts = docs.select("doc_id", "text").join(members.select("doc_id").distinct(), "doc_id", "left_semi")
+    # The same plan at every size: members are a share of all documents, so they are not broadcast.
+    named = members.select("doc_id").distinct().hint("merge")
+    texts = docs.select("doc_id", "text").join(named, "doc_id", "left_semi")
     texts = texts.filter("text is not null").dropDuplicates(["doc_id"])
     parts = members.join(reps, "doc_id").join(texts, "doc_id")
     blocks = materialize(_verified(parts, similarity), "links")
