@@ -29,6 +29,8 @@ MAX_HASHES = 128
 # Documents of a component that are compared in one block, and rounds before giving up.
 BLOCK = 256
 MAX_ROUNDS = 40
+# Neighbours of a node are spread over this many join keys.
+SALTS = 16
 _SHINGLES_AT_ONCE = 8192
 
 
@@ -105,8 +107,8 @@ def components(edges: DataFrame) -> DataFrame:
     ``edges`` has ``a`` and ``b``. Large-star and small-star steps alternate until the edges
     stay as they are: each node's larger neighbours are linked to its smallest one, then its
     smaller ones. The number of edges never grows, and each round is written to the shared
-    folder. Smallest neighbours are found with map-side minima; a node with very many
-    neighbours meets them in a plain join, which adaptive execution splits.
+    folder. Smallest neighbours are found with map-side minima and salted for the join, so a
+    node with very many neighbours meets them in many tasks.
     """
     spark = edges.sparkSession
     edges = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
@@ -115,12 +117,12 @@ def components(edges: DataFrame) -> DataFrame:
     for _ in range(MAX_ROUNDS):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m"))
-        large = both.join(least, "a").filter("b > a").select(
+        large = _with_least(both, least).filter("b > a").select(
             F.col("b").alias("a"), F.least("a", "m").alias("b")
         )
         large = materialize(large.distinct(), "large-star")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = _with_least(large, least).select(F.col("b").alias("a"), F.col("m").alias("b"))
         own = least.select("a", F.col("m").alias("b"))
         edges = materialize(small.union(own).filter("a <> b").distinct(), "small-star")
         state = _state(edges)
@@ -131,6 +133,12 @@ def components(edges: DataFrame) -> DataFrame:
     raise RuntimeError(f"components did not settle within {MAX_ROUNDS} rounds on {spark.sparkContext.appName}")
 
 
+def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
+    salt = F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")
+    copies = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return edges.withColumn("salt", salt).join(copies, ["a", "salt"]).drop("salt")
+
+
 def _state(edges: DataFrame):
     """Equal for equal sets of edges."""
     return edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).head()
