@@ -9,9 +9,10 @@ sixteen bytes in it with the smallest hash, so equal strings have equal anchors
    document holds.
 3. Shards cut out the strings around these anchors: the union of all windows that an anchor
    stands for. Equal cuts within a shard are settled there; one of each goes to its bucket.
-4. A bucket builds the suffix array of its cuts by Larsson-Sadakane refinement and the common
-   prefixes by Kasai's rule, both in numpy. Neighbours with fifty common bytes are equal windows;
-   the smallest id of such a run decides for all the others.
+4. A bucket settles equal cuts by their smallest id. Of the anchors that are left with different
+   cuts, it builds the suffix array by Larsson-Sadakane refinement and the common prefixes by
+   Kasai's rule, both in numpy. Neighbours with fifty common bytes are equal windows; the smallest
+   id of such a run decides for all the others.
 
 An anchor that very many documents hold, with different bytes around it, would make one bucket
 large. Its cuts are single windows, dealt by their own hash.
@@ -37,8 +38,9 @@ LENGTH = 50
 # Bytes of an anchor; any LENGTH bytes hold SPREAD of them.
 ANCHOR = 16
 SPREAD = LENGTH - ANCHOR + 1
-# Bytes of documents per bucket, and per array operation.
+# Bytes of documents per bucket, per shard whose cuts are held at once, and per array operation.
 BUCKET_BYTES = 4_000_000
+SHARD_BYTES = 8_000_000
 BLOCK = 2_000_000
 # From this many documents on, an anchor's windows are dealt one by one.
 HOT = 5_000
@@ -280,79 +282,79 @@ def _send_cuts(buckets: int):
 
     def work(ids, packed, codes):
         inflate = zstandard.ZstdDecompressor()
-        texts = [inflate.decompress(z) if z else b"" for z in packed]
-        document, first, last, h = anchors(texts)
-        code = (h >> np.uint64(1)).astype(np.int64)
-        bucket = code % buckets
-        code = ((code // buckets) & 0xFFFFFFFF) * buckets + bucket
-        asked = [np.array(c or [], np.int64) for c in codes]
-        owner = np.repeat(np.arange(len(asked)), [len(a) for a in asked])
-        flat = np.concatenate([np.empty(0, np.int64), *asked])
-        cold = flat >= 0
-        plain = np.where(cold, flat, -flat - 1)
-        mixed = _mix(owner, plain)
-        order = np.argsort(mixed)
-        mixed, cold = mixed[order], cold[order]
-        wanted = _mix(document, code)
-        spot = np.searchsorted(mixed, wanted)
-        spot[spot == len(mixed)] = 0
-        hit = np.flatnonzero(mixed[spot] == wanted) if len(mixed) else np.empty(0, np.int64)
-        cuts: dict[bytes, tuple[int, int, int]] = {}
-        settled: list[tuple[int, int]] = []
-
-        def add(cut, doc, start, to):
-            held = cuts.get(cut)
-            if held is None:
-                cuts[cut] = (doc, start, to)
-            elif held[0] > doc:
-                cuts[cut] = (doc, start, to)
-                settled.append((held[0], held[1] * 128 + len(cut)))
-            elif held[0] < doc:
-                settled.append((doc, start * 128 + len(cut)))
-            # Cuts that repeat within one document are each judged by what others hold.
-            else:
-                cuts.setdefault(_own(cut, doc), []).append(start)
-
-        columns = (document[hit], first[hit], last[hit], bucket[hit], cold[spot[hit]])
-        for d, a, b, to, whole in zip(*(c.tolist() for c in columns)):
-            text, doc = texts[d], ids[d]
-            if whole:
-                add(text[a : b + LENGTH], doc, a, to)
-            else:
-                for s in range(a, b + 1):
-                    window = text[s : s + LENGTH]
-                    add(window, doc, s, xxhash.xxh32_intdigest(window) % buckets)
-        yield from _cut_rows(cuts, settled, buckets)
+        start = 0
+        while start < len(ids):
+            texts, size = [], 0
+            while start + len(texts) < len(ids) and size < SHARD_BYTES:
+                z = packed[start + len(texts)]
+                texts.append(inflate.decompress(z) if z else b"")
+                size += len(texts[-1])
+            stop = start + len(texts)
+            yield _cut_rows(*_cuts_of(ids[start:stop], texts, codes[start:stop], buckets), buckets)
+            start = stop
 
     return work
 
 
-def _own(cut: bytes, doc: int) -> tuple[bytes, int]:
-    return cut, doc
+def _cuts_of(ids: list[int], texts: list[bytes], codes: list[list[int]], buckets: int):
+    """Cuts of a shard with bucket, anchor key, and starts by document; spans settled already."""
+    document, first, last, h = anchors(texts)
+    code = (h >> np.uint64(1)).astype(np.int64)
+    bucket, key = code % buckets, (code // buckets) & 0xFFFFFFFF
+    code = key * buckets + bucket
+    asked = [np.array(c or [], np.int64) for c in codes]
+    owner = np.repeat(np.arange(len(asked)), [len(a) for a in asked])
+    flat = np.concatenate([np.empty(0, np.int64), *asked])
+    cold = flat >= 0
+    mixed = _mix(owner, np.where(cold, flat, -flat - 1))
+    order = np.argsort(mixed)
+    mixed, cold = mixed[order], cold[order]
+    wanted = _mix(document, code)
+    spot = np.searchsorted(mixed, wanted)
+    spot[spot == len(mixed)] = 0
+    hit = np.flatnonzero(mixed[spot] == wanted) if len(mixed) else np.empty(0, np.int64)
+    cuts: dict[bytes, tuple[int, int, int, list[int]]] = {}
+    settled: list[tuple[int, int]] = []
+
+    def add(cut, doc, start, to, key):
+        held = cuts.get(cut)
+        if held is None:
+            cuts[cut] = (doc, to, key, [start])
+        elif held[0] == doc:
+            held[3].append(start)
+        else:
+            # Another document of the shard has the same cut: the larger one loses it.
+            if held[0] > doc:
+                cuts[cut] = (doc, to, key, [start])
+                doc, starts = held[0], held[3]
+            else:
+                starts = [start]
+            settled.extend((doc, s * 128 + len(cut)) for s in starts)
+
+    columns = (document[hit], first[hit], last[hit], bucket[hit], key[hit], cold[spot[hit]])
+    for d, a, b, to, number, whole in zip(*(c.tolist() for c in columns)):
+        text, doc = texts[d], ids[d]
+        if whole:
+            add(text[a : b + LENGTH], doc, a, to, number)
+        else:
+            for s in range(a, b + 1):
+                window = text[s : s + LENGTH]
+                add(window, doc, s, xxhash.xxh32_intdigest(window) % buckets, number)
+    return cuts, settled
 
 
 def _cut_rows(cuts: dict, settled: list, buckets: int):
     by_bucket = defaultdict(list)
-    for cut, held in cuts.items():
-        if isinstance(cut, bytes):
-            doc, start, to = held
-            by_bucket[to].append((doc, start, cut))
-    for key, starts in cuts.items():
-        if isinstance(key, tuple):
-            cut, doc = key
-            least, _, to = cuts[cut]
-            if least < doc:
-                settled += [(doc, s * 128 + len(cut)) for s in starts]
-            else:
-                by_bucket[to] += [(doc, s, cut) for s in starts]
+    for cut, (doc, to, key, starts) in cuts.items():
+        by_bucket[to] += [(doc, s, key, cut) for s in starts]
     out = [[], [], []]
     for to, rows in by_bucket.items():
-        docs, starts, parts = zip(*rows)
+        docs, starts, keys, parts = zip(*rows)
         out[0].append(to)
         out[1].append(_SHARED)
         out[2].append(
             _pack(
-                np.array(docs, np.int64), np.array(starts, np.int64),
+                np.array(docs, np.int64), np.array(starts, np.int64), np.array(keys, np.uint32),
                 np.array([len(p) for p in parts], np.uint8), np.frombuffer(b"".join(parts), np.uint8),
             )
         )
@@ -361,7 +363,7 @@ def _cut_rows(cuts: dict, settled: list, buckets: int):
         out[0].append(int(docs[0]) % buckets)
         out[1].append(_SETTLED)
         out[2].append(_pack(docs, spans))
-    yield out
+    return out
 
 
 def _mix(document: np.ndarray, code: np.ndarray) -> np.ndarray:
@@ -463,24 +465,73 @@ def _judge_cuts():
     """Step 4: document and span (start times 128 plus length) of repeated runs of one bucket."""
 
     def work(bucket, blobs):
-        lists = [_unpack(b) for b in blobs[_SHARED]]
-        if lists:
-            docs, starts, lengths, data = (np.concatenate(c) for c in zip(*lists))
-            lengths = lengths.astype(np.int64)
-            found = repeated_windows(docs, lengths, data)
-            at = np.cumsum(lengths) - lengths
-            owner = np.repeat(np.arange(len(docs)), lengths)
-            on = np.flatnonzero(found & ~np.concatenate([[False], found[:-1]]))
-            off = np.flatnonzero(found & ~np.concatenate([found[1:], [False]]))
-            # The last bytes of a cut begin no window, so a run ends with its cut.
-            cut = owner[on]
-            yield docs[cut], (starts[cut] + on - at[cut]) * 128 + (off - on + LENGTH)
+        if blobs[_SHARED]:
+            docs, spans, rest = _equal_cuts(map(_unpack, blobs[_SHARED]))
+            yield docs, spans
+            if len(rest[0]):
+                docs, starts, lengths, data = rest
+                found = repeated_windows(docs, lengths, data)
+                at = np.cumsum(lengths) - lengths
+                on = np.flatnonzero(found & ~np.concatenate([[False], found[:-1]]))
+                off = np.flatnonzero(found & ~np.concatenate([found[1:], [False]]))
+                # The last bytes of a cut begin no window, so a run ends with its cut.
+                cut = np.searchsorted(at, on, "right") - 1
+                yield docs[cut], (starts[cut] + on - at[cut]) * 128 + (off - on + LENGTH)
         for docs, spans in map(_unpack, blobs[_SETTLED]):
             yield docs, spans
 
     return work
 
 
+def _equal_cuts(lists):
+    """Spans of cuts that a smaller id has too; the first of each where an anchor has several."""
+    first: dict[bytes, tuple[int, int, list[int]]] = {}
+    docs_out, spans_out = [], []
+    for docs, starts, keys, lengths, data in lists:
+        data, at = data.tobytes(), 0
+        for doc, start, key, n in zip(docs.tolist(), starts.tolist(), keys.tolist(), lengths.tolist()):
+            cut = data[at : at + n]
+            at += n
+            held = first.get(cut)
+            if held is None:
+                first[cut] = (doc, key, [start])
+                continue
+            if held[0] == doc:
+                held[2].append(start)
+                continue
+            if held[0] > doc:
+                first[cut] = (doc, key, [start])
+                doc, some = held[0], held[2]
+            else:
+                some = [start]
+            for s in some:
+                docs_out.append(doc)
+                spans_out.append(s * 128 + n)
+    keys = np.array([k for _, k, _ in first.values()], np.uint32)
+    # A single window has met all its equals above.
+    sizes = np.array([len(c) for c in first], np.int64)
+    number, times = np.unique(keys, return_counts=True)
+    several = (times > 1)[np.searchsorted(number, keys)] & ~_only_single(number, keys, sizes)
+    rest = [[], [], []]
+    for cut, held, open_ in zip(first, first.values(), several.tolist()):
+        if open_:
+            for s in held[2]:
+                rest[0].append(held[0])
+                rest[1].append(s)
+                rest[2].append(cut)
+    lengths = np.array([len(c) for c in rest[2]], np.int64)
+    data = np.frombuffer(b"".join(rest[2]), np.uint8)
+    left = (np.array(rest[0], np.int64), np.array(rest[1], np.int64), lengths, data)
+    return np.array(docs_out, np.int64), np.array(spans_out, np.int64), left
+
+
+def _only_single(number: np.ndarray, keys: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether all cuts of a cut's anchor are single windows."""
+    longest = np.zeros(len(number), np.int64)
+    np.maximum.at(longest, np.searchsorted(number, keys), sizes)
+    return longest[np.searchsorted(number, keys)] == LENGTH
+
+
 def _packed(docs: DataFrame) -> DataFrame:
     """``doc_id`` and compressed text: what the two joins on ids move."""
 
