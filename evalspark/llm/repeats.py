@@ -42,6 +42,8 @@ SPREAD = LENGTH - ANCHOR + 1
 BUCKET_BYTES = 4_000_000
 SHARD_BYTES = 8_000_000
 BLOCK = 2_000_000
+# Compression of what is shuffled.
+LEVEL = 3
 # From this many documents on, an anchor's windows are dealt one by one.
 HOT = 5_000
 _PLACE_BITS = np.uint64(24)
@@ -135,7 +137,7 @@ def _block_anchors_of(texts: list[bytes]):
 def _pack(*arrays: np.ndarray) -> bytes:
     head = struct.pack("<I", len(arrays))
     body = b"".join(struct.pack("<2sQ", a.dtype.str[1:].encode(), a.nbytes) + a.tobytes() for a in arrays)
-    return zstandard.ZstdCompressor(level=1).compress(head + body)
+    return zstandard.ZstdCompressor(level=LEVEL).compress(head + body)
 
 
 def _unpack(blob: bytes) -> list[np.ndarray]:
@@ -176,6 +178,8 @@ def _send_anchors(buckets: int):
     def work(ids, texts):
         encoded = [t.encode() for t in texts]
         document, _, _, h = anchors(encoded)
+        if not len(h):
+            return
         names = np.array(ids, np.int64)
         code = (h >> np.uint64(1)).astype(np.int64)
         bucket = code % buckets
@@ -185,8 +189,6 @@ def _send_anchors(buckets: int):
         same_key = np.concatenate([[False], (key[1:] == key[:-1]) & (bucket[1:] == bucket[:-1])])
         again = same_key & np.concatenate([[False], doc[1:] == doc[:-1]])
         bucket, key, doc, same_key = (a[~again] for a in (bucket, key, doc, same_key))
-        if not len(key):
-            return
         head = np.flatnonzero(~same_key)
         count = np.diff(np.append(head, len(key)))
         many = np.repeat(count > 1, count)
@@ -354,7 +356,7 @@ def _cut_rows(cuts: dict, settled: list, buckets: int):
         out[1].append(_SHARED)
         out[2].append(
             _pack(
-                np.array(docs, np.int64), np.array(starts, np.int64), np.array(keys, np.uint32),
+                _steps(np.array(docs, np.int64)), np.array(starts, np.int64), np.array(keys, np.uint32),
                 np.array([len(p) for p in parts], np.uint8), np.frombuffer(b"".join(parts), np.uint8),
             )
         )
@@ -489,7 +491,7 @@ def _equal_cuts(lists):
     docs_out, spans_out = [], []
     for docs, starts, keys, lengths, data in lists:
         data, at = data.tobytes(), 0
-        for doc, start, key, n in zip(docs.tolist(), starts.tolist(), keys.tolist(), lengths.tolist()):
+        for doc, start, key, n in zip(np.cumsum(docs).tolist(), starts.tolist(), keys.tolist(), lengths.tolist()):
             cut = data[at : at + n]
             at += n
             held = first.get(cut)
@@ -537,7 +539,7 @@ def _packed(docs: DataFrame) -> DataFrame:
 
     def build():
         def work(ids, texts):
-            press = zstandard.ZstdCompressor(level=1)
+            press = zstandard.ZstdCompressor(level=LEVEL)
             return {"doc_id": ids, "z": [press.compress(t.encode()) if t else None for t in texts]}
 
         return work
