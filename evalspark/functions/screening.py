@@ -27,7 +27,11 @@ WRITE_VERBS = [
 _WRITE_INSIDE = (
     r"\b(insert\s+(or\s+\w+\s+)?into|replace\s+into|delete\s+from|update\s+\w+\s+set|merge\s+into)\b"
 )
-_LOADS = r"\bload_extension\s*\("
+# Calls that run code outside the query.
+_LOADS = r"\b(load_extension|java_method|reflect|try_reflect)\s*\("
+# Script transformations, and files named as tables; literals and quoted names are ``_`` here.
+_SCRIPT = r"\b(transform|map|reduce)\b[^;]*\busing\s+_"
+_FILE = r"\b(from|join)\s+(text|csv|json|parquet|orc|avro|xml|binaryfile)\s*\.\s*_"
 _CTE_HEAD = r"^with\s+(recursive\s+)?\w+\s*(\([^)]*\)\s*)?as\s+((not\s+)?materialized\s+)?\("
 _DANGLING = r"\b(select|from|where|join|on|and|or|by|having|limit|union|all|in)\s*$|,\s*$"
 _TAG_LEFT = r"<\s*/|<\s*(sql|plan)\s*>"
@@ -79,7 +83,9 @@ def _screen_text(text: Column) -> Column:
 
     def tokens(parts: Column) -> Column:
         statement = parts["statement"]
-        verb = F.regexp_extract(statement, r"^(\(|[a-z]+)", 1)
+        # A parenthesised query counts as the query.
+        opened = F.regexp_replace(statement, r"^[\s(]+", "")
+        verb = F.regexp_extract(opened, r"^([a-z]+)", 1)
         bad_syntax = (
             (F.regexp_count(statement, F.lit(r"\(")) != F.regexp_count(statement, F.lit(r"\)")))
             | statement.contains("'")
@@ -90,20 +96,21 @@ def _screen_text(text: Column) -> Column:
             parts["empty"].alias("empty"),
             parts["count"].alias("count"),
             verb.alias("verb"),
-            ((verb == "select") | statement.rlike(_CTE_HEAD)).alias("reads"),
+            ((verb == "select") | opened.rlike(_CTE_HEAD)).alias("reads"),
             statement.rlike(_WRITE_INSIDE).alias("writes"),
-            statement.rlike(_LOADS).alias("loads"),
+            F.regexp_extract(statement, _LOADS, 1).alias("call"),
+            (statement.rlike(_SCRIPT) | statement.rlike(_FILE)).alias("outside"),
             bad_syntax.alias("bad_syntax"),
         )
 
     def classify(t: Column) -> Column:
-        known = t["reads"] | (t["verb"] == "(") | t["verb"].isin(WRITE_VERBS)
+        known = t["reads"] | t["verb"].isin(WRITE_VERBS)
         error = (
             F.when(t["empty"], "format_error")
             .when((t["count"] == 0) | ~known, "syntax_error")
-            .when((t["count"] > 1) | ~t["reads"] | t["writes"], "unsafe_sql")
+            .when((t["count"] > 1) | ~t["reads"] | t["writes"] | t["outside"], "unsafe_sql")
             .when(t["bad_syntax"], "syntax_error")
-            .when(t["loads"], "unsafe_sql")
+            .when(t["call"] != "", "unsafe_sql")
             .otherwise("none")
         )
         return F.struct(error.alias("error"), t.alias("t"))
@@ -113,7 +120,8 @@ def _screen_text(text: Column) -> Column:
         forbidden = F.array_compact(
             F.array(
                 F.when(~t["reads"], t["verb"]),
-                F.when(t["loads"], "function:load_extension"),
+                F.when(t["call"] != "", F.concat(F.lit("function:"), t["call"])),
+                F.when(t["outside"], "outside"),
                 F.when(t["reads"] & t["writes"], "write"),
             )
         )

@@ -129,9 +129,9 @@ def rerun_of_failures(source: DataFrame, failures: DataFrame, error_type: str) -
     return source.join(ids, "example_id", "left_semi")
 
 
-def escalation_set(residual: DataFrame, source: DataFrame, cap: int = ESCALATION_CAP) -> DataFrame:
-    """Residual timeouts with their SQL; refuses when there are more than ``cap``."""
-    if residual.limit(cap + 1).count() > cap:
+def escalation_set(residual: DataFrame, source: DataFrame, cap: int | None = None) -> DataFrame:
+    """Residual timeouts with their SQL; with a ``cap``, refuses when there are more."""
+    if cap is not None and residual.limit(cap + 1).count() > cap:
         raise DataError(f"more than {cap} residual timeouts; look into them first")
     matched = source.select("example_id", "gold_sql", F.lit(True).alias("_found"))
     return (

@@ -171,6 +171,9 @@ def assert_clean(examples: DataFrame, **more: DataFrame) -> None:
     require_empty(named, "violation", "leakage", LeakageError)
 
 
+CONTENT_RULES = ("id", "normalized_question", "question_evidence", "question_sql")
+
+
 def _content_keys(df: DataFrame, *extra: str) -> DataFrame:
     """Each row's four identity keys as ``rule, key``."""
     question = F.col("question")
@@ -191,7 +194,7 @@ def heldout_overlap(examples: DataFrame, heldout: DataFrame) -> DataFrame:
     keys = _content_keys(examples, "split")
     shared = keys.join(_content_keys(heldout), ["rule", "key"], "left_semi")
     counts = shared.groupBy("rule").agg(F.count("*").alias("overlap"))
-    rules = keys.select("rule").distinct()
+    rules = keys.sparkSession.createDataFrame([(r,) for r in CONTENT_RULES], "rule string")
     return rules.join(counts, "rule", "left").fillna(0, ["overlap"])
 
 

@@ -211,7 +211,7 @@ def test_escalation_cap(spark):
     many = spark.range(101).select(F.col("id").cast("string").alias("example_id"))
     source = many.withColumn("gold_sql", F.lit("SELECT 1"))
     with pytest.raises(validate.DataError):
-        latency.escalation_set(many, source)
+        latency.escalation_set(many, source, latency.ESCALATION_CAP)
     some = latency.escalation_set(many.limit(3), source.filter("example_id = '0'"))
     assert some.filter("matched").count() <= 1
     with pytest.raises(validate.DataError):
