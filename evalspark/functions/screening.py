@@ -146,10 +146,20 @@ def has_order_by(sql: Column) -> Column:
 
 
 def outer_order_by(sql: Column) -> Column:
-    """ORDER BY of the outermost query only (innermost parentheses peeled four deep)."""
-    text = F.lower(blank_all(sql))
-    for _ in range(4):
-        text = F.regexp_replace(text, r"\([^()]*\)", " ")
+    """ORDER BY of the outermost query only: outside all parentheses, however deep."""
+    tokens = F.regexp_extract_all(F.lower(blank_all(sql)), F.lit(r"[()]|[^()]+"), F.lit(0))
+
+    def step(seen: Column, token: Column) -> Column:
+        depth, text = seen["depth"], seen["text"]
+        opened = F.when(token == "(", depth + 1).when(token == ")", F.greatest(depth - 1, F.lit(0)))
+        outside = (depth == 0) & ~token.isin("(", ")")
+        return F.struct(
+            opened.otherwise(depth).alias("depth"),
+            F.when(outside, F.concat(text, F.lit(" "), token)).otherwise(text).alias("text"),
+        )
+
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("text"))
+    text = F.aggregate(tokens, start, step, lambda seen: seen["text"])
     return F.coalesce(text.rlike(r"\border\s+by\b"), F.lit(False))
 
 
@@ -179,11 +189,12 @@ ERROR_CATEGORIES = [
 ]
 
 
-def sanitize_error(message: Column) -> Column:
+def sanitize_error(message: Column, length: int = 160) -> Column:
+    """The message's category, or without one its first ``length`` characters."""
     text = F.coalesce(message, F.lit(""))
     lowered = F.lower(text)
     found = F.coalesce(*[F.when(lowered.contains(c), F.lit(c)) for c in ERROR_CATEGORIES])
-    return F.coalesce(found, F.substring(strip(text), 1, 160))
+    return F.coalesce(found, F.substring(strip(text), 1, length))
 
 
 # Error message keyword and the bucket it stands for, first match wins.

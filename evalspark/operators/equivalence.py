@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evalspark.functions.screening import has_order_by, source_tables
-from evalspark.operators.skew import salted_join
 from evalspark.session import materialize
 
 TOLERANCE = 1e-6
@@ -35,7 +34,9 @@ def cell(value: Column, data_type: T.DataType) -> Column:
     elif isinstance(data_type, _NUMERIC):
         tag, num = "num", value.cast("double")
     elif isinstance(data_type, T.BinaryType):
-        tag, num, text = "str", F.lit(None).cast("double"), F.decode(value, "UTF-8")
+        # Bytes that are no UTF-8 text are compared as bytes.
+        num, valid = F.lit(None).cast("double"), F.is_valid_utf8(text)
+        tag, text = F.when(valid, "str").otherwise("bytes"), F.when(valid, text).otherwise(F.hex(value))
     elif isinstance(data_type, (T.ArrayType, T.MapType, T.StructType)):
         tag, num, text = "other", F.lit(None).cast("double"), F.to_json(value)
     else:
@@ -93,6 +94,11 @@ def _digits(tolerance: float) -> int | None:
 # Below this many steps a double's product is off by far less than _TIE_GAP from a tie.
 _SAFE_STEPS = float(2**44)
 _TIE_GAP = 0.49
+# A double from here on is a whole number.
+_WHOLE = float(2**53)
+_PLAIN = r"^(-?\d+)(?:\.(\d+))?$"
+# The most decimal places that are looked at.
+_PLACES = 18
 
 
 def _number_text(c: Column, tolerance: float) -> Column:
@@ -103,15 +109,28 @@ def _number_text(c: Column, tolerance: float) -> Column:
     """
     digits = _digits(tolerance)
     as_double = c["num"].cast("string")
-    exact = c["str"].try_cast("decimal(38,18)")
+    # Numbers with more integer digits than a decimal of many places holds keep their own text.
+    long_double = F.when(F.abs(c["num"]) >= _WHOLE, c["str"].try_cast("decimal(38,0)"))
+    plain = F.when(c["str"].rlike(_PLAIN), c["str"]).otherwise(long_double.cast("string"))
+    whole = F.regexp_extract(plain, _PLAIN, 1)
+    part = F.regexp_replace(F.regexp_extract(plain, _PLAIN, 2), "0+$", "")
     if digits is None:
-        return F.coalesce(exact.cast("string"), as_double)
+        exact = c["str"].try_cast(f"decimal(38,{_PLACES})").cast("string")
+        own = F.when(part == "", whole).otherwise(F.concat(whole, F.lit("."), part))
+        return F.coalesce(exact, own, as_double)
     steps = c["num"] * float(10**digits)
     nearest = F.rint(steps)
     clear = (F.abs(steps) < _SAFE_STEPS) & (F.abs(steps - nearest) < _TIE_GAP)
-    rounded = F.bround(exact, digits).cast(f"decimal(38,{digits})").cast("string")
-    counted = F.regexp_replace(F.replace(rounded, F.lit(".")), r"^(-?)0+(?=\d)", "$1")
-    # Beyond 20 integer digits, and for NaN and the infinities, the double itself decides.
+    # Without more places than a step has there is nothing to round. Otherwise the largest
+    # scale that holds the number's integer digits holds its places too.
+    short = F.when(F.length(part) <= digits, F.concat(whole, F.rpad(part, digits, "0")))
+    rounded = [
+        F.bround(c["str"].try_cast(f"decimal(38,{scale})"), digits).cast(f"decimal(38,{digits})")
+        for scale in range(_PLACES, digits, -1) or [_PLACES]
+    ]
+    texts = [F.replace(r.cast("string"), F.lit(".")) for r in rounded]
+    counted = F.regexp_replace(F.coalesce(short, *texts), r"^(-?)0+(?=\d)", "$1")
+    # For NaN, the infinities and what no decimal holds the double itself decides.
     return F.when(clear, nearest.cast("bigint").cast("string")).otherwise(
         F.coalesce(counted, as_double)
     )
@@ -123,12 +142,11 @@ def normalize_cell(c: Column, tolerance: float = TOLERANCE) -> Column:
     return F.when(c["tag"] == "null", F.lit("null")).otherwise(F.concat(c["tag"], F.lit(":"), value))
 
 
-def row_key(row: Column, tolerance: float = TOLERANCE) -> Column:
-    """Digest of a normalized row. Lengths keep the cells' texts apart."""
+def _row_digest(row: Column, tolerance: float) -> Column:
+    """Hexadecimal digest of a normalized row. Lengths keep the cells' texts apart."""
     parts = F.transform(row, lambda c: normalize_cell(c, tolerance))
     framed = F.transform(parts, lambda p: F.concat(F.length(p).cast("string"), F.lit(":"), p))
-    # Never null, and declared so: a null check in a join would compute it twice.
-    return F.coalesce(F.unhex(F.sha2(F.array_join(framed, ""), 256)), F.lit(b""))
+    return F.sha2(F.array_join(framed, ""), 256)
 
 
 def values_equal(a: Column, b: Column, tolerance: float = TOLERANCE) -> Column:
@@ -148,85 +166,42 @@ def values_equal(a: Column, b: Column, tolerance: float = TOLERANCE) -> Column:
     return F.when(both_null, True).when(numbers, close).otherwise(F.coalesce(same, F.lit(False)))
 
 
-_COLUMN_BITS = 16
+# Hashes of a row's digest, and the two 24-bit parts of each that are added up: sums of
+# 144 bits in all, which 2^39 rows do not overflow.
+_HASHES = 3
+_PART_BITS = 24
 
 
-def _compare(candidate_rows: DataFrame, gold_rows: DataFrame, tolerance: float) -> DataFrame:
-    """Per candidate: ``covered``, ``size``, and the first bad place of an ordered one.
+def _summaries(rows: DataFrame, keys: list[str], tolerance: float) -> DataFrame:
+    """One line per result: its ``size`` and ``sums`` over its rows, equal for equal multisets.
 
-    Both sides carry ``ordered``. An unordered row is known by its digest and counted, so
-    equal rows meet as one before anything is shuffled; covered means that each occurs as
-    often in gold. An ordered row is known by its place and keeps its cells.
+    All of it is added up on the map side, so a long result costs no more than a short one
+    in the shuffle, and no key is hot.
     """
-
-    ordered = F.col("ordered")
-    place = F.encode(F.col("row_idx").cast("string"), "UTF-8")
-    key = F.when(ordered, place).otherwise(row_key(F.col("cells"), tolerance))
-
-    def folded(rows: DataFrame, *group: str) -> DataFrame:
-        # What an ordered row keeps is part of its key, so the only aggregate is a count,
-        # which hash aggregation updates in place.
-        return rows.groupBy(
-            *group,
-            F.coalesce(key, F.lit(b"")).alias("_row"),
-            F.when(ordered, F.col("row_idx").cast("bigint")).alias("_idx"),
-            F.when(ordered, F.col("cells")).alias("_cells"),
-        ).agg(F.count("*").alias("_n"))
-
-    mine = folded(candidate_rows, "example_id", "candidate_index")
-    gold = folded(gold_rows, "example_id").select(
-        "example_id",
-        "_row",
-        F.col("_n").alias("_gold_n"),
-        F.col("_cells").alias("_gold_cells"),
-    )
-    # The grouping below shuffles anew, so adaptive execution may split a hot key here.
-    joined = mine.join(gold, ["example_id", "_row"], "left")
-    equal = F.zip_with("_cells", "_gold_cells", lambda a, b: values_equal(a, b, tolerance))
-    listed = F.col("_idx").isNotNull()
-    column = F.when(F.col("_gold_n").isNull(), 1).otherwise(F.array_position(equal, False))
-    found = joined.withColumn("_column", F.when(listed, column))
-    bad = F.when(
-        F.col("_column") > 0, F.col("_idx") * 2**_COLUMN_BITS + F.col("_column") - 1
-    )
-    as_often = F.col("_n").eqNullSafe(F.col("_gold_n"))
-    return (
-        found.groupBy("example_id", "candidate_index")
-        .agg(
-            F.bool_and(F.when(listed, F.col("_column") == 0).otherwise(as_often)).alias("covered"),
-            F.sum("_n").alias("size"),
-            F.min(bad).alias("_bad"),
-        )
-        .select(
-            "example_id",
-            "candidate_index",
-            "covered",
-            "size",
-            F.shiftright("_bad", _COLUMN_BITS).alias("bad_row"),
-            F.pmod("_bad", F.lit(2**_COLUMN_BITS)).cast("bigint").alias("bad_col"),
-        )
+    digest = _row_digest(F.col("cells"), tolerance)
+    hashes = rows.select(
+        *keys, *[F.xxhash64(digest, F.lit(i)).alias(f"_h{i}") for i in range(_HASHES)]
     )
+    mask = F.lit(2**_PART_BITS - 1)
+    parts = [
+        F.sum(F.shiftright(f"_h{i}", shift).bitwiseAND(mask))
+        for i in range(_HASHES)
+        for shift in (0, _PART_BITS)
+    ]
+    return hashes.groupBy(*keys).agg(F.count("*").alias("size"), F.array(*parts).alias("sums"))
 
 
 def unordered_matches(
     candidate_rows: DataFrame, gold_rows: DataFrame, tolerance: float = TOLERANCE
 ) -> DataFrame:
-    """``example_id, candidate_index, rows_match`` by comparing multisets of rows.
-
-    A candidate of gold's size whose every row occurs as often in gold is gold's multiset:
-    there is no room for more.
-    """
-    unordered = F.lit(False)
-    matches = _compare(
-        candidate_rows.withColumn("ordered", unordered),
-        gold_rows.withColumn("ordered", unordered),
-        tolerance,
+    """``example_id, candidate_index, rows_match`` by comparing multisets of rows."""
+    mine = _summaries(candidate_rows, ["example_id", "candidate_index"], tolerance)
+    gold = _summaries(gold_rows, ["example_id"], tolerance).select(
+        "example_id", F.col("size").alias("_gold_size"), F.col("sums").alias("_gold_sums")
     )
-    sizes = gold_rows.groupBy("example_id").agg(F.count("*").alias("_gold_size"))
-    return matches.join(sizes, "example_id", "left").select(
-        "example_id",
-        "candidate_index",
-        (F.col("covered") & F.col("size").eqNullSafe(F.col("_gold_size"))).alias("rows_match"),
+    same = (F.col("size") == F.col("_gold_size")) & (F.col("sums") == F.col("_gold_sums"))
+    return mine.join(gold, "example_id", "left").select(
+        "example_id", "candidate_index", F.coalesce(same, F.lit(False)).alias("rows_match")
     )
 
 
@@ -235,14 +210,20 @@ def ordered_mismatches(
 ) -> DataFrame:
     """Per candidate its first cell that differs from gold: ``bad_row, bad_col``, or nulls.
 
-    Row counts must agree already; a row without counterpart differs at column 0.
+    Row counts must agree already; a row without counterpart differs at column 0. Rows are
+    numbered from 0 without gaps, so a place is met by one row per candidate.
     """
-    ordered = F.lit(True)
-    return _compare(
-        candidate_rows.withColumn("ordered", ordered),
-        gold_rows.withColumn("ordered", ordered),
-        tolerance,
-    ).select("example_id", "candidate_index", "bad_row", "bad_col")
+    gold = gold_rows.select("example_id", "row_idx", F.col("cells").alias("_gold"))
+    joined = candidate_rows.join(gold, ["example_id", "row_idx"], "left")
+    equal = F.zip_with("cells", "_gold", lambda a, b: values_equal(a, b, tolerance))
+    place = F.when(F.col("_gold").isNull(), F.lit(1)).otherwise(F.array_position(equal, False))
+    found = joined.select(
+        "example_id", "candidate_index", "row_idx", place.cast("bigint").alias("_place")
+    )
+    bad = F.when(F.col("_place") > 0, F.col("row_idx"))
+    return found.groupBy("example_id", "candidate_index").agg(
+        F.min(bad).alias("bad_row"), F.min_by(F.col("_place") - 1, bad).alias("bad_col")
+    )
 
 
 def _empty_problems(candidate_sql: Column, tables: Column, gold: Column, known: Column) -> Column:
@@ -304,21 +285,23 @@ def verdicts(
     # One line per run, needed in three places below.
     runs = materialize(gated, "gated-runs")
     keys = ["example_id", "candidate_index"]
-    # Only results that pass the gates have their rows compared, each in one way.
-    pending = runs.filter(F.col("gate").isin("ordered", "unordered")).select(
-        *keys, "ordered", "row_count"
-    )
-    modes = gold.select("example_id", "ordered", "gold_row_count")
-    compared = _compare(
-        salted_join(candidate_rows, pending, keys, ["row_idx"], size="row_count"),
-        salted_join(gold_rows, modes, ["example_id"], ["row_idx"], size="gold_row_count"),
+    # Unordered results shrink to one line each before they are shuffled. Ordered ones move
+    # their rows, so only those that pass the gates go on; adaptive execution may split
+    # these joins, as the comparison shuffles by row anew.
+    pending = runs.filter(F.col("gate") == "ordered")
+    places = ordered_mismatches(
+        candidate_rows.join(pending.select(*keys), keys, "left_semi"),
+        gold_rows.join(pending.select("example_id"), "example_id", "left_semi"),
         tolerance,
-    ).withColumnRenamed("covered", "rows_match")
-    judged = runs.join(compared.drop("size"), keys, "left")
+    ).withColumn("_rows_seen", F.lit(True))
+    bags = unordered_matches(candidate_rows, gold_rows, tolerance)
+    judged = runs.join(places, keys, "left").join(bags, keys, "left")
     problems = _empty_problems(
         F.col("sql"), source_tables(F.col("sql")), F.col("gold_tables"), F.col("schema_tables")
     )
-    gate, match = F.col("gate"), F.coalesce("rows_match", F.lit(False))
+    gate = F.col("gate")
+    in_order = F.col("_rows_seen") & F.col("bad_row").isNull()
+    match = F.coalesce(F.when(gate == "ordered", in_order).otherwise(F.col("rows_match")), F.lit(False))
     strict = gate.isin("ordered", "unordered") & match
     problem_list = F.when(gate == "both_empty", problems).otherwise(
         F.array().cast("array<string>")

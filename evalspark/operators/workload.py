@@ -9,17 +9,16 @@ from __future__ import annotations
 import threading
 import time
 import uuid
-from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
 
 from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evalspark.functions.screening import screen
 from evalspark.operators.equivalence import cells
 from evalspark.session import scratch_path
 
-MAX_ROWS = 1000
 TIMEOUT_MS = 30_000
 RUN_SCHEMA = (
     "example_id string, candidate_index int, sql string, success boolean, "
@@ -36,7 +35,7 @@ _TIMED_OUT = 8  # place of ``timed_out`` in a line of the log
 
 def _error(exception: Exception) -> tuple[str, str]:
     condition = exception.getCondition() if isinstance(exception, PySparkException) else None
-    return condition or type(exception).__name__, str(exception).split("\n")[0][:500]
+    return condition or type(exception).__name__, str(exception)
 
 
 def _failed(row, kind: str, message: str, started: float, timed_out: bool = False) -> tuple:
@@ -68,18 +67,14 @@ def _run_query(
         names = result.columns
         unique = [f"c{i}" for i in range(len(names))]
         renamed = result.toDF(*unique)
-        if max_rows is None:
-            # Rows of a sorted result get increasing ids, but with gaps between tasks;
-            # such results suit the unordered comparison only.
-            capped = renamed
-        else:
-            # A limit ends in one task of at most max_rows + 1 rows, in the query's order.
-            capped = renamed.limit(max_rows + 1).coalesce(1)
+        # A limit ends in one task of at most max_rows + 1 rows, in the query's order.
+        capped = renamed if max_rows is None else renamed.limit(max_rows + 1).coalesce(1)
         path = f"{rows_path}/query={tag}"
         seen = Observation()
         capped.observe(seen, F.count(F.lit(1)).alias("n")).select(
             F.lit(row.example_id).alias("example_id"),
             F.lit(row.candidate_index).cast("int").alias("candidate_index"),
+            # Grows with the task, so it keeps a sorted result's order; _dense closes the gaps.
             F.monotonically_increasing_id().alias("row_idx"),
             cells(capped, unique).alias("cells"),
         ).write.parquet(path)
@@ -100,18 +95,51 @@ def _run_query(
         context.removeJobTag(tag)
 
 
+# Bits of a row's number that hold its place within its task; the task is above them.
+_PLACE_BITS = 33
+
+
+def _dense(rows: DataFrame) -> DataFrame:
+    """The rows of all results, each result numbered from 0 without gaps in its own order.
+
+    A row's place is the number of rows of the earlier tasks of its query plus its place
+    within its task, so one count per query and task is all that is summed up.
+    """
+    located = rows.withColumn("task", F.shiftright("row_idx", _PLACE_BITS))
+    before = (
+        Window.partitionBy("query")
+        .orderBy("task")
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    starts = (
+        located.groupBy("query", "task")
+        .agg(F.count("*").alias("n"))
+        .select("query", "task", F.sum("n").over(before).alias("start"))
+        .filter("start > 0")
+    )
+    place = F.col("row_idx").bitwiseAND(F.lit(2**_PLACE_BITS - 1))
+    return located.join(starts, ["query", "task"], "left").select(
+        "example_id",
+        "candidate_index",
+        (F.coalesce("start", F.lit(0)) + place).alias("row_idx"),
+        "cells",
+    )
+
+
 def run_workload(
     spark: SparkSession,
     workload: DataFrame,
-    max_rows: int | None = MAX_ROWS,
+    max_rows: int | None = None,
     timeout_ms: int = TIMEOUT_MS,
     threads: int = 8,
     path: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Run ``example_id, candidate_index, sql`` and return the runs and the result rows.
 
-    A row that is not one read-only statement is logged as such and never run. A query
-    that timed out beside others, which may have held all cores, is run again by itself.
+    A row that is not one read-only statement is logged as such and never run. Queries
+    that timed out beside others, which may have held all cores, are run again one by one
+    when the others are through. ``max_rows`` cuts each result and marks it as truncated;
+    without it results are kept whole.
     """
     path = path or scratch_path(spark, "workload")
     rows_path, runs_path = f"{path}/rows", f"{path}/runs"
@@ -126,31 +154,42 @@ def run_workload(
             return _failed(row, kind, "not run", started)
         return _run_query(spark, row, rows_path, max_rows, timeout_ms)
 
-    def run_all(pool: ThreadPoolExecutor, batch: list) -> list:
-        lines = list(pool.map(run, batch))
-        return [run(row) if line[_TIMED_OUT] else line for row, line in zip(batch, lines)]
-
     spark.createDataFrame([], RUN_SCHEMA).write.mode("append").parquet(runs_path)
 
-    def flush(lines: list) -> None:
+    lines: list = []
+    slow: list = []
+
+    def flush() -> None:
         if lines:
             spark.createDataFrame(lines, RUN_SCHEMA).coalesce(1).write.mode("append").parquet(
                 runs_path
             )
+            lines.clear()
+
+    def keep(finished) -> None:
+        for row, line in (f.result() for f in finished):
+            if line[_TIMED_OUT]:
+                slow.append(row)
+            else:
+                lines.append(line)
+        if len(lines) >= _FLUSH:
+            flush()
 
-    batch: list = []
     with ThreadPoolExecutor(threads) as pool:
-        # Query texts arrive partition by partition and are logged every thousand.
+        # Query texts arrive partition by partition; a new one starts as soon as one ends.
+        waiting: set = set()
         for row in screened.toLocalIterator(prefetchPartitions=True):
-            batch.append(row)
-            if len(batch) == _FLUSH:
-                flush(run_all(pool, batch))
-                batch = []
-        flush(run_all(pool, batch))
+            waiting.add(pool.submit(lambda row=row: (row, run(row))))
+            if len(waiting) >= 2 * threads:
+                done, waiting = wait(waiting, return_when=FIRST_COMPLETED)
+                keep(done)
+        keep(waiting)
+    lines += [run(row) for row in slow]
+    flush()
     runs = spark.read.schema(RUN_SCHEMA).parquet(runs_path)
     if runs.filter("success").limit(1).count() == 0:
         return runs, spark.createDataFrame([], ROW_SCHEMA)
-    rows = spark.read.schema(ROW_SCHEMA).parquet(f"{rows_path}/query=*")
+    rows = _dense(spark.read.schema(f"{ROW_SCHEMA}, query string").parquet(rows_path))
     return runs, rows if max_rows is None else rows.filter(F.col("row_idx") < max_rows)
 
 

@@ -79,7 +79,15 @@ EVALUATION = {
             ("SELECT c_name FROM customer WHERE 1 = 0", "empty_structural_partial"),
             ("SELECT 'x' WHERE 1 = 0", "empty_unverified"),
             ("SELECT s_name FROM supplier WHERE 1 = 0", "empty_unverified"),
-            ("SELECT c_name FROM customer", "truncated_unverified"),
+            ("SELECT c_name FROM customer", "not_equivalent"),
+        ],
+    ),
+    "all-lines": (
+        "SELECT l_orderkey, l_linenumber FROM lineitem ORDER BY l_orderkey, l_linenumber",
+        [
+            ("SELECT l_orderkey + 0, l_linenumber FROM lineitem ORDER BY 1, 2", "ordered_rows"),
+            ("SELECT l_orderkey, l_linenumber FROM lineitem ORDER BY l_linenumber, l_orderkey", "not_equivalent"),
+            ("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey > 1", "not_equivalent"),
         ],
     ),
     "flag-lines": (

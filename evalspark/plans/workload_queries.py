@@ -46,7 +46,6 @@ _BROKEN = {
     "not-a-read": ("UPDATE orders SET o_custkey = 1", "unsafe_sql"),
     "not-sql": ("hello there", "syntax_error"),
 }
-_CAP = workload.MAX_ROWS
 
 
 @query(
@@ -54,7 +53,7 @@ _CAP = workload.MAX_ROWS
     "\nUNION ALL ".join(
         [
             f"""SELECT '{name}' AS example_id, true AS success, 'none' AS error_type,
-              least(count(*), {_CAP}) AS row_count, count(*) > {_CAP} AS truncated FROM ({text})"""
+              count(*) AS row_count, false AS truncated FROM ({text})"""
             for name, text in SHAPES.items()
         ]
         + [f"SELECT '{k}', false, '{kind}', 0, false" for k, (_, kind) in _BROKEN.items()]
@@ -65,7 +64,7 @@ def workload_audit(t: Tables):
     register_views(t)
     texts = {**SHAPES, **{k: text for k, (text, _) in _BROKEN.items()}}
     rows = [(name, 0, text) for name, text in texts.items()]
-    runs, _ = workload.run_workload(t.spark, _workload(t, rows), max_rows=_CAP)
+    runs, _ = workload.run_workload(t.spark, _workload(t, rows))
     return runs.select("example_id", "success", "error_type", "row_count", "truncated")
 
 
@@ -75,16 +74,16 @@ def evaluation_run(t: Tables) -> tuple[DataFrame, DataFrame]:
     spark = t.spark
     gold = [(example, 0, sql) for example, (sql, _) in EVALUATION.items()]
     answers = [
-        (example, k, sql, f"<sql>\n{sql}\n</sql>")
-        for example, (_, candidates) in EVALUATION.items()
+        (example, k, gold_sql, f"<sql>\n{sql}\n</sql>")
+        for example, (gold_sql, candidates) in EVALUATION.items()
         for k, (sql, _) in enumerate(candidates)
     ]
     completions = spark.createDataFrame(
-        answers, "example_id string, candidate_index int, wrote string, raw string"
+        answers, "example_id string, candidate_index int, gold_sql string, raw string"
     ).withColumn("sql", parse_completion(F.col("raw"))["sql"])
-    gold_runs, gold_rows = workload.run_workload(spark, _workload(t, gold), max_rows=100)
+    gold_runs, gold_rows = workload.run_workload(spark, _workload(t, gold))
     runs, rows = workload.run_workload(
-        spark, completions.select("example_id", "candidate_index", "sql"), max_rows=100
+        spark, completions.select("example_id", "candidate_index", "sql")
     )
     names = catalog.table_names(catalog.catalog_of_views(spark, "tables"))
     known = names.select(F.col("tables").alias("schema_tables"), F.lit(1).alias("_one"))
@@ -93,7 +92,9 @@ def evaluation_run(t: Tables) -> tuple[DataFrame, DataFrame]:
     header = runs.select(
         "example_id", "candidate_index", "success", "timed_out", "error_type", "error_message", "duration_ms"
     )
-    return completions, judged.join(header, ["example_id", "candidate_index"])
+    keys = ["example_id", "candidate_index"]
+    timed = completions.join(runs.select(*keys, F.col("duration_ms").alias("latency_ms")), keys, "left")
+    return timed, judged.join(header, keys)
 
 
 _KIND = {
@@ -154,7 +155,7 @@ def _bucket(kind: str, example: str, k: int) -> str:
     "workload_evaluation",
     "SELECT error_bucket, count(*) AS n FROM (VALUES "
     + ", ".join(f"('{_bucket(kind, e, k)}')" for (e, k), kind in _KIND.items())
-    + ") AS v(error_bucket), (SELECT count(*) FROM orders) GROUP BY error_bucket",
+    + ") AS v(error_bucket) GROUP BY error_bucket",
 )
 def workload_evaluation(t: Tables):
     """Evaluation records of the run, by error bucket."""
@@ -169,8 +170,8 @@ def evaluation_of(t: Tables) -> DataFrame:
         "raw",
         F.lit("dev").alias("split"),
         F.lit("tables").alias("db_id"),
-        F.lit("").alias("gold_sql"),
-        F.lit(0.0).alias("latency_ms"),
+        "gold_sql",
+        "latency_ms",
     )
     told = judged.withColumn("error_message", workload.logged_message())
     return scoring.evaluation_records(scoring.parsed(texts, "raw"), told)

@@ -183,3 +183,28 @@ def test_row_cap(spark):
     kept, sizes = eq.apply_row_cap(rows, ["example_id"], 5)
     assert kept.count() == 5
     assert sizes.first()[1:] == (5, True)
+
+
+def test_wide_numbers_and_bytes(spark):
+    """Neighbours of many digits differ; equal numbers of several types are one."""
+    big = Decimal(10**25)
+    frame = spark.createDataFrame(
+        [(big + 1, big + 2, Decimal("10000000000000000000001.0000005"), 1e25, b"\xff\x01", b"caf\xc3\xa9")],
+        "a decimal(38,0), b decimal(38,0), c decimal(38,10), d double, e binary, f binary",
+    )
+    cells = eq.cells(frame, frame.columns)
+    texts = frame.select(F.transform(cells, lambda c: eq.normalize_cell(c))).first()[0]
+    assert texts[0] == f"num:{10**31 + 10**6}" and texts[1] == f"num:{10**31 + 2 * 10**6}"
+    # Half a step goes to the even one.
+    assert texts[2] == f"num:{(10**22 + 1) * 10**6}"
+    assert texts[3] == f"num:{10**31}"
+    assert texts[4:] == ["bytes:FF01", "str:caf\u00e9"]
+    exact = frame.select(F.transform(cells, lambda c: eq.normalize_cell(c, 0))).first()[0]
+    assert exact[0] != exact[1]
+
+
+def test_depth_of_order(spark):
+    deep = "SELECT * FROM " + "(" * 9 + "SELECT 1 ORDER BY 1" + ")" * 9 + " t"
+    texts = [deep, deep + " ORDER BY 1", deep + ")) ORDER BY 1"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "i int, s string").orderBy("i")
+    assert [r[0] for r in frame.select(outer_order_by(F.col("s"))).collect()] == [False, True, True]

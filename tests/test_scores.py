@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evalspark.functions.prompts import FEEDBACK_PARSE, FEEDBACK_UNSAFE, FEEDBACK_WRONG, retry_feedback
-from evalspark.operators import latency, metrics, rows, signal, stats, validate, workflow, workload
+from evalspark.operators import equivalence, latency, metrics, rows, signal, stats, validate, workflow, workload
 from evalspark.session import scratch_path
 from evalspark.streaming import intake
 from test_rules import examples
@@ -256,3 +256,36 @@ def test_workload_timeout_and_errors(spark):
     assert [r.cells[0].str for r in values] == ["4", "3", "2", "1", "0"]
     assert found.filter("example_id = 'long'").count() == 10
     assert {r.outcome: r.n for r in workload.run_summary(runs).collect()}["success"] == 2
+
+
+def test_whole_results_keep_their_order(spark):
+    """A sorted result of several tasks is numbered without gaps and judged as with a cap."""
+    settings = {
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.shuffle.partitions": "5",
+    }
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        spark.range(0, 20_000, 1, 7).createOrReplaceTempView("numbers")
+        gold = [("up", 0, "SELECT id % 1000 AS x, id FROM numbers ORDER BY x, id")]
+        mine = [
+            ("up", 0, "SELECT id % 1000, id + 0 FROM numbers ORDER BY 1, 2 LIMIT 30000"),
+            ("up", 1, "SELECT id % 1000 AS x, id FROM numbers ORDER BY x, id DESC"),
+            ("up", 2, "SELECT id % 1000 AS x, id FROM numbers WHERE id < 19999 ORDER BY x, id"),
+        ]
+        schema = "example_id string, candidate_index int, sql string"
+        kinds = []
+        for cap in (None, 50_000):
+            gold_runs, gold_rows = workload.run_workload(spark, spark.createDataFrame(gold, schema), cap)
+            runs, rows = workload.run_workload(spark, spark.createDataFrame(mine, schema), cap)
+            places = sorted(r.row_idx for r in gold_rows.select("row_idx").collect())
+            assert places == list(range(20_000))
+            known = gold_runs.drop("candidate_index")
+            judged = equivalence.verdicts(runs, known, rows, gold_rows.drop("candidate_index"))
+            kinds.append([r.kind for r in judged.orderBy("candidate_index").collect()])
+        assert kinds == [["ordered_rows", "not_equivalent", "not_equivalent"]] * 2
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
