@@ -289,3 +289,21 @@ def test_whole_results_keep_their_order(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_workload_refuses_hazards(spark):
+    """What would run code or read files is logged as unsafe and leaves no rows."""
+    texts = [
+        "SELECT java_method('java.lang.Math', 'abs', 1)",
+        "SELECT reflect('java.lang.Math', 'abs', 1)",
+        "SELECT TRANSFORM(id) USING 'cat' AS (x) FROM range(2)",
+        "SELECT * FROM text.`/etc/hostname`",
+        "(SELECT 1 AS x) UNION (SELECT 2)",
+    ]
+    frame = spark.createDataFrame(
+        [(f"h{i}", 0, t) for i, t in enumerate(texts)], "example_id string, candidate_index int, sql string"
+    )
+    runs, found = workload.run_workload(spark, frame)
+    kinds = [r.error_type for r in runs.orderBy("example_id").collect()]
+    assert kinds == ["unsafe_sql"] * 4 + ["none"]
+    assert [r.example_id for r in found.collect()] == ["h4"] * 2
