@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalspark.functions.identity import fingerprint_number, sha256
-from evalspark.operators.validate import DataError
 
 _PRIME = 1_000_000_007
-LISTED_IDS = 1_000_000
 LEAF_DIGITS = 4  # 16**4 leaves, so that a leaf of 10**11 ids still fits a task
 
 
@@ -51,17 +53,30 @@ def set_tree_hash(df: DataFrame, key: str, group: list[str] | None = None) -> Da
     )
 
 
-def listed_set_hash(df: DataFrame, key: str, at_most: int = LISTED_IDS) -> DataFrame:
+def listed_set_hash(df: DataFrame, key: str) -> DataFrame:
     """The published manifests' form: one hash over all sorted ids.
 
-    It needs all ids in one place, so it refuses sets above a size that one task holds;
-    ``set_tree_hash`` has no such limit.
+    The form is one running hash, so one task reads the sorted ids as a stream and holds a
+    batch at a time; the ids are made distinct before, in parallel. ``set_tree_hash`` is the
+    form for sets whose hash should be spread out too. Null ids count but are not hashed.
     """
-    ids = df.select(key).distinct()
-    if ids.limit(at_most + 1).count() > at_most:
-        raise DataError(f"more than {at_most} ids; use set_tree_hash")
-    listed = F.array_join(F.array_sort(F.collect_list(key)), "\n")
-    return ids.agg(sha256(listed).alias("ids_hash"), F.count("*").alias("n"))
+    ids = df.select(F.col(key).cast("string").alias("id")).distinct().repartition(1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        running, n, hashed = hashlib.sha256(), 0, False
+        for batch in batches:
+            n += batch.num_rows
+            listed = [i for i in batch.column(0).to_pylist() if i is not None]
+            if listed:
+                running.update(("\n" * hashed + "\n".join(listed)).encode())
+                hashed = True
+        yield pa.RecordBatch.from_pydict({"ids_hash": [running.hexdigest()], "n": [n]})
+
+    hashed = ids.sortWithinPartitions("id").mapInArrow(run, "ids_hash string, n bigint")
+    return hashed.agg(
+        F.coalesce(F.max("ids_hash"), F.sha2(F.lit(""), 256)).alias("ids_hash"),
+        F.coalesce(F.max("n"), F.lit(0)).alias("n"),
+    )
 
 
 def schema_set_hash(entries: DataFrame) -> DataFrame:

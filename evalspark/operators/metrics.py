@@ -15,6 +15,25 @@ def _ratio(part: Column, whole: Column, digits: int = 4) -> Column:
     return F.when(whole > 0, F.round(part / whole, digits)).otherwise(0.0)
 
 
+def _rolled(records: DataFrame, column: str, size: str, aggregates: list[Column]) -> DataFrame:
+    """Aggregates overall (``ALL``) and per value of ``column``, in one pass.
+
+    Without records there is still the overall row, with the aggregates of no rows; it is
+    made from none and gives way to the real one, whose count (``size``) is larger.
+    """
+    rolled = records.rollup(column).agg(F.grouping_id().cast("int").alias("_all"), *aggregates)
+    nothing = records.limit(0).agg(F.lit(None).cast("string").alias(column), F.lit(1).alias("_all"), *aggregates)
+    names = [c for c in rolled.columns if c not in (column, "_all", size)]
+    return (
+        rolled.unionByName(nothing)
+        .groupBy("_all", column)
+        .agg(F.max_by(F.struct(size, *names), size).alias("_of"))
+        .select(
+            F.when(F.col("_all") == 1, "ALL").otherwise(F.col(column)).alias(column), "_of.*"
+        )
+    )
+
+
 def evaluation_metrics(records: DataFrame) -> DataFrame:
     """All rates overall (``split`` is ``ALL``) and per split, in one pass.
 
@@ -32,10 +51,7 @@ def evaluation_metrics(records: DataFrame) -> DataFrame:
         rate("verification_partial").alias("partial_equivalence_rate"),
         F.avg("latency_ms").alias("mean_latency_ms"),
     ]
-    rolled = records.rollup("split").agg(F.grouping_id().alias("_all"), *aggregates)
-    return rolled.withColumn(
-        "split", F.when(F.col("_all") == 1, "ALL").otherwise(F.col("split"))
-    ).drop("_all")
+    return _rolled(records, "split", "num_examples", aggregates)
 
 
 def bucket_counts(records: DataFrame, column: str = "error_bucket") -> DataFrame:
@@ -85,8 +101,7 @@ def mode_rates(records: DataFrame) -> DataFrame:
     def rounded(condition: str | Column, name: str) -> Column:
         return F.round(rate(condition), 4).alias(name)
 
-    rolled = records.rollup("mode").agg(
-        F.grouping_id().alias("_all"),
+    aggregates = [
         F.count("*").alias("records"),
         rounded("format_valid", "format_valid_rate"),
         rounded("sql_parse_valid", "parse_valid_rate"),
@@ -99,10 +114,8 @@ def mode_rates(records: DataFrame) -> DataFrame:
         F.round(F.avg(F.coalesce("completion_token_count", F.lit(0))), 2).alias(
             "mean_completion_tokens"
         ),
-    )
-    return rolled.withColumn(
-        "mode", F.when(F.col("_all") == 1, "ALL").otherwise(F.col("mode"))
-    ).drop("_all")
+    ]
+    return _rolled(records, "mode", "records", aggregates)
 
 
 def teacher_metrics(candidates: DataFrame, requested: DataFrame) -> DataFrame:

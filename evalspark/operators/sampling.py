@@ -10,6 +10,8 @@ from evalspark.operators.leakage import digest
 from evalspark.operators.ranking import hash_rank
 from evalspark.operators.validate import DataError
 
+TURN_BLOCK = 4096  # turns that are summed up together
+
 
 def round_robin_quotas(df: DataFrame, stratum: str, size: int, cover_all: bool = False) -> DataFrame:
     """How many rows each stratum gives when strata take turns, in name order.
@@ -62,10 +64,23 @@ def round_robin_sample(
 
 
 def with_selection_order(sample: DataFrame, stratum: str) -> DataFrame:
-    """Number a round-robin sample turn by turn, strata in name order within a turn."""
-    turns = sample.groupBy("rn").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("rn").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = turns.select("rn", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    """Number a round-robin sample turn by turn, strata in name order within a turn.
+
+    Turns are summed up in blocks, so that no task passes over every turn.
+    """
+    block = F.floor(F.col("rn") / TURN_BLOCK).alias("_block")
+    turns = sample.groupBy("rn").agg(F.count("*").alias("_n")).select("rn", "_n", block)
+
+    def before(window) -> Column:
+        earlier = window.rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum("_n").over(earlier), F.lit(0))
+
+    blocks = turns.groupBy("_block").agg(F.sum("_n").alias("_n"))
+    starts = blocks.select("_block", before(Window.orderBy("_block")).alias("_start"))
+    inside = turns.withColumn("_inside", before(Window.partitionBy("_block").orderBy("rn")))
+    offsets = inside.join(starts, "_block").select(
+        "rn", (F.col("_start") + F.col("_inside")).alias("_offset")
+    )
     place = F.row_number().over(Window.partitionBy("rn").orderBy(stratum))
     return (
         sample.withColumn("_place", place)
@@ -83,11 +98,12 @@ def train_validation_split(
     if train.limit(size + 1).count() <= size:
         raise DataError(f"need more than {size} training rows")
     chosen = round_robin_sample(train.select(stratum, key), stratum, key, size, seed)
-    validation = train.join(chosen.select(key), key, "left_semi").withColumn(
-        "split", F.lit("validation_tuning")
+    label = chosen.select(key).distinct().withColumn("_split", F.lit("validation_tuning"))
+    return (
+        train.join(label, key, "left")
+        .withColumn("split", F.coalesce("_split", "split"))
+        .select(*examples.columns)
     )
-    core = train.join(chosen.select(key), key, "left_anti")
-    return core.unionByName(validation)
 
 
 def select_for_collection(

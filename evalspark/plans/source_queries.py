@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from evalspark.plans.registry import Tables, query
@@ -64,20 +67,25 @@ def raw_source(t: Tables):
     """SELECT conv_id, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations GROUP BY 1""",
 )
 def json_documents(t: Tables):
-    """Documents that each hold a JSON array of records, here one document per turn."""
+    """Files that each hold one JSON array of records, here a file per task of the writer."""
     path = scratch_path(t.spark, "arrays")
     turn = F.struct(F.col("conv_id").cast("string").alias("db_id"), F.col("text").alias("question"))
-    t.conversations.select(F.to_json(F.array(turn)).alias("value")).write.text(path)
-    documents = t.spark.read.text(path).select(
-        F.explode(F.from_json("value", f"array<struct<{_fields(schemas.RAW_SOURCE)}>>")).alias("r")
-    )
-    return documents.groupBy(F.col("r.db_id").cast("bigint").alias("conv_id")).agg(
-        F.count("*").alias("n"), F.sum(F.length("r.question")).alias("chars")
+    records = t.conversations.select(F.to_json(turn).alias("value"))
+    records.mapInArrow(_as_array, "value string").write.text(path)
+    read = jsonl.read_json_document(t.spark, path, schemas.RAW_SOURCE)
+    return read.groupBy(F.col("db_id").cast("bigint").alias("conv_id")).agg(
+        F.count("*").alias("n"), F.sum(F.length("question")).alias("chars")
     )
 
 
-def _fields(schema: str) -> str:
-    return ", ".join("{}: {}".format(*field.strip().split(" ", 1)) for field in schema.split(","))
+def _as_array(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines of records with the brackets and commas of one array around them."""
+    start = "["
+    for batch in batches:
+        for line in batch.column(0).to_pylist():
+            yield pa.RecordBatch.from_pydict({"value": [start + line]})
+            start = ","
+    yield pa.RecordBatch.from_pydict({"value": ["[]" if start == "[" else "]"]})
 
 
 @query(

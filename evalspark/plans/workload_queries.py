@@ -12,6 +12,7 @@ from evalspark.operators import equivalence, metrics, scoring, workload
 from evalspark.plans.adapters import BASE
 from evalspark.plans.registry import Tables, query
 from evalspark.plans.workload import EVALUATION, SHAPES
+from evalspark.session import scratch_path
 from evalspark.sources import catalog
 
 
@@ -68,6 +69,37 @@ def workload_audit(t: Tables):
     return runs.select("example_id", "success", "error_type", "row_count", "truncated")
 
 
+_REUSED = {
+    name: SHAPES[name] for name in ("w_projection", "w_join_group", "w_order")
+}
+
+
+@query(
+    "gold_reuse",
+    "\nUNION ALL ".join(
+        f"SELECT '{name}' AS example_id, count(*) AS row_count, true AS reused FROM ({text})"
+        for name, text in _REUSED.items()
+    ),
+)
+def gold_reuse(t: Tables):
+    """Gold run once and judged with again: the second call reads the stored rows."""
+    register_views(t)
+    gold = _workload(t, [(name, 0, text) for name, text in _REUSED.items()])
+    dataset, print_of = F.lit("0" * 64), F.lit(None).cast("string")
+    key = equivalence.cache_key(dataset, print_of, F.lit("tables"), F.col("example_id"), F.col("sql"))
+    keyed = gold.withColumn("cache_key", key)
+    store = scratch_path(t.spark, "gold")
+    workload.run_gold(t.spark, keyed, store)
+    _, rows, hits = workload.run_gold(t.spark, keyed, store)
+    reused = keyed.join(hits.withColumn("reused", F.lit(True)), "cache_key", "left")
+    counts = rows.groupBy("example_id").agg(F.count("*").alias("row_count"))
+    return reused.join(counts, "example_id", "left").select(
+        "example_id",
+        F.coalesce("row_count", F.lit(0)).alias("row_count"),
+        F.coalesce("reused", F.lit(False)).alias("reused"),
+    )
+
+
 def evaluation_run(t: Tables) -> tuple[DataFrame, DataFrame]:
     """Completions of the evaluation workload, parsed, and the verdicts of what was run."""
     register_views(t)

@@ -30,7 +30,7 @@ def test_metrics_of_four_records(spark):
     assert total.mean_latency_ms == 1.0 and total.num_examples == 4
     assert found["dev"].execution_accuracy == pytest.approx(1 / 3)
     nothing = metrics.evaluation_metrics(spark.createDataFrame([], fields)).collect()
-    assert [(r.execution_accuracy, r.mean_latency_ms) for r in nothing] in ([], [(0.0, None)])
+    assert [(r.split, r.num_examples, r.execution_accuracy, r.mean_latency_ms) for r in nothing] == [("ALL", 0, 0.0, None)]
 
 
 def _samples(spark, *items):
@@ -307,3 +307,23 @@ def test_workload_refuses_hazards(spark):
     kinds = [r.error_type for r in runs.orderBy("example_id").collect()]
     assert kinds == ["unsafe_sql"] * 4 + ["none"]
     assert [r.example_id for r in found.collect()] == ["h4"] * 2
+
+
+def test_gold_is_reused_while_its_key_stays(spark):
+    store = scratch_path(spark, "gold")
+    schema = "example_id string, candidate_index int, sql string"
+
+    def run(*texts):
+        frame = spark.createDataFrame([(f"e{i}", 0, sql) for i, sql in enumerate(texts)], schema)
+        keyed = frame.withColumn("cache_key", F.concat_ws("/", "example_id", "sql"))
+        runs, found, hits = workload.run_gold(spark, keyed, store)
+        counts = {r.example_id: r["count"] for r in found.groupBy("example_id").count().collect()}
+        return {r.example_id: (r.success, r.duration_ms) for r in runs.collect()}, counts, hits.count()
+
+    first, counts, hits = run("SELECT id FROM range(5)", "SELECT none FROM nowhere", "SELECT id FROM range(0)")
+    assert (counts, hits) == ({"e0": 5}, 0)
+    again, counts, hits = run("SELECT id FROM range(5)", "SELECT none FROM nowhere", "SELECT id FROM range(0)")
+    assert (counts, hits) == ({"e0": 5}, 2)
+    assert again["e0"] == first["e0"] and again["e2"] == first["e2"] and not again["e1"][0]
+    changed, counts, hits = run("SELECT id FROM range(7)")
+    assert (counts, hits) == ({"e0": 7}, 0) and set(changed) == {"e0"}
