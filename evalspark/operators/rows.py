@@ -15,7 +15,6 @@ from evalspark.operators.sampling import first_n
 from evalspark.operators.validate import (
     apply_split_policy,
     assert_calibration_splits,
-    one_row,
     require_empty,
 )
 from evalspark.session import materialize
@@ -139,12 +138,12 @@ def paired_targets(
     if require_all:
         require_empty(dropped, "example_id", "no verified candidate", TargetMissing)
     paired = gold.join(targets, "example_id").withColumnRenamed("target_sql", "distilled_sql")
-    summary = one_row(
-        {
-            "requested_count": gold.agg(F.count("*")),
-            "paired_count": paired.agg(F.count("*")),
-            "dropped_count": dropped.agg(F.count("*")),
-        }
+    found = targets.select("example_id", F.lit(True).alias("found"))
+    told = gold.select("example_id").join(found, "example_id", "left")
+    summary = told.agg(
+        F.count("*").alias("requested_count"),
+        F.count("found").alias("paired_count"),
+        F.count_if(F.col("found").isNull()).alias("dropped_count"),
     ).withColumn(
         "coverage",
         F.when(F.col("requested_count") > 0, F.col("paired_count") / F.col("requested_count"))

@@ -184,30 +184,32 @@ def audit(
     # Counted per database first: a hot database is one row by the time it is joined.
     per_db = examples.groupBy("db_id").agg(F.count("*").alias("n"))
     unknown = per_db.join(registry.select("db_id").distinct(), "db_id", "left_anti")
-    parts = {
-        "examples": examples.agg(F.count("*")),
-        "splits": examples.agg(F.count_distinct("split")),
-        "missing_db": unknown.agg(F.coalesce(F.sum("n"), F.lit(0))),
-        "leaks": violations.agg(F.count("*")),
-        "gold_total": gold_runs.agg(F.count("*")),
-        "gold_success": gold_runs.agg(count_where("success")),
-    }
+    parts = [
+        examples.agg(F.count("*").alias("examples"), F.count_distinct("split").alias("splits")),
+        unknown.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("missing_db")),
+        violations.agg(F.count("*").alias("leaks")),
+        gold_runs.agg(F.count("*").alias("gold_total"), count_where("success").alias("gold_success")),
+    ]
     if candidates is not None:
         verified = F.expr("parse_valid and safe and execution_success and execution_equivalent")
-        parts["candidates"] = candidates.agg(F.count("*"))
-        parts["verified"] = candidates.agg(count_where(verified))
-    return one_row(parts).withColumn(
+        parts.append(
+            candidates.agg(F.count("*").alias("candidates"), count_where(verified).alias("verified"))
+        )
+    return one_row(*parts).withColumn(
         "ok", F.expr("missing_db = 0 and leaks = 0 and gold_success = gold_total")
     )
 
 
-def one_row(parts: dict[str, DataFrame]) -> DataFrame:
-    """Put single-number frames side by side as the columns of one row."""
-    long = reduce(
-        DataFrame.unionAll,
-        [part.toDF("value").select(F.lit(name).alias("name"), "value") for name, part in parts.items()],
-    )
-    return long.agg(*[F.max(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in parts])
+def one_row(*parts: DataFrame) -> DataFrame:
+    """Put the counts of one-row frames side by side as the columns of one row."""
+
+    def long(part: DataFrame) -> DataFrame:
+        cells = [F.struct(F.lit(c).alias("name"), F.col(c).alias("value")) for c in part.columns]
+        return part.select(F.inline(F.array(*cells)))
+
+    names = [name for part in parts for name in part.columns]
+    values = [F.max(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in names]
+    return reduce(DataFrame.unionAll, map(long, parts)).agg(*values)
 
 
 # All a generator may know besides the prompt.

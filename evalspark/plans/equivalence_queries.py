@@ -252,7 +252,7 @@ def gold_cache(t: Tables):
     hits, misses = equivalence.cache_lookup(wanted, cached)
     from evalspark.operators.validate import one_row
 
-    return one_row({"hits": hits.agg(F.count("*")), "misses": misses.agg(F.count("*"))})
+    return one_row(hits.agg(F.count("*").alias("hits")), misses.agg(F.count("*").alias("misses")))
 
 
 @query(
