@@ -151,12 +151,14 @@ def _round_robin(rows, size, seed):
     return chosen
 
 
+@pytest.mark.parametrize("block", [3, sampling.TURN_BLOCK])
 @pytest.mark.parametrize("size", [1, 3, 7, 20, 41, 60, 99, 200])
-def test_round_robin_against_the_loop(spark, size):
+def test_round_robin_against_the_loop(spark, monkeypatch, size, block):
     sizes = {"a": 33, "b": 1, "c": 7, "d": 7, "e": 51}
     rows = [(s, f"{s}{i}") for s, n in sizes.items() for i in range(n)]
     frame = spark.createDataFrame(rows, "db_id string, example_id string")
     sample = sampling.round_robin_sample(frame, "db_id", "example_id", size, 5)
+    monkeypatch.setattr(sampling, "TURN_BLOCK", block)
     got = sampling.with_selection_order(sample, "db_id").orderBy("selection_order").collect()
     assert [(r.example_id, r.db_id) for r in got] == _round_robin(rows, size, 5)
     assert [r.selection_order for r in got] == list(range(1, min(size, len(rows)) + 1))
