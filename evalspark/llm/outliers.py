@@ -1,8 +1,8 @@
 """Quality rules: document statistics, and robust outliers within each language and source.
 
 Location and scatter of each group come from a minimum covariance determinant search: from the
-medians, keep the share of documents nearest by Mahalanobis distance, estimate anew from them,
-repeat. A step is one pass over a narrow table with map-side sums per group and distance bin.
+medians, keep the half of the documents nearest by Mahalanobis distance, estimate anew from them,
+repeat until no group's determinant falls. A step is one pass over a narrow table with map-side sums per group and distance bin.
 No group is ever gathered in one task, whatever share of the rows it holds.
 """
 
@@ -25,15 +25,19 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 
 # The transformed statistics and the least spread each is given. A statistic that is zero in
-# nearly all documents would otherwise turn its first small value into an outlier.
+# nearly all documents would otherwise turn its first small value into an outlier. Each is small
+# enough for its statistic to reject a document alone.
 FEATURES = ("log_words", "word_length", "symbol_share", "dup_line_share", "repeat_share")
-LEAST_SPREAD = (0.6, 0.6, 0.06, 0.12, 0.12)
+LEAST_SPREAD = (0.3, 0.3, 0.03, 0.05, 0.07)
 P = len(FEATURES)
-# Share of a group's documents that the estimates rest on.
-SUPPORT = 0.75
-STEPS = 4
+# Share of a group's documents that the estimates rest on: with half of them, nearly half may be
+# junk. The least spreads keep the scatter regular, for which h = (n + p + 1) / 2 adds its p + 1.
+SUPPORT = 0.5
+# A group rests once a step lowers its determinant by less than this share. Steps at most.
+LEAST_FALL = 1e-9
+STEPS = 100
 # A document is rejected if a document of its group would lie so far out with a smaller chance.
-TAIL = 1e-8
+TAIL = 1e-3
 # Rows of a group are spread over this many join keys.
 SALTS = 64
 # Bins per doubling of the squared distance.
@@ -123,11 +127,16 @@ def _floor() -> np.ndarray:
 def _parameters(grp: str, center: np.ndarray, scatter: np.ndarray) -> pd.DataFrame:
     inverse = np.linalg.inv(scatter)
     return pd.DataFrame(
-        {"grp": [grp], "center": [center.tolist()], "inverse": [inverse.ravel().tolist()]}
+        {
+            "grp": [grp],
+            "center": [center.tolist()],
+            "inverse": [inverse.ravel().tolist()],
+            "det": [float(np.linalg.det(scatter))],
+        }
     )
 
 
-_PARAMETERS = "grp string, center array<double>, inverse array<double>"
+_PARAMETERS = "grp string, center array<double>, inverse array<double>, det double"
 
 
 def _start(data: DataFrame) -> DataFrame:
@@ -153,7 +162,8 @@ def _start(data: DataFrame) -> DataFrame:
             center[f], spread[f] = mid, (high - low) / 1.349
         return _parameters(key[0], center, np.diag(spread**2) + _floor())
 
-    return counts.groupBy("grp").applyInPandas(of, _PARAMETERS)
+    # The quartiles' determinant is no step's: the first step always counts.
+    return counts.groupBy("grp").applyInPandas(of, _PARAMETERS).withColumn("det", F.lit(math.inf))
 
 
 def _distance() -> Column:
@@ -167,7 +177,8 @@ def _distance() -> Column:
 
 def _joined(data: DataFrame, parameters: DataFrame) -> DataFrame:
     """Each row with its group's estimates; the rows of a group go to ``SALTS`` keys."""
-    copies = parameters.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    copies = parameters.select("grp", "center", "inverse", salt)
     return data.join(copies, ["grp", "salt"]).withColumn("distance", _distance())
 
 
@@ -204,6 +215,17 @@ def _concentrate(data: DataFrame, parameters: DataFrame) -> DataFrame:
     return sums.groupBy("grp").applyInPandas(of, _PARAMETERS)
 
 
+def _improved(before: DataFrame, after: DataFrame) -> DataFrame:
+    """The estimates of ``after`` where their determinant is smaller, else those of ``before``."""
+    names = ("center", "inverse", "det")
+    old = before.select("grp", *(F.col(c).alias(f"old_{c}") for c in names))
+    return (
+        after.join(old, "grp")
+        .withColumn("moved", F.col("det") < F.col("old_det") * (1 - LEAST_FALL))
+        .select("grp", *(F.when(F.col("moved"), F.col(c)).otherwise(F.col(f"old_{c}")).alias(c) for c in names), "moved")
+    )
+
+
 def _share_of_scatter(share: float) -> float:
     """Chance that a chi-square with two more degrees of freedom stays below that quantile."""
     x = chi_square_quantile(share, P)
@@ -219,7 +241,7 @@ def _reweighted(data: DataFrame, parameters: DataFrame) -> DataFrame:
 
     def build():
         def work(groups, counts, *sums):
-            out = {"grp": [], "center": [], "inverse": []}
+            out = {"grp": [], "center": [], "inverse": [], "det": []}
             for grp, n, *values in zip(groups, counts, *sums):
                 center, scatter = _estimate(dict(zip(columns, values), n=n))
                 row = _parameters(grp, center, scatter + _floor()).iloc[0]
@@ -246,7 +268,9 @@ def quality(docs: DataFrame) -> DataFrame:
     data = _with_features(materialize(statistics(docs), "quality-statistics"))
     parameters = materialize(_start(data), "quality-start")
     for _ in range(STEPS):
-        parameters = materialize(_concentrate(data, parameters), "quality-step")
+        parameters = materialize(_improved(parameters, _concentrate(data, parameters)), "quality-step")
+        if not parameters.filter("moved").head(1):
+            break
     parameters = materialize(_reweighted(data, parameters), "quality-estimates")
     failed = (F.col("n_words") < MIN_WORDS) | (
         F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT

@@ -129,6 +129,22 @@ def test_outliers_of_one_group(spark):
     assert {r.doc_id for r in got.filter("not kept").collect()} == set(range(60, 72))
 
 
+def test_outliers_of_a_group_with_much_junk(spark):
+    draw = random.Random(5)
+
+    def text(mark):
+        return " ".join(f"{draw.choice('abcdefg')}{draw.randrange(9000)}{next(mark)}" for _ in range(draw.randint(80, 300)))
+
+    plain = [text(itertools.repeat("")) for _ in range(60)]
+    junk = [text(itertools.repeat("#$%")) for _ in range(40)]
+    mild = [text(itertools.cycle(["#", "", ""])) for _ in range(4)]
+    lines = [plain[i].replace(" ", "\n") + "\nagain" * 15 for i in range(2)]
+    for some in (junk, mild, lines):
+        rows = [(i, t, "en", "s") for i, t in enumerate(plain + some)]
+        got = outliers.quality(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string"))
+        assert {r.doc_id for r in got.filter("not kept").collect()} == set(range(60, len(rows)))
+
+
 def test_concentration_equals_plain_numpy(spark, given):
     """The distances are those of the same search with sorting instead of bins and salts."""
     got = {r.doc_id: r for r in outliers.quality(given).collect()}
