@@ -365,6 +365,18 @@ def test_notices(spark):
     assert "-free" in found.differences and "+fee" in found.differences
 
 
+def test_notices_in_longer_blocks():
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    draw = random.Random(4)
+    for size in (8, 40, 200, 4000):
+        prose = " ".join("".join(draw.choices("abdefgiklmnopqrstuvwxyz", k=draw.randint(2, 9))) for _ in range(size))
+        for name, template in licenses.TEMPLATES:
+            if name in ("MPL-2.0", "CC0-1.0"):
+                continue
+            for block in (f"{prose} {template} {prose[:50]}", f"Copyright (c) 2019-2021 The Example Authors. All rights reserved.\n{template}"):
+                assert name in [f["license"] for f in scanner.scan(block)]
+
+
 def test_toxicity_holds_out(spark):
     docs, labels = table(spark, "/root/testdata/sf0.1", "documents"), table(spark, "/root/testdata/sf0.1", "labels")
     rows = toxicity.toxicity(docs, labels).join(labels, "doc_id").collect()
