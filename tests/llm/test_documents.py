@@ -371,12 +371,22 @@ def test_notices_in_longer_blocks():
     for size in (8, 40, 200, 4000):
         prose = " ".join("".join(draw.choices("abdefgiklmnopqrstuvwxyz", k=draw.randint(2, 9))) for _ in range(size))
         for name, template in licenses.TEMPLATES:
-            if name in ("MPL-2.0", "CC0-1.0"):
-                continue
             for block in (f"{prose} {template} {prose[:50]}", f"Copyright (c) 2019-2021 The Example Authors. All rights reserved.\n{template}"):
                 assert name in [f["license"] for f in scanner.scan(block)]
 
 
+def test_every_notice_of_a_block():
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    dual = "Released under the MIT License. Licensed under the Apache License, Version 2.0."
+    got = [(f["license"], dual[f["start"] : f["end"]]) for f in scanner.scan(dual)]
+    assert got == [("MIT", dual[:31]), ("Apache-2.0", dual[32:])]
+    for joint in ("\n", " ", "\nPart of the bundle:\n"):
+        found = scanner.scan(joint.join(t for _, t in licenses.TEMPLATES))
+        assert [f["license"] for f in found] == [n for n, _ in licenses.TEMPLATES]
+    twice = "Licensed under CC BY 4.0.\nLicensed under the CC BY 4.0.\nLicensed under CC BY-NC-SA 4.0."
+    assert [f["differences"] for f in scanner.scan(twice)] == [[], ["+the"]]
+
+
 def test_toxicity_holds_out(spark):
     docs, labels = table(spark, "/root/testdata/sf0.1", "documents"), table(spark, "/root/testdata/sf0.1", "labels")
     rows = toxicity.toxicity(docs, labels).join(labels, "doc_id").collect()
