@@ -45,6 +45,8 @@ MARKS = frozenset(
     "related share sharing social login signup search searchbox pagination pager skip toolbar widget".split()
 )
 CONTENT = frozenset(("article", "main"))
+# Whole names that outvote marks in the other names of an element.
+BODIES = frozenset("article body content entry main post story text".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>", re.S
@@ -54,11 +56,13 @@ _WORD = re.compile(r"[a-z]+")
 
 
 def _label(name: str, attributes: str) -> str:
-    """The tag with a ``!`` if its attributes mark it as furniture."""
-    if "=" in attributes:
-        for _, value in _ATTRIBUTE.findall(attributes):
-            if not MARKS.isdisjoint(_WORD.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value).lower())):
-                return name + "!"
+    """The tag with a ``!`` if its attributes mark it as furniture; articles are never marked."""
+    if "=" in attributes and name not in CONTENT:
+        values = [value.strip("\"'") for _, value in _ATTRIBUTE.findall(attributes)]
+        if BODIES.isdisjoint(" ".join(values).lower().split()):
+            for value in values:
+                if not MARKS.isdisjoint(_WORD.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value).lower())):
+                    return name + "!"
     return name
 
 
@@ -243,22 +247,36 @@ def is_furniture(label: str, inside_content: bool) -> bool:
     return name in FURNITURE or (label.endswith("!") and name not in ("html", "body"))
 
 
-def content_slots(items: list) -> tuple[set[str], set[str]]:
-    """Paths of the text slots inside articles, and of all slots outside furniture."""
-    inside, outside = set(), set()
-    todo = [(items, "", False)]
+def _holds_content(items: list) -> bool:
+    return any(label in CONTENT or (label != "#" and _holds_content(children)) for label, _, children in items)
+
+
+def content_slots(items: list) -> tuple[set[str], set[str], set[str]]:
+    """Paths of the text slots inside articles, of all slots outside furniture, and of those with marked ones.
+
+    An element that holds an article is no furniture for its marks, nor a form that holds one.
+    """
+    inside, outside, marked = set(), set(), set()
+    todo = [(items, "", False, False)]
     while todo:
-        level, path, content = todo.pop()
+        level, path, content, mark = todo.pop()
         for label, _, children in level:
             if label == "#":
-                outside.add(path)
-                if content:
+                marked.add(path)
+                if not mark:
+                    outside.add(path)
+                if content and not mark:
                     inside.add(path)
             elif label == "()":
-                todo.append((children, path, content))
-            elif not is_furniture(label, content):
-                todo.append((children, f"{path}/{label}", content or label in CONTENT))
-    return inside, outside
+                todo.append((children, path, content, mark))
+            else:
+                name = label.rstrip("!")
+                furniture = is_furniture(label, content)
+                if furniture and (label.endswith("!") or name == "form") and _holds_content(children):
+                    furniture = name != "form" and is_furniture(name, content)
+                if not furniture or (label.endswith("!") and not is_furniture(name, content)):
+                    todo.append((children, f"{path}/{label}", content or name in CONTENT, mark or furniture))
+    return inside, outside, marked
 
 
 def _text(page: str, slots: set[str]) -> str:
@@ -281,10 +299,17 @@ def _text(page: str, slots: set[str]) -> str:
     return "\n".join(line for line in lines if line)
 
 
+def _first_text(page: str, tiers: tuple[set[str], ...]) -> str:
+    """The text of the first slots that hold any; marked elements count where there is no other text."""
+    for slots in tiers:
+        if slots and (text := _text(page, slots)):
+            return text
+    return ""
+
+
 def main_text(page: str, wrapper: list) -> str:
     """The page's text in the wrapper's content slots."""
-    inside, outside = content_slots(wrapper)
-    return (_text(page, inside) if inside else "") or _text(page, outside)
+    return _first_text(page, content_slots(wrapper))
 
 
 def _host():
@@ -331,7 +356,7 @@ def extract(pages: DataFrame) -> DataFrame:
     ).join(copies, ["host", "salt"], "left")
 
     def build():
-        known: dict[str, tuple[set, set]] = {}
+        known: dict[str, tuple[set, set, set]] = {}
 
         def work(ids, urls, htmls, texts):
             out = []
@@ -340,8 +365,7 @@ def extract(pages: DataFrame) -> DataFrame:
                     if len(known) > 1000:
                         known.clear()
                     known[wrapper] = content_slots(json.loads(wrapper))
-                inside, outside = known[wrapper]
-                out.append((_text(page, inside) if inside else "") or _text(page, outside))
+                out.append(_first_text(page, known[wrapper]))
             return {"page_id": ids, "url": urls, "text": out, "n_chars": [len(t) for t in out]}
 
         return work

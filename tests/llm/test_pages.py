@@ -44,6 +44,23 @@ def test_single_pages(page, text):
     assert wrappers.main_text(page, wrappers.page_expression(page)) == text
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ('<article class="post with-sidebar"><p>x</p><div class="ad">a</div></article><p>out</p>', "x"),
+        ('<main class=has-header><p>x</p></main><p>out</p>', "x"),
+        ('<div class="page no-sidebar"><article><p>x</p></article></div><p>out</p>', "x"),
+        ('<form id=aspnet><main><p>x</p><form>f</form></main></form>', "x"),
+        ('<div class="entry no-comments"><p>x</p></div><div class="comments">c</div>', "x"),
+        ('<div id="content" class="related-work share"><p>x</p></div><nav>n</nav>', "x"),
+        ('<div class="has-banner"><p>x</p></div><footer>f</footer>', "x"),
+        ('<div class="comment-content">c</div><p>x</p>', "x"),
+    ],
+)
+def test_marks_do_not_hide_the_article(page, text):
+    assert wrappers.main_text(page, wrappers.page_expression(page)) == text
+
+
 def test_wrapper_of_two_pages():
     a = wrappers.page_expression("<body><ul><li>1<li>2</ul><p>x</p></body>")
     b = wrappers.page_expression("<body><ul><li>1</ul><h2>t</h2><p>x</p><p>y</p></body>")
