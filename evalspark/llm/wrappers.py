@@ -6,12 +6,16 @@ groups become repeated, and every text becomes a slot. The result is a regular e
 without unions that all pages of the host match. Its slots inside the article, or outside all
 page furniture where a host has no article, make the main text.
 
+The lines of text of a host's pages are compared as well, as digests counted by place: a line that
+is the same on every page that has its place is template and is dropped, wherever it lies.
+
 Alignment is associative enough to be done in parts: equal page expressions are counted first,
 then folded per host and salt, then per host, so no task sees more than a share of a host.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
@@ -28,6 +32,8 @@ SALTS = 64
 MAX_DEPTH = 120
 # Siblings in the longest group whose repetition is recognized.
 MAX_GROUP = 3
+# Different pages that a line must be on to be template: an article's two versions prove nothing.
+LEAST_PAGES = 3
 
 # Fixed sets of HTML: elements without content, with raw text, that break a line, page furniture.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -279,31 +285,64 @@ def content_slots(items: list) -> tuple[set[str], set[str], set[str]]:
     return inside, outside, marked
 
 
-def _text(page: str, slots: set[str]) -> str:
-    blocks: list[list[str]] = [[]]
-    paths = [""]
+def _lines(page: str):
+    """Lines of the page: the place (path of the element that makes the line) and ``(path, raw)`` pieces."""
+    paths, places = [""], [""]
+    pieces: list[tuple[str, str]] = []
     for kind, value in parse(page):
+        if kind == "text":
+            pieces.append((paths[-1], value))
+            continue
+        label = value if kind == "open" else paths[-1].rsplit("/", 1)[-1]
+        block = kind == "break" or label.rstrip("!") not in INLINE
+        if block and pieces:
+            yield places[-1], pieces
+            pieces = []
         if kind == "open":
-            paths.append(f"{paths[-1]}/{value}")
-        if kind in ("open", "close"):
-            label = paths[-1].rsplit("/", 1)[-1]
-            if label.rstrip("!") not in INLINE:
-                blocks.append([])
-        if kind == "close":
+            paths.append(f"{paths[-1]}/{label}")
+            places.append(paths[-1] if block else places[-1])
+        elif kind == "close":
             paths.pop()
-        elif kind == "break":
-            blocks.append([])
-        elif kind == "text" and (paths[-1] in slots or not value.strip()):
-            blocks[-1].append(html.unescape(value))
-    lines = (" ".join("".join(b).split()) for b in blocks)
-    return "\n".join(line for line in lines if line)
-
-
-def _first_text(page: str, tiers: tuple[set[str], ...]) -> str:
-    """The text of the first slots that hold any; marked elements count where there is no other text."""
-    for slots in tiers:
-        if slots and (text := _text(page, slots)):
-            return text
+            places.pop()
+    if pieces:
+        yield places[-1], pieces
+
+
+def _plain(pieces: list[tuple[str, str]]) -> str:
+    return " ".join("".join(html.unescape(raw) for _, raw in pieces).split())
+
+
+def _digest(*parts: str) -> int:
+    whole = "\0".join(parts).encode("utf-8", "surrogatepass")
+    return int.from_bytes(hashlib.blake2b(whole, digest_size=8).digest(), "big", signed=True)
+
+
+def _text(page: str, slots: set[str], template: frozenset[int] = frozenset()) -> str:
+    out = []
+    for place, pieces in _lines(page):
+        if template and _digest(place, _plain(pieces)) in template:
+            continue
+        line = _plain([p for p in pieces if p[0] in slots or not p[1].strip()])
+        if line:
+            out.append(line)
+    return "\n".join(out)
+
+
+def line_digests(page: str) -> list[tuple[int, int]]:
+    """Digests of the place and of place and text of every different line."""
+    lines = ((place, _plain(pieces)) for place, pieces in _lines(page))
+    return sorted({(_digest(place), _digest(place, line)) for place, line in lines if line})
+
+
+def _first_text(page: str, tiers: tuple[set[str], ...], template: frozenset[int] = frozenset()) -> str:
+    """The text of the first slots that hold any; marked elements count where there is no other text.
+
+    A page with nothing but template keeps it.
+    """
+    for some in (template, frozenset()) if template else (template,):
+        for slots in tiers:
+            if slots and (text := _text(page, slots, some)):
+                return text
     return ""
 
 
@@ -323,6 +362,40 @@ def _fold(key, rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"host": [key[0]], "wrapper": [json.dumps(wrapper, separators=(",", ":"))]})
 
 
+def template_lines(pages: DataFrame) -> DataFrame:
+    """``host`` and ``template``: digests of the lines that are the same on every page with their place.
+
+    Counted by host and place with sums on fixed-width numbers; a page given twice is one page.
+    """
+
+    def build():
+        def work(hosts, htmls):
+            out: dict[str, list] = {"host": [], "place": [], "line": [], "page": []}
+            for host, page in zip(hosts, htmls):
+                digests = line_digests(page)
+                whole = _digest(*(str(line) for _, line in digests)) & 63
+                places = sorted({place for place, _ in digests})
+                for place, line in [*digests, *((place, None) for place in places)]:
+                    for name, value in zip(out, (host, place, line, 1 << whole if whole < 63 else -(1 << 63))):
+                        out[name].append(value)
+            return out
+
+        return work
+
+    rows = pages.select(_host().alias("host"), F.coalesce("html", F.lit("")).alias("html"))
+    counts = (
+        map_columns(rows, build, "host string, place bigint, line bigint, page bigint")
+        .groupBy("host", "place", "line")
+        .agg(F.count("*").alias("n"), F.bit_or("page").alias("pages"))
+    )
+    often = F.col("line").isNull() | (F.bit_count("pages") >= LEAST_PAGES)
+    counts = materialize(counts.filter(often), "page-lines")
+    whole = counts.filter("line is null").select("host", "place", F.col("n").alias("all"))
+    same = counts.filter("line is not null")
+    equal = same.join(whole, ["host", "place"]).filter(F.col("n") == F.col("all"))
+    return equal.groupBy("host").agg(F.array_sort(F.collect_set("line")).alias("template"))
+
+
 def infer_wrappers(pages: DataFrame) -> DataFrame:
     """``host`` and ``wrapper`` (an expression as JSON) from all pages of each host."""
 
@@ -347,8 +420,10 @@ def extract(pages: DataFrame) -> DataFrame:
     tag ends what cannot contain it, the page's end closes the rest, and a ``<`` that starts no
     tag is text. Repeated rows give repeated results. Wrappers are written once to the shared
     folder and joined with a salt, so a host with very many pages meets its wrapper in many tasks.
+    Template lines are dropped; where no line of a page differs from its host's, all are kept.
     """
-    wrappers = materialize(infer_wrappers(pages), "wrappers")
+    known_lines = template_lines(pages)
+    wrappers = materialize(infer_wrappers(pages).join(known_lines, "host", "left"), "wrappers")
     copies = wrappers.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     rows = pages.select(
         "page_id", "url", F.coalesce("html", F.lit("")).alias("html"), _host().alias("host"),
@@ -358,19 +433,19 @@ def extract(pages: DataFrame) -> DataFrame:
     def build():
         known: dict[str, tuple[set, set, set]] = {}
 
-        def work(ids, urls, htmls, texts):
+        def work(ids, urls, htmls, texts, templates):
             out = []
-            for page, wrapper in zip(htmls, texts):
+            for page, wrapper, template in zip(htmls, texts, templates):
                 if wrapper not in known:
                     if len(known) > 1000:
                         known.clear()
                     known[wrapper] = content_slots(json.loads(wrapper))
-                out.append(_first_text(page, known[wrapper]))
+                out.append(_first_text(page, known[wrapper], frozenset(template or ())))
             return {"page_id": ids, "url": urls, "text": out, "n_chars": [len(t) for t in out]}
 
         return work
 
     return map_columns(
-        rows.select("page_id", "url", "html", F.coalesce("wrapper", F.lit("[]"))), build,
+        rows.select("page_id", "url", "html", F.coalesce("wrapper", F.lit("[]")), "template"), build,
         "page_id bigint, url string, text string, n_chars bigint",
     )

@@ -69,6 +69,23 @@ def test_wrapper_of_two_pages():
     assert wrappers.expression(c) == "dl<(dt<#> dd<#>)+>"
 
 
+def test_lines_equal_on_all_pages_are_template(spark):
+    def page(i, body):
+        return f"<body><div class=x7>All rights reserved</div><div class=m><p>Home, <b>News</b></p></div>{body}<div>Printed</div></body>"
+
+    rows = [(i, "http://a/x", page(i, f"<div><p>text {i}.<p>Join our list<p>more {i * i}</div>")) for i in range(6)]
+    rows += [(i, "http://b/x", f"<article><p>own {i} <b>word</b>.</p><p>Read more</p></article>") for i in range(6, 10)]
+    rows += [(i, "http://c/x", page(0, f"<p>same</p><p>{i // 12}</p>")) for i in range(10, 14)]
+    rows += [(i, "http://d/x", "<p>only</p>") for i in range(14, 18)]
+    got = {r.page_id: r.text for r in wrappers.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    for i in range(6):
+        assert got[i] == f"text {i}.\nmore {i * i}"
+    assert all(got[i] == f"own {i} word." for i in range(6, 10))
+    # Two different pages are too few, and equal pages are one.
+    assert all("same" in got[i] for i in range(10, 14))
+    assert all(got[i] == "only" for i in range(14, 18))
+
+
 def test_odd_pages(spark):
     schema = "page_id bigint, url string, html string, text string, host string, salt int"
     rows = [(1, None, None, "t", "h", 1), (2, "x", "<p>a</p>", None, None, None), (2, "x", "<p>a</p>", None, None, None), (None, "http://h/1", "", "", "", 0)]
