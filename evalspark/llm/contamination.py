@@ -6,6 +6,9 @@ document minus position in the passage). Shared q-grams are counted in bands of
 that overlap by e, so that every run of e + 1 diagonals lies in one band. Bands that reach the
 bound are verified by an alignment that stays inside the band.
 
+Of items longer than ``PASSAGE`` any stretch of ``REGION`` characters counts, wherever it starts: a
+band is searched for places so close that a stretch around them can reach the bound.
+
 Documents stream through once. Only the benchmark, cut into slices of bounded size, travels to
 the tasks.
 """
@@ -27,6 +30,10 @@ Q = 10
 MAX_ERROR = 0.08
 # Longer items are cut into passages of this many characters, each starting half a passage on.
 PASSAGE = 160
+# Any stretch of so many characters of a longer item counts, within its own edits.
+REGION = 80
+REGION_EDITS = int(REGION * MAX_ERROR)
+REGION_LEAST = REGION - Q + 1 - Q * REGION_EDITS
 # Benchmark characters that one pass over the documents looks for.
 SLICE_CHARS = 16_000_000
 # Characters of documents that are worked on at once.
@@ -86,28 +93,11 @@ def gram_hashes(codes: np.ndarray) -> np.ndarray:
         return whole ^ (whole >> np.uint64(31))
 
 
-class Passages:
-    """Passages of a slice of the benchmark and the index of their q-grams."""
+class Grams:
+    """The q-grams of passages."""
 
-    def __init__(self, items: list[tuple[int, str]]):
-        self.letters = _letters()
-        self.item, self.codes = [], []
-        for item, text in items:
-            codes, _ = normalized([text or ""], self.letters)
-            codes = codes[:-1]
-            while len(codes) and codes[-1] == 32:
-                codes = codes[:-1]
-            last = max(0, len(codes) - PASSAGE)
-            for start in sorted({*range(0, last, PASSAGE // 2), last}):
-                if len(codes) >= Q:
-                    self.item.append(item)
-                    self.codes.append(codes[start : start + PASSAGE])
-        self.length = np.array([len(c) for c in self.codes], np.int64)
-        self.edits = np.minimum(
-            (self.length * MAX_ERROR).astype(np.int64), (self.length - Q) // Q
-        ).clip(0)
-        self.least = self.length - Q + 1 - Q * self.edits
-        hashes = [gram_hashes(c) for c in self.codes]
+    def __init__(self, passages: list[np.ndarray]):
+        hashes = [gram_hashes(c) for c in passages]
         keys = np.concatenate([np.empty(0, np.uint64), *hashes])
         order = np.argsort(keys, kind="stable")
         self.passage = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes])[order]
@@ -121,9 +111,10 @@ class Passages:
         with np.errstate(over="ignore"):
             return (hashes * _MIXER) >> np.uint64(64 - _TABLE_BITS)
 
-    def shared(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def shared(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Position, passage and place in the passage of every shared q-gram."""
-        hashes = gram_hashes(codes)
+        if not len(self.keys):
+            return (np.empty(0, np.int64),) * 3
         at = np.flatnonzero(self.table[self._slot(hashes)])
         spot = np.searchsorted(self.keys, hashes[at])
         spot[spot == len(self.keys)] = 0
@@ -133,9 +124,38 @@ class Passages:
         entry = np.repeat(self.first[spot] - np.cumsum(times) + times, times) + np.arange(times.sum())
         return np.repeat(at, times), self.passage[entry], self.place[entry]
 
-    def bands(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+
+class Passages:
+    """Passages of a slice of the benchmark, its longer items whole, and the index of their q-grams."""
+
+    def __init__(self, items: list[tuple[int, str]]):
+        self.letters = _letters()
+        self.item, self.codes = [], []
+        self.long_item, self.long_codes = [], []
+        for item, text in items:
+            codes, _ = normalized([text or ""], self.letters)
+            codes = codes[:-1]
+            while len(codes) and codes[-1] == 32:
+                codes = codes[:-1]
+            if len(codes) > PASSAGE:
+                self.long_item.append(item)
+                self.long_codes.append(codes)
+            last = max(0, len(codes) - PASSAGE)
+            for start in sorted({*range(0, last, PASSAGE // 2), last}):
+                if len(codes) >= Q:
+                    self.item.append(item)
+                    self.codes.append(codes[start : start + PASSAGE])
+        self.length = np.array([len(c) for c in self.codes], np.int64)
+        self.edits = np.minimum(
+            (self.length * MAX_ERROR).astype(np.int64), (self.length - Q) // Q
+        ).clip(0)
+        self.least = self.length - Q + 1 - Q * self.edits
+        self.long_length = np.array([len(c) for c in self.long_codes], np.int64)
+        self.grams, self.long_grams = Grams(self.codes), Grams(self.long_codes)
+
+    def bands(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Passage and first diagonal of the bands that reach the bound of the lemma."""
-        at, passage, place = self.shared(codes)
+        at, passage, place = self.grams.shared(hashes)
         step = self.edits[passage] + 1
         # A passage's diagonals begin at minus its length; none is negative after the shift.
         band = (at - place + PASSAGE) // step
@@ -147,33 +167,77 @@ class Passages:
         passage, band = passage[enough], band[enough]
         return passage, band * (self.edits[passage] + 1) - PASSAGE
 
+    def regions(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Longer item, first diagonal and start of the stretches that reach the bound of the lemma."""
+        at, item, place = self.long_grams.shared(hashes)
+        step, shift = REGION_EDITS + 1, int(self.long_length.max(initial=0))
+        band = (at - place + shift) // step
+        key = np.concatenate([item, item]) * np.int64(1 << 40) + np.concatenate([band, band - 1]) + 1
+        place = np.concatenate([place, place])
+        order = np.lexsort((place, key))
+        key, place = key[order], place[order]
+        ahead = REGION_LEAST - 1
+        near = np.flatnonzero(
+            (key[ahead:] == key[: len(key) - ahead]) & (place[ahead:] - place[: len(place) - ahead] <= REGION - Q)
+        )
+        item = key[near] >> 40
+        # The starts of stretches that hold all these q-grams; both ends grow along a band.
+        first = (place[near + ahead] + Q - REGION).clip(0)
+        last = np.minimum(place[near], self.long_length[item] - REGION)
+        known = np.zeros(len(near), np.int64)
+        known[1:] = np.where(key[near][1:] == key[near][:-1], last[:-1] + 1, 0)
+        first = np.maximum(first, known)
+        times = (last - first + 1).clip(0)
+        start = np.repeat(first - np.cumsum(times) + times, times) + np.arange(times.sum())
+        low = ((key[near] & ((1 << 40) - 1)) - 1) * step - shift
+        return np.repeat(item, times), np.repeat(low, times), start
+
     def find(self, texts: list[str]) -> Iterator[tuple[int, int, int]]:
         """Text number, item and edits of every verified passage."""
         if not self.codes:
             return
         codes, starts = normalized(texts, self.letters)
-        passage, low = self.bands(codes)
+        hashes = gram_hashes(codes)
+        passage, low = self.bands(hashes)
+        known = set()
         by_shape = defaultdict(list)
         for i, p in enumerate(passage.tolist()):
             by_shape[(int(self.length[p]), int(self.edits[p]))].append(i)
         for (n, e), chosen in by_shape.items():
             for k in range(0, len(chosen), ALIGNED):
                 some = np.array(chosen[k : k + ALIGNED])
-                best, end = self._aligned(codes, passage[some], low[some], n, e)
-                for i in np.flatnonzero(best <= e):
-                    middle = min(max(0, int(end[i]) - n // 2), len(codes) - 1)
-                    text = int(np.searchsorted(starts, middle, "right")) - 1
-                    yield text, self.item[passage[some[i]]], int(best[i])
-
-    def _aligned(self, codes, passage, low, n, e):
+                wanted = np.stack([self.codes[p] for p in passage[some]])
+                for i, text, edits in self._verified(codes, starts, wanted, low[some], e):
+                    known.add((text, self.item[passage[some[i]]]))
+                    yield text, self.item[passage[some[i]]], edits
+        item, low, start = self.regions(hashes)
+        # Items that a text holds already need no stretch.
+        text = np.searchsorted(starts, (low + start + REGION // 2).clip(0), "right") - 1
+        new = np.array([(t, self.long_item[i]) not in known for t, i in zip(text.tolist(), item.tolist())], bool)
+        item, low, start = item[new], low[new], start[new]
+        for k in range(0, len(item), ALIGNED):
+            some = slice(k, k + ALIGNED)
+            wanted = np.stack([self.long_codes[p][o : o + REGION] for p, o in zip(item[some], start[some])])
+            for i, text, edits in self._verified(codes, starts, wanted, low[some] + start[some], REGION_EDITS):
+                yield text, self.long_item[item[k + i]], edits
+
+    def _verified(self, codes, starts, wanted, low, e) -> Iterator[tuple[int, int, int]]:
+        """Number, text and edits of the passages that are within their edits."""
+        n = wanted.shape[1]
+        best, end = self._aligned(codes, wanted, low, e)
+        for i in np.flatnonzero(best <= e):
+            middle = min(max(0, int(end[i]) - n // 2), len(codes) - 1)
+            yield int(i), int(np.searchsorted(starts, middle, "right")) - 1, int(best[i])
+
+    def _aligned(self, codes, wanted, low, e):
         """Fewest edits of each passage along its band, and where that alignment ends."""
+        n = wanted.shape[1]
         width = 2 * e + 2
         spots = low[:, None] + np.arange(n + width)[None, :]
         inside = (spots >= 0) & (spots < len(codes))
         region = np.where(inside, codes[spots.clip(0, len(codes) - 1)], _BOUNDARY)
-        wanted = np.stack([self.codes[p] for p in passage])
         slope = np.arange(width)
-        cost = np.zeros((len(passage), width), np.int64)
+        cost = np.zeros((len(wanted), width), np.int64)
         for i in range(n):
             following = cost + (region[:, i : i + width] != wanted[:, i : i + 1])
             following[:, :-1] = np.minimum(following[:, :-1], cost[:, 1:] + 1)

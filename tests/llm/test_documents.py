@@ -191,6 +191,20 @@ def test_contamination_within_the_edit_budget(spark, given):
         assert {r.item_id for r in items if r.text in row.text} <= got[row.doc_id]
 
 
+def test_stretches_of_long_items_wherever_they_start():
+    draw = random.Random(9)
+    item = " ".join("".join(draw.choices("abcdefghijkl", k=draw.randint(2, 9))) for _ in range(60))[:300].strip() + "z"
+    passages = contamination.Passages([(7, item), (8, "some other words " * 3), (9, item[:100][::-1])])
+    for size in (82, 120, 200):
+        for start in range(0, len(item) - size, 7):
+            text = list(item[start : start + size])
+            for _ in range(draw.randrange(4)):
+                text[draw.randrange(len(text))] = "q"
+            found = contamination.found_items(passages, ["none", "xx " + "".join(text) + " yy", "", "none"])
+            assert [sorted(f) for f in found] == [[], [7], [], []]
+    assert not contamination.found_items(passages, [item[20:80], item[100:150] + " ... " + item[10:60]])[0]
+
+
 def test_base_spans_equal_the_plain_patterns(given):
     email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
     address = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
