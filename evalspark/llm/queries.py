@@ -2,7 +2,19 @@
 
 from __future__ import annotations
 
-from evalspark.llm import contamination, licenses, near, outliers, personal, pieces, repeats, tokens, toxicity, wrappers
+from evalspark.llm import (
+    contamination,
+    licenses,
+    near,
+    outliers,
+    periods,
+    personal,
+    pieces,
+    repeats,
+    tokens,
+    toxicity,
+    wrappers,
+)
 from evalspark.llm.common import table
 
 QUERIES = {}
@@ -65,3 +77,8 @@ def op6(spark, folder):
 @_query("op10_suffix_dedup")
 def op10(spark, folder):
     return repeats.remove_repeats(table(spark, folder, "documents"))
+
+
+@_query("op13_periodic_runs")
+def op13(spark, folder):
+    return periods.run_digests(periods.find_runs(periods.with_repeats(table(spark, folder, "documents"))))
