@@ -10,6 +10,7 @@ from evalspark.llm import (
     periods,
     personal,
     pieces,
+    ranking,
     repeats,
     tokens,
     toxicity,
@@ -82,3 +83,33 @@ def op10(spark, folder):
 @_query("op13_periodic_runs")
 def op13(spark, folder):
     return periods.run_digests(periods.find_runs(periods.with_repeats(table(spark, folder, "documents"))))
+
+
+@_query("op11_ranked_search")
+def op11(spark, folder):
+    return ranking.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+ORACLES["op11_ranked_search"] = """
+WITH texts AS (
+  SELECT 'd' AS kind, doc_id AS id, row_number() OVER () AS row, text FROM documents
+  UNION ALL SELECT 'i', item_id, 0, text FROM benchmark),
+terms AS (
+  SELECT kind, id, row, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM texts),
+counts AS (SELECT id AS doc_id, row, term, count(*) AS tf FROM terms WHERE kind = 'd' GROUP BY ALL),
+sizes AS (SELECT row, sum(tf)::BIGINT AS n FROM counts GROUP BY row),
+totals AS (SELECT count(*) AS docs, sum(n)::BIGINT AS total FROM sizes),
+weights AS (
+  SELECT term, floor(1000 * ln((2.0 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+  FROM counts, totals GROUP BY term),
+scores AS (
+  SELECT i.id AS item_id, c.doc_id, c.row,
+    sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // total))))::BIGINT AS score
+  FROM (SELECT DISTINCT id, term FROM terms WHERE kind = 'i') i JOIN counts c USING (term)
+    JOIN weights USING (term) JOIN sizes USING (row), totals
+  GROUP BY ALL)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, row) AS rank
+  FROM scores WHERE score > 0) WHERE rank <= 10
+"""
