@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from evalspark.llm import (
     contamination,
+    language,
     licenses,
     near,
     outliers,
@@ -113,3 +116,9 @@ SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, row) AS rank
   FROM scores WHERE score > 0) WHERE rank <= 10
 """
+
+
+@_query("op12_language_scores")
+def op12(spark, folder):
+    scored = language.language_scores(table(spark, folder, "documents"), ~language.held_out())
+    return scored.withColumn("held_out", ~F.col("learned")).drop("learned")
