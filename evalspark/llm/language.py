@@ -24,6 +24,7 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,7 +43,7 @@ BROADCAST_BYTES = 192 << 20
 # Bytes of text per shard and per block of texts.
 SHARD_BYTES = 16 << 20
 # Bytes of text taken up at once, and n-grams that a task holds before it sends them.
-CHUNK_BYTES, HELD = 4 << 20, 4_000_000
+CHUNK_BYTES, HELD = 2 << 20, 1_000_000
 # What every token is counted too much, for tokens never seen.
 ADDED = 0.1
 
@@ -96,6 +97,8 @@ class Tokens:
     def of(self, per_word: np.ndarray, first) -> np.ndarray:
         """For each token, what ``per_word`` says of the token before it; ``first`` at a start."""
         before = np.empty(len(self.ids), per_word.dtype)
+        if not len(before):
+            return before
         before[1:] = per_word[self.ids[:-1]]
         before[self.starts] = first
         return before
@@ -105,17 +108,13 @@ class Tokens:
         return _mixed(_mixed(self.of(self.keys, _START)) + self.keys[self.ids])
 
 
-def chunks(columns: list[list]) -> Iterator[list[list]]:
-    """Rows in portions of about ``CHUNK_BYTES`` of text; texts come last."""
-    rows, size = [], 0
-    for row in zip(*columns):
-        rows.append(row)
-        size += len(row[-1])
-        if size >= CHUNK_BYTES:
-            yield list(map(list, zip(*rows)))
-            rows, size = [], 0
-    if rows:
-        yield list(map(list, zip(*rows)))
+def chunks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in portions of about ``CHUNK_BYTES`` of text; texts come last."""
+    sizes = pc.binary_length(batch.column(batch.num_columns - 1)).to_numpy(zero_copy_only=False)
+    portions = (np.cumsum(sizes, dtype=np.int64) - sizes) // CHUNK_BYTES
+    starts = np.flatnonzero(np.r_[len(sizes) > 0, portions[1:] != portions[:-1]]) if len(sizes) else []
+    for start, end in zip(starts, [*starts[1:], len(sizes)]):
+        yield batch.slice(start, end - start)
 
 
 def summed(keys: np.ndarray, tags: np.ndarray, counts: np.ndarray):
@@ -139,6 +138,8 @@ def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
 
 _SENT = "kind string, shard bigint, block bigint, keys binary, tags binary, counts binary"
 _PACKED = [(name, pa.binary()) for name in ("keys", "tags", "counts")]
+# A piece keeps counts in a byte each; those from here on stand in ``large`` too.
+_FULL = 255
 _SENT_ARROW = pa.schema([("kind", pa.string()), ("shard", pa.int64()), ("block", pa.int64()), *_PACKED])
 
 
@@ -188,7 +189,7 @@ class Tally:
 
 _PIECE = (
     "kind string, shard bigint, entries bigint, tokens bigint, sums array<double>, "
-    "keys binary, tags binary, counts binary"
+    "keys binary, tags binary, counts binary, large binary"
 )
 _PIECE_ARROW = pa.schema(
     [
@@ -196,11 +197,15 @@ _PIECE_ARROW = pa.schema(
         *((name, pa.int64()) for name in ("shard", "entries", "tokens")),
         ("sums", pa.list_(pa.float64())),
         *_PACKED,
+        ("large", pa.binary()),
     ]
 )
 
 
-def positions(keys: np.ndarray, level: int, probe: int, width: np.ndarray) -> np.ndarray:
+_COLUMNS = ["keys", "tags", "counts", "large"]
+
+
+def positions(keys: np.ndarray, level: int, probe: int, width: np.uint64) -> np.ndarray:
     """The bit that a key with a level sets at a probe, in a filter of ``width`` bits."""
     first = _mixed(keys + np.uint64(level * int(_TURN) % 2**64))
     step = _mixed(first) | np.uint64(1)
@@ -229,10 +234,11 @@ def _piece(table: pa.Table) -> pa.Table:
     if kind == "token":
         sizes, often = np.unique(counts, return_counts=True)
         sums = (often @ sizes[:, None] ** _BETAS).tolist()
-        packed = keys.tobytes(), tags.tobytes(), counts.tobytes()
+        small = np.minimum(counts, _FULL).astype(np.uint8)
+        packed = keys.tobytes(), tags.tobytes(), small.tobytes(), counts[small == _FULL].tobytes()
     else:
-        packed = filter_bits(keys, counts).tobytes(), b"", b""
-    row = dict(zip(("keys", "tags", "counts"), packed))
+        packed = filter_bits(keys, counts).tobytes(), b"", b"", b""
+    row = dict(zip(_COLUMNS, packed))
     row |= {"kind": kind, "shard": shard, "entries": len(keys), "tokens": int(counts.sum()), "sums": sums}
     return pa.Table.from_pylist([row], schema=_PIECE_ARROW)
 
@@ -251,43 +257,57 @@ class Model:
 
 
 class Held:
-    """Pieces of a model in memory: counts of tokens and levels of pairs by their hashes."""
+    """Pieces of a model: counts of tokens and levels of pairs by their hashes.
 
-    def __init__(self, pieces: pa.Table, shards: int):
-        rows = sorted(pieces.select(["kind", "shard", "keys", "tags", "counts"]).to_pylist(), key=lambda r: r["shard"])
-        tokens = [r for r in rows if r["kind"] == "token"]
-        pairs = [r for r in rows if r["kind"] == "pair"]
-        self.shards = shards
-        kinds = (("keys", "<u8"), ("tags", "<u4"), ("counts", "<i8"))
-        self.keys, self.tags, self.sizes = (
-            np.frombuffer(b"".join(r[n] for r in tokens), t) for n, t in kinds
-        )
-        self.bits = np.frombuffer(b"".join(r["keys"] for r in pairs), np.uint8)
-        self.offsets, self.widths = np.zeros(shards, np.uint64), np.zeros(shards, np.uint64)
-        offset = 0
-        for r in pairs:
-            self.offsets[r["shard"]], self.widths[r["shard"]] = offset, 8 * len(r["keys"])
-            offset += 8 * len(r["keys"])
+    ``pieces`` gives the packed columns of each (kind, shard), or a broadcast of them, so
+    that a task unpacks no copy of the model.
+    """
+
+    def __init__(self, pieces: dict, shards: int):
+        self.pieces, self.shards = pieces, shards
+
+    def _by_shard(self, kind: str, keys: np.ndarray) -> Iterator[tuple[np.ndarray, tuple]]:
+        """The places of the keys of each shard, with the shard's columns."""
+        at = shard_of(keys, self.shards)
+        order = np.argsort(at, kind="stable")
+        bounds = np.searchsorted(at[order], np.arange(self.shards + 1))
+        for shard in np.unique(at).tolist():
+            piece = self.pieces.get((kind, shard))
+            if piece is not None:
+                yield order[bounds[shard] : bounds[shard + 1]], getattr(piece, "value", piece)
 
     def counts(self, keys: np.ndarray, tags: np.ndarray) -> np.ndarray:
-        return find(self.keys, self.tags, self.sizes, keys, tags)
+        found = np.zeros(len(keys), np.int64)
+        for places, packed in self._by_shard("token", keys):
+            have, have_tags, small, large = (np.frombuffer(p, t) for p, t in zip(packed, ("<u8", "<u4", "u1", "<i8")))
+            at = locate(have, have_tags, keys[places], tags[places])
+            got = picked(small, at).astype(np.int64)
+            full = got == _FULL
+            got[full] = large[np.searchsorted(np.flatnonzero(small == _FULL), at[full])]
+            found[places] = got
+        return found
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         found = np.zeros(len(keys), np.int64)
-        shards = shard_of(keys, self.shards)
-        alive = np.flatnonzero(self.widths[shards])
-        keys, width, offset = keys[alive], self.widths[shards[alive]], self.offsets[shards[alive]]
-        level = 0
-        while len(alive):
-            level += 1
-            for probe in range(PROBES):
-                at = positions(keys, level, probe, width) + offset
-                hit = (self.bits[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8)) & 1 > 0
-                alive, keys, width, offset = alive[hit], keys[hit], width[hit], offset[hit]
-            found[alive] = level
+        for places, packed in self._by_shard("pair", keys):
+            found[places] = probed(np.frombuffer(packed[0], np.uint8), keys[places])
         return found
 
 
+def probed(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The highest level of each key up to which the filter holds all levels, 0 for none."""
+    found = np.zeros(len(keys), np.int64)
+    width, alive, level = np.uint64(8 * len(bits)), np.arange(len(keys)), 0
+    while len(alive):
+        level += 1
+        for probe in range(PROBES):
+            at = positions(keys, level, probe, width)
+            hit = (bits[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8)) & 1 > 0
+            alive, keys = alive[hit], keys[hit]
+        found[alive] = level
+    return found
+
+
 class Answered:
     """What shards have answered for a block: as ``Held``, for the keys asked for."""
 
@@ -304,15 +324,15 @@ class Answered:
         return keys[order], tags[order], counts[order]
 
     def counts(self, keys: np.ndarray, tags: np.ndarray) -> np.ndarray:
-        return find(*self.known, keys, tags)
+        return picked(self.known[2], locate(*self.known[:2], keys, tags))
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
-        return find(*self.paired, keys, np.zeros(len(keys), np.uint32))
+        return picked(self.paired[2], locate(*self.paired[:2], keys, np.zeros(len(keys), np.uint32)))
 
 
-def find(have, have_tags, values, keys, tags) -> np.ndarray:
-    """The value of each (key, tag) among those in order, 0 if it is missing."""
-    found = np.zeros(len(keys), np.int64)
+def locate(have, have_tags, keys, tags) -> np.ndarray:
+    """The place of each (key, tag) among those in order, -1 if it is missing."""
+    found = np.full(len(keys), -1)
     at = np.searchsorted(have, keys)
     alive = np.arange(len(keys))
     # More than one step only where different tokens share a key.
@@ -324,20 +344,24 @@ def find(have, have_tags, values, keys, tags) -> np.ndarray:
         if not len(alive):
             return found
         equal = have_tags[at] == tags[alive]
-        found[alive[equal]] = values[at[equal]]
+        found[alive[equal]] = at[equal]
         alive, at = alive[~equal], at[~equal] + 1
 
 
+def picked(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The values at these places, 0 at -1."""
+    return np.r_[values, 0][at]
+
+
 def _train(shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, pairs = Tally("token", shards), Tally("pair", shards)
         for batch in batches:
-            for learn, texts in chunks([c.to_pylist() for c in batch.columns]):
-                texts = [t for flag, t in zip(learn, texts) if flag]
-                if not texts:
-                    continue
-                block = Tokens(texts)
-                yield from tokens.add(block.keys, block.tags, np.bincount(block.ids, minlength=len(block.keys)))
+            for part in chunks(batch):
+                block = Tokens(part.filter(part.column(0)).column(1).to_pylist())
+                often = np.bincount(block.ids, minlength=len(block.keys))
+                used = often > 0
+                yield from tokens.add(block.keys[used], block.tags[used], often[used])
                 keys, counts = np.unique(block.pairs(), return_counts=True)
                 yield from pairs.add(keys, np.zeros(len(keys), np.uint32), counts)
         yield from tokens.flush()
@@ -359,14 +383,14 @@ def _trained(frame: DataFrame) -> Model:
     shards = blocks = sized // SHARD_BYTES + 1
     sent = frame.select("learned", "body").mapInArrow(_train(shards), _SENT)
     pieces = materialize(sent.groupBy("kind", "shard").applyInArrow(_piece, _PIECE), "language-model")
-    packed = F.octet_length("keys") + F.octet_length("tags") + F.octet_length("counts")
+    packed = sum([F.octet_length(c).cast("bigint") for c in _COLUMNS], F.lit(0))
     by = {
         r.kind: r
         for r in pieces.groupBy("kind")
         .agg(
             F.sum("entries").alias("entries"),
             F.sum("tokens").alias("tokens"),
-            F.sum(packed.cast("bigint")).alias("size"),
+            F.sum(packed).alias("size"),
         )
         .collect()
     }
@@ -408,16 +432,18 @@ def _scored_rows(keys: pa.Array, learned: pa.Array, got: dict, model: Model, sch
 
 def _broadcast_scores(frame: DataFrame, model: Model, schema: pa.Schema, out: str) -> DataFrame:
     plain = {k: getattr(model, k) for k in ("tokens", "types", "beta")}
-    held = frame.sparkSession.sparkContext.broadcast(Held(model.pieces.toArrow(), model.shards))
+    context, shards = frame.sparkSession.sparkContext, model.shards
+    # One broadcast per piece, so that the driver holds few pieces at a time.
+    pieces = {
+        (r.kind, r.shard): context.broadcast(tuple(bytes(r[c]) for c in _COLUMNS))
+        for r in model.pieces.select("kind", "shard", *_COLUMNS).toLocalIterator()
+    }
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        small = Model(None, 0, 0, size=0, **plain)
+        small, held = Model(None, 0, 0, size=0, **plain), Held(pieces, shards)
         for batch in batches:
-            done = 0
-            for (texts,) in chunks([batch.column(2).to_pylist()]):
-                got = _scores(Tokens(texts), held.value, small)
-                part = batch.slice(done, len(texts))
-                done += len(texts)
+            for part in chunks(batch):
+                got = _scores(Tokens(part.column(2).to_pylist()), held, small)
                 yield pa.RecordBatch.from_arrays(
                     _scored_rows(part.column(0), part.column(1), got, small, schema), schema=schema
                 )
@@ -439,7 +465,8 @@ def _routed_scores(frame: DataFrame, model: Model, schema: pa.Schema, out: str)
         return pa.Table.from_batches([_sent(kind, shards, number, k, t, none) for kind, k, t in both])
 
     def answer(asked: pa.Table, piece: pa.Table) -> pa.Table:
-        held, rows = Held(piece, shards), asked.to_pylist()
+        packed = {(r["kind"], r["shard"]): tuple(r[c] for c in _COLUMNS) for r in piece.to_pylist()}
+        held, rows = Held(packed, shards), asked.to_pylist()
         for row in rows:
             keys, tags = np.frombuffer(row["keys"], "<u8"), np.frombuffer(row["tags"], "<u4")
             got = held.counts(keys, tags) if row["kind"] == "token" else held.levels(keys)
@@ -453,7 +480,7 @@ def _routed_scores(frame: DataFrame, model: Model, schema: pa.Schema, out: str)
         return pa.Table.from_arrays(_scored_rows(keys, learned, got, small, schema), schema=schema)
 
     asked = blocked.groupBy("block").applyInArrow(ask, _SENT)
-    pieces = model.pieces.select(F.col("kind").alias("of"), F.col("shard").alias("at"), "kind", "shard", "keys", "tags", "counts")
+    pieces = model.pieces.select(F.col("kind").alias("of"), F.col("shard").alias("at"), "kind", "shard", *_COLUMNS)
     answers = (
         asked.groupBy("kind", "shard").cogroup(pieces.groupBy("of", "at")).applyInArrow(answer, _SENT)
     )

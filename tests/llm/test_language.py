@@ -59,9 +59,7 @@ def test_filter_forgets_nothing_and_errs_rarely():
     counts = np.maximum(1, rng.pareto(1, len(keys)) * 2).astype(np.int64)
     known, unknown = keys[::2], keys[1::2]
     bits = language.filter_bits(known, counts[::2])
-    held = object.__new__(language.Held)
-    held.shards, held.bits = 1, bits
-    held.offsets, held.widths = np.zeros(1, np.uint64), np.array([8 * len(bits)], np.uint64)
+    held = language.Held({("pair", 0): (bits.tobytes(), b"", b"", b"")}, 1)
     levels, want = held.levels(known), language.levels_of(counts[::2])
     assert (levels >= want).all() and (levels > want).mean() < 0.05
     wrong = held.levels(unknown) > 0
@@ -82,7 +80,7 @@ def test_equal_keys_are_told_apart_by_tags():
     got = language.summed(keys, tags, np.array([1, 10, 100, 1000], np.uint32))
     assert [g.tolist() for g in got] == [[5, 5, 7], [1, 2, 1], [10, 1001, 100]]
     asked = np.array([5, 5, 5, 7, 8, 0], np.uint64), np.array([2, 1, 3, 1, 1, 1], np.uint32)
-    assert language.find(*got, *asked).tolist() == [1001, 10, 0, 100, 0, 0]
+    assert language.picked(got[2], language.locate(*got[:2], *asked)).tolist() == [1001, 10, 0, 100, 0, 0]
 
 
 def test_query_against_exact_counts(spark):
