@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from evalspark.functions import outline
+from evalspark.functions.binding import bind
 from evalspark.functions.screening import drop_comments, source_tables
 
 # The protocol texts models were trained on.
@@ -129,32 +131,25 @@ def retry_prompt(prompt: Column, feedback: Column) -> Column:
     return F.concat_ws("\n\n", prompt, F.when(feedback != "", feedback))
 
 
-_NEXT_CLAUSE = r"\bwhere\b|\bgroup\s+by\b|\bhaving\b|\border\s+by\b|\blimit\b|\bunion\b|\)|;|$"
-_JOIN_WORDS = r"(?:(?:natural|left|right|full|inner|cross|outer)\s+)*join\b"
-
-
-def _clause(sql: Column, head: str) -> Column:
-    text = F.regexp_extract(sql, rf"(?is)\b{head}\s+(.*?)\s*(?={_NEXT_CLAUSE})", 1)
-    return F.when(text != "", text)
-
-
 def sql_features(sql: Column) -> Column:
     """What a query uses, read off its tokens: tables, joins and clause texts.
 
-    The texts are approximate, since no parse is done; each ends at the next clause
-    keyword or closing parenthesis. Literals are kept, comments are not.
+    A clause's text ends at its own depth, so subqueries, calls and lists inside it are kept
+    whole. Of nested clauses of one kind the outermost counts, of equal ones the first; joins
+    count at every depth. Literals are kept as they are, comments are not, other white space is one
+    space.
     """
-    text = F.regexp_replace(drop_comments(sql), r"\s+", " ")
-    joins = F.regexp_extract_all(
-        text, F.lit(rf"(?is)\b({_JOIN_WORDS}.*?)\s*(?=\b{_JOIN_WORDS}|{_NEXT_CLAUSE})"), 1
-    )
-    return F.struct(
-        source_tables(sql).alias("tables"),
-        F.array_sort(F.array_distinct(joins)).alias("joins"),
-        _clause(text, "where").alias("filters"),
-        _clause(text, r"group\s+by").alias("grouping"),
-        _clause(text, r"order\s+by").alias("ordering"),
-    )
+
+    def features(tokens: Column) -> Column:
+        return F.struct(
+            source_tables(sql).alias("tables"),
+            outline.joins(tokens).alias("joins"),
+            outline.filters(tokens).alias("filters"),
+            outline.grouping(tokens).alias("grouping"),
+            outline.ordering(tokens).alias("ordering"),
+        )
+
+    return bind(outline.outline(drop_comments(sql)), features)
 
 
 # How much of each clause a plan shows.

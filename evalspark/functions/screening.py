@@ -1,8 +1,9 @@
 """Classifying SQL text.
 
 These are token-level rules over text whose literals and comments are blanked. They
-are weaker than a parse: of the syntax errors they find a bad first keyword, unbalanced
-parentheses, an open quote and a statement that stops after a clause keyword.
+are weaker than a parse: of the syntax errors they find a bad first keyword, an open quote, a
+statement that stops after a clause keyword, and words out of place at any depth of
+parentheses (``outline.misplaced``).
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from evalspark.functions import outline
 from evalspark.functions.binding import bind
 from evalspark.functions.text import strip
 
@@ -46,7 +48,10 @@ _TABLE_REF = rf"(?i)\b(?:from|join)\s+({_ITEM}(?:\s*,\s*{_ITEM})*)"
 
 
 def drop_comments(sql: Column) -> Column:
-    return F.regexp_replace(sql, f"({_QUOTED_NAME}|{_LITERAL})|{_COMMENT}", "$1 ")
+    """One space for each comment; what is quoted stays as it is."""
+    quoted = f"({_QUOTED_NAME}|{_LITERAL})"
+    marked = F.regexp_replace(sql, f"{quoted}|{_COMMENT}", "$1\u0001")
+    return F.replace(F.regexp_replace(marked, f"{quoted}\u0001", "$1"), F.lit("\u0001"), F.lit(" "))
 
 
 def blank_literals(sql: Column) -> Column:
@@ -87,10 +92,10 @@ def _screen_text(text: Column) -> Column:
         opened = F.regexp_replace(statement, r"^[\s(]+", "")
         verb = F.regexp_extract(opened, r"^([a-z]+)", 1)
         bad_syntax = (
-            (F.regexp_count(statement, F.lit(r"\(")) != F.regexp_count(statement, F.lit(r"\)")))
-            | statement.contains("'")
+            statement.contains("'")
             | statement.rlike(_DANGLING)
             | statement.rlike(_TAG_LEFT)
+            | outline.misplaced(statement)
         )
         return F.struct(
             parts["empty"].alias("empty"),

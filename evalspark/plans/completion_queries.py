@@ -139,29 +139,59 @@ _CORPUS = {
     "syntax_error": ["SELEC '{w}' FROM t", "SELECT (a FROM t WHERE b = '{w}'", "SELECT a, '{w}' FROM"],
     "format_error": ["   "],
 }
-CASES = [(kind, text) for kind, texts in _CORPUS.items() for text in texts]
+# Queries inside queries: the class depends on words at every depth.
+_NESTED = {
+    "none": [
+        "SELECT a FROM (SELECT b FROM t WHERE c IN (SELECT '{w})' FROM u) AND d) q WHERE (a, 1) IN (SELECT 1, 2)",
+        "WITH q AS (SELECT CASE WHEN a THEN (SELECT '{w}') ELSE 0 END AS x FROM t) SELECT trim(both '{w}' FROM x) FROM q",
+        "SELECT sum(a) FILTER (WHERE b = '{w}') OVER (PARTITION BY c ORDER BY d) FROM t UNION SELECT 2 ORDER BY 1",
+    ],
+    "syntax_error": [
+        "SELECT a FROM (SELECT b FROM t WHERE c = '{w}' AND) q",
+        "SELECT a FROM t WHERE x IN (SELECT b FROM u GROUP BY b WHERE '{w}' = b)",
+        "WITH q AS (SELECT (CASE WHEN a THEN '{w}') FROM t) SELECT * FROM q",
+        "SELECT f(g(a FROM t), '{w}') FROM u",
+    ],
+    "unsafe_sql": ["SELECT a FROM (SELECT load_extension('{w}') FROM t) q", "SELECT (SELECT 1); DROP TABLE t -- {w}"],
+}
 
 
-@query(
-    "structural_audit",
-    "SELECT kind AS error_type, count(*) AS n FROM (SELECT CASE ord % 13 "
-    + " ".join(f"WHEN {i} THEN '{kind}'" for i, (kind, _) in enumerate(CASES))
-    + " END AS kind FROM lines) GROUP BY kind",
-    "lines",
-)
-def structural_audit(t: Tables):
-    """How much of a query corpus is a plain read, and what the rest is."""
+def _cases(texts: dict[str, list[str]]) -> list[tuple[str, str]]:
+    return [(kind, text) for kind, of_kind in texts.items() for text in of_kind]
+
+
+def _audit_sql(cases: list[tuple[str, str]]) -> str:
+    kinds = " ".join(f"WHEN {i} THEN '{kind}'" for i, (kind, _) in enumerate(cases))
+    return f"SELECT kind AS error_type, count(*) AS n FROM (SELECT CASE ord % {len(cases)} {kinds} END AS kind FROM lines) GROUP BY kind"
+
+
+def _audit(t: Tables, cases: list[tuple[str, str]]):
     word = F.regexp_replace(F.regexp_extract("question", r"^\S*", 0), r"[^\p{L}]", "")
     sql = F.coalesce(
         *[
-            F.when(F.col("ord") % 13 == i, F.replace(F.lit(text), F.lit("{w}"), word))
-            for i, (_, text) in enumerate(CASES)
+            F.when(F.col("ord") % len(cases) == i, F.replace(F.lit(text), F.lit("{w}"), word))
+            for i, (_, text) in enumerate(cases)
         ]
     )
     corpus = t.adapted("lines").select(sql.alias("sql")).select(screen(F.col("sql")).alias("safety"))
     return bucket_counts(corpus.select("safety.error_type"), "error_type")
 
 
+CASES, NESTED_CASES = _cases(_CORPUS), _cases(_NESTED)
+
+
+@query("structural_audit", _audit_sql(CASES), "lines")
+def structural_audit(t: Tables):
+    """How much of a query corpus is a plain read, and what the rest is."""
+    return _audit(t, CASES)
+
+
+@query("nested_audit", _audit_sql(NESTED_CASES), "lines")
+def nested_audit(t: Tables):
+    """The same of a corpus whose queries hold further queries."""
+    return _audit(t, NESTED_CASES)
+
+
 @query(
     "error_sanitizer",
     """SELECT example_id, CASE k % 9 WHEN 0 THEN 'no such table' WHEN 1 THEN 'no such column' WHEN 2 THEN 'misuse'

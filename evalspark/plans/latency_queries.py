@@ -230,11 +230,63 @@ def mcnemar(t: Tables):
     return test.withColumn("p_value", F.round("p_value", 9))
 
 
-@query("bootstrap_ci")
+# The 32-bit hash of the draws, step by step.
+_MIXED = """
+  {0}1 AS (SELECT * REPLACE (xor(x, x >> 16) * 2146121005 & 4294967295 AS x) FROM {0}),
+  {0}2 AS (SELECT * REPLACE (xor(x, x >> 15) * 2221713035 & 4294967295 AS x) FROM {0}1),
+  {0}3 AS (SELECT * REPLACE (xor(x, x >> 16) AS x) FROM {0}2)"""
+
+
+@query(
+    "bootstrap_ci",
+    f""", counted AS (SELECT (a::INT - b::INT)::DOUBLE AS value, count(*) AS n FROM arms
+      WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY 1),
+  drawn AS (SELECT range AS rep, (range * 2654435769 & 4294967295)::UBIGINT AS x FROM range(2000)),
+  {_MIXED.format("drawn")},
+  named AS (SELECT value, n, rep, xor(x, ('0x' || md5('0:' || value)[:8])::UBIGINT) AS x FROM drawn3, counted),
+  {_MIXED.format("named")},
+  chances AS (SELECT n, k, sum(exp(k * ln(n) - n - lgamma(k + 1))) OVER (PARTITION BY n ORDER BY k) AS reached
+    FROM (SELECT n, unnest(range(greatest(0, floor(n - 12 * sqrt(n) - 20))::BIGINT, ceil(n + 12 * sqrt(n) + 20)::BIGINT + 1)) AS k
+      FROM (SELECT DISTINCT n FROM counted))),
+  taken AS (SELECT rep, value, min(k) AS k FROM named3 JOIN chances USING (n) WHERE reached >= (x + 0.5) / 4294967296 GROUP BY ALL),
+  means AS (SELECT sum(k * value) / sum(k) AS mean FROM taken GROUP BY rep)
+  SELECT round(any_value(m), 9) AS mean_difference, round(quantile_cont(mean, 0.025), 9) AS ci_low,
+    round(quantile_cont(mean, 0.975), 9) AS ci_high, 2000::INTEGER AS n_bootstrap, 0.05::DOUBLE AS alpha, any_value(n)::BIGINT AS n_pairs
+  FROM means, (SELECT sum(n) AS n, sum(n * value) / sum(n) AS m FROM counted)""",
+    "arms",
+)
 def bootstrap_ci(t: Tables):
-    """Bootstrap interval of the accuracy difference; random, so checked in the tests."""
+    """Bootstrap interval of the accuracy difference, draw by draw the same in both engines."""
     difference = F.col("a").cast("int") - F.col("b").cast("int")
-    return stats.bootstrap_ci(t.adapted("arms").select(difference.alias("difference")))
+    interval = stats.bootstrap_ci(t.adapted("arms").select(difference.alias("difference")))
+    rounded = {c: F.round(c, 9) for c in ("mean_difference", "ci_low", "ci_high")}
+    return interval.withColumns(rounded)
+
+
+@query(
+    "bootstrap_variants",
+    """, d AS (SELECT a::INT - b::INT AS x FROM arms)
+    SELECT method, count(x) AS n_pairs, round(avg(x), 9) AS mean_difference, true AS as_expected
+    FROM d, (VALUES ('poisson'), ('multinomial')) m(method) GROUP BY method""",
+    "arms",
+)
+def bootstrap_variants(t: Tables):
+    """Both kinds of resampling; their intervals are those of the normal distribution, give or take a quarter."""
+    differences = t.adapted("arms").select((F.col("a").cast("int") - F.col("b").cast("int")).alias("difference"))
+    spread = differences.agg((F.stddev_pop("difference") / F.sqrt(F.count("difference"))).alias("error"))
+    intervals = [
+        stats.bootstrap_ci(differences, seed=7, method=m).withColumn("method", F.lit(m))
+        for m in ("poisson", "multinomial")
+    ]
+    half = 1.96 * F.col("error")
+    near = [
+        F.abs(F.col("mean_difference") + sign * half - F.col(c)) <= half / 4
+        for sign, c in ((-1, "ci_low"), (1, "ci_high"))
+    ]
+    both = intervals[0].unionByName(intervals[1]).withColumn("one", F.lit(1))
+    return both.join(spread.withColumn("one", F.lit(1)), "one").select(
+        "method", "n_pairs", F.round("mean_difference", 9).alias("mean_difference"), (near[0] & near[1]).alias("as_expected")
+    )
 
 
 @query(

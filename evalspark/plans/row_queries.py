@@ -251,3 +251,46 @@ def sql_features(t: Tables):
         parts["grouping"].alias("grouping"),
         prompts.plan_text(sql).alias("plan"),
     )
+
+
+# A query whose clauses hold queries, lists, calls and literals of their own, clause by clause.
+_NESTED_JOIN = (
+    "LEFT JOIN (SELECT doc_id FROM docs_{e} WHERE doc_id IN ({o}, 2) AND (quality = 1 OR toxic = 0) GROUP BY doc_id) "
+    "AS e ON d.doc_id = coalesce(e.doc_id, {o})"
+)
+_NESTED_FILTER = (
+    "d.doc_id IN (SELECT doc_id FROM labels WHERE quality = {o} ORDER BY doc_id) AND length(d.text) > {o} "
+    "AND d.lang <> '{e}) GROUP BY x'"
+)
+_NESTED_GROUP = "d.source, coalesce(d.lang, (SELECT '{e}, a'))"
+_NESTED_ORDER = "max(d.doc_id) OVER (PARTITION BY d.source ORDER BY {o}) DESC, d.source"
+_NESTED = (
+    f"WITH q AS (SELECT {{o}} AS n WHERE {{o}} > 0) SELECT d.source FROM docs_{{e}} d {_NESTED_JOIN} WHERE {_NESTED_FILTER} "
+    f"GROUP BY {_NESTED_GROUP} HAVING count(*) > (SELECT max(n) FROM q LIMIT 1) ORDER BY {_NESTED_ORDER} LIMIT 3"
+)
+
+
+def _filled_sql(text: str) -> str:
+    """``text`` as a literal of the checking engine, with the example's own values in it."""
+    quoted = text.replace("'", "''")
+    return f"replace(replace('{quoted}', '{{e}}', evidence), '{{o}}', CAST(ord AS VARCHAR))"
+
+
+@query(
+    "nested_features",
+    f"""SELECT example_id, {_filled_sql(_NESTED_JOIN)} AS joins, {_filled_sql(_NESTED_FILTER)} AS filters,
+      {_filled_sql(_NESTED_GROUP)} AS grouping, {_filled_sql(_NESTED_ORDER)} AS ordering,
+      'docs_' || evidence || ',labels,q' AS tables FROM examples""",
+    "examples",
+)
+def nested_features(t: Tables):
+    """The whole clauses of queries that hold further queries in each of them."""
+    sql = F.replace(F.replace(F.lit(_NESTED), F.lit("{e}"), F.col("evidence")), F.lit("{o}"), F.col("ord").cast("string"))
+    return t.adapted("examples").select("example_id", prompts.sql_features(sql).alias("parts")).select(
+        "example_id",
+        F.array_join("parts.joins", " | ").alias("joins"),
+        "parts.filters",
+        "parts.grouping",
+        "parts.ordering",
+        F.array_join("parts.tables", ",").alias("tables"),
+    )

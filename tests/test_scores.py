@@ -124,6 +124,43 @@ def test_bootstrap(spark):
             stats.bootstrap_ci(frame, **bad)
 
 
+@pytest.mark.parametrize("method", ["poisson", "multinomial"])
+def test_bootstrap_variants(spark, method):
+    """Few values with large counts, many values with small ones, and skew, against numpy."""
+    rng = np.random.default_rng(8)
+    for values in (
+        rng.choice([-1.0, 0.0, 1.0], 3000, p=[0.1, 0.6, 0.3]),
+        rng.normal(size=500),
+        rng.exponential(size=400),
+    ):
+        frame = spark.createDataFrame([(float(v),) for v in values], "difference double")
+        got = stats.bootstrap_ci(frame, seed=5, method=method).first()
+        resampled = values[rng.integers(0, len(values), (4000, len(values)))].mean(axis=1)
+        low, high = np.quantile(resampled, [0.025, 0.975])
+        close = 0.12 * (high - low)
+        assert got.ci_low == pytest.approx(low, abs=close) and got.ci_high == pytest.approx(high, abs=close)
+        again = stats.bootstrap_ci(frame.repartition(5), seed=5, method=method).first()
+        assert (again.ci_low, again.ci_high) == pytest.approx((got.ci_low, got.ci_high))
+        other = stats.bootstrap_ci(frame, seed=6, method=method).first()
+        assert (other.ci_low, other.ci_high) != (got.ci_low, got.ci_high)
+    none = stats.bootstrap_ci(frame.filter("false"), method=method).first()
+    assert (none.mean_difference, none.ci_low, none.ci_high, none.n_pairs) == (0.0, 0.0, 0.0, 0)
+    gaps = spark.createDataFrame([(None,), (2.0,), (2.0,)], "difference double")
+    assert tuple(stats.bootstrap_ci(gaps, method=method).first())[:3] == (2.0, 2.0, 2.0)
+
+
+def test_bootstrap_draws():
+    """Uniform numbers are even and unrelated between keys; counts are the inverse of the exact distribution."""
+    draws = np.array([stats.uniform_draws(key, np.arange(2000)) for key in (0, 1, 77, 2**32 - 1)])
+    assert np.histogram(draws, 10, (0, 1))[0] == pytest.approx(800, abs=120)
+    assert np.abs(np.corrcoef(draws) - np.eye(4)).max() < 0.08
+    even = (np.arange(200_000) + 0.5) / 200_000
+    for n in (1, 3, 50, 10_000, 4_000_000):
+        counts = stats.poisson_counts(n, even)
+        assert counts.mean() == pytest.approx(n, rel=1e-4, abs=1e-3) and counts.var() == pytest.approx(n, rel=2e-3)
+    assert (stats.poisson_counts(1, np.array([0.36, 0.37, 0.7357, 0.7359])) == [0, 1, 1, 2]).all()
+
+
 CANDIDATE = "example_id string, candidate_index int, created_at string, candidate_sql string, parse_valid boolean, safe boolean, execution_success boolean, execution_equivalent boolean, execution_error_message_sanitized string, execution_error_type string"
 
 
