@@ -43,7 +43,7 @@ BROADCAST_BYTES = 192 << 20
 # Bytes of text per shard and per block of texts.
 SHARD_BYTES = 16 << 20
 # Bytes of text taken up at once, and n-grams that a task holds before it sends them.
-CHUNK_BYTES, HELD = 2 << 20, 1_000_000
+CHUNK_BYTES, HELD = 1 << 20, 1_000_000
 # What every token is counted too much, for tokens never seen.
 ADDED = 0.1
 
