@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from evalspark.sources import schemas
+from evalspark.streaming import changelog
 
 KEYS = ["example_id", "candidate_index"]
+_TIME = "_arrived"
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def stream_jsonl(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 1000) -> DataFrame:
@@ -16,35 +25,69 @@ def stream_jsonl(spark: SparkSession, path: str, schema: str, files_per_trigger:
     )
 
 
-def first_of_key(records: DataFrame) -> DataFrame:
-    """One record per key, the earliest; combined before the shuffle."""
-    row = F.struct(*records.columns)
-    return (
-        records.groupBy(*KEYS)
-        .agg(F.min_by(row, F.struct("created_at", "raw_candidate_output")).alias("_row"))
-        .select("_row.*")
-    )
+@contextmanager
+def disk_state(spark: SparkSession):
+    """Queries started inside keep their state in RocksDB, on disk rather than on the heap."""
+    before = spark.conf.get(_STORE, None)
+    spark.conf.set(_STORE, _ROCKSDB)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_STORE)
+        else:
+            spark.conf.set(_STORE, before)
 
 
-def intake_candidates(stream: DataFrame, table_path: str, checkpoint: str):
+def first_of_keys(stream: DataFrame, forget_after: str | None = None) -> DataFrame:
+    """One record per key, from the batch in which the key is first seen; there the earliest.
+
+    What is known of a key is one flag in keyed state, so a batch reads no history. With
+    ``forget_after``, such as "30 days", a key is forgotten once the newest ``created_at`` is so
+    much later than the key's record; copies that come after that are older than the watermark
+    and are dropped as late. Without it no key is forgotten and no record is late.
+    """
+    names = stream.columns
+    if forget_after is None:
+        timed, timeout = stream, GroupStateTimeout.NoTimeout
+    else:
+        # A record without a readable time counts as just arrived.
+        when = F.coalesce(F.try_to_timestamp("created_at"), F.current_timestamp())
+        timed = stream.withColumn(_TIME, when).withWatermark(_TIME, forget_after)
+        timeout = GroupStateTimeout.EventTimeTimeout
+
+    def first(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(batches))
+        if forget_after is not None:
+            # One millisecond past the newest record; the watermark adds the delay.
+            newest = int(rows[_TIME].max().timestamp() * 1000) + 1
+            state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs() + 1))
+        if not state.exists:
+            state.update((True,))
+            yield rows.sort_values(["created_at", "raw_candidate_output"]).head(1)[names]
+
+    return timed.groupBy(*KEYS).applyInPandasWithState(first, stream.schema, "seen boolean", "append", timeout)
+
+
+def intake_candidates(stream: DataFrame, table_path: str, checkpoint: str, forget_after: str | None = None):
     """Append each (example, index) once. Returns the finished query.
 
-    What is known is the table itself, so no state grows with the history, and a batch
-    that is run again after a failure adds nothing it has added before.
+    Which files a batch has added is written with the batch, so one that is run again after a
+    failure adds nothing it has added before; see ``first_of_keys`` for late copies.
     """
-    spark = stream.sparkSession
-    spark.createDataFrame([], stream.schema).write.mode("append").parquet(table_path)
-
-    def add_new(batch: DataFrame, _: int) -> None:
-        known = spark.read.schema(stream.schema).parquet(table_path).select(*KEYS)
-        first_of_key(batch).join(known, KEYS, "left_anti").write.mode("append").parquet(table_path)
-
-    query = (
-        stream.writeStream.foreachBatch(add_new)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    with disk_state(stream.sparkSession):
+        query = (
+            first_of_keys(stream, forget_after)
+            .writeStream.format("parquet")
+            .outputMode("append")
+            .option("path", table_path)
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
+        )
     query.awaitTermination()
     return query
 
@@ -58,38 +101,35 @@ def group_totals(samples: DataFrame) -> DataFrame:
     )
 
 
-def stream_group_totals(stream: DataFrame, table_path: str, checkpoint: str):
-    """Keep the totals current: each batch writes the groups it changed, with its number."""
+def stream_group_totals(
+    stream: DataFrame, table_path: str, checkpoint: str, snapshot_every: int = changelog.SNAPSHOT_EVERY
+):
+    """Keep the totals current: each batch writes the groups it changed, now and then a snapshot."""
 
     def write(batch: DataFrame, number: int) -> None:
-        (
-            batch.write.mode("overwrite").parquet(f"{table_path}/batch={number}")
+        changelog.write_change(batch, number, table_path, ["generation_group_id"], snapshot_every)
+
+    with disk_state(stream.sparkSession):
+        query = (
+            group_totals(stream)
+            .writeStream.outputMode("update")
+            .foreachBatch(write)
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
         )
-
-    query = (
-        group_totals(stream)
-        .writeStream.outputMode("update")
-        .foreachBatch(write)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
     query.awaitTermination()
     return query
 
 
 def latest_totals(spark: SparkSession, table_path: str) -> DataFrame:
     """The newest row of each group."""
-    changes = spark.read.parquet(table_path)
-    row = F.struct(*[c for c in changes.columns if c != "batch"])
-    return changes.groupBy("generation_group_id").agg(
-        F.max_by(row, "batch").alias("_row")
-    ).select("_row.*")
+    return changelog.latest(spark, table_path, ["generation_group_id"])
 
 
-def stream_candidates(spark: SparkSession, path: str) -> DataFrame:
-    return stream_jsonl(spark, path, schemas.CANDIDATE)
+def stream_candidates(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
+    return stream_jsonl(spark, path, schemas.CANDIDATE, files_per_trigger)
 
 
-def stream_samples(spark: SparkSession, path: str) -> DataFrame:
-    return stream_jsonl(spark, path, schemas.REWARD_SAMPLE)
+def stream_samples(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
+    return stream_jsonl(spark, path, schemas.REWARD_SAMPLE, files_per_trigger)
