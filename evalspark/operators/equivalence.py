@@ -241,6 +241,22 @@ def _empty_problems(candidate_sql: Column, tables: Column, gold: Column, known:
     )
 
 
+# Runs whose keys are sent to every task, so that rows of other runs are not hashed.
+RUNS_SENT = 200_000
+
+
+def _rows_of(rows: DataFrame, runs: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of these runs; of all runs, if there are too many to send their keys around.
+
+    Rows are summed up before they are shuffled. A join that shuffles them first would cost more
+    than to sum up what is not needed.
+    """
+    named = runs.select(*keys).distinct()
+    if runs.count() > RUNS_SENT:
+        return rows
+    return rows.join(F.broadcast(named), keys, "left_semi")
+
+
 def verdicts(
     candidate_runs: DataFrame,
     gold_runs: DataFrame,
@@ -294,7 +310,10 @@ def verdicts(
         gold_rows.join(pending.select("example_id"), "example_id", "left_semi"),
         tolerance,
     ).withColumn("_rows_seen", F.lit(True))
-    bags = unordered_matches(candidate_rows, gold_rows, tolerance)
+    listed = runs.filter(F.col("gate") == "unordered")
+    bags = unordered_matches(
+        _rows_of(candidate_rows, listed, keys), _rows_of(gold_rows, listed, ["example_id"]), tolerance
+    )
     judged = runs.join(places, keys, "left").join(bags, keys, "left")
     problems = _empty_problems(
         F.col("sql"), source_tables(F.col("sql")), F.col("gold_tables"), F.col("schema_tables")

@@ -7,8 +7,10 @@ collected per key; rows of a key with very many copies are salted.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -117,18 +119,58 @@ def prompt_leakage(prompts: DataFrame) -> DataFrame:
     return checked.select("example_id", F.explode(rules).alias("rule"))
 
 
+# Values that one automaton looks for; an example with more has several.
+VALUES_AT_ONCE = 10_000
+
+
+def _standing_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The values of each row that stand in its prompt, in one pass over the prompt."""
+    import ahocorasick
+
+    for batch in batches:
+        at, kept = [], []
+        for i, (prompt, values) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("prompt", "values")))):
+            automaton = ahocorasick.Automaton()
+            for k, value in enumerate(values):
+                automaton.add_word(value["value"], k)
+            automaton.make_automaton()
+            for k in sorted({k for _, k in automaton.iter(prompt)}):
+                at.append(i)
+                kept.append(values[k])
+        ids = batch.column("example_id").take(pa.array(at, pa.int64()))
+        yield pa.RecordBatch.from_arrays(
+            [
+                ids,
+                pa.array([v["value"] for v in kept], pa.string()),
+                pa.array([v["occurrences"] for v in kept], pa.int64()),
+            ],
+            names=["example_id", "value", "occurrences"],
+        )
+
+
 def result_leakage(prompts: DataFrame, result_strings: DataFrame) -> DataFrame:
     """Gold result strings (``example_id, value``) that stand in the example's prompt.
 
-    ``occurrences`` counts the result cells with that value.
+    ``occurrences`` counts the result cells with that value. The values of an example travel
+    together, so a prompt is moved and read once for ``VALUES_AT_ONCE`` of them.
     """
-    values = (
+    values = materialize(
         result_strings.filter(F.length("value") >= MIN_LEAK_LENGTH)
         .groupBy("example_id", "value")
-        .agg(F.count("*").alias("occurrences"))
+        .agg(F.count("*").alias("occurrences")),
+        "leak-values",
+    )
+    many = values.groupBy("example_id").agg(F.count("*").alias("_n")).filter(F.col("_n") > VALUES_AT_ONCE)
+    portions = F.coalesce(F.ceil(F.col("_n") / VALUES_AT_ONCE), F.lit(1))
+    lists = (
+        values.join(many, "example_id", "left")
+        .groupBy("example_id", F.pmod(F.xxhash64("value"), portions).alias("_portion"))
+        .agg(F.collect_list(F.struct("value", "occurrences")).alias("values"))
     )
-    joined = values.join(prompts.select("example_id", "prompt"), "example_id")
-    return joined.filter(F.col("prompt").contains(F.col("value"))).drop("prompt")
+    given = prompts.filter(F.col("prompt").isNotNull()).select("example_id", "prompt")
+    joined = lists.join(given, "example_id").select("example_id", "prompt", "values")
+    kind = joined.schema["example_id"].dataType.simpleString()
+    return joined.mapInArrow(_standing_in, f"example_id {kind}, value string, occurrences bigint")
 
 
 def candidates_from_test(examples: DataFrame, candidates: DataFrame) -> DataFrame:

@@ -107,19 +107,28 @@ def runs(t: Tables):
     p AS (SELECT o, k, count(*) AS size FROM candidate_rows GROUP BY o, k),
     bag_bad AS (SELECT m.o, m.k FROM m LEFT JOIN g USING (o, price, flag, n) WHERE m.c IS DISTINCT FROM g.c
       UNION SELECT p.o, p.k FROM p JOIN g USING (o) LEFT JOIN m USING (o, k, price, flag, n) WHERE m.c IS NULL),
-    list_bad AS (SELECT DISTINCT m.o, m.k FROM candidate_rows m LEFT JOIN gold_rows g USING (o, row_idx)
-      WHERE g.o IS NULL OR NOT ({_CLOSE}) OR m.flag <> g.flag OR m.n <> g.n),
+    list_all AS (SELECT m.o, m.k, m.row_idx, CASE WHEN g.o IS NULL OR NOT ({_CLOSE}) THEN 0
+        WHEN m.flag <> g.flag THEN 1 WHEN m.n <> g.n THEN 2 END AS bad
+      FROM candidate_rows m LEFT JOIN gold_rows g USING (o, row_idx)),
+    list_bad AS (SELECT o, k, min(row_idx) AS bad_row, arg_min(bad, row_idx) AS bad_col
+      FROM list_all WHERE bad IS NOT NULL GROUP BY o, k),
     j AS (SELECT p.o, p.k, p.size AS n, gs.size AS gold_n, p.o % 3 = 0 AS ordered,
         CASE WHEN p.o % 50 = 1 THEN 'fail' WHEN p.o % 50 = 4 THEN 'fail' WHEN p.o % 50 IN (2, 5) THEN 'cut'
           WHEN p.o % 50 = 3 AND p.o % 4 <> 0 THEN 'fail' ELSE 'go' END AS gate,
-        CASE WHEN p.o % 3 = 0 THEN p.size = gs.size AND lb.o IS NULL ELSE bb.o IS NULL END AS same
+        CASE WHEN p.o % 3 = 0 THEN p.size = gs.size AND lb.o IS NULL ELSE bb.o IS NULL END AS same, bad_row, bad_col
       FROM p JOIN gs USING (o) LEFT JOIN bag_bad bb USING (o, k) LEFT JOIN list_bad lb USING (o, k))
     SELECT 'o-' || o AS example_id, k AS candidate_index, gate = 'go' AND same AS strict_equivalent,
       false AS partial_credit,
       CASE WHEN gate = 'cut' THEN 'truncated_unverified' WHEN gate = 'fail' OR NOT same THEN 'not_equivalent'
         WHEN ordered THEN 'ordered_rows' ELSE 'unordered_rows' END AS kind,
       n AS candidate_row_count, gold_n AS gold_row_count, o % 4 = 0 AS column_match,
-      o % 4 = 0 OR o % 50 <> 3 AS column_count_match, ordered AND gate = 'go' AS order_sensitive FROM j""",
+      o % 4 = 0 OR o % 50 <> 3 AS column_count_match, ordered AND gate = 'go' AS order_sensitive,
+      CASE WHEN o % 50 = 1 THEN 'gold query failed' WHEN o % 50 = 4 THEN 'candidate failed: timeout'
+        WHEN gate = 'cut' THEN 'a result is truncated' WHEN gate = 'fail' THEN 'column counts differ'
+        WHEN n <> gold_n AND ordered THEN 'row counts differ' WHEN n <> gold_n THEN 'row multisets differ'
+        WHEN same THEN 'rows match'
+        WHEN ordered THEN 'ordered mismatch at row ' || bad_row || ' column ' || bad_col
+        ELSE 'row multisets differ' END AS reason, '' AS problems FROM j""",
     "candidate_rows",
 )
 def equiv_verdicts(t: Tables):
@@ -128,7 +137,7 @@ def equiv_verdicts(t: Tables):
     judged = equivalence.verdicts(
         candidate_runs, gold_runs, long_rows(t, "candidate_rows"), long_rows(t, "gold_rows")
     )
-    return judged.drop("equivalent", "reason", "problems")
+    return judged.drop("equivalent").withColumn("problems", F.array_join("problems", "; "))
 
 
 @query(

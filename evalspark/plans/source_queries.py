@@ -48,6 +48,31 @@ def bad_lines(t: Tables):
     )
 
 
+@query(
+    "bad_line_numbers",
+    """SELECT doc_id, true AS found_there FROM documents WHERE doc_id % 3 = 1""",
+)
+def bad_line_numbers(t: Tables):
+    """Corrupt lines are reported at their place in their file, whichever task has read them.
+
+    Each line says itself which line of its file it is; corrupt ones break off behind that.
+    """
+    path = scratch_path(t.spark, "numbered")
+    # The low bits count the rows of a task, which writes one file.
+    number = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) + 1
+    placed = t.documents.repartition(3, "doc_id").withColumn("place", number)
+    good = F.to_json(F.struct("place", F.col("doc_id").alias("ord"), "text"))
+    broken = F.format_string('{"place":%d,"ord":%d,"text":', "place", "doc_id")
+    line = F.when(F.col("doc_id") % 3 == 0, good).when(F.col("doc_id") % 3 == 1, broken).otherwise(" ")
+    placed.select(line.alias("value")).write.text(path)
+    bad = jsonl.bad_lines(t.spark, path, "place bigint, ord bigint, text string")
+    said = F.regexp_extract("text", r'"place":(\d+),"ord":(\d+)', 1).cast("bigint")
+    return bad.select(
+        F.regexp_extract("text", r'"place":(\d+),"ord":(\d+)', 2).cast("bigint").alias("doc_id"),
+        (F.col("line") == said).alias("found_there"),
+    )
+
+
 @query(
     "raw_source",
     """SELECT source AS db_id, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY 1""",
