@@ -131,6 +131,32 @@ _NEW, _PLAIN, _TAKES_FROM, _QUERY = -1, -2, -3, 100
 _WHOLE = _QUERY + 1
 
 
+# What a token does to the stack.
+_OTHER, _OPENS, _CLOSES, _STOPS, _SETS, _CASE, _END = range(7)
+
+
+def _facts(word: Column, before: Column) -> Column:
+    """What is to be known of a token and the one before it, so that the fold compares no texts."""
+
+    def tell(name: Column) -> Column:
+        from_as_word = (word == "from") & (before == "distinct")
+        rank = F.coalesce(*[F.when(word == head, rank) for head, rank in _RANKS.items()], F.lit(0))
+        does = F.when(word == "(", _OPENS).when(word == ")", _CLOSES).when(word == ";", _STOPS)
+        does = does.when(name, _OTHER).when(word.isin(_SET_WORDS), _SETS)
+        return F.struct(
+            name.alias("name"),
+            does.when(word == "case", _CASE).when(word == "end", _END).otherwise(_OTHER).alias("does"),
+            F.when(name | from_as_word, 0).otherwise(rank).alias("rank"),
+            word.isin("select", "with", "values").alias("heads"),
+            (before.isin(_WANTING) & word.isin(_NO_OPERAND) & ~name).alias("wanted"),
+            ((before == "(") & word.isin(_NEVER_FIRST)).alias("never_first"),
+            ((word == "where") & (before == "(") | word.isin("order by", "limit")).alias("anywhere"),
+            before.isin(_FROM_CALLS).alias("takes_from"),
+        )
+
+    return bind((before.isin(".", "as") & ~word.isin("(", ")", ",", ";")) | (word == "_"), tell)
+
+
 def misplaced(blanked: Column) -> Column:
     """Whether some word cannot stand where it does.
 
@@ -138,67 +164,93 @@ def misplaced(blanked: Column) -> Column:
     outside any query, CASE without END, and parentheses that do not pair. The statement comes in
     lower case, without comments, and with ``_`` for literals and quoted names.
     """
-    tokens = F.regexp_extract_all(F.concat(blanked, F.lit(" ;")), F.lit(_TOKEN), F.lit(0))
+    spaced = F.concat(F.regexp_replace(blanked, r"\s+", " "), F.lit(" ;"))
+    return bind(spaced, lambda text: F.when(_flat(text), False).otherwise(_fold_misplaced(text)))
+
+
+def _either(words: list[str]) -> str:
+    return r"\b(?:" + "|".join(words) + r")\b"
+
+
+def _is_word(token: str) -> bool:
+    return token[0].isalpha()
+
+
+# For a cheap look at statements without queries in them: parentheses without a clause's word, ...
+_CLAUSE_WORD = _either([*_RANKS, "with", "values", "case", "end", *_SET_WORDS])
+_ASIDE = rf"\((?:(?!{_CLAUSE_WORD})[^()])*\)"
+# ... the clauses of a single select in their order, ...
+_TO_NEXT = rf"(?:(?!{_CLAUSE_WORD})[^();])*"
+_IN_ORDER = "^ ?" + "".join(
+    rf"(?:\b{word}\b{_TO_NEXT})" + ("" if word == "select" else "?") for word in _RANKS
+) + ";$"
+# ... and neighbours that the fold would look at.
+_SUSPECT = (
+    rf"(?:{_either([t for t in _WANTING if _is_word(t)])}|[.=<>|/%])\s*"
+    rf"(?:[),;]|{_either([t for t in _NO_OPERAND if _is_word(t)])})"
+    rf"|\(\s*(?:[=<>!|/%,.]|{_either([t for t in _NEVER_FIRST if _is_word(t)])})"
+)
+
+
+def _flat(spaced: Column) -> Column:
+    """Whether nothing can be misplaced: one select, its clauses in order, no operand left out."""
+    once = F.regexp_replace(spaced, _ASIDE, " _ ")
+    return ~spaced.rlike(_SUSPECT) & F.regexp_replace(once, _ASIDE, " _ ").rlike(_IN_ORDER)
+
+
+def _fold_misplaced(spaced: Column) -> Column:
+    words = F.regexp_extract_all(spaced, F.lit(_TOKEN.replace("(?:'", "('", 1)), F.lit(1))
+    facts = bind(
+        words,
+        lambda ws: F.transform(
+            ws, lambda w, i: bind(F.when(i > 0, F.get(ws, i - 1)).otherwise(""), lambda before: _facts(w, before))
+        ),
+    )
 
     def step(seen: Column, token: Column) -> Column:
-        def read(word: Column) -> Column:
-            stack, before = seen["stack"], seen["before"]
-            top = F.element_at(stack, -1)
-            rank = F.create_map(*[F.lit(x) for pair in _RANKS.items() for x in pair])[word]
-            name = (before.isin(".", "as") & ~word.isin("(", ")", ",", ";")) | (word == "_")
-            key = F.when(name, F.lit(None).cast("int")).otherwise(rank)
-            distinct_from = (word == "from") & (before == "distinct")
-            counts = key.isNotNull() & ~distinct_from
-            sets = word.isin(_SET_WORDS) & ~name
-            # What the parentheses are, told by their first word.
-            opened = (
-                F.when(top != _NEW, top)
-                .when(word.isin("select", "with", "values"), _QUERY)
-                .when(word == "(", _WHOLE)
-                .otherwise(_PLAIN)
+        stack, does, rank = seen["stack"], token["does"], token["rank"]
+        top = F.element_at(stack, -1)
+        # What the parentheses are, told by their first word.
+        opened = (
+            F.when(top != _NEW, top)
+            .when(token["heads"], _QUERY)
+            .when(does == _OPENS, _WHOLE)
+            .otherwise(_PLAIN)
+        )
+
+        def judge(kind: Column) -> Column:
+            query, nested = kind >= _QUERY, F.size(stack) > 1
+            taken = (rank == _RANKS["from"]) & (kind == _TAKES_FROM)
+            bad = (
+                (token["wanted"] & ~seen["named"])
+                | token["never_first"]
+                | ((rank > 0) & F.when(query, kind - _QUERY >= rank).otherwise(~(taken | token["anywhere"])))
+                | ((does == _SETS) & (~query | (kind == _QUERY)))
+                | ((does == _CLOSES) & ~nested)
+                | ((does == _STOPS) & (nested | (seen["cases"] != 0)))
+                | ((does == _END) & (seen["cases"] == 0))
+            )
+            now = F.when(does == _SETS, _QUERY).when((rank > 0) & query, _QUERY + rank).otherwise(kind)
+            outer = F.slice(stack, 1, F.size(stack) - 1)
+            inner = F.when(token["takes_from"], _TAKES_FROM).otherwise(_NEW)
+            return F.struct(
+                F.when(does == _OPENS, F.concat(outer, F.array(now, inner)))
+                .when((does == _CLOSES) & nested, outer)
+                .when(now == top, stack)
+                .otherwise(F.concat(outer, F.array(now)))
+                .alias("stack"),
+                token["name"].alias("named"),
+                (seen["cases"] + F.when(does == _CASE, 1).when(does == _END, -1).otherwise(0)).alias("cases"),
+                bad.alias("bad"),
             )
 
-            def judge(kind: Column) -> Column:
-                query = kind >= _QUERY
-                wrong_clause = F.when(query, kind - _QUERY >= key).otherwise(
-                    ~(
-                        ((word == "from") & (kind == _TAKES_FROM))
-                        | ((word == "where") & (before == "("))
-                        | word.isin("order by", "limit")
-                    )
-                )
-                bad = (
-                    (before.isin(_WANTING) & ~seen["named"] & word.isin(_NO_OPERAND) & ~name)
-                    | ((before == "(") & word.isin(_NEVER_FIRST))
-                    | (counts & wrong_clause)
-                    | (sets & (~query | (kind == _QUERY)))
-                    | ((word == ")") & (F.size(stack) == 1))
-                    | ((word == ";") & ((F.size(stack) > 1) | (seen["cases"] != 0)))
-                    | ((word == "end") & ~name & (seen["cases"] == 0))
-                )
-                now = F.when(sets, _QUERY).when(counts & query, _QUERY + key).otherwise(kind)
-                below = F.concat(F.slice(stack, 1, F.size(stack) - 1), F.array(now))
-                inner = F.when(before.isin(_FROM_CALLS), _TAKES_FROM).otherwise(_NEW)
-                return F.struct(
-                    F.when(word == "(", F.concat(below, F.array(inner)))
-                    .when((word == ")") & (F.size(stack) > 1), F.slice(stack, 1, F.size(stack) - 1))
-                    .otherwise(below)
-                    .alias("stack"),
-                    word.alias("before"),
-                    name.alias("named"),
-                    (seen["cases"] + F.when(name, 0).when(word == "case", 1).when(word == "end", -1).otherwise(0)).alias("cases"),
-                    (seen["bad"] | F.coalesce(bad, F.lit(False))).alias("bad"),
-                )
-
-            return bind(opened, judge)
-
-        return bind(_words(token), read)
+        # What is wrong once stays wrong.
+        return F.when(seen["bad"], seen).otherwise(bind(opened, judge))
 
     start = F.struct(
         F.array(F.lit(_NEW)).alias("stack"),
-        F.lit("").alias("before"),
         F.lit(False).alias("named"),
         F.lit(0).alias("cases"),
         F.lit(False).alias("bad"),
     )
-    return F.aggregate(tokens, start, step, lambda seen: seen["bad"])
+    return F.aggregate(facts, start, step, lambda seen: seen["bad"])

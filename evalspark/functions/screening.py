@@ -77,6 +77,15 @@ def screen(sql: Column) -> Column:
     return F.when(sql.isNotNull(), bind(strip(sql), _screen_text))
 
 
+def _bad_syntax(statement: Column) -> Column:
+    return (
+        statement.contains("'")
+        | statement.rlike(_DANGLING)
+        | statement.rlike(_TAG_LEFT)
+        | outline.misplaced(statement)
+    )
+
+
 def _screen_text(text: Column) -> Column:
     def cut(blanked: Column) -> Column:
         statement = F.regexp_replace(blanked, r"^[\s;]+|[\s;]+$", "")
@@ -91,12 +100,6 @@ def _screen_text(text: Column) -> Column:
         # A parenthesised query counts as the query.
         opened = F.regexp_replace(statement, r"^[\s(]+", "")
         verb = F.regexp_extract(opened, r"^([a-z]+)", 1)
-        bad_syntax = (
-            statement.contains("'")
-            | statement.rlike(_DANGLING)
-            | statement.rlike(_TAG_LEFT)
-            | outline.misplaced(statement)
-        )
         return F.struct(
             parts["empty"].alias("empty"),
             parts["count"].alias("count"),
@@ -105,7 +108,7 @@ def _screen_text(text: Column) -> Column:
             statement.rlike(_WRITE_INSIDE).alias("writes"),
             F.regexp_extract(statement, _LOADS, 1).alias("call"),
             (statement.rlike(_SCRIPT) | statement.rlike(_FILE)).alias("outside"),
-            bad_syntax.alias("bad_syntax"),
+            statement.alias("statement"),
         )
 
     def classify(t: Column) -> Column:
@@ -114,7 +117,7 @@ def _screen_text(text: Column) -> Column:
             F.when(t["empty"], "format_error")
             .when((t["count"] == 0) | ~known, "syntax_error")
             .when((t["count"] > 1) | ~t["reads"] | t["writes"] | t["outside"], "unsafe_sql")
-            .when(t["bad_syntax"], "syntax_error")
+            .when(_bad_syntax(t["statement"]), "syntax_error")
             .when(t["call"] != "", "unsafe_sql")
             .otherwise("none")
         )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import random
 
 from pyspark.sql import functions as F
 
@@ -126,3 +127,17 @@ def test_what_is_quoted_is_not_read(spark):
     assert _screened(spark, texts) == ["none"] * len(texts)
     # What makes a statement unsafe is told before a word out of place.
     assert _screened(spark, ["SELECT a FROM t WHERE; DROP TABLE t", "DELETE FROM t WHERE AND"]) == ["unsafe_sql"] * 2
+
+
+def test_the_cheap_look_agrees_with_the_fold(spark):
+    rng = random.Random(2)
+    pieces = [
+        "select", "from", "where", "group by", "having", "order by", "limit", "a", "b", "t", "_", "1", "(", ")", "f(a)",
+        "(a, b)", ",", "=", "and", "or", "not", "in", "on", "join", "is", "distinct", "case", "end", "when", "as", ".", "*", "union",
+    ]
+    texts = ["select " + " ".join(rng.choices(pieces, k=rng.randrange(1, 9))) for _ in range(3000)]
+    texts += [f"select a from t where {' '.join(rng.choices(pieces[7:20], k=3))} order by b" for _ in range(1000)]
+    frame = spark.createDataFrame([(t + " ;",) for t in texts], "text string")
+    rows = frame.select("text", outline._flat(F.col("text")).alias("flat"), outline._fold_misplaced(F.col("text")).alias("bad")).collect()
+    assert not [r.text for r in rows if r.flat and r.bad]
+    assert sum(r.flat for r in rows) > 150
