@@ -205,7 +205,7 @@ _PIECE_ARROW = pa.schema(
 _COLUMNS = ["keys", "tags", "counts", "large"]
 
 
-def positions(keys: np.ndarray, level: int, probe: int, width: np.uint64) -> np.ndarray:
+def positions(keys: np.ndarray, level: int, probe: int, width) -> np.ndarray:
     """The bit that a key with a level sets at a probe, in a filter of ``width`` bits."""
     first = _mixed(keys + np.uint64(level * int(_TURN) % 2**64))
     step = _mixed(first) | np.uint64(1)
@@ -256,56 +256,58 @@ class Model:
     size: int
 
 
+# The columns of a whole model: those of the token pieces, and the filters of the pair pieces.
+_PARTS = [("token", "keys"), ("token", "tags"), ("token", "counts"), ("token", "large"), ("pair", "keys")]
+
+
 class Held:
-    """Pieces of a model: counts of tokens and levels of pairs by their hashes.
+    """A model, or a piece of it, in memory: counts of tokens and levels of pairs by their hashes.
 
-    ``pieces`` gives the packed columns of each (kind, shard), or a broadcast of them, so
-    that a task unpacks no copy of the model.
+    ``parts`` are the ``_PARTS`` of the shards one after the other, ``widths`` the bits of each
+    shard's filter. Nothing is copied, so tasks of a worker share what has been broadcast to it.
     """
 
-    def __init__(self, pieces: dict, shards: int):
-        self.pieces, self.shards = pieces, shards
+    def __init__(self, parts: list[bytes], widths: np.ndarray):
+        kinds = ("<u8", "<u4", "u1", "<i8", "u1")
+        self.keys, self.tags, self.small, self.large, self.bits = map(np.frombuffer, parts, kinds)
+        self.full = np.flatnonzero(self.small == _FULL)
+        self.widths, self.offsets = widths, np.cumsum(widths) - widths
 
-    def _by_shard(self, kind: str, keys: np.ndarray) -> Iterator[tuple[np.ndarray, tuple]]:
-        """The places of the keys of each shard, with the shard's columns."""
-        at = shard_of(keys, self.shards)
-        order = np.argsort(at, kind="stable")
-        bounds = np.searchsorted(at[order], np.arange(self.shards + 1))
-        for shard in np.unique(at).tolist():
-            piece = self.pieces.get((kind, shard))
-            if piece is not None:
-                yield order[bounds[shard] : bounds[shard + 1]], getattr(piece, "value", piece)
+    @classmethod
+    def of_rows(cls, rows: list[dict], shards: int) -> Held:
+        rows = sorted(rows, key=lambda r: r["shard"])
+        parts = [b"".join(r[column] for r in rows if r["kind"] == kind) for kind, column in _PARTS]
+        return cls(parts, widths_of([(r["shard"], len(r["keys"])) for r in rows if r["kind"] == "pair"], shards))
 
     def counts(self, keys: np.ndarray, tags: np.ndarray) -> np.ndarray:
-        found = np.zeros(len(keys), np.int64)
-        for places, packed in self._by_shard("token", keys):
-            have, have_tags, small, large = (np.frombuffer(p, t) for p, t in zip(packed, ("<u8", "<u4", "u1", "<i8")))
-            at = locate(have, have_tags, keys[places], tags[places])
-            got = picked(small, at).astype(np.int64)
-            full = got == _FULL
-            got[full] = large[np.searchsorted(np.flatnonzero(small == _FULL), at[full])]
-            found[places] = got
-        return found
+        at = locate(self.keys, self.tags, keys, tags)
+        got = picked(self.small, at).astype(np.int64)
+        full = got == _FULL
+        got[full] = self.large[np.searchsorted(self.full, at[full])]
+        return got
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
+        """The highest level of each key up to which its filter holds all levels, 0 for none."""
         found = np.zeros(len(keys), np.int64)
-        for places, packed in self._by_shard("pair", keys):
-            found[places] = probed(np.frombuffer(packed[0], np.uint8), keys[places])
+        shards = shard_of(keys, len(self.widths))
+        alive = np.flatnonzero(self.widths[shards])
+        keys, shards, level = keys[alive], shards[alive], 0
+        while len(alive):
+            level += 1
+            for probe in range(PROBES):
+                at = positions(keys, level, probe, self.widths[shards]) + self.offsets[shards]
+                hit = (self.bits[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8)) & 1 > 0
+                alive, keys, shards = alive[hit], keys[hit], shards[hit]
+            found[alive] = level
         return found
 
 
-def probed(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """The highest level of each key up to which the filter holds all levels, 0 for none."""
-    found = np.zeros(len(keys), np.int64)
-    width, alive, level = np.uint64(8 * len(bits)), np.arange(len(keys)), 0
-    while len(alive):
-        level += 1
-        for probe in range(PROBES):
-            at = positions(keys, level, probe, width)
-            hit = (bits[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8)) & 1 > 0
-            alive, keys = alive[hit], keys[hit]
-        found[alive] = level
-    return found
+def widths_of(sizes: list[tuple[int, int]], shards: int) -> np.ndarray:
+    """The bits of each shard's filter, from pairs of shard and bytes."""
+    widths = np.zeros(shards, np.uint64)
+    for shard, size in sizes:
+        widths[shard] = 8 * size
+    return widths
 
 
 class Answered:
@@ -350,7 +352,9 @@ def locate(have, have_tags, keys, tags) -> np.ndarray:
 
 def picked(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The values at these places, 0 at -1."""
-    return np.r_[values, 0][at]
+    if not len(values):
+        return np.zeros(len(at), values.dtype)
+    return np.where(at >= 0, values[np.maximum(at, 0)], 0)
 
 
 def _train(shards: int):
@@ -432,15 +436,19 @@ def _scored_rows(keys: pa.Array, learned: pa.Array, got: dict, model: Model, sch
 
 def _broadcast_scores(frame: DataFrame, model: Model, schema: pa.Schema, out: str) -> DataFrame:
     plain = {k: getattr(model, k) for k in ("tokens", "types", "beta")}
-    context, shards = frame.sparkSession.sparkContext, model.shards
-    # One broadcast per piece, so that the driver holds few pieces at a time.
-    pieces = {
-        (r.kind, r.shard): context.broadcast(tuple(bytes(r[c]) for c in _COLUMNS))
-        for r in model.pieces.select("kind", "shard", *_COLUMNS).toLocalIterator()
-    }
+    context = frame.sparkSession.sparkContext
+    sizes, parts = [], []
+    # One column at a time passes through the driver.
+    for kind, column in _PARTS:
+        rows = model.pieces.filter(F.col("kind") == kind).select("shard", column).toLocalIterator()
+        packed = sorted((r[0], bytes(r[1])) for r in rows)
+        if kind == "pair":
+            sizes = [(shard, len(part)) for shard, part in packed]
+        parts.append(context.broadcast(b"".join(part for _, part in packed)))
+    widths = widths_of(sizes, model.shards)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        small, held = Model(None, 0, 0, size=0, **plain), Held(pieces, shards)
+        small, held = Model(None, 0, 0, size=0, **plain), Held([part.value for part in parts], widths)
         for batch in batches:
             for part in chunks(batch):
                 got = _scores(Tokens(part.column(2).to_pylist()), held, small)
@@ -465,8 +473,7 @@ def _routed_scores(frame: DataFrame, model: Model, schema: pa.Schema, out: str)
         return pa.Table.from_batches([_sent(kind, shards, number, k, t, none) for kind, k, t in both])
 
     def answer(asked: pa.Table, piece: pa.Table) -> pa.Table:
-        packed = {(r["kind"], r["shard"]): tuple(r[c] for c in _COLUMNS) for r in piece.to_pylist()}
-        held, rows = Held(packed, shards), asked.to_pylist()
+        held, rows = Held.of_rows(piece.to_pylist(), shards), asked.to_pylist()
         for row in rows:
             keys, tags = np.frombuffer(row["keys"], "<u8"), np.frombuffer(row["tags"], "<u4")
             got = held.counts(keys, tags) if row["kind"] == "token" else held.levels(keys)

@@ -59,7 +59,7 @@ def test_filter_forgets_nothing_and_errs_rarely():
     counts = np.maximum(1, rng.pareto(1, len(keys)) * 2).astype(np.int64)
     known, unknown = keys[::2], keys[1::2]
     bits = language.filter_bits(known, counts[::2])
-    held = language.Held({("pair", 0): (bits.tobytes(), b"", b"", b"")}, 1)
+    held = language.Held([b"", b"", b"", b"", bits.tobytes()], np.array([8 * len(bits)], np.uint64))
     levels, want = held.levels(known), language.levels_of(counts[::2])
     assert (levels >= want).all() and (levels > want).mean() < 0.05
     wrong = held.levels(unknown) > 0
