@@ -228,13 +228,25 @@ def _content_keys(df: DataFrame, *extra: str) -> DataFrame:
     table = F.array(
         *[F.struct(F.lit(k).alias("rule"), digest(v).alias("key")) for k, v in keys.items()]
     )
-    return df.select(*extra, F.inline(table)).distinct()
+    return df.select(*extra, F.inline(table))
+
+
+# Held-out keys that are sent to every task, 32 bytes each.
+KEYS_SENT = 1_000_000
 
 
 def heldout_overlap(examples: DataFrame, heldout: DataFrame) -> DataFrame:
-    """Per rule, how many distinct keys of a split the held-out set shares, summed."""
+    """Per rule, how many distinct keys of a split the held-out set shares, summed.
+
+    Up to ``KEYS_SENT`` held-out keys meet the corpus where it is read, so that only keys that
+    match are shuffled; more of them meet its distinct keys.
+    """
     keys = _content_keys(examples, "split")
-    shared = keys.join(_content_keys(heldout), ["rule", "key"], "left_semi")
+    held = materialize(_content_keys(heldout).distinct(), "heldout-keys")
+    if held.count() <= KEYS_SENT:
+        shared = keys.join(F.broadcast(held), ["rule", "key"], "left_semi").distinct()
+    else:
+        shared = keys.distinct().join(held, ["rule", "key"], "left_semi")
     counts = shared.groupBy("rule").agg(F.count("*").alias("overlap"))
     rules = keys.sparkSession.createDataFrame([(r,) for r in CONTENT_RULES], "rule string")
     return rules.join(counts, "rule", "left").fillna(0, ["overlap"])

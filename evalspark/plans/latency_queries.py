@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evalspark.functions.identity import short_id_joined
-from evalspark.operators import latency, stats
+from evalspark.operators import latency, sketches, stats
 from evalspark.plans.registry import Tables, query
+from evalspark.session import materialize
 
 
 @query(
@@ -34,6 +35,51 @@ def lat_percentiles_by_db(t: Tables):
     return latency.percentiles(t.adapted("executions"), ["db_id"])
 
 
+def _daily_sketches(t: Tables):
+    """Sketches of each day and database, stored and read back."""
+    done = t.adapted("executions").filter("success and duration_ms is not null")
+    daily = done.withColumn("day", F.to_date(F.col("ts").cast("timestamp")))
+    return done, materialize(sketches.sketch(daily, ["day", "db_id"], "duration_ms"), "latency-sketches")
+
+
+def _within_bound(done, found, by: list[str]):
+    """Whether each quantile's exact rank is as far off as its sketch may be, at most."""
+    ranks = F.create_map(*[F.lit(x) for pair in latency.PROFILE.items() for x in pair])
+    value, rank = F.col("value"), ranks[F.col("name")]
+    places = (
+        done.select(*by, "duration_ms")
+        .join(F.broadcast(found), by)
+        .groupBy(*by, "n", "name", "value")
+        .agg(
+            F.count("*").alias("rows"),
+            F.count_if(F.col("duration_ms") < value).alias("below"),
+            F.count_if(F.col("duration_ms") <= value).alias("up_to"),
+        )
+    )
+    bound = sketches.rank_error() + 1 / F.col("rows")
+    off = F.greatest(F.col("below") / F.col("rows") - rank, rank - F.col("up_to") / F.col("rows"))
+    return places.select(*by, "name", "n", ((F.col("n") == F.col("rows")) & (off <= bound)).alias("as_stated"))
+
+
+_SKETCHED = "unnest(['P50_ms', 'P90_ms', 'P95_ms', 'P99_ms', 'max_ms']) AS name, count(*) AS n, true AS as_stated"
+
+
+@query("lat_sketches_by_db", f"SELECT db_id, {_SKETCHED} FROM executions WHERE success GROUP BY db_id", "executions")
+def lat_sketches_by_db(t: Tables):
+    """Latency percentiles per database from the sketches of its days, against exact ranks."""
+    done, stored = _daily_sketches(t)
+    merged = sketches.merge(stored, ["db_id"])
+    return _within_bound(done, sketches.quantiles(merged, ["db_id"], latency.PROFILE), ["db_id"])
+
+
+@query("lat_sketches", f"SELECT 'all' AS part, {_SKETCHED} FROM executions WHERE success", "executions")
+def lat_sketches(t: Tables):
+    """The same over all days and databases."""
+    done, stored = _daily_sketches(t)
+    whole = sketches.quantiles(sketches.merge(stored, []), [], latency.PROFILE).withColumn("part", F.lit("all"))
+    return _within_bound(done.withColumn("part", F.lit("all")), whole, ["part"])
+
+
 @query(
     "lat_bands",
     """, b(limit_ms) AS (VALUES (3000::BIGINT), (5000), (10000), (30000))
