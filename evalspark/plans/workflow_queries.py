@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evalspark.functions.prompts import FEEDBACK_PARSE, FEEDBACK_UNSAFE, FEEDBACK_WRONG
-from evalspark.operators import rows, workflow
+from evalspark.operators import generators, rows, workflow
 from evalspark.plans.registry import Tables, query
 from evalspark.plans.scoring_queries import SCORED
 
@@ -171,3 +171,22 @@ def generator_hook(t: Tables):
         "example_id", "db_id", "split", F.col("question").alias("prompt")
     )
     return workflow.generate(inputs, _echo, 2)
+
+
+@query(
+    "generator_function",
+    """, p AS (SELECT example_id, CASE WHEN ord % 2 = 0 THEN ['labels', 'docs_' || evidence] ELSE ['docs_' || evidence, 'labels'] END AS tables
+      FROM examples)
+    SELECT example_id, i::INTEGER AS candidate_index, '<sql>' || chr(10) || CASE WHEN i < 2 THEN 'SELECT COUNT(*) FROM ' || tables[i + 1]
+      ELSE 'SELECT doc_id FROM ' || tables[1] || ' ORDER BY doc_id' END || chr(10) || '</sql>' AS raw_candidate_output
+    FROM (SELECT *, unnest(range(3)) AS i FROM p)""",
+    "examples",
+)
+def generator_function(t: Tables):
+    """A generator that reads the prompt's schema, called from SQL on a table of prompts."""
+    asked = F.when(F.col("ord") % 2 == 0, "labels").otherwise(F.concat(F.lit("docs_"), "evidence"))
+    prompts = t.adapted("examples").select(
+        "example_id", "db_id", "split", F.concat("schema_text", F.lit("\nQuestion: rows of "), asked).alias("prompt")
+    )
+    generators.register_generator(t.spark, "schema_candidates", generators.schema_generator)
+    return t.spark.sql("SELECT * FROM schema_candidates(TABLE({prompts}), 3)", prompts=prompts)
