@@ -7,7 +7,8 @@ without unions that all pages of the host match. Its slots inside the article, o
 page furniture where a host has no article, make the main text.
 
 The lines of text of a host's pages are compared as well, as digests counted by place: a line that
-is the same on every page that has its place is template and is dropped, wherever it lies.
+is the same on every page that has its place is template and is dropped. Inside an article that
+holds for lines of links alone; its headings and its own text stay, on however many pages they are.
 
 Alignment is associative enough to be done in parts: equal page expressions are counted first,
 then folded per host and salt, then per host, so no task sees more than a share of a host.
@@ -19,7 +20,10 @@ import hashlib
 import html
 import json
 import re
+from collections import Counter
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,17 +32,27 @@ from evalspark.llm.common import map_columns
 from evalspark.session import materialize
 
 SALTS = 64
-# Deeper elements are read as if their tags were not there.
+# Of deeper elements only furniture and articles are told apart, as many as MAX_DEEPER within each
+# other; the others still break lines.
 MAX_DEPTH = 120
+MAX_DEEPER = 8
 # Siblings in the longest group whose repetition is recognized.
 MAX_GROUP = 3
 # Different pages that a line must be on to be template: an article's two versions prove nothing.
 LEAST_PAGES = 3
+# Numbers in a table of the alignment of two sequences of siblings.
+CELLS = 1 << 22
 
 # Fixed sets of HTML: elements without content, with raw text, that break a line, page furniture.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title iframe noscript template svg math select".split())
-INLINE = frozenset(
+RAW = frozenset(
+    "script style textarea title iframe noscript template svg select annotation annotation-xml".split()
+)
+MATH = frozenset(
+    "math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mtable mtr mtd mspace "
+    "mstyle mpadded mphantom merror menclose mmultiscripts mprescripts semantics".split()
+)
+INLINE = MATH | frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small "
     "span strike strong sub sup time tt u var wbr".split()
 )
@@ -51,6 +65,7 @@ MARKS = frozenset(
     "related share sharing social login signup search searchbox pagination pager skip toolbar widget".split()
 )
 CONTENT = frozenset(("article", "main"))
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 # Whole names that outvote marks in the other names of an element.
 BODIES = frozenset("article body content entry main post story text".split())
 
@@ -92,8 +107,24 @@ def parse(page: str):
     Opens and closes are balanced whatever the page leaves out. Line breaks and other void
     elements are a space; comments and the content of raw elements are dropped.
     """
-    stack: list[str] = []
-    hidden = 0
+    stack: list[tuple[str, bool]] = []  # name, and whether its tags are events
+    opened: Counter[str] = Counter()
+    shown = 0
+
+    def leave(size: int) -> list[tuple[str, str]]:
+        """Close elements until so many are open."""
+        nonlocal shown
+        events = []
+        while len(stack) > size:
+            name, counts = stack.pop()
+            opened[name] -= 1
+            shown -= counts
+            if counts:
+                events.append(("close", ""))
+            elif name not in INLINE:
+                events.append(("break", ""))
+        return events
+
     at = 0
     for_end = len(page)
     while at < for_end:
@@ -112,41 +143,42 @@ def parse(page: str):
         if m.group(2) is None:
             continue
         name = m.group(2).lower()
+        empty = m.group(3).rstrip().endswith("/")
         if m.group(1):
-            bare = [s.rstrip("!") for s in stack]
-            if hidden and name not in bare:
-                hidden -= 1
-            elif name in bare:
-                while stack.pop().rstrip("!") != name:
-                    yield "close", ""
-                yield "close", ""
+            if opened[name]:
+                depth = len(stack) - 1
+                while stack[depth][0] != name:
+                    depth -= 1
+                yield from leave(depth)
         elif name in RAW:
-            end = re.compile(rf"</{re.escape(name)}\b[^>]*>?", re.I).search(page, at)
-            if not m.group(3).rstrip().endswith("/"):
+            if not empty:
+                end = re.compile(rf"</{re.escape(name)}(?![\w-])[^>]*>?", re.I).search(page, at)
                 at = end.end() if end else for_end
-        elif name in VOID:
+        elif name in VOID or (name in MATH and empty):
             yield "text", " "
             if name == "hr":
                 yield "break", ""
         else:
             ends = _closed_by(name)
-            for depth in range(len(stack) - 1, -1, -1):
-                bare_name = stack[depth].rstrip("!")
-                if bare_name in ends:
-                    while len(stack) > depth:
-                        stack.pop()
-                        yield "close", ""
-                    break
-                if bare_name in _SCOPE:
-                    break
-            if len(stack) >= MAX_DEPTH:
-                hidden += 1
-                continue
+            if any(opened[e] for e in ends):
+                for depth in range(len(stack) - 1, -1, -1):
+                    if stack[depth][0] in ends:
+                        yield from leave(depth)
+                        break
+                    if stack[depth][0] in _SCOPE:
+                        break
             label = _label(name, m.group(3))
-            stack.append(label)
-            yield "open", label
-    for _ in stack:
-        yield "close", ""
+            counts = shown < MAX_DEPTH or (
+                shown < MAX_DEPTH + MAX_DEEPER and (name in CONTENT or is_furniture(label, True))
+            )
+            stack.append((name, counts))
+            opened[name] += 1
+            shown += counts
+            if counts:
+                yield "open", label
+            elif name not in INLINE:
+                yield "break", ""
+    yield from leave(0)
 
 
 # An expression is a list of items [label, quantity, children]; the label of a text slot is "#"
@@ -163,6 +195,58 @@ def _key(item) -> str:
     return item[0] if item[0] != "()" else "(" + ",".join(_key(c) for c in item[2]) + ")"
 
 
+def _tail_lengths(a: np.ndarray, b: np.ndarray) -> Iterator[np.ndarray]:
+    """For every tail of ``a``, shortest first, its longest common subsequence with all tails of ``b``."""
+    row = np.zeros(len(b) + 1, dtype=np.int32)
+    for value in a[::-1]:
+        step = np.where(b == value, row[1:] + 1, row[:-1])
+        row = np.append(np.maximum.accumulate(step[::-1])[::-1], np.int32(0))
+        yield row
+
+
+def _common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence.
+
+    What both begin and end with is set aside. A table of lengths gives the rest; where it would
+    be larger than ``CELLS`` numbers, ``a`` is halved at the best place of ``b`` until it fits.
+    """
+    numbers: dict[str, int] = {}
+    x, y = (np.array([numbers.setdefault(k, len(numbers)) for k in keys], dtype=np.int64) for keys in (a, b))
+    out: list[tuple[int, int]] = []
+    todo = [(0, len(x), 0, len(y))]
+    while todo:
+        i, n, j, m = todo.pop()
+        while i < n and j < m and x[i] == y[j]:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        while i < n and j < m and x[n - 1] == y[m - 1]:
+            n, m = n - 1, m - 1
+            out.append((n, m))
+        if i == n or j == m:
+            continue
+        if (n - i) * (m - j) > CELLS and n - i > 1:
+            middle = (i + n) // 2
+            before = after = np.zeros(m - j + 1, dtype=np.int32)
+            for after in _tail_lengths(x[middle:n], y[j:m]):
+                pass
+            for before in _tail_lengths(x[i:middle][::-1], y[j:m][::-1]):
+                pass
+            cut = j + int(np.argmax(before[::-1] + after))
+            todo += [(i, middle, j, cut), (middle, n, cut, m)]
+            continue
+        best = [np.zeros(m - j + 1, dtype=np.int32), *_tail_lengths(x[i:n], y[j:m])][::-1]
+        p, q = i, j
+        while p < n and q < m:
+            if x[p] == y[q]:
+                out.append((p, q))
+                p, q = p + 1, q + 1
+            elif best[p - i + 1][q - j] >= best[p - i][q - j + 1]:
+                p += 1
+            else:
+                q += 1
+    return sorted(out)
+
+
 def _merged(a, b):
     """One item for two with the same key."""
     optional = a[1] in "?*" or b[1] in "?*"
@@ -174,22 +258,13 @@ def align(a: list, b: list) -> list:
     ka, kb = [_key(i) for i in a], [_key(i) for i in b]
     if ka == kb:
         return [_merged(x, y) for x, y in zip(a, b)]
-    n, m = len(a), len(b)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if ka[i] == kb[j] else max(best[i + 1][j], best[i][j + 1])
-    out, i, j = [], 0, 0
-    while i < n or j < m:
-        if i < n and j < m and ka[i] == kb[j]:
-            out.append(_merged(a[i], b[j]))
-            i, j = i + 1, j + 1
-        elif j == m or (i < n and best[i + 1][j] >= best[i][j + 1]):
-            out.append([a[i][0], _more(a[i][1], True, False), a[i][2]])
-            i += 1
-        else:
-            out.append([b[j][0], _more(b[j][1], True, False), b[j][2]])
-            j += 1
+    out: list = []
+    i = j = 0
+    for x, y in [*_common(ka, kb), (len(a), len(b))]:
+        out += [[k[0], _more(k[1], True, False), k[2]] for k in (*a[i:x], *b[j:y])]
+        if x < len(a):
+            out.append(_merged(a[x], b[y]))
+        i, j = x + 1, y + 1
     return folded(out)
 
 
@@ -317,10 +392,18 @@ def _digest(*parts: str) -> int:
     return int.from_bytes(hashlib.blake2b(whole, digest_size=8).digest(), "big", signed=True)
 
 
+def _may_be_template(place: str, pieces: list[tuple[str, str]]) -> bool:
+    """Any line outside articles; inside them a line of links alone that is no heading."""
+    elements = place.split("/")
+    if CONTENT.isdisjoint(elements):
+        return True
+    return HEADINGS.isdisjoint(elements) and all("a" in path.split("/") for path, raw in pieces if raw.strip())
+
+
 def _text(page: str, slots: set[str], template: frozenset[int] = frozenset()) -> str:
     out = []
     for place, pieces in _lines(page):
-        if template and _digest(place, _plain(pieces)) in template:
+        if template and _may_be_template(place, pieces) and _digest(place, _plain(pieces)) in template:
             continue
         line = _plain([p for p in pieces if p[0] in slots or not p[1].strip()])
         if line:
@@ -328,10 +411,18 @@ def _text(page: str, slots: set[str], template: frozenset[int] = frozenset()) ->
     return "\n".join(out)
 
 
-def line_digests(page: str) -> list[tuple[int, int]]:
-    """Digests of the place and of place and text of every different line."""
-    lines = ((place, _plain(pieces)) for place, pieces in _lines(page))
-    return sorted({(_digest(place), _digest(place, line)) for place, line in lines if line})
+def line_digests(page: str) -> tuple[int, set[int], set[tuple[int, int]]]:
+    """Digests of all lines together, of the places that have a line, and of place and line where that may be template."""
+    every, places, lines = [], set(), set()
+    for place, pieces in _lines(page):
+        if not (line := _plain(pieces)):
+            continue
+        at, whole = _digest(place), _digest(place, line)
+        every.append(whole)
+        places.add(at)
+        if _may_be_template(place, pieces):
+            lines.add((at, whole))
+    return _digest(*map(str, every)), places, lines
 
 
 def _first_text(page: str, tiers: tuple[set[str], ...], template: frozenset[int] = frozenset()) -> str:
@@ -365,18 +456,17 @@ def _fold(key, rows: pd.DataFrame) -> pd.DataFrame:
 def template_lines(pages: DataFrame) -> DataFrame:
     """``host`` and ``template``: digests of the lines that are the same on every page with their place.
 
-    Counted by host and place with sums on fixed-width numbers; a page given twice is one page.
+    Pages with equal lines are one page: the digest of all lines is part of the first key, so
+    that different pages are counted exactly, without a set per line.
     """
 
     def build():
         def work(hosts, htmls):
             out: dict[str, list] = {"host": [], "place": [], "line": [], "page": []}
             for host, page in zip(hosts, htmls):
-                digests = line_digests(page)
-                whole = _digest(*(str(line) for _, line in digests)) & 63
-                places = sorted({place for place, _ in digests})
-                for place, line in [*digests, *((place, None) for place in places)]:
-                    for name, value in zip(out, (host, place, line, 1 << whole if whole < 63 else -(1 << 63))):
+                whole, places, lines = line_digests(page)
+                for place, line in [*lines, *((place, None) for place in places)]:
+                    for name, value in zip(out, (host, place, line, whole)):
                         out[name].append(value)
             return out
 
@@ -385,11 +475,11 @@ def template_lines(pages: DataFrame) -> DataFrame:
     rows = pages.select(_host().alias("host"), F.coalesce("html", F.lit("")).alias("html"))
     counts = (
         map_columns(rows, build, "host string, place bigint, line bigint, page bigint")
+        .distinct()
         .groupBy("host", "place", "line")
-        .agg(F.count("*").alias("n"), F.bit_or("page").alias("pages"))
+        .agg(F.count("*").alias("n"))
     )
-    often = F.col("line").isNull() | (F.bit_count("pages") >= LEAST_PAGES)
-    counts = materialize(counts.filter(often), "page-lines")
+    counts = materialize(counts.filter(F.col("line").isNull() | (F.col("n") >= LEAST_PAGES)), "page-lines")
     whole = counts.filter("line is null").select("host", "place", F.col("n").alias("all"))
     same = counts.filter("line is not null")
     equal = same.join(whole, ["host", "place"]).filter(F.col("n") == F.col("all"))
