@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from evalspark.functions.aggregates import count_where
 from evalspark.functions.text import normalize_question, normalize_sql, strip
+from evalspark.operators.membership import likely_members
 from evalspark.operators.skew import salted_join
 from evalspark.operators.validate import DataError, require_empty
 from evalspark.session import materialize
@@ -231,22 +232,27 @@ def _content_keys(df: DataFrame, *extra: str) -> DataFrame:
     return df.select(*extra, F.inline(table))
 
 
-# Held-out keys that are sent to every task, 32 bytes each.
+# Held-out keys that are sent to every task, 32 bytes each, and as a Bloom filter, two bytes each.
 KEYS_SENT = 1_000_000
+KEYS_FILTERED = 64_000_000
 
 
 def heldout_overlap(examples: DataFrame, heldout: DataFrame) -> DataFrame:
     """Per rule, how many distinct keys of a split the held-out set shares, summed.
 
     Up to ``KEYS_SENT`` held-out keys meet the corpus where it is read, so that only keys that
-    match are shuffled; more of them meet its distinct keys.
+    match are shuffled. Up to ``KEYS_FILTERED`` a Bloom filter of them does, and what passes it
+    meets the keys themselves; still more of them meet the corpus's distinct keys.
     """
     keys = _content_keys(examples, "split")
     held = materialize(_content_keys(heldout).distinct(), "heldout-keys")
-    if held.count() <= KEYS_SENT:
-        shared = keys.join(F.broadcast(held), ["rule", "key"], "left_semi").distinct()
+    name = ["rule", "key"]
+    count = held.count()
+    if count <= KEYS_SENT:
+        shared = keys.join(F.broadcast(held), name, "left_semi").distinct()
     else:
-        shared = keys.distinct().join(held, ["rule", "key"], "left_semi")
+        likely = likely_members(keys, held, name, count) if count <= KEYS_FILTERED else keys
+        shared = likely.distinct().join(held, name, "left_semi")
     counts = shared.groupBy("rule").agg(F.count("*").alias("overlap"))
     rules = keys.sparkSession.createDataFrame([(r,) for r in CONTENT_RULES], "rule string")
     return rules.join(counts, "rule", "left").fillna(0, ["overlap"])

@@ -1,7 +1,9 @@
 """Running a workload of SQL texts on Spark and logging what became of each.
 
-Queries are jobs, so they are submitted from the driver, a few at a time. Their results
-go from the executors straight to a table; the driver keeps one line per query.
+Queries are jobs, so they are submitted from the driver, a few at a time. Each has a scheduler
+pool of its own: in a session with ``spark.scheduler.mode=FAIR`` a short query gets its share of
+the cores beside long ones. Their results go from the executors straight to a table; the driver
+keeps one line per query.
 """
 
 from __future__ import annotations
@@ -60,6 +62,8 @@ def _run_query(
         context.cancelJobsWithTag(tag)
 
     timer = threading.Timer(timeout_ms / 1000, interrupt)
+    # As many pools as threads, however many queries there are.
+    context.setLocalProperty("spark.scheduler.pool", threading.current_thread().name)
     context.addJobTag(tag)
     timer.start()
     try:
@@ -93,6 +97,7 @@ def _run_query(
     finally:
         timer.cancel()
         context.removeJobTag(tag)
+        context.setLocalProperty("spark.scheduler.pool", None)
 
 
 # Bits of a row's number that hold its place within its task; the task is above them.
@@ -175,7 +180,7 @@ def run_workload(
         if len(lines) >= _FLUSH:
             flush()
 
-    with ThreadPoolExecutor(threads) as pool:
+    with ThreadPoolExecutor(threads, thread_name_prefix="workload") as pool:
         # Query texts arrive partition by partition; a new one starts as soon as one ends.
         waiting: set = set()
         for row in screened.toLocalIterator(prefetchPartitions=True):

@@ -295,6 +295,18 @@ def test_workload_timeout_and_errors(spark):
     assert {r.outcome: r.n for r in workload.run_summary(runs).collect()}["success"] == 2
 
 
+def test_short_query_beside_long_ones(spark):
+    """Queries share the cores: a short one that starts last is not behind all tasks of the others."""
+    long = "SELECT count(*) AS n FROM range(0, 1600000000, 1, 64) WHERE hash(id, {}) = 5"
+    texts = [(f"long{i}", 0, long.format(i)) for i in range(5)]
+    texts.append(("short", 0, "SELECT sum(id) AS n FROM range(0, 1000, 1, 2)"))
+    frame = spark.createDataFrame(texts, "example_id string, candidate_index int, sql string").coalesce(1)
+    runs, _ = workload.run_workload(spark, frame, timeout_ms=300_000)
+    spent = {r.example_id: r.duration_ms for r in runs.collect()}
+    assert spent.pop("short") < min(spent.values()) / 2
+    assert spark.sparkContext.getLocalProperty("spark.scheduler.pool") is None
+
+
 def test_whole_results_keep_their_order(spark):
     """A sorted result of several tasks is numbered without gaps and judged as with a cap."""
     settings = {
