@@ -180,6 +180,8 @@ def run_workload(
         if len(lines) >= _FLUSH:
             flush()
 
+    # With more pools than cores the scheduler would settle ties by name, and the last one starve.
+    threads = min(threads, spark.sparkContext.defaultParallelism)
     with ThreadPoolExecutor(threads, thread_name_prefix="workload") as pool:
         # Query texts arrive partition by partition; a new one starts as soon as one ends.
         waiting: set = set()

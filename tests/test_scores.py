@@ -298,7 +298,7 @@ def test_workload_timeout_and_errors(spark):
 def test_short_query_beside_long_ones(spark):
     """Queries share the cores: a short one that starts last is not behind all tasks of the others."""
     long = "SELECT count(*) AS n FROM range(0, 1600000000, 1, 64) WHERE hash(id, {}) = 5"
-    texts = [(f"long{i}", 0, long.format(i)) for i in range(5)]
+    texts = [(f"long{i}", 0, long.format(i)) for i in range(7)]
     texts.append(("short", 0, "SELECT sum(id) AS n FROM range(0, 1000, 1, 2)"))
     frame = spark.createDataFrame(texts, "example_id string, candidate_index int, sql string").coalesce(1)
     runs, _ = workload.run_workload(spark, frame, timeout_ms=300_000)
