@@ -1,15 +1,16 @@
 """License notices: which known wording makes a block of text most compressible.
 
-Blocks that speak of licensing are compressed alone and with each template as a raw zstandard
-dictionary. Templates are ranked by how much smaller they make the block, in shares of their own
-compressed size. Every template of whose words the block holds enough is confirmed by the exact
-words in which block and template differ: the bytes saved in a long block are too unsteady to
-refuse one. The words of a confirmed notice are taken out and the rest is searched again.
+The words around every cue of licensing, as many on both sides as a notice can have, make a block,
+so line breaks and comment signs do not cut notices. A block's stretches are compressed alone and
+with each template, of whose words they hold enough, as a raw zstandard dictionary. Templates are
+ranked by the bytes they save; the first that the exact words confirm is the notice. Its words are
+taken out and the rest on both sides is ranked again, so that a refused or lower template is not lost.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
@@ -75,19 +76,42 @@ TEMPLATES = [
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights to this work. CC0 1.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
-CUES = ("licen", "lizenz", "copyright", "©", "(c)", "permission", "public domain", "spdx", "redistribut", "warrant")
+TEMPLATES += [
+    (
+        "LGPL-2.1",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser "
+        "General Public License as published by the Free Software Foundation; either version 2.1 of the License, or "
+        "(at your option) any later version.",
+    ),
+    (
+        "EPL-2.0",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public "
+        "License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    ),
+    (
+        "BSD-3-Clause",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+        "products derived from this software without specific prior written permission.",
+    ),
+    *(
+        (name, f"SPDX-License-Identifier: {name}")
+        for name in (
+            "MIT", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "MPL-2.0", "EPL-2.0",
+            "BSD-2-Clause", "BSD-3-Clause", "ISC", "CC0-1.0", "Unlicense",
+        )
+    ),
+]
+# Parts of words that notices have; every template holds one.
+_CUE = re.compile(r"licen|lizenz|copyright|©|\(c\)|permission|public\W+domain|unencumbered|spdx|redistribut|warrant")
 
-# Sentences without a cue that may lie inside a block or end it, and sentences of the longest block.
-GAP, LONGEST = 2, 40
 LEVEL = 9
 # Share of a template's words that a block must hold, and the shortest run of them to begin from.
 LEAST_WORDS, LEAST_RUN = 0.8, 2
 # Words that tell one license from another: a template is refused if they differ.
 _TELLING = frozenset(
     "mit apache gnu general lesser affero mozilla bsd isc cc by sa nc nd cc0 commons attribution sharealike "
-    "noncommercial noderivatives unencumbered".split()
+    "noncommercial noderivatives unencumbered unlicense gpl lgpl agpl mpl epl eclipse".split()
 )
-_SENTENCE = re.compile(r"[^\n]+?(?:[.!?](?=\s)|(?=\n)|\Z)")
 _WORDS = re.compile(r"[a-z]+|[0-9]+(?:\.[0-9]+)*")
 _CLOSING = re.compile(r"[^\w\s]*")
 
@@ -108,31 +132,24 @@ def _words(text: str) -> list[str]:
     return [w.removesuffix(".0") for w in _WORDS.findall(_lowered(text))]
 
 
-def blocks(text: str) -> Iterator[tuple[int, int]]:
-    """Starts and ends of runs of sentences that speak of licensing."""
+def blocks(text: str, reach: int) -> Iterator[list[re.Match]]:
+    """Words of the text that lie within ``reach`` words of a cue, run by run."""
     lowered = _lowered(text)
-    hits = []
-    for cue in CUES:
-        at = lowered.find(cue)
-        while at >= 0:
-            hits.append(at)
-            at = lowered.find(cue, at + len(cue))
-    if not hits:
+    cues = [m.start() for m in _CUE.finditer(lowered)]
+    if not cues:
         return
-    hits.sort()
-    sentences = [m.span() for m in _SENTENCE.finditer(text)]
-    k = 0
-    run: tuple[int, int] | None = None
-    for i, (start, end) in enumerate(sentences):
-        while k < len(hits) and hits[k] < start:
-            k += 1
-        if k < len(hits) and hits[k] < end:
-            if run and (i - run[1] > GAP + 1 or i - run[0] >= LONGEST):
-                yield sentences[run[0]][0], sentences[min(run[1] + GAP, i - 1)][1]
-                run = None
-            run = (run[0] if run else i, i)
-    if run:
-        yield sentences[run[0]][0], sentences[min(run[1] + GAP, len(sentences) - 1)][1]
+    places = list(_WORDS.finditer(lowered))
+    starts = [m.start() for m in places]
+    low = high = 0
+    for cue in cues:
+        at = bisect_right(starts, cue)
+        if at - reach > high:
+            if high > low:
+                yield places[low:high]
+            low = at - reach
+        high = min(at + reach, len(places))
+    if high > low:
+        yield places[low:high]
 
 
 class Scanner:
@@ -150,6 +167,8 @@ class Scanner:
             for _, t in templates
         ]
         self.cost = [len(self.alone.compress(_plain(t))) for _, t in templates]
+        # Words of the longest notice: a template may lack a fifth of its words, and others come in between.
+        self.reach = max((len(w) + len(w) // 2 + 3 for w in self.words), default=0)
 
     def possible(self, words: list[str]) -> list[int]:
         """Templates of whose words there are enough, in whatever order."""
@@ -160,15 +179,16 @@ class Scanner:
         wanted = self.counts[template]
         return (wanted & have).total() >= LEAST_WORDS * wanted.total()
 
-    def saved(self, text: str, template: int) -> float:
-        """Bytes that the template saves, as a share of its own compressed size."""
+    def saved(self, text: str, templates: list[int]) -> list[int]:
+        """Bytes that each of the templates saves when the text is compressed."""
         data = _plain(text)
-        return (len(self.alone.compress(data)) - len(self.given[template].compress(data))) / self.cost[template]
+        alone = len(self.alone.compress(data))
+        return [alone - len(self.given[i].compress(data)) for i in templates]
 
     def differences(self, template: int, b: list[str]) -> tuple[int, list[str], int, int] | None:
         """Words of the template found in order, those that differ inside them, and where they lie.
 
-        Nothing if too few are found, or if a word differs that tells licenses apart.
+        Nothing if too few are found, if more words differ, or if one that tells licenses apart does.
         """
         a = self.words[template]
         matches = [m for m in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks() if m.size]
@@ -180,7 +200,7 @@ class Scanner:
             out += [f"-{w}" for w in a[i : m.a]] + [f"+{w}" for w in b[j : m.b]]
             i, j = m.a + m.size, m.b + m.size
         out += [f"-{w}" for w in a[i:]]
-        if any(d[1:] in _TELLING or d[1].isdigit() for d in out):
+        if len(out) > found or any(d[1:] in _TELLING or d[1].isdigit() for d in out):
             return None
         return found, out, matches[0].b, j
 
@@ -208,41 +228,49 @@ class Scanner:
             todo += [(low, at), (at + run.size, high)]
         return None
 
-    def notices(self, block: str) -> list[tuple[int, float, list[str], int, int]]:
-        """Template, share saved, differing words, start and end of every notice, in order."""
-        places = list(_WORDS.finditer(_lowered(block)))
+    def winner(self, text: str, places: list[re.Match], words: list[str], low: int, high: int):
+        """The confirmed template that saves most on the words from ``low`` to ``high``: it and its ``occurrence``."""
+        candidates = self.possible(words[low:high])
+        if not candidates:
+            return None
+        gains = self.saved(text[places[low].start() : places[high - 1].end()], candidates)
+        for _, i in sorted(zip(gains, candidates), key=lambda c: (-c[0], c[1])):
+            if got := self.occurrence(i, words, low, high):
+                return i, got
+        return None
+
+    def notices(self, text: str, places: list[re.Match]) -> list[dict]:
+        """Every notice of a block.
+
+        The block is taken in stretches of four times ``reach`` words. One that begins in the first
+        half of a stretch ends inside it; the next stretch begins behind it, at the middle at most.
+        """
         words = [m.group().removesuffix(".0") for m in places]
-        out, todo = [], [(0, len(words))]
-        while todo:
-            low, high = todo.pop()
-            best = None
-            for i in self.possible(words[low:high]):
-                got = self.occurrence(i, words, low, high)
-                if not got:
+        out, base = [], 0
+        while base < len(words):
+            middle, stop = base + 2 * self.reach, min(base + 4 * self.reach, len(words))
+            todo, behind = [(base, stop)], middle if stop < len(words) else len(words)
+            while todo:
+                low, high = todo.pop()
+                if not (best := self.winner(text, places, words, low, high)):
                     continue
-                found, differing, first, last = got
-                start, end = places[first].start(), places[last - 1].end()
-                end = _CLOSING.match(block, end).end()
-                saved = self.saved(block[start:end], i)
-                rank = (found - len(differing), saved)
-                if best is None or rank > best[0]:
-                    best = rank, first, last, (i, saved, differing, start, end)
-            if best:
-                _, first, last, notice = best
-                out.append(notice)
+                i, (_, differing, first, last) = best
                 todo += [(low, first), (last, high)]
-        return sorted(out, key=lambda n: n[3])
+                if first < middle or stop == len(words):
+                    behind = max(behind, last)
+                    start, end = places[first].start(), places[last - 1].end()
+                    end = _CLOSING.match(text, end).end()
+                    share = self.saved(text[start:end], [i])[0] / self.cost[i]
+                    out.append({
+                        "license": self.names[i], "start": start, "end": end,
+                        "saved": round(share, 4), "differences": differing,
+                    })
+            base = behind
+        return sorted(out, key=lambda n: n["start"])
 
     def scan(self, text: str) -> list[dict]:
         """Confirmed licenses of the text's blocks."""
-        return [
-            {
-                "license": self.names[i], "start": at + start, "end": at + end,
-                "saved": round(saved, 4), "differences": differing,
-            }
-            for at, stop in blocks(text)
-            for i, saved, differing, start, end in self.notices(text[at:stop])
-        ]
+        return [notice for places in blocks(text, self.reach) for notice in self.notices(text, places)]
 
 
 FOUND = "license string, start int, end int, saved double, differences array<string>"

@@ -7,6 +7,7 @@ import hashlib
 import itertools
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -401,6 +402,50 @@ def test_every_notice_of_a_block():
     assert [f["differences"] for f in scanner.scan(twice)] == [[], ["+the"]]
 
 
+def test_wrapped_notices():
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    for width in (40, 50, 60, 72, 80):
+        for sign in ("# ", " * ", "// ", ""):
+            for name, template in licenses.TEMPLATES:
+                lines = "\n".join(sign + line for line in textwrap.wrap(template, width))
+                text = f"int main() {{}}\n{lines}\n\nThe river was wide and slow.\n"
+                assert [f["license"] for f in scanner.scan(text)] == [name], (width, sign, template)
+
+
+def test_compression_chooses_the_template(monkeypatch):
+    """Of two confirmed templates the one that saves more bytes wins; with savings the other way round the other."""
+    templates = [("short", "Released under the MIT License."), ("long", "Released under the MIT License, see the file COPYING beside it.")]
+    scanner = licenses.Scanner(templates)
+    assert [f["license"] for f in scanner.scan(templates[1][1])] == ["long"]
+    plain = scanner.saved
+    monkeypatch.setattr(scanner, "saved", lambda text, some: [-gain for gain in plain(text, some)])
+    assert [f["license"] for f in scanner.scan(templates[1][1])] == ["short"]
+
+
+def test_notices_against_brute_force():
+    """Verbatim notices among prose with cues everywhere, found by comparing all places of all templates."""
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    draw = random.Random(9)
+    for size in (5, 60, 900):
+        parts = []
+        for _ in range(12):
+            parts += draw.choices(["copyright", "river", "wide", "permission", "slow", "boat", "water"], k=draw.randint(0, size))
+            parts.append(draw.choice(licenses.TEMPLATES)[1] + "\n")
+        text = " ".join(parts)
+        words = licenses._words(text)
+        at = {}
+        for (name, _), wanted in zip(licenses.TEMPLATES, scanner.words):
+            for i in range(len(words) - len(wanted) + 1):
+                if words[i : i + len(wanted)] == wanted and len(wanted) > at.get(i, ("", 0))[1]:
+                    at[i] = (name, len(wanted))
+        expected, behind = [], 0
+        for i in sorted(at):
+            if i >= behind:
+                expected.append(at[i][0])
+                behind = i + at[i][1]
+        assert [f["license"] for f in scanner.scan(text)] == expected
+
+
 def test_toxicity_holds_out(spark):
     docs, labels = table(spark, "/root/testdata/sf0.1", "documents"), table(spark, "/root/testdata/sf0.1", "labels")
     rows = toxicity.toxicity(docs, labels).join(labels, "doc_id").collect()
