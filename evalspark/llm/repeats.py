@@ -76,7 +76,7 @@ def anchors(texts: list[bytes]):
     start = 0
     while start < len(texts):
         stop, size = start, 0
-        while stop < len(texts) and (size == 0 or size + len(texts[stop]) <= BLOCK):
+        while stop < len(texts) and (stop == start or size + len(texts[stop]) <= BLOCK):
             size += len(texts[stop])
             stop += 1
         for part in _block_anchors(texts[start:stop], start):

@@ -364,6 +364,20 @@ def test_suffix_ranks_sort(spark):
         assert (rank[a] == rank[b]) if keys[a] == keys[b] else (rank[a] < rank[b])
 
 
+def test_anchors_of_a_very_long_text_behind_an_empty_one():
+    """The long text goes alone, in pieces; places beyond the bits of a block would wrap."""
+    draw = np.random.default_rng(3)
+    part = draw.integers(97, 123, 400_000, np.uint8).tobytes()
+    text = part + draw.integers(97, 123, 17_000_000, np.uint8).tobytes() + part
+    alone, behind = repeats.anchors([text]), repeats.anchors([b"", text])
+    assert (behind[0] == 1).all()
+    assert all((a == b).all() for a, b in zip(alone[1:], behind[1:]))
+    # Of windows that both ends have, the anchors are equal, but where pieces of the text meet.
+    hashes = alone[3]
+    head, tail = hashes[alone[2] < len(part) - 50], hashes[alone[1] > len(text) - len(part) + 50]
+    assert len(np.setdiff1d(tail, head)) <= 2
+
+
 def test_notices(spark):
     texts = [
         "Words.\nReleased under the MIT License.\nMore words.",
