@@ -46,6 +46,10 @@ BLOCK = 2_000_000
 LEVEL = 3
 # From this many documents on, an anchor's windows are dealt one by one.
 HOT = 5_000
+# A start takes 31 bits, since a text has at most 2 GB; of rows that share an id, a mark of the
+# text stands above it.
+_START_BITS = 31
+_MARKS = (1 << 25) - 1
 _PLACE_BITS = np.uint64(24)
 _PLACE = np.uint64((1 << 24) - 1)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -282,7 +286,7 @@ def _merge_anchors(buckets: int, hot: int):
 def _send_cuts(buckets: int):
     """Step 3: one of each cut around a shared anchor; spans of documents that repeat a cut."""
 
-    def work(ids, packed, codes):
+    def work(ids, packed, codes, several):
         inflate = zstandard.ZstdDecompressor()
         start = 0
         while start < len(ids):
@@ -292,13 +296,19 @@ def _send_cuts(buckets: int):
                 texts.append(inflate.decompress(z) if z else b"")
                 size += len(texts[-1])
             stop = start + len(texts)
-            yield _cut_rows(*_cuts_of(ids[start:stop], texts, codes[start:stop], buckets), buckets)
+            marks = [_mark(t) if s else 0 for t, s in zip(texts, several[start:stop])]
+            yield _cut_rows(*_cuts_of(ids[start:stop], texts, codes[start:stop], marks, buckets), buckets)
             start = stop
 
     return work
 
 
-def _cuts_of(ids: list[int], texts: list[bytes], codes: list[list[int]], buckets: int):
+def _mark(text: bytes) -> int:
+    """What tells a text from others with its id; never 0."""
+    return xxhash.xxh64_intdigest(text) % _MARKS + 1
+
+
+def _cuts_of(ids: list[int], texts: list[bytes], codes: list[list[int]], marks: list[int], buckets: int):
     """Cuts of a shard with bucket, anchor key, and starts by document; spans settled already."""
     document, first, last, h = anchors(texts)
     code = (h >> np.uint64(1)).astype(np.int64)
@@ -335,13 +345,13 @@ def _cuts_of(ids: list[int], texts: list[bytes], codes: list[list[int]], buckets
 
     columns = (document[hit], first[hit], last[hit], bucket[hit], key[hit], cold[spot[hit]])
     for d, a, b, to, number, whole in zip(*(c.tolist() for c in columns)):
-        text, doc = texts[d], ids[d]
+        text, doc, above = texts[d], ids[d], marks[d] << _START_BITS
         if whole:
-            add(text[a : b + LENGTH], doc, a, to, number)
+            add(text[a : b + LENGTH], doc, above + a, to, number)
         else:
             for s in range(a, b + 1):
                 window = text[s : s + LENGTH]
-                add(window, doc, s, xxhash.xxh32_intdigest(window) % buckets, number)
+                add(window, doc, above + s, xxhash.xxh32_intdigest(window) % buckets, number)
     return cuts, settled
 
 
@@ -548,15 +558,20 @@ def _packed(docs: DataFrame) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
-    """``doc_id`` and ``span``: pieces of the bytes to remove, as start times 128 plus length."""
+    """``doc_id`` and ``span``: pieces of the bytes to remove, as start times 128 plus length.
+
+    Where rows share an id, the start has the text's mark above it.
+    """
+    shared = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1")
     docs = docs.select("doc_id", "text").filter("doc_id is not null and text is not null")
     size = docs.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     buckets = size // BUCKET_BYTES + 16
     sent = _batched(docs, _send_anchors(buckets), _BLOBS)
     asked = _grouped(sent, buckets, _merge_anchors(buckets, hot), "doc_id bigint, code bigint")
     asked = asked.groupBy("doc_id").agg(F.collect_set("code").alias("codes"))
+    asked = asked.join(shared.select("doc_id", F.lit(True).alias("several")), "doc_id", "left")
     texts = _packed(docs).join(asked, "doc_id")
-    cuts = _batched(texts.select("doc_id", "z", "codes"), _send_cuts(buckets), _BLOBS)
+    cuts = _batched(texts.select("doc_id", "z", "codes", "several"), _send_cuts(buckets), _BLOBS)
     return _grouped(cuts, buckets, _judge_cuts(), "doc_id bigint, span bigint")
 
 
@@ -564,8 +579,9 @@ def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept_sha256`` per input row.
 
     Text is UTF-8 bytes; a null text counts as empty. Texts of fewer than ``LENGTH`` bytes lose
-    nothing. Rows that share an id are one document, taken to hold one text; they lose the same
-    bytes, and none because of each other. Rows with a null id lose nothing and take nothing.
+    nothing. Rows that share an id lose nothing because of each other; each loses what rows with
+    smaller ids hold, also if their texts differ (texts of one id are told apart by 25 hash bits).
+    Rows with a null id lose nothing and take nothing.
     """
     spans = repeated_spans(docs, hot).groupBy("doc_id").agg(F.collect_list("span").alias("spans"))
     rows = _packed(docs).join(spans, "doc_id", "left")
@@ -576,7 +592,7 @@ def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
             out = {"doc_id": ids, "n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": []}
             for z, some in zip(packed, spans):
                 text = inflate.decompress(z) if z else b""
-                kept, removed, runs = _kept(text, some or [])
+                kept, removed, runs = _kept(text, _own(text, some or []))
                 out["n_bytes"].append(len(text))
                 out["n_removed"].append(removed)
                 out["n_spans"].append(runs)
@@ -591,6 +607,15 @@ def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     )
 
 
+def _own(text: bytes, spans: list[int]) -> list[int]:
+    """The spans of this text, without marks."""
+    bits = _START_BITS + 7
+    if not any(s >> bits for s in spans):
+        return spans
+    mark = _mark(text)
+    return [s & ((1 << bits) - 1) for s in spans if s >> bits in (0, mark)]
+
+
 def _kept(text: bytes, spans: list[int]) -> tuple[bytes, int, int]:
     """What is left of the text, how many bytes are gone, and in how many runs."""
     packed = np.sort(np.array(spans, np.int64))

@@ -354,6 +354,21 @@ def test_repeats_equal_all_windows(spark, given, hot):
     assert got == _removed([(i, t.encode()) for i, t in rows])
 
 
+@pytest.mark.parametrize("hot", [repeats.HOT, 2])
+def test_repeats_of_rows_that_share_an_id(spark, hot):
+    """Rows of one id with different texts lose what smaller ids hold, not each other's spans."""
+    draw = random.Random(12)
+    parts = ["".join(draw.choices("abcdefgh ", k=70)) for _ in range(12)]
+    rows = [(i, "".join(draw.sample(parts, 4)) + f" {draw.random()}") for i in (1, 2, 2, 2, 3, 4, 4, 5, 6) for _ in range(2)]
+    rows += rows[4:7] + [(2, None), (4, "")]
+    got = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5), hot)
+    expected = []
+    for i, text in rows:
+        smaller = [r for r in rows if r[0] < i and r[1]] + [(i, text or "")]
+        expected.append((i, *_removed([(j, t.encode()) for j, t in smaller])[i]))
+    assert sorted(map(tuple, got.collect())) == sorted(expected)
+
+
 def test_suffix_ranks_sort(spark):
     draw = random.Random(1)
     data = np.array([draw.randrange(97, 100) for _ in range(3000)] * 2, np.uint8)
