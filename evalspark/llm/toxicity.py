@@ -8,7 +8,6 @@ Terms are words, found with one or two letters wrong, or stems, with which a wor
 
 from __future__ import annotations
 
-import re
 from collections import deque
 
 import numpy as np
@@ -16,14 +15,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalspark.llm.common import map_columns, texts_of
+from evalspark.session import materialize
 
 # The lexicon, the weights and the cut are fitted on at most this many labelled documents.
 SAMPLE = 12_000
-MAX_TERMS = 64
-# Terms are as long as this at least; from LONG on, two edits are allowed instead of one.
-MIN_LENGTH, LONG = 4, 9
-# Longer beginnings of words are not looked at as stems.
-MAX_STEM = 10
+# Words from EDITED letters on are found with one edit, from LONG on with two.
+EDITED, LONG = 4, 9
+# Letters of a stem: shorter beginnings belong to too many words, longer words are terms themselves.
+MIN_STEM, MAX_STEM = 4, 10
+# States of an automaton that are kept from one block of text to the next.
+STATES = 100_000
 # Least toxic documents of a term, and least log odds with three standard errors to spare.
 LEAST_COUNT, LEAST_ODDS = 8, 1.5
 # Share of a stem's documents that hold it as a word, from which on it counts as that word.
@@ -40,8 +41,7 @@ REPORT = frozenset(
     "citation dijo llamó palabra cita".split()
 )
 QUOTES = "\"'“”„‘’«»‹›`"
-_OPEN = re.compile(r'["“„«‹]')
-_CLOSE = re.compile(r'["”»›]')
+_OPENING, _CLOSING = "“„«‹", "”»›"
 FEATURES = (
     "terms", "misspelled", "stems", "quoted", "addressed", "reported", "density", "stem_density", "kinds", "cluster"
 )
@@ -55,80 +55,100 @@ def held_out() -> Column:
 class Automaton:
     """All terms within their edit distance: classes of code points, moves, and what is accepted.
 
-    A term ending in ``*`` is a stem, whose words may go on; it is matched without edits.
-    State 0 is dead and state 1 the start. Class 0 ends a word, class 1 is every letter or digit
-    that occurs in no term. ``accept`` is -1, or four times the term's number plus the edits.
+    A term ending in ``*`` is a stem, whose words may go on; it and words of fewer than ``EDITED``
+    letters are matched without edits. State 0 is dead and state 1 the start. Class 0 ends a word,
+    class 1 is every letter or digit that occurs in no term. ``accept`` is -1, or four times the
+    term's number plus the edits. States are made deterministic when a word first leads to them,
+    so that the number of terms needs no limit.
     """
 
     def __init__(self, terms: list[str]):
         self.terms = terms
         self.stem = [t.endswith("*") for t in terms]
-        letters = sorted({c for t in terms for c in t.rstrip("*")})
-        limit = [0 if t.endswith("*") else 1 if len(t) < LONG else 2 for t in terms]
-        self.classes = np.fromiter((chr(i).isalnum() for i in range(0x110000)), bool, 0x110000).astype(np.uint8)
-        for i, c in enumerate(letters):
+        self.letters = ["", "", *sorted({c for t in terms for c in t.rstrip("*")})]
+        self.limit = [0 if s or len(t) < EDITED else 1 if len(t) < LONG else 2 for t, s in zip(terms, self.stem)]
+        self.classes = np.fromiter((chr(i).isalnum() for i in range(0x110000)), bool, 0x110000).astype(np.uint16)
+        for i, c in enumerate(self.letters[2:]):
             self.classes[ord(c)] = i + 2
-        children, ends, budget = [{}], [-1], [0]
+        self.children, self.ends, self.budget = [{}], [-1], [0]
         for number, term in enumerate(terms):
-            node, allowed = 0, limit[number]
-            budget[0] = max(budget[0], allowed)
+            node, allowed = 0, self.limit[number]
+            self.budget[0] = max(self.budget[0], allowed)
             for c in term.rstrip("*"):
-                if c not in children[node]:
-                    children[node][c] = len(children)
-                    children.append({})
-                    ends.append(-1)
-                    budget.append(0)
-                node = children[node][c]
-                budget[node] = max(budget[node], allowed)
-            ends[node] = number
-
-        def closed(states: dict[int, int]) -> tuple:
-            """With the nodes that skipping letters of a term leads to."""
-            todo = deque(states.items())
-            while todo:
-                node, edits = todo.popleft()
-                if states[node] < edits:
-                    continue
-                for child in children[node].values():
-                    if edits < budget[child] and edits + 1 < states.get(child, 9):
-                        states[child] = edits + 1
-                        todo.append((child, edits + 1))
-            return tuple(sorted(states.items()))
-
-        def after(states: tuple, letter: str) -> tuple:
-            got: dict[int, int] = {}
-            for node, edits in states:
-                open_end = ends[node] >= 0 and self.stem[ends[node]] and edits == 0
-                options = [(node, 0 if open_end else edits + 1)]
-                options += [(child, edits + (c != letter)) for c, child in children[node].items()]
-                for target, spent in options:
-                    if spent <= budget[target] and spent < got.get(target, 9):
-                        got[target] = spent
-            return closed(got)
-
-        start = closed({0: 0})
-        number, moves, todo = {(): 0, start: 1}, {0: [0] * (len(letters) + 2)}, deque([start])
+                if c not in self.children[node]:
+                    self.children[node][c] = len(self.children)
+                    self.children.append({})
+                    self.ends.append(-1)
+                    self.budget.append(0)
+                node = self.children[node][c]
+                self.budget[node] = max(self.budget[node], allowed)
+            self.ends[node] = number
+        self._restart()
+
+    def _restart(self):
+        """Only the dead state and the start are known."""
+        self.number, self.states = {}, []
+        self.moves = np.full((64, len(self.letters)), -1, np.int32)
+        self.accept = np.full(64, -1, np.int32)
+        self._state(())
+        self.moves[0] = 0
+        self._state(self._closed({0: 0}))
+
+    def _closed(self, states: dict[int, int]) -> tuple:
+        """With the nodes that skipping letters of a term leads to."""
+        todo = deque(states.items())
         while todo:
-            states = todo.popleft()
-            row = [0]
-            for letter in ["", *letters]:
-                target = after(states, letter)
-                if target not in number:
-                    number[target] = len(number)
-                    todo.append(target)
-                row.append(number[target])
-            moves[number[states]] = row
-        self.moves = np.array([moves[i] for i in range(len(number))], np.int32)
-        self.accept = np.full(len(number), -1, np.int32)
-        for states, i in number.items():
-            whole = [(e, ends[n]) for n, e in states if ends[n] >= 0 and e <= limit[ends[n]]]
-            if whole:
-                edits, term = min(whole)
-                self.accept[i] = 4 * term + edits
+            node, edits = todo.popleft()
+            if states[node] < edits:
+                continue
+            for child in self.children[node].values():
+                if edits < self.budget[child] and edits + 1 < states.get(child, 9):
+                    states[child] = edits + 1
+                    todo.append((child, edits + 1))
+        return tuple(sorted(states.items()))
+
+    def _after(self, states: tuple, letter: str) -> tuple:
+        got: dict[int, int] = {}
+        for node, edits in states:
+            open_end = self.ends[node] >= 0 and self.stem[self.ends[node]] and edits == 0
+            options = [(node, 0 if open_end else edits + 1)]
+            options += [(child, edits + (c != letter)) for c, child in self.children[node].items()]
+            for target, spent in options:
+                if spent <= self.budget[target] and spent < got.get(target, 9):
+                    got[target] = spent
+        return self._closed(got)
+
+    def _state(self, states: tuple) -> int:
+        if states in self.number:
+            return self.number[states]
+        i = self.number[states] = len(self.states)
+        self.states.append(states)
+        if i == len(self.accept):
+            self.moves = np.concatenate([self.moves, np.full_like(self.moves, -1)])
+            self.accept = np.concatenate([self.accept, np.full_like(self.accept, -1)])
+        self.moves[i, 0] = 0
+        whole = [(e, self.ends[n]) for n, e in states if self.ends[n] >= 0 and e <= self.limit[self.ends[n]]]
+        if whole:
+            edits, term = min(whole)
+            self.accept[i] = 4 * term + edits
+        return i
+
+    def _moved(self, state: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        """The states that follow; moves not yet known are worked out."""
+        following = self.moves[state, kind]
+        new = following < 0
+        if not new.any():
+            return following
+        for s, k in set(zip(state[new].tolist(), kind[new].tolist())):
+            target = self._state(self._after(self.states[s], self.letters[k]))
+            self.moves[s, k] = target
+        return self.moves[state, kind]
 
     def read(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts of the words, numbers of the words that are accepted, and as what."""
-        kinds = np.append(self.classes[codes], np.uint8(0))
+        if len(self.states) > STATES:
+            self._restart()
+        kinds = np.append(self.classes[codes], np.uint16(0))
         word = kinds > 0
         starts = np.flatnonzero(word[:-1] & ~np.concatenate([[False], word[:-2]])) if len(codes) else np.empty(0, np.int64)
         at, which, state = starts, np.arange(len(starts)), np.ones(len(starts), np.int32)
@@ -140,7 +160,7 @@ class Automaton:
                 what = self.accept[state[ended]]
                 words.append(which[ended][what >= 0])
                 accepted.append(what[what >= 0])
-            state = self.moves[state, kind]
+            state = self._moved(state, kind)
             alive = state > 0
             at, which, state = at[alive] + 1, which[alive], state[alive]
         words, accepted = np.concatenate(words), np.concatenate(accepted)
@@ -155,17 +175,27 @@ def _word(text: str, start: int) -> str:
     return text[start:end]
 
 
-def _quoted(text: str, start: int, length: int) -> bool:
-    """A quotation mark stands at the word, or one opened before it on the line is still open."""
-    if text[max(0, start - 1) : start] in QUOTES and start > 0:
-        return True
-    if text[start + length : start + length + 1] in QUOTES and start + length < len(text):
-        return True
-    line = text[max(text.rfind("\n", 0, start) + 1, start - 400) : start]
-    marks = [m.group() for m in re.finditer(r'["“”„«»‹›]', line)]
-    if '"' in marks:
-        return marks.count('"') % 2 == 1
-    return len([m for m in marks if _OPEN.match(m)]) > len([m for m in marks if _CLOSE.match(m)])
+class Quotations:
+    """Where quotations are open, from one look at all marks of a block of text."""
+
+    def __init__(self, text: str, codes: np.ndarray):
+        self.text = text
+        self.lines, self.plain, self.opened, self.closed = (
+            np.flatnonzero(np.isin(codes, [ord(c) for c in marks])) for marks in ("\n", '"', _OPENING, _CLOSING)
+        )
+
+    def at(self, start: int, length: int) -> bool:
+        """A quotation mark stands at the word, or one opened before it on the line is still open."""
+        if start > 0 and self.text[start - 1] in QUOTES:
+            return True
+        if self.text[start + length : start + length + 1] in QUOTES and start + length < len(self.text):
+            return True
+        line = np.searchsorted(self.lines, start)
+        begin = self.lines[line - 1] if line else 0
+        plain, opened, closed = (
+            int(np.diff(np.searchsorted(places, (begin, start)))[0]) for places in (self.plain, self.opened, self.closed)
+        )
+        return plain % 2 == 1 if plain else opened > closed
 
 
 def context_scores(automaton: Automaton, weights: list[float], texts: list[str]) -> list[list[float]]:
@@ -175,6 +205,7 @@ def context_scores(automaton: Automaton, weights: list[float], texts: list[str])
     codes = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
     ends = np.cumsum([len(t) + 1 for t in lowered])
     starts, words, accepted = automaton.read(codes)
+    quotations = Quotations(whole, codes)
     first = np.searchsorted(starts, np.concatenate([[0], ends[:-1]])) if texts else []
     last = np.searchsorted(starts, ends) if texts else []
     scores = [[0.0] * len(FEATURES) for _ in texts]
@@ -195,7 +226,7 @@ def context_scores(automaton: Automaton, weights: list[float], texts: list[str])
             weight = weights[what >> 2]
             if automaton.stem[what >> 2]:
                 stems += weight
-            elif _quoted(whole, start, len(_word(whole, start))):
+            elif quotations.at(start, len(_word(whole, start))):
                 quoted += weight
             elif what & 3:
                 misspelled += weight
@@ -264,15 +295,17 @@ def learn_lexicon(training: DataFrame) -> list[tuple[str, float]]:
 
     Counts are of documents; a term's toxic count is at most the number of different words that
     it follows in toxic documents, so copies of one document do not make its words terms. Of
-    terms of which one begins with the other, that with more sure odds times count stays.
+    terms of which one begins with the other, that with more sure odds times count stays. Words
+    have any length, and all terms that pass count; each stands in ``LEAST_COUNT`` of the training
+    documents, which ``sample`` bounds.
     """
     words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     pairs = F.zip_with(
         words, F.concat(F.array(F.lit("")), words), lambda w, b: F.struct(w.alias("w"), b.alias("b"))
     )
     rows = training.select("doc_id", "toxic", F.explode(F.array_distinct(pairs)).alias("p"))
-    rows = rows.filter(F.length("p.w") >= MIN_LENGTH).select("doc_id", "toxic", "p.w", "p.b")
-    lengths = F.sequence(F.lit(MIN_LENGTH), F.least(F.length("w"), F.lit(MAX_STEM)))
+    rows = rows.select("doc_id", "toxic", "p.w", "p.b")
+    lengths = F.filter(F.sequence(F.lit(MIN_STEM), F.lit(MAX_STEM)), lambda n: n <= F.length("w"))
     stems = F.transform(lengths, lambda n: F.concat(F.col("w").substr(F.lit(1), n), F.lit("*")))
     rows = rows.select("doc_id", "toxic", "b", F.explode(F.concat(stems, F.array("w"))).alias("term"))
     toxic = rows.filter("toxic = 1")
@@ -294,18 +327,21 @@ def learn_lexicon(training: DataFrame) -> list[tuple[str, float]]:
         .select("term", "t", F.round(odds, 6).alias("weight"), F.round(odds - spare, 6).alias("sure"))
         .filter(F.col("sure") > LEAST_ODDS)
         .orderBy(F.desc(F.col("sure") * F.col("t")), F.desc(F.length("term")), "term")
-        .limit(MAX_TERMS * (MAX_STEM - MIN_LENGTH + 2))
     )
     found = best.collect()
     as_word = {r["term"]: r["t"] for r in found if not r["term"].endswith("*")}
     chosen: dict[str, float] = {}
+    texts, beginnings = set(), set()
     for row in found:
         text = row["term"].rstrip("*")
-        if len(chosen) < MAX_TERMS and not any(
-            text.startswith(o.rstrip("*")) or o.startswith(text) for o in chosen
-        ):
-            word = as_word.get(text, 0) >= WORD_SHARE * row["t"]
-            chosen[text if word else text + "*"] = row["weight"]
+        # A word shorter than a stem covers nothing but itself.
+        own = {text[:n] for n in range(MIN_STEM, len(text) + 1)} or {text}
+        if text in beginnings or own & texts:
+            continue
+        texts.add(text)
+        beginnings |= own
+        word = as_word.get(text, 0) >= WORD_SHARE * row["t"]
+        chosen[text if word else text + "*"] = row["weight"]
     return sorted(chosen.items())
 
 
@@ -330,9 +366,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     Only text enters a score. A null text counts as empty and gets the score of a text without
     terms. Labels other than 0 and 1 are not learned from; of several labels of a document the
     larger holds. Without labels of both kinds, all scores are 0. A null ``doc_id`` is not held
-    out. Repeated rows give repeated results. All documents are scored in one narrow pass.
+    out. Repeated rows give repeated results. All documents are scored in one narrow pass. The
+    training rows are written once to the shared folder.
     """
-    training = training_rows(docs, labels, sample)
+    training = materialize(training_rows(docs, labels, sample), "toxicity-training")
     lexicon = learn_lexicon(training)
     terms, weights = [t for t, _ in lexicon], [w for _, w in lexicon]
     known = _scored(training, terms, weights).join(

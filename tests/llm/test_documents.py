@@ -492,7 +492,7 @@ def test_toxicity_holds_out(spark):
 
 
 def test_automaton_equals_edit_distance():
-    terms = ["idiot", "scum", "worthless", "abcde", "bomente*"]
+    terms = ["idiot", "scum", "worthless", "abcde", "ox", "bomente*"]
     automaton = toxicity.Automaton(terms)
 
     def distance(a, b):
@@ -512,7 +512,8 @@ def test_automaton_equals_edit_distance():
             word[at : at + draw.randint(0, 1)] = draw.choice(([], ["x"], ["o"]))
         word = "".join(word)
         wanted = [distance(word, t) for t in terms[:-1]]
-        wanted = [d for d, t in zip(wanted, terms) if d <= (2 if len(t) >= toxicity.LONG else 1)]
+        allowed = [0 if len(t) < toxicity.EDITED else 1 if len(t) < toxicity.LONG else 2 for t in terms]
+        wanted = [d for d, most in zip(wanted, allowed) if d <= most]
         wanted += [0] * word.startswith("bomente")
         _, _, what = automaton.read(np.array([ord(c) for c in word], np.uint32))
         assert (int(what[0]) & 3 if len(what) else None) == min(wanted, default=None), word
@@ -524,3 +525,36 @@ def test_quotation_is_told_from_abuse():
     abuse, quote = toxicity.context_scores(automaton, [5.0], ["you idiot, go", 'they said the word "idiot" there'])
     assert abuse[names.index("terms")] > 0 and abuse[names.index("addressed")] > 0 and not abuse[names.index("quoted")]
     assert quote[names.index("quoted")] > 0 and quote[names.index("reported")] > 0 and not quote[names.index("terms")]
+    # However long before a quotation was opened, but on the same line.
+    far = "so it goes on " * 200
+    texts = [f'He: "{far}idiot, go', f'He: "{far}" idiot, go', f'He: “{far}idiot, go', f'He: "{far}\nidiot, go', f"{far}idiot go"]
+    got = [s[names.index("quoted")] > 0 for s in toxicity.context_scores(automaton, [5.0], texts)]
+    assert got == [True, False, True, False, False]
+
+
+def test_states_of_many_terms_are_made_when_needed(monkeypatch):
+    draw = random.Random(4)
+    terms = sorted({"".join(draw.choices("abcdefghijklmnop", k=draw.randint(2, 14))) for _ in range(2000)})
+    automaton = toxicity.Automaton(terms)
+    texts = [" ".join(draw.choices(terms, k=50)) for _ in range(20)]
+    weights = [1.0] * len(terms)
+    before = toxicity.context_scores(automaton, weights, texts)
+    assert len(automaton.states) < 100_000 and all(s[toxicity.FEATURES.index("density")] > 4.6 for s in before)
+    # Forgetting the states changes nothing.
+    monkeypatch.setattr(toxicity, "STATES", 1)
+    assert toxicity.context_scores(automaton, weights, texts) == before
+
+
+def test_lexicon_has_short_words_and_no_limit(spark):
+    draw = random.Random(14)
+    bad = ["".join(draw.choices("qxzvw", k=draw.randint(2, 3))) + str(i) for i in range(100)] + ["zx"]
+    plain = [w + "ly" for w in ("slow", "quick", "nice", "bare", "real", "calm", "late", "near", "dear", "fair")]
+    rows = []
+    for i in range(10_000):
+        words = [draw.choice(plain) + str(draw.randrange(300)) for _ in range(12)]
+        if i % 8 == 1:
+            words[1::2] = draw.sample(bad[:-1], 6)
+            words[0] = bad[-1] if i % 16 == 1 else words[0]
+        rows.append((i, int(i % 8 == 1), " ".join([f"start{i}", *words])))
+    lexicon = dict(toxicity.learn_lexicon(spark.createDataFrame(rows, "doc_id bigint, toxic int, text string")))
+    assert set(bad) <= set(lexicon) | {t.rstrip("*") for t in lexicon}
