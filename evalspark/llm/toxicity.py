@@ -300,20 +300,22 @@ def learn_lexicon(training: DataFrame) -> list[tuple[str, float]]:
     documents, which ``sample`` bounds.
     """
     words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    pairs = F.zip_with(
-        words, F.concat(F.array(F.lit("")), words), lambda w, b: F.struct(w.alias("w"), b.alias("b"))
-    )
-    rows = training.select("doc_id", "toxic", F.explode(F.array_distinct(pairs)).alias("p"))
-    rows = rows.select("doc_id", "toxic", "p.w", "p.b")
+    # Strings, which Spark makes distinct by hash; structs it compares with each other.
+    pairs = F.zip_with(words, F.concat(F.array(F.lit("")), words), lambda w, b: F.concat(w, F.lit(" "), b))
     lengths = F.filter(F.sequence(F.lit(MIN_STEM), F.lit(MAX_STEM)), lambda n: n <= F.length("w"))
     stems = F.transform(lengths, lambda n: F.concat(F.col("w").substr(F.lit(1), n), F.lit("*")))
-    rows = rows.select("doc_id", "toxic", "b", F.explode(F.concat(stems, F.array("w"))).alias("term"))
-    toxic = rows.filter("toxic = 1")
+    term = F.explode(F.concat(stems, F.array("w"))).alias("term")
+    toxic = (
+        training.filter("toxic = 1").select("doc_id", F.explode(F.array_distinct(pairs)).alias("p")).filter("p is not null")
+        .select("doc_id", F.substring_index("p", " ", 1).alias("w"), F.substring_index("p", " ", -1).alias("b"))
+        .select("doc_id", "b", term)
+    )
+    clean = training.filter("toxic = 0").select("doc_id", F.explode(F.array_distinct(words)).alias("w")).select("doc_id", term)
     after = toxic.select("term", "b").distinct().groupBy("term").agg(F.count("*").alias("a"))
     held = toxic.select("term", "doc_id").distinct().groupBy("term").agg(F.count("*").alias("t"))
     counts = after.join(held, "term").filter(F.least("t", "a") >= LEAST_COUNT)
     clean = (
-        rows.filter("toxic = 0").join(counts.select("term"), "term", "left_semi")
+        clean.join(counts.select("term"), "term", "left_semi")
         .select("term", "doc_id").distinct().groupBy("term").agg(F.count("*").alias("c"))
     )
     totals = training.agg(
