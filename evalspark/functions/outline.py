@@ -38,33 +38,61 @@ def outline(sql: Column) -> Column:
     """
     found = F.regexp_extract_all(sql, F.lit(_TOKEN), F.lit(0))
     raw = F.transform(found, lambda t: F.regexp_replace(t, r"^\s+", " "))
+    return bind(raw, lambda raws: bind(_facts_of(F.transform(raws, _words)), lambda facts: _placed(raws, facts)))
+
+
+def _facts_of(words: Column) -> Column:
+    """Each word, whether it is a mere name, and whether it goes with the join word before it."""
+
+    def tell(word: Column, before: Column) -> Column:
+        return F.struct(
+            word.alias("word"),
+            (before.isin(".", "as") & (word != "(")).alias("named"),
+            (before.isin(_JOIN_SIDES) & word.isin("join", *_JOIN_SIDES)).alias("side"),
+        )
+
+    def with_before(ws: Column) -> Column:
+        return F.transform(
+            ws, lambda w, i: bind(F.when(i > 0, F.get(ws, i - 1)).otherwise(""), lambda before: tell(w, before))
+        )
+
+    return bind(words, with_before)
+
+
+def _placed(raws: Column, facts: Column) -> Column:
+    """The tokens of ``outline``.
+
+    The fold notes depths and leads in one text: a list that grows by one would be copied entry
+    by entry for each token.
+    """
 
     def step(seen: Column, token: Column) -> Column:
-        def note(word: Column) -> Column:
-            inner = seen["depth"]
-            outer = F.greatest(inner - 1, F.lit(0))
-            i = F.size(seen["rows"])
-            named = seen["before"].isin(".", "as") & (word != "(")
-            side = seen["before"].isin(_JOIN_SIDES) & word.isin("join", *_JOIN_SIDES)
-            row = F.struct(
-                i.alias("i"),
-                token.alias("raw"),
-                F.when(named, "").otherwise(word).alias("word"),
-                F.when(word == ")", outer).otherwise(inner).alias("depth"),
-                F.when(side, seen["lead"]).otherwise(i).alias("lead"),
-            )
+        word, inner = token["word"], seen["depth"]
+        outer = F.greatest(inner - 1, F.lit(0))
+        lead = F.when(token["side"], seen["lead"]).otherwise(seen["i"])
+        own = F.when(word == ")", outer).otherwise(inner)
+        return F.struct(
+            F.concat(seen["notes"], own.cast("string"), F.lit(","), lead.cast("string"), F.lit(";")).alias("notes"),
+            F.when(word == "(", inner + 1).otherwise(own).alias("depth"),
+            lead.alias("lead"),
+            (seen["i"] + 1).alias("i"),
+        )
+
+    def row(notes: Column, raw: Column, i: Column) -> Column:
+        def read(note: Column, fact: Column) -> Column:
             return F.struct(
-                F.concat(seen["rows"], F.array(row)).alias("rows"),
-                F.when(word == "(", inner + 1).when(word == ")", outer).otherwise(inner).alias("depth"),
-                word.alias("before"),
-                row["lead"].alias("lead"),
+                i.alias("i"),
+                raw.alias("raw"),
+                F.when(fact["named"], "").otherwise(fact["word"]).alias("word"),
+                F.substring_index(note, ",", 1).cast("int").alias("depth"),
+                F.substring_index(note, ",", -1).cast("int").alias("lead"),
             )
 
-        return bind(_words(token), note)
+        return bind(F.get(notes, i), lambda note: bind(F.get(facts, i), lambda fact: read(note, fact)))
 
-    rows = F.array().cast("array<struct<i: int, raw: string, word: string, depth: int, lead: int>>")
-    start = F.struct(rows.alias("rows"), F.lit(0).alias("depth"), F.lit("").alias("before"), F.lit(0).alias("lead"))
-    return F.aggregate(raw, start, step, lambda seen: seen["rows"])
+    start = F.struct(F.lit("").alias("notes"), F.lit(0).alias("depth"), F.lit(0).alias("lead"), F.lit(0).alias("i"))
+    notes = F.split(F.aggregate(facts, start, step, lambda seen: seen["notes"]), ";")
+    return bind(notes, lambda all_notes: F.transform(raws, lambda raw, i: row(all_notes, raw, i)))
 
 
 def _text(tokens: Column, first: Column, end: Column) -> Column:

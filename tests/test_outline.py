@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -141,3 +142,16 @@ def test_the_cheap_look_agrees_with_the_fold(spark):
     rows = frame.select("text", outline._flat(F.col("text")).alias("flat"), outline._fold_misplaced(F.col("text")).alias("bad")).collect()
     assert not [r.text for r in rows if r.flat and r.bad]
     assert sum(r.flat for r in rows) > 150
+
+
+def test_work_grows_with_the_tokens(spark):
+    def seconds(words):
+        text = "SELECT " + "f ( a ) , " * words + "b FROM t"
+        frame = spark.createDataFrame([(text,)], "sql string").select(F.size(outline.outline(F.col("sql"))).alias("n"))
+        started = time.monotonic()
+        assert frame.first().n == 5 * words + 4
+        return time.monotonic() - started
+
+    seconds(10)
+    # Sixteen times the tokens; a list copied for each of them took far over a hundred times as long.
+    assert seconds(4800) < 60 * max(seconds(300), 0.05)
