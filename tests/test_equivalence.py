@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import re
 from decimal import Decimal
 
 import numpy as np
@@ -9,7 +10,10 @@ from pyspark.sql import functions as F
 
 from evalspark.functions.screening import outer_order_by
 from evalspark.operators import equivalence as eq
+from evalspark.operators import workload
 from evalspark.operators.workload import ROW_SCHEMA, RUN_SCHEMA
+from evalspark.plans import registry
+from evalspark.session import scratch_path
 
 
 def _cell(v):
@@ -208,3 +212,56 @@ def test_depth_of_order(spark):
     texts = [deep, deep + " ORDER BY 1", deep + ")) ORDER BY 1"]
     frame = spark.createDataFrame(list(enumerate(texts)), "i int, s string").orderBy("i")
     assert [r[0] for r in frame.select(outer_order_by(F.col("s"))).collect()] == [False, True, True]
+
+
+@pytest.fixture
+def plain_plans(spark):
+    """Plans as they are written: nothing is sent around or put together at run time."""
+    names = ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")
+    before = {n: spark.conf.get(n) for n in names}
+    for n, v in zip(names, ("false", "-1")):
+        spark.conf.set(n, v)
+    yield
+    for n, v in before.items():
+        spark.conf.set(n, v)
+
+
+def test_an_orders_lines_are_brought_together(spark, tmp_path, plain_plans):
+    lines = [(o, n, float(o + n), "ANR"[n % 3]) for o in range(40) for n in (1, 2, 2, 3, 5)] + [(None, None, 1.0, None)]
+    schema = "l_orderkey bigint, l_linenumber int, l_extendedprice double, l_returnflag string"
+    spark.createDataFrame(lines, schema).write.parquet(str(tmp_path / "lineitem.parquet"))
+    rows = registry.Tables(spark, str(tmp_path)).adapted("gold_rows")
+    found = rows.withColumn("at", F.spark_partition_id()).collect()
+    assert len(found) == 161 and len({r.at for r in found}) > 1
+    assert len({(r.o, r.at) for r in found}) == 41
+
+
+def test_a_rows_digest_is_made_once_and_a_results_is_short(spark, plain_plans):
+    rows = spark.createDataFrame([("a", 0, 0, [_cell(1.5), _cell("x")]), ("a", 0, 1, [_cell(2)])], ROW_SCHEMA)
+    lines = eq._summaries(rows, ["example_id", "candidate_index"], eq.TOLERANCE)
+    (line,) = lines.collect()
+    assert line["size"] == 2 and len(line.sums) == 16
+
+
+def test_runs_are_kept_without_their_texts(spark, monkeypatch):
+    kept = []
+    plain = eq.materialize
+    monkeypatch.setattr(eq, "materialize", lambda df, name: kept.extend(df.columns) or plain(df, name))
+    found = judge(spark, {"a": ([["x"]], [["x"]], {}), "none": ([], [], {})}, tables=["t"])
+    assert found["a"].strict_equivalent and found["none"].kind == "empty_structural_partial"
+    assert "gate" in kept and not {"sql", "gold_sql", "columns", "gold_columns", "schema_tables", "gold_tables"} & set(kept)
+
+
+def test_a_long_result_is_no_tasks_own(spark, plain_plans):
+    frame = spark.createDataFrame([("e", 0, "SELECT id FROM range(0, 50, 1, 5) ORDER BY id", "k")], "example_id string, candidate_index int, sql string, cache_key string")
+    for _ in range(2):
+        _, rows = workload.run_workload(spark, frame.drop("cache_key"))
+        assert sorted(r.row_idx for r in rows.collect()) == list(range(50))
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    store = scratch_path(spark, "gold")
+    for _ in range(2):
+        _, rows, _ = workload.run_gold(spark, frame, store)
+        assert rows.count() == 50
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert not re.search(r"SortMergeJoin \[(cache_key#\w+, batch|example_id)", plan)
