@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evalspark.functions.screening import screen
-from evalspark.operators.equivalence import cache_lookup, cells
+from evalspark.operators.equivalence import RUNS_SENT, cache_lookup, cells
 from evalspark.session import scratch_path
 
 TIMEOUT_MS = 30_000
@@ -100,6 +100,12 @@ def _run_query(
         context.setLocalProperty("spark.scheduler.pool", None)
 
 
+def _sent(lines: DataFrame, count: int | None = None) -> DataFrame:
+    """Lines to be joined with rows, sent to every task unless they are very many."""
+    count = lines.count() if count is None else count
+    return F.broadcast(lines) if count <= RUNS_SENT else lines
+
+
 # Bits of a row's number that hold its place within its task; the task is above them.
 _PLACE_BITS = 33
 
@@ -123,6 +129,8 @@ def _dense(rows: DataFrame) -> DataFrame:
         .filter("start > 0")
     )
     place = F.col("row_idx").bitwiseAND(F.lit(2**_PLACE_BITS - 1))
+    # One line per file is sent to the rows; shuffled, a whole task's rows would meet it in one task.
+    starts = _sent(starts, len(rows.inputFiles()))
     return located.join(starts, ["query", "task"], "left").select(
         "example_id",
         "candidate_index",
@@ -209,7 +217,8 @@ def run_gold(
     ``equivalence.cache_key``. Returns the runs, the rows and the keys that were reused.
     Whole results are kept under their keys; failed or cut ones run again. A call's rows
     are written under its own batch and before its runs, so a call that breaks off leaves
-    nothing that is read.
+    nothing that is read. Rows meet lines of runs, which are sent to them: shuffled by their
+    result's key, a long result would be one task's.
     """
     names = ["example_id", "candidate_index"]
     stored_rows, stored_runs = f"{ROW_SCHEMA}, cache_key string, batch string", f"{RUN_SCHEMA}, cache_key string, batch string"
@@ -220,7 +229,7 @@ def run_gold(
     keyed = misses.select(*names, "cache_key").withColumn("batch", F.lit(uuid.uuid4().hex))
     whole = F.col("success") & ~F.col("truncated")
     kept = runs.filter(whole).join(keyed, names)
-    kept_rows = rows.join(kept.select(*names, "cache_key", "batch"), names)
+    kept_rows = rows.join(_sent(kept.select(*names, "cache_key", "batch")), names)
     kept_rows.write.mode("append").parquet(f"{store}/rows")
     kept.write.mode("append").parquet(f"{store}/runs")
 
@@ -233,7 +242,9 @@ def run_gold(
     old_rows = spark.read.schema(stored_rows).parquet(f"{store}/rows")
     return (
         wanted.join(chosen, key, "left_semi").drop(*key).unionByName(again),
-        old_rows.join(chosen, key, "left_semi").drop(*key).unionByName(rows.join(again, names, "left_semi")),
+        old_rows.join(_sent(chosen), key, "left_semi").drop(*key).unionByName(
+            rows.join(_sent(again.select(*names)), names, "left_semi")
+        ),
         hits.select("cache_key"),
     )
 
