@@ -58,9 +58,9 @@ def bad_line_numbers(t: Tables):
     Each line says itself which line of its file it is; corrupt ones break off behind that.
     """
     path = scratch_path(t.spark, "numbered")
-    # The low bits count the rows of a task, which writes one file.
+    # The low bits count the rows of a task, which writes one file; more rows are more files.
     number = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) + 1
-    placed = t.documents.repartition(3, "doc_id").withColumn("place", number)
+    placed = t.documents.withColumn("place", number)
     good = F.to_json(F.struct("place", F.col("doc_id").alias("ord"), "text"))
     broken = F.format_string('{"place":%d,"ord":%d,"text":', "place", "doc_id")
     line = F.when(F.col("doc_id") % 3 == 0, good).when(F.col("doc_id") % 3 == 1, broken).otherwise(" ")
