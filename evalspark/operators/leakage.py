@@ -129,24 +129,21 @@ def _standing_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import ahocorasick
 
     for batch in batches:
-        at, kept = [], []
-        for i, (prompt, values) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("prompt", "values")))):
+        ids, prompts, lists = (batch.column(c) for c in ("example_id", "prompt", "values"))
+        # Of a batch only one row's texts are in Python at a time.
+        for i in range(batch.num_rows):
+            entries = lists[i].values
+            values, counts = entries.field("value"), entries.field("occurrences")
             automaton = ahocorasick.Automaton()
             for k, value in enumerate(values):
-                automaton.add_word(value["value"], k)
+                automaton.add_word(value.as_py(), k)
             automaton.make_automaton()
-            for k in sorted({k for _, k in automaton.iter(prompt)}):
-                at.append(i)
-                kept.append(values[k])
-        ids = batch.column("example_id").take(pa.array(at, pa.int64()))
-        yield pa.RecordBatch.from_arrays(
-            [
-                ids,
-                pa.array([v["value"] for v in kept], pa.string()),
-                pa.array([v["occurrences"] for v in kept], pa.int64()),
-            ],
-            names=["example_id", "value", "occurrences"],
-        )
+            kept = pa.array(sorted({k for _, k in automaton.iter(prompts[i].as_py())}), pa.int64())
+            if len(kept):
+                yield pa.RecordBatch.from_arrays(
+                    [ids.take(pa.array([i] * len(kept), pa.int64())), values.take(kept), counts.take(kept)],
+                    names=["example_id", "value", "occurrences"],
+                )
 
 
 def result_leakage(prompts: DataFrame, result_strings: DataFrame) -> DataFrame:

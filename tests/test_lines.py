@@ -7,9 +7,11 @@ import json
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
 from evalspark.operators import leakage, validate
+from evalspark.plans import registry, source_queries
 from evalspark.sources import jsonl
 
 SCHEMA = "ord bigint, text string"
@@ -120,3 +122,28 @@ def test_result_strings_against_plain_search(spark, monkeypatch):
     assert sorted(map(tuple, found.collect())) == want and len(want) > 100
     # Prompts are moved once: one row per example and portion of its values meets them.
     assert leakage.result_leakage(p.limit(0), c).count() == leakage.result_leakage(p, c.limit(0)).count() == 0
+
+
+def test_more_rows_are_more_files(spark, tmp_path, monkeypatch):
+    folder = tmp_path / "documents.parquet"
+    spark.range(60).selectExpr("id AS doc_id", "'word ' || id AS text").repartition(6).write.parquet(str(folder))
+    monkeypatch.setattr(source_queries, "scratch_path", lambda spark, name: str(tmp_path / name))
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", str(2**30))
+    try:
+        found = registry.QUERIES["bad_line_numbers"](spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", before)
+    assert sorted(map(tuple, found)) == [(i, True) for i in range(1, 60, 3)]
+    assert len(list((tmp_path / "numbered").glob("part-*"))) == 6
+
+
+def test_one_rows_texts_at_a_time():
+    batch = pa.RecordBatch.from_pydict({
+        "example_id": ["a", "b", "c"],
+        "prompt": ["xx abcabc", "nothing", "bcabca"],
+        "values": [[{"value": "abcabc", "occurrences": 2}, {"value": "zzzzzz", "occurrences": 1}], [{"value": "abcabc", "occurrences": 1}], [{"value": "bcabca", "occurrences": 3}]],
+    })
+    found = [b.to_pylist() for b in leakage._standing_in(iter([batch, batch.slice(2)]))]
+    c = [{"example_id": "c", "value": "bcabca", "occurrences": 3}]
+    assert found == [[{"example_id": "a", "value": "abcabc", "occurrences": 2}], c, c]
