@@ -39,6 +39,11 @@ def disk_state(spark: SparkSession):
             spark.conf.set(_STORE, before)
 
 
+def earliest(rows: pd.DataFrame) -> pd.DataFrame:
+    """The earliest record of a key; most keys have one in a batch, and nothing is sorted for it."""
+    return rows if len(rows) == 1 else rows.sort_values(["created_at", "raw_candidate_output"]).head(1)
+
+
 def first_of_keys(stream: DataFrame, forget_after: str | None = None) -> DataFrame:
     """One record per key, from the batch in which the key is first seen; there the earliest.
 
@@ -60,14 +65,19 @@ def first_of_keys(stream: DataFrame, forget_after: str | None = None) -> DataFra
         if state.hasTimedOut:
             state.remove()
             return
-        rows = pd.concat(list(batches))
+        known, newest, best = state.exists, None, None
+        for rows in batches:
+            if forget_after is not None:
+                last = rows[_TIME].max()
+                newest = last if newest is None else max(newest, last)
+            if not known:
+                best = earliest(rows if best is None else pd.concat([best, rows]))
         if forget_after is not None:
             # One millisecond past the newest record; the watermark adds the delay.
-            newest = int(rows[_TIME].max().timestamp() * 1000) + 1
-            state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs() + 1))
-        if not state.exists:
+            state.setTimeoutTimestamp(max(int(newest.timestamp() * 1000) + 1, state.getCurrentWatermarkMs() + 1))
+        if not known:
             state.update((True,))
-            yield rows.sort_values(["created_at", "raw_candidate_output"]).head(1)[names]
+            yield best[names]
 
     return timed.groupBy(*KEYS).applyInPandasWithState(first, stream.schema, "seen boolean", "append", timeout)
 

@@ -6,6 +6,7 @@ import json
 import os
 import shutil
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,3 +120,10 @@ def test_totals_over_many_batches(spark, tmp_path):
     want = intake.group_totals(spark.read.json(str(tmp_path / "in")))
     columns = ["generation_group_id", "n", F.round("reward_sum", 6), F.round("reward_std", 6)]
     assert sorted(got.select(*columns).collect()) == sorted(want.select(*columns).collect())
+
+
+def test_a_single_record_is_taken_as_it_is():
+    rows = pd.DataFrame({"created_at": ["2", "1", "1"], "raw_candidate_output": ["a", "c", "b"]})
+    assert intake.earliest(rows).raw_candidate_output.tolist() == ["b"]
+    single = rows.head(1)
+    assert intake.earliest(single) is single
