@@ -61,7 +61,8 @@ def parse_lines(lines: DataFrame, schema: str) -> DataFrame:
 
     A partition column takes the place of the record's field of that name, as Spark's readers have it.
     """
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    # The parser's own limit would call a line bad for a text of over 20 million characters.
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "maxStringLen": str(2**31 - 1)}
     record = F.from_json("value", f"{schema}, {CORRUPT} string", options)
     parsed = lines.filter(F.trim(F.regexp_replace("value", r"\s", " ")) != "").withColumn("_record", record)
     # A line that is JSON but no object is no record either.

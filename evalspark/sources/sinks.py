@@ -15,9 +15,27 @@ MISSING_PREDICTION = "SELECT 1"
 SFT_COLUMNS = {"prompt": "instruction", "query": "input", "response": "output"}
 
 
+_WRITERS_CONF = "spark.sql.maxConcurrentOutputFileWriters"
+# Files that a task keeps open at once; one that meets more splits sorts what is left of its rows.
+WRITERS = 32
+
+
 def write_by_split(examples: DataFrame, path: str) -> None:
-    """One folder of JSONL per split; a split without rows gets none."""
-    examples.write.mode("error").partitionBy("split").json(path)
+    """One folder of JSONL per split; a split without rows gets none.
+
+    A task keeps a file per split open and writes its rows as they come. By default Spark sorts
+    them by split first, which holds whole texts in memory beside what the scan holds.
+    """
+    conf = examples.sparkSession.conf
+    before = conf.get(_WRITERS_CONF, None)
+    conf.set(_WRITERS_CONF, str(WRITERS))
+    try:
+        examples.write.mode("error").partitionBy("split").json(path)
+    finally:
+        if before is None:
+            conf.unset(_WRITERS_CONF)
+        else:
+            conf.set(_WRITERS_CONF, before)
 
 
 def append_records(records: DataFrame, path: str) -> None:
