@@ -7,6 +7,7 @@ never part of an adapter.
 
 from __future__ import annotations
 
+import math
 import re
 from typing import TYPE_CHECKING
 
@@ -151,11 +152,18 @@ SQL = {
         SELECT 'doc-' || doc_id AS example_id, quality = 1 AS a, toxic = 0 AS b FROM labels""",
 }
 
-# What Spark reads instead. An order's lines are brought together at once, so that what is added
-# up per result is added up before it is moved again.
-_LINES_TOGETHER = """FROM (SELECT /*+ REPARTITION(l_orderkey) */
-            l_orderkey, l_linenumber, l_extendedprice, l_returnflag FROM lineitem) l GROUP BY"""
-SPARK_SQL = {"gold_rows": SQL["gold_rows"].replace("FROM lineitem GROUP BY", _LINES_TOGETHER)}
+# What Spark reads instead. An order's lines are brought together at once, under the id of the example
+# they belong to, so that what is counted or joined per example need not be moved again. All of that
+# is one task's, which is why tasks get no more than so many lines.
+LINES_PER_TASK = 200_000
+_LINES_TOGETHER = """FROM (SELECT /*+ REPARTITION(LINE_TASKS, example_id) */ * FROM (SELECT 'o-' || l_orderkey AS example_id,
+            l_linenumber, l_extendedprice, l_returnflag FROM lineitem) i) l GROUP BY example_id,"""
+SPARK_SQL = {
+    "gold_rows": SQL["gold_rows"].replace("FROM lineitem GROUP BY l_orderkey,", _LINES_TOGETHER)
+    .replace("SELECT o,", "SELECT example_id, CAST(substring(example_id, 3) AS BIGINT) AS o,")
+    .replace("SELECT l_orderkey AS o,", "SELECT example_id,"),
+    "candidate_rows": SQL["candidate_rows"].replace("SELECT o,", "SELECT example_id, o,"),
+}
 
 # Texts that the two dialects spell differently: Spark first.
 TWO_DIALECTS = {
@@ -216,10 +224,18 @@ def _sources(text: str) -> list[str]:
     return list(dict.fromkeys(found))
 
 
+def _line_tasks(tables: Tables) -> int:
+    """As many tasks as the session shuffles to, or more for a long table."""
+    usual = int(tables.spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(usual, math.ceil(tables.lineitem.count() / LINES_PER_TASK))
+
+
 def frame(tables: Tables, name: str) -> DataFrame:
     if name in BASE:
         return getattr(tables, name)
     text = _text(name, 0)
+    if "LINE_TASKS" in text:
+        text = text.replace("LINE_TASKS", str(_line_tasks(tables)))
     known = [s for s in _sources(text) if s in BASE or s in SQL or s in TWO_DIALECTS]
     for source in known:
         text = re.sub(rf"\b(FROM|JOIN) {source}\b(?!')", rf"\1 {{{source}}}", text)

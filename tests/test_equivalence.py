@@ -12,7 +12,7 @@ from evalspark.functions.screening import outer_order_by
 from evalspark.operators import equivalence as eq
 from evalspark.operators import workload
 from evalspark.operators.workload import ROW_SCHEMA, RUN_SCHEMA
-from evalspark.plans import registry
+from evalspark.plans import adapters, equivalence_queries, registry
 from evalspark.session import scratch_path
 
 
@@ -265,3 +265,69 @@ def test_a_long_result_is_no_tasks_own(spark, plain_plans):
         assert rows.count() == 50
         plan = rows._jdf.queryExecution().executedPlan().toString()
         assert not re.search(r"SortMergeJoin \[(cache_key#\w+, batch|example_id)", plan)
+
+
+def _odd_rows(spark):
+    """Result rows with null keys, rows without counterpart, and a place that gold has twice."""
+    gold = [("a", 0, [1.0, "x"]), ("a", 1, [2.0, "y"]), ("b", 0, [3.0, "z"]), ("b", 0, [3.5, "z"]), ("c", None, [1.0, "x"]), (None, 0, [1.0, "x"])]
+    gold += [("d", i, [float(i), "d"]) for i in range(50)]
+    mine = [("a", 0, 0, [1.0, "x"]), ("a", 0, 1, [2.0 + 1e-7, "y"]), ("a", 1, 0, [1.0, "x"]), ("a", 1, 1, [2.0, "n"]), ("a", 1, 7, [2.0, "y"])]
+    mine += [("b", 0, 0, [3.0, "z"]), ("c", 0, None, [1.0, "x"]), (None, 0, 0, [1.0, "x"]), ("e", 2, 4, [1.0, "x"])]
+    mine += [("d", k, i, [float(i) + (0.5 if i >= 40 and k else 0), "d"]) for k in range(2) for i in range(50)]
+    cells = lambda r: [_cell(v) for v in r]
+    return (
+        spark.createDataFrame([(e, k, i, cells(r)) for e, k, i, r in mine], ROW_SCHEMA),
+        spark.createDataFrame([(e, 0, i, cells(r)) for e, i, r in gold], ROW_SCHEMA).drop("candidate_index"),
+    )
+
+
+@pytest.mark.parametrize("together", [False, True])
+def test_places_of_odd_rows(spark, together):
+    mine, gold = _odd_rows(spark)
+    if together:
+        mine, gold = mine.repartition(3, "example_id"), gold.repartition(3, "example_id")
+    found = {(r.example_id, r.candidate_index): (r.bad_row, r.bad_col) for r in eq.ordered_mismatches(mine, gold).collect()}
+    assert found == {
+        ("a", 0): (None, None), ("a", 1): (1, 1), ("b", 0): (0, 0), ("c", 0): (None, None), (None, 0): (0, 0),
+        ("e", 2): (4, 0), ("d", 0): (None, None), ("d", 1): (40, 0),
+    }
+
+
+def _lines(spark, path):
+    rows = [(o, n, float(o * 10 + n), "ANR"[n % 3]) for o in range(300) for n in range(1, 2 + o % 7)]
+    schema = "l_orderkey bigint, l_linenumber int, l_extendedprice double, l_returnflag string"
+    spark.createDataFrame([*rows, (None, None, 1.0, None), (None, 2, 1.0, "A")], schema).write.parquet(str(path / "lineitem.parquet"))
+    return registry.Tables(spark, str(path))
+
+
+def _judged(t, **options):
+    runs, gold_runs = equivalence_queries.runs(t)
+    rows = (equivalence_queries.long_rows(t, name) for name in ("candidate_rows", "gold_rows"))
+    return eq.verdicts(runs, gold_runs, *rows, **options)
+
+
+@pytest.mark.parametrize("by_example", [False, True])
+def test_many_runs_are_judged_as_few(spark, tmp_path, monkeypatch, by_example):
+    t = _lines(spark, tmp_path)
+    expected = sorted(map(str, _judged(t).collect()))
+    assert len(expected) > 1500 and {"ordered_rows", "unordered_rows", "not_equivalent"} <= {re.search(r"kind='(\w+)'", x)[1] for x in expected}
+    monkeypatch.setattr(eq, "RUNS_SENT", 0)
+    assert sorted(map(str, _judged(t, by_example=by_example).collect())) == expected
+
+
+def test_rows_that_lie_together_are_not_moved(spark, tmp_path, monkeypatch, plain_plans):
+    _lines(spark, tmp_path)
+    monkeypatch.setattr(eq, "RUNS_SENT", 0)
+    plan = registry.QUERIES["equiv_verdicts"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    moved = [m[1] for x in plan.splitlines() if "Reused" not in x and (m := re.search(r"Exchange hashpartitioning.*, (\w+),", x))]
+    # The lines, once; the ids that wait, twice; the runs that wait and what has become of them, twice.
+    assert sorted(moved) == ["ENSURE_REQUIREMENTS"] * 6 + ["REPARTITION_BY_NUM"]
+    assert not re.search(r"hashpartitioning\([^)]*_?row", plan)
+
+
+def test_long_tables_are_cut_into_more_tasks(spark, tmp_path, monkeypatch, plain_plans):
+    t = _lines(spark, tmp_path)
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert t.adapted("gold_rows").rdd.getNumPartitions() == usual
+    monkeypatch.setattr(adapters, "LINES_PER_TASK", 100)
+    assert t.adapted("gold_rows").rdd.getNumPartitions() == 12
