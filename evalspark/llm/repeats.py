@@ -23,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import struct
 from collections import defaultdict
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -188,7 +189,10 @@ def _send_anchors(buckets: int):
         code = (h >> np.uint64(1)).astype(np.int64)
         bucket = code % buckets
         key = ((code // buckets) & 0xFFFFFFFF).astype(np.uint32)
-        order = np.lexsort((names[document], key, bucket))
+        placed = bucket << 32 | key
+        # Documents come in their order as a rule, and a stable sort leaves them so.
+        in_order = bool((np.diff(names) >= 0).all())
+        order = np.argsort(placed, kind="stable") if in_order else np.lexsort((names[document], placed))
         bucket, key, doc = bucket[order], key[order], names[document][order]
         same_key = np.concatenate([[False], (key[1:] == key[:-1]) & (bucket[1:] == bucket[:-1])])
         again = same_key & np.concatenate([[False], doc[1:] == doc[:-1]])
@@ -218,6 +222,19 @@ def _send_anchors(buckets: int):
     return work
 
 
+def _order(keys: np.ndarray, bits: int) -> np.ndarray:
+    """Stable order of numbers of at most ``bits`` bits.
+
+    With its place below it a number is like no other. Numpy sorts plain numbers many times
+    faster than it finds the stable order of any.
+    """
+    width = len(keys).bit_length()
+    if bits + width > 64:
+        return np.argsort(keys, kind="stable")
+    placed = keys.astype(np.uint64) << np.uint64(width) | np.arange(len(keys), dtype=np.uint64)
+    return (np.sort(placed) & np.uint64((1 << width) - 1)).astype(np.int64)
+
+
 def _steps(values: np.ndarray) -> np.ndarray:
     return np.diff(values, prepend=0)
 
@@ -347,7 +364,16 @@ def _cuts_of(ids: list[int], texts: list[bytes], codes: list[list[int]], marks:
     for d, a, b, to, number, whole in zip(*(c.tolist() for c in columns)):
         text, doc, above = texts[d], ids[d], marks[d] << _START_BITS
         if whole:
-            add(text[a : b + LENGTH], doc, above + a, to, number)
+            cut, start = text[a : b + LENGTH], above + a
+            held = cuts.get(cut)
+            if held is None:
+                cuts[cut] = (doc, to, number, [start])
+            elif held[0] == doc:
+                held[3].append(start)
+            elif held[0] < doc:
+                settled.append((doc, start * 128 + len(cut)))
+            else:
+                add(cut, doc, start, to, number)
         else:
             for s in range(a, b + 1):
                 window = text[s : s + LENGTH]
@@ -356,18 +382,24 @@ def _cuts_of(ids: list[int], texts: list[bytes], codes: list[list[int]], marks:
 
 
 def _cut_rows(cuts: dict, settled: list, buckets: int):
-    by_bucket = defaultdict(list)
-    for cut, (doc, to, key, starts) in cuts.items():
-        by_bucket[to] += [(doc, s, key, cut) for s in starts]
     out = [[], [], []]
-    for to, rows in by_bucket.items():
-        docs, starts, keys, parts = zip(*rows)
-        out[0].append(to)
+    parts, held = list(cuts), list(cuts.values())
+    docs, buckets_of, keys = (np.array([h[i] for h in held], np.int64) for i in range(3))
+    sizes = np.array([len(p) for p in parts], np.uint8)
+    # A row per start, those of a bucket together.
+    number = np.repeat(np.arange(len(held)), np.array([len(h[3]) for h in held], np.int64))
+    starts = np.fromiter(chain.from_iterable(h[3] for h in held), np.int64, len(number))
+    order = np.argsort(buckets_of[number], kind="stable")
+    number, starts = number[order], starts[order]
+    edges = np.flatnonzero(np.diff(buckets_of[number], prepend=-1, append=-1))
+    for low, high in zip(edges[:-1], edges[1:]):
+        some = number[low:high]
+        out[0].append(int(buckets_of[some[0]]))
         out[1].append(_SHARED)
         out[2].append(
             _pack(
-                _steps(np.array(docs, np.int64)), np.array(starts, np.int64), np.array(keys, np.uint32),
-                np.array([len(p) for p in parts], np.uint8), np.frombuffer(b"".join(parts), np.uint8),
+                _steps(docs[some]), starts[low:high], keys[some].astype(np.uint32), sizes[some],
+                np.frombuffer(b"".join([parts[i] for i in some.tolist()]), np.uint8),
             )
         )
     if settled:
@@ -384,45 +416,52 @@ def _mix(document: np.ndarray, code: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(30))
 
 
-def suffix_ranks(data: np.ndarray) -> np.ndarray:
+def suffix_ranks(data: np.ndarray, wanted: np.ndarray | None = None) -> np.ndarray:
     """Rank of the ``LENGTH`` bytes from each position on, by Larsson-Sadakane refinement.
 
     Ranks by the first eight bytes are refined by the rank of the suffix that begins where the
     compared bytes end, doubling them each round. Only positions whose rank is shared are sorted
-    again; a rank is the number of the first place of its group.
+    again; a rank is the number of the first place of its group. With ``wanted`` only the ranks of
+    positions that it marks are complete: a round sorts what they and later rounds look at.
     """
+    steps, known = [], 8
+    while known < LENGTH:
+        steps.append(min(known, LENGTH - known))
+        known += steps[-1]
+    needs = [np.ones(len(data), bool) if wanted is None else wanted]
+    for step in reversed(steps[1:]):
+        needs.append(needs[-1].copy())
+        needs[-1][step:] |= needs[-2][:-step]
     words = _words(data)
-    order = np.argsort(words, kind="stable")
+    order = np.argsort(words)
     sorted_words = words[order]
     rank = _group_ranks(order, np.concatenate([[True], sorted_words[1:] != sorted_words[:-1]]))
-    known = 8
-    while known < LENGTH:
-        step = min(known, LENGTH - known)
+    bits = max(1, len(data).bit_length())
+    for step, need in zip(steps, reversed(needs)):
         counts = np.bincount(rank, minlength=len(data))
-        open_ = np.flatnonzero(counts[rank] > 1)
+        open_ = np.flatnonzero((counts[rank] > 1) & need)
         if not len(open_):
             break
         beyond = open_ + step
         tail = np.where(beyond < len(data), rank[np.minimum(beyond, len(data) - 1)] + 1, 0)
-        pair = rank[open_].astype(np.uint64) << np.uint64(32) | tail.astype(np.uint64)
-        by = np.argsort(pair, kind="stable")
+        pair = rank[open_].astype(np.uint64) << np.uint64(bits) | tail.astype(np.uint64)
+        by = _order(pair, 2 * bits)
         pair, open_ = pair[by], open_[by]
-        group = pair >> np.uint64(32)
+        group = pair >> np.uint64(bits)
         new = np.concatenate([[True], pair[1:] != pair[:-1]])
         head = np.concatenate([[True], group[1:] != group[:-1]])
         place = np.arange(len(pair))
         inside = place - np.maximum.accumulate(np.where(head, place, 0))
         first = np.maximum.accumulate(np.where(new, place, 0))
         refined = rank.copy()
-        refined[open_] = group.astype(np.int64) + inside[first]
+        refined[open_] = group.astype(np.int32) + inside[first].astype(np.int32)
         rank = refined
-        known += step
     return rank
 
 
 def _group_ranks(order: np.ndarray, new: np.ndarray) -> np.ndarray:
     place = np.arange(len(order))
-    rank = np.empty(len(order), np.int64)
+    rank = np.empty(len(order), np.int32)
     rank[order] = np.maximum.accumulate(np.where(new, place, 0))
     return rank
 
@@ -463,8 +502,8 @@ def repeated_windows(docs: np.ndarray, lengths: np.ndarray, data: np.ndarray) ->
     """For each byte of the cuts, whether the window from it on is in a document with a smaller id."""
     starts = np.cumsum(lengths) - lengths
     is_window = np.arange(len(data)) + LENGTH <= np.repeat(starts + lengths, lengths)
-    order = np.argsort(suffix_ranks(data), kind="stable")
-    order = order[is_window[order]]
+    windows = np.flatnonzero(is_window)
+    order = windows[_order(suffix_ranks(data, is_window)[windows], len(data).bit_length())]
     group = np.cumsum(common_prefixes(data, order, starts, lengths - LENGTH + 1) < LENGTH) - 1
     owner = np.repeat(docs, lengths)[order]
     first = np.minimum.reduceat(owner, np.flatnonzero(np.diff(group, prepend=-1)))
@@ -511,13 +550,13 @@ def _equal_cuts(lists):
             if held[0] == doc:
                 held[2].append(start)
                 continue
-            if held[0] > doc:
-                first[cut] = (doc, key, [start])
-                doc, some = held[0], held[2]
-            else:
-                some = [start]
-            for s in some:
+            if held[0] < doc:
                 docs_out.append(doc)
+                spans_out.append(start * 128 + n)
+                continue
+            first[cut] = (doc, key, [start])
+            for s in held[2]:
+                docs_out.append(held[0])
                 spans_out.append(s * 128 + n)
     keys = np.array([k for _, k, _ in first.values()], np.uint32)
     # A single window has met all its equals above.

@@ -560,3 +560,50 @@ def test_lexicon_has_short_words_and_no_limit(spark):
     automaton = toxicity.Automaton(sorted(lexicon))
     _, found, _ = automaton.read(np.array([ord(c) for c in " ".join([*bad, *plain])], np.uint32))
     assert found.tolist() == list(range(len(bad))) and len(lexicon) > 64 and "zx" in lexicon
+
+
+def test_order_is_stable_at_any_width():
+    draw = np.random.default_rng(5)
+    keys = draw.integers(0, 9, 5000).astype(np.uint64)
+    for some, bits in ((keys, 4), (keys << np.uint64(58), 62), (keys[:0], 4), (keys[:1], 64)):
+        assert (repeats._order(some, bits) == np.argsort(some, kind="stable")).all()
+
+
+def test_only_what_windows_look_at_is_sorted(monkeypatch):
+    """Ranks of the wanted positions sort their windows; each round sorts no more than it needs."""
+    draw = random.Random(8)
+    cut = bytes(draw.randrange(97, 99) for _ in range(67))
+    data = np.frombuffer((cut + bytes(draw.randrange(97, 99) for _ in range(67))) * 40 + cut[:60], np.uint8)
+    wanted = np.zeros(len(data), bool)
+    for start in range(0, len(data) - 67, 67):
+        wanted[start : start + 18] = True
+    sizes, plain = [], repeats._order
+    monkeypatch.setattr(repeats, "_order", lambda keys, bits: sizes.append(len(keys)) or plain(keys, bits))
+    rank, text = repeats.suffix_ranks(data, wanted), data.tobytes()
+    assert len(sizes) == 3 and sizes[2] <= wanted.sum() < sizes[1] < sizes[0] < len(data)
+    at = sorted(np.flatnonzero(wanted).tolist(), key=lambda i: text[i : i + repeats.LENGTH])
+    for a, b in zip(at, at[1:]):
+        same = text[a : a + repeats.LENGTH] == text[b : b + repeats.LENGTH]
+        assert (rank[a] == rank[b]) if same else (rank[a] < rank[b])
+
+
+def test_rows_of_no_cuts_and_of_many():
+    assert repeats._cut_rows({}, [], 7) == [[], [], []]
+    cuts = {bytes([65 + i]) * 50: (10 - i, i % 3, 100 + i, [i, i + 200]) for i in range(7)}
+    buckets, kinds, blobs = repeats._cut_rows(cuts, [(4, 128)], 7)
+    assert buckets == [0, 1, 2, 4] and kinds == [0, 0, 0, 1]
+    got = []
+    for blob in blobs[:3]:
+        docs, starts, keys, sizes, data = repeats._unpack(blob)
+        assert (sizes == 50).all()
+        got += zip(np.cumsum(docs).tolist(), starts.tolist(), keys.tolist(), (data.tobytes()[i : i + 50] for i in range(0, len(data), 50)))
+    assert sorted(got) == sorted((doc, s, key, cut) for cut, (doc, _, key, starts) in cuts.items() for s in starts)
+
+
+def test_spans_do_not_depend_on_the_order_of_documents():
+    draw = random.Random(2)
+    shared = ["".join(draw.choices("abc ", k=90)) for _ in range(5)]
+    texts = ["".join(draw.choices(shared, k=3)) + "".join(draw.choices("xyz", k=20)) for _ in range(30)]
+    ids = list(range(30))
+    sent = [sorted(x for out in repeats._send_anchors(5)(i, t) for x in zip(*out)) for i, t in ((ids, texts), (ids[::-1], texts[::-1]))]
+    assert sent[0] == sent[1]
