@@ -43,6 +43,8 @@ SPREAD = LENGTH - ANCHOR + 1
 BUCKET_BYTES = 4_000_000
 SHARD_BYTES = 8_000_000
 BLOCK = 2_000_000
+# Bytes of documents whose anchors are sought together: few enough for arrays that stay in a core's cache.
+TOGETHER = 100_000
 # Compression of what is shuffled.
 LEVEL = 3
 # From this many documents on, an anchor's windows are dealt one by one.
@@ -81,7 +83,7 @@ def anchors(texts: list[bytes]):
     start = 0
     while start < len(texts):
         stop, size = start, 0
-        while stop < len(texts) and (stop == start or size + len(texts[stop]) <= BLOCK):
+        while stop < len(texts) and (stop == start or size + len(texts[stop]) <= TOGETHER):
             size += len(texts[stop])
             stop += 1
         for part in _block_anchors(texts[start:stop], start):

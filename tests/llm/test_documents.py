@@ -607,3 +607,13 @@ def test_spans_do_not_depend_on_the_order_of_documents():
     ids = list(range(30))
     sent = [sorted(x for out in repeats._send_anchors(5)(i, t) for x in zip(*out)) for i, t in ((ids, texts), (ids[::-1], texts[::-1]))]
     assert sent[0] == sent[1]
+
+
+def test_anchors_do_not_depend_on_what_is_sought_together(monkeypatch):
+    draw = random.Random(6)
+    texts = ["".join(draw.choices("abcdé ", k=draw.choice([0, 10, 60, 700]))).encode() for _ in range(60)]
+    expected = repeats.anchors(texts)
+    assert len(expected[0]) > 200
+    for size in (1, 300, 5000):
+        monkeypatch.setattr(repeats, "TOGETHER", size)
+        assert all((a == b).all() for a, b in zip(repeats.anchors(texts), expected))
